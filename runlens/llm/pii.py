@@ -5,9 +5,9 @@ Every value found is a protected entity.  Words that stand near an entity are
 held against their frequency in the whole corpus: a term discloses an entity when
 their pointwise mutual information reaches ``SHARE`` of the entity's own
 information content, that is, when seeing the term all but gives the entity
-away.  Evidence is counted in different contexts (the word with its two
-neighbours), so that copies of one passage count once, and a term needs
-``CONTEXTS`` of them.  In texts that hold the entity such terms are spans of the
+away.  Frequencies are counted in documents.  A term also needs ``CONTEXTS``
+different contexts (the word with its two neighbours) near the entity, so that
+copies of one passage are no evidence.  In texts that hold the entity such terms are spans of the
 kind ``term``; sanitising removes them, and generalises entities to their kind.
 
 DataFrame functions alone are used.  Offsets are code points, ends exclusive.
@@ -30,7 +30,7 @@ KINDS = (
 TERM = "term"
 #: Code points on either side of an entity in which terms are looked for.
 NEAR = 80
-#: Different contexts and texts that evidence needs; share of the entity's information that a term must give.
+#: Different contexts that evidence needs; share of the entity's information that a term must give.
 CONTEXTS, SHARE = 3, 0.9
 _SPAN = "struct<start:int,rank:int,kind:string,end:int,value:string>"
 _EMPTY = f"array<{_SPAN}>"
@@ -89,23 +89,24 @@ def detected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
 
 def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str = "text", contexts: int = CONTEXTS, share: float = SHARE) -> DataFrame:
     """``entity`` (hash), ``term`` (hash): pairs over the disclosure threshold, from spans as of ``detected`` and the whole corpus."""
-    spans = found.where(F.size("spans") > 0).select(F.xxhash64("text").alias("content"), "text", F.explode("spans").alias("s"))
+    spans = found.where(F.size("spans") > 0).select("row_key", "text", F.explode("spans").alias("s"))
     cut = lambda side: F.regexp_replace(side, r"\S*[@0-9]\S*", " ")
     before = F.substr("text", F.greatest(F.col("s.start") - NEAR, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(NEAR)))
     after = F.substr("text", F.col("s.end") + 1, F.lit(NEAR))
     around = F.concat(_terms(cut(F.regexp_replace(before, r"^\S+", ""))), _terms(cut(F.regexp_replace(after, r"\S+$", ""))))
-    near = spans.select(F.xxhash64("s.kind", "s.value").alias("entity"), "content", around.alias("w"))
-    texts = near.select("entity", "content").distinct().groupBy("entity").agg(F.count("*").alias("n_texts")).where(F.col("n_texts") >= contexts)
-    at = near.select("entity", "w", F.posexplode_outer("w").alias("i", "term"))
-    seen = at.select("entity", "term", F.xxhash64(F.get("w", F.col("i") - 1), "term", F.get("w", F.col("i") + 1)).alias("context")).distinct()
-    joint = seen.groupBy("entity", "term").agg(F.count("*").alias("n_joint")).where(F.col("n_joint") >= contexts).join(texts, "entity")
+    near = spans.select(F.xxhash64("s.kind", "s.value").alias("entity"), "row_key", around.alias("w"))
+    holders = near.groupBy("entity").agg(F.count_distinct("row_key").alias("n_entity")).where(F.col("n_entity") >= contexts)
+    at = near.select("entity", "row_key", "w", F.posexplode_outer("w").alias("i", "term"))
+    seen = at.select("entity", "row_key", "term", F.xxhash64(F.get("w", F.col("i") - 1), "term", F.get("w", F.col("i") + 1)).alias("context"))
+    joint = seen.groupBy("entity", "term").agg(F.count_distinct("context").alias("n_contexts"), F.count_distinct("row_key").alias("n_joint"))
+    joint = joint.where(F.col("n_contexts") >= contexts).join(holders, "entity")
 
     corpus = docs.select(F.array_distinct(_terms(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("w"))
     everywhere = corpus.select(F.explode_outer("w").alias("term")).groupBy("term").agg(F.count("*").alias("n_docs"))
     total = float(docs.count())
     both = joint.join(everywhere, "term")
-    information = F.log(total / F.least(F.col("n_texts"), F.lit(total)))
-    mutual = F.log(total * F.least("n_joint", "n_texts") / (F.col("n_texts") * F.greatest("n_docs", "n_joint")))
+    information = F.log(total / F.col("n_entity"))
+    mutual = F.log(total * F.col("n_joint") / (F.col("n_entity") * F.greatest("n_docs", "n_joint")))
     return both.where((information > 0) & (mutual >= share * information)).select("entity", "term")
 
 
