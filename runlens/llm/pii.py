@@ -117,12 +117,15 @@ def _joined(spans: Column) -> Column:
 def with_terms(found: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``found`` (saved rows of ``detected``) with ``all_spans``: its spans and those of disclosing terms, sorted."""
     terms = disclosing_terms(found, docs, text_col)
-    holds = found.where(F.size("spans") > 0).select("row_key", F.explode("spans").alias("s")).select("row_key", F.xxhash64("s.kind", "s.value").alias("entity")).distinct()
+    holding, plain = found.where(F.size("spans") > 0), found.where(F.size("spans") == 0)
+    holds = holding.select("row_key", F.explode("spans").alias("s")).select("row_key", F.xxhash64("s.kind", "s.value").alias("entity")).distinct()
     by_row = holds.join(terms, "entity").groupBy("row_key").agg(F.collect_set("term").alias("terms"))
-    joined = found.join(by_row, "row_key", "left")
+    joined = holding.join(by_row, "row_key", "left")
     words = matches(F.col("text"), TERM, len(KINDS), r"\p{L}+", r"\p{L}")
     more = F.filter(words, lambda x: F.array_contains("terms", F.xxhash64(F.lower(x["value"]))) & ~F.exists("spans", lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])))
-    return joined.withColumn("all_spans", F.when(F.col("terms").isNotNull(), F.sort_array(F.concat("spans", more))).otherwise(F.col("spans"))).drop("terms")
+    joined = joined.withColumn("all_spans", F.when(F.col("terms").isNotNull(), F.sort_array(F.concat("spans", more))).otherwise(F.col("spans"))).drop("terms")
+    # Rows without spans have no key and take no part in the join, where they would all meet in one task.
+    return joined.unionByName(plain.withColumn("all_spans", F.col("spans")))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
