@@ -54,7 +54,8 @@ STAGES = [
     ("byte-pair encoding", tokenised),
 ]
 
-#: No SQL expresses the classifier, the fingerprints or the encoding; the stages are tested against brute force.
+#: No SQL expresses the classifier, the fingerprints or the encoding; the operators of the stages are tested against brute force,
+#: the pipeline as a whole has no such test yet.
 ORACLE_SQL = None
 
 
