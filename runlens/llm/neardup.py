@@ -23,7 +23,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, saved
@@ -54,9 +54,9 @@ def simhash(text: bytes | None, shingle: int = 3) -> int:
 
 def _fingerprint_batches(batches):
     for batch in batches:
-        texts = batch.column(1).cast(pa.binary())
+        texts = batch.column(batch.num_columns - 1).cast(pa.binary())
         fp = np.fromiter((simhash(x.as_py()) for x in texts), np.uint64, len(texts)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["id", "fp"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp)], [*batch.schema.names[:-1], "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,6 +93,17 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return pairs.unionByName(stars)
 
 
+def _grouped(marked: DataFrame, order: Column, bucket: int) -> DataFrame:
+    """``marked`` (saved rows with ``fp``) and ``first``: the least ``order`` among the rows of a row's group."""
+    nodes = saved(marked.groupBy("fp").agg(F.min(order).alias("least")), "nodes")
+    found = components(links(nodes.select("fp"), bucket))
+    roots = found.join(nodes, found.node == nodes.fp).select("fp", "root", "least")
+    groups = roots.groupBy("root").agg(F.min("least").alias("group_least"))
+    lifted = roots.join(groups, "root").select("fp", "group_least")
+    named = nodes.join(lifted, "fp", "left").select("fp", F.coalesce("group_least", "least").alias("first"))
+    return marked.join(named, "fp", "left")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
     """One row per row of ``docs``: ``id``, ``fp``, ``component_id``.
 
@@ -103,24 +114,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``docs`` are ignored.
     """
     marked = saved(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = saved(marked.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    found = components(links(nodes.select("fp"), bucket))
-    roots = found.join(nodes, found.node == nodes.fp).select("fp", "root", "least")
-    groups = roots.groupBy("root").agg(F.min("least").alias("group_least"))
-    lifted = roots.join(groups, "root").select("fp", "group_least")
-    named = nodes.join(lifted, "fp", "left").select("fp", F.coalesce("group_least", "least").alias("component_id"))
-    return marked.join(named, "fp", "left").select("id", "fp", "component_id")
+    return _grouped(marked, F.col("id"), bucket).select("id", "fp", F.col("first").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
     """``docs`` with one row of every near-duplicate group: the one with the smallest id.
 
-    Of rows that repeat that id the first by text stays.  Rows without an id stay.
+    Rows without an id come after those with one.  Of rows that share the id one
+    text stays, by its hash; of rows that repeat id and text, any one.  Rows of one
+    id whose texts are in different groups stay apart.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    out = found.where((F.col("id") != F.col("component_id"))).select(F.col("id").alias("_gone")).distinct()
-    left = docs.join(out, docs[id_col] == out["_gone"], "left_anti")
-    repeated = docs.groupBy(id_col).agg(F.count("*").alias("_n")).where((F.col("_n") > 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_gone"))
-    once = left.join(repeated, left[id_col] == repeated["_gone"], "left_anti")
-    twice = left.join(repeated, left[id_col] == repeated["_gone"], "left_semi")
-    return once.unionByName(twice.dropDuplicates([id_col]))
+    doc_id, key = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))
+    texts = docs.select(doc_id.alias("id"), key.alias("key"), F.col(text_col).cast("string").alias("text"))
+    marked = saved(texts.mapInArrow(_fingerprint_batches, "id long, key long, fp long"), "fingerprints")
+    row = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    grouped = _grouped(marked, row, bucket)
+    same = lambda rows: doc_id.eqNullSafe(rows["_id"]) & (key == rows["_key"])
+    gone = grouped.where(row != F.col("first")).select(F.col("id").alias("_id"), F.col("key").alias("_key")).distinct()
+    left = docs.join(gone, same(gone), "left_anti")
+    repeated = saved(marked.groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
+    if repeated.isEmpty():
+        return left
+    return left.join(repeated, same(repeated), "left_anti").unionByName(left.join(repeated, same(repeated), "left_semi").dropDuplicates([id_col, text_col]))

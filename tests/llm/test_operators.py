@@ -101,6 +101,13 @@ def test_near_duplicates(spark, bucket):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root.values())) and kept.columns == SCHEMA.replace(",", "").split()[::2]
 
 
+def test_one_row_of_each_group_with_repeated_and_missing_ids(spark):
+    a, b, c = prose(70, 60), prose(71, 60), prose(72, 60)
+    rows = [(1, a), (2, a), (2, b), (3, b), (None, b), (None, c), (None, c), (4, None), (4, None), (5, ""), (6, prose(73, 60)), (6, prose(74, 60))]
+    kept = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(1, a), (2, b), (0, c), (4, ""), *rows[-2:]])
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).unionByName(spark.sql("SELECT 100L AS a, 100L AS b"))
     found = {r.node: r.root for r in common.components(edges).collect()}
