@@ -54,8 +54,8 @@ STAGES = [
     ("byte-pair encoding", tokenised),
 ]
 
-#: No SQL expresses the classifier, the fingerprints or the encoding; the operators of the stages are tested against brute force,
-#: the pipeline as a whole has no such test yet.
+#: No SQL expresses the classifier, the fingerprints or the encoding; ``tests/llm/test_pipeline.py`` holds every stage and the whole
+#: run against a brute-force version.
 ORACLE_SQL = None
 
 
