@@ -127,6 +127,12 @@ def retry_routing(errors: DataFrame) -> DataFrame:
     return errors.select("id", "workflow_id", "created_at", policy.alias("policy"), budget.alias("budget")).withColumn("used", used).select("id", "policy", "used", (F.col("used") < F.col("budget")).alias("retries"))
 
 
+def complete_without_merge(wf: DataFrame, logs: DataFrame) -> DataFrame:
+    """Completed workflows that the completion gate would have held: some branch of theirs isn't merged."""
+    held = merge_states(logs).where("merge_state <> 'merged'").groupBy(F.col("workflow_id").alias("id")).agg(F.count("*").alias("open_branches"))
+    return wf.where(F.col("state") == COMPLETED).select("id", "key").join(held, "id")
+
+
 def percentiles(wf: DataFrame, start: str, end: str) -> DataFrame:
     """Mean, exact percentiles and maximum of the seconds between two columns, over completed workflows by class."""
     x = F.timestamp_diff("SECOND", F.col(start), F.col(end))

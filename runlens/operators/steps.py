@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,6 +96,34 @@ def timeline(logs: DataFrame, errors: DataFrame) -> DataFrame:
     return d.select("id", "workflow_id", "step_name", "kind", place.alias("place")).join(counts, ["workflow_id", "step_name"], "left").select("id", "kind", "place", F.coalesce("errors", F.lit(0)).alias("errors"), "last_attempt")
 
 
+def context_budget(logs: DataFrame, budget: int = 60, omitted: str = "<<omitted>>") -> DataFrame:
+    """Recorded values of a workflow's steps, in order of id, as far as a budget of bytes goes.
+
+    A value is kept if it fits into what is left; one that doesn't is replaced by
+    ``omitted`` and uses nothing up, so that later, smaller values may still fit.
+    No window function folds so: what is left depends on earlier decisions.  Sorted
+    rows stream past, and a task holds one number per workflow.
+    """
+
+    def run(batches):
+        current, left = None, budget
+        for batch in batches:
+            workflows, ids, values = (c.to_pylist() for c in batch.columns)
+            kept = []
+            for w, value in zip(workflows, values):
+                if w != current:
+                    current, left = w, budget
+                size = len(value.encode())
+                kept.append(size <= left)
+                left -= size if size <= left else 0
+            shown = [v if k else omitted for v, k in zip(values, kept)]
+            yield pa.RecordBatch.from_arrays([pa.array(workflows, pa.int64()), pa.array(ids, pa.int64()), pa.array(kept), pa.array(shown, pa.string())], ["workflow_id", "id", "kept", "value"])
+
+    d = logs.select(F.col("workflow_id").cast("long").alias("workflow_id"), F.col("id").cast("long").alias("id"), F.coalesce("metadata", "error_class").alias("value")).where("value is not null")
+    ordered = d.repartition("workflow_id").sortWithinPartitions("workflow_id", "id", "value")
+    return ordered.mapInArrow(run, "workflow_id long, id long, kept boolean, value string")
+
+
 def orphan_errors(logs: DataFrame, errors: DataFrame) -> DataFrame:
     """Errors that belong to no step of their workflow's timeline."""
     return errors.join(logs.select("workflow_id", "step_name"), ["workflow_id", "step_name"], "left_anti").where(F.col("step_name").isNull() | (step_kind(F.col("step_name")) != "repeat_run")).select("id", "error_class", "attempt")

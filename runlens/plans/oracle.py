@@ -111,6 +111,8 @@ SELECTS = {
     "tick_grid_calendar": f"SELECT id, CAST(max(tick) AS VARCHAR) AS next_tick, max(n) AS ticks FROM walk GROUP BY 1",
     "retry_backoff_bounds": "SELECT id, attempt, least(30.0, CAST(power(2.0, attempt - 1) AS DOUBLE)) / 2 AS backoff_min, least(30.0, CAST(power(2.0, attempt - 1) AS DOUBLE)) AS backoff_max, attempt < 3 AS retries FROM er",
     "retry_routing": "SELECT id, policy, CAST(used AS INTEGER) AS used, used < CASE policy WHEN 'flaky' THEN 5 WHEN 'strict' THEN 1 ELSE 3 END AS retries FROM (SELECT *, row_number() OVER (PARTITION BY workflow_id, policy ORDER BY created_at, id) AS used FROM (SELECT *, CASE WHEN error_class IN ('Err0', 'Err1') THEN 'flaky' WHEN error_class = 'Err2' THEN 'strict' ELSE 'any' END AS policy FROM er))",
+    "complete_without_merge": f"SELECT wf.id, wf.key, count(*) AS open_branches FROM wf JOIN {_MERGES} m ON m.workflow_id = wf.id WHERE wf.state = 2 AND merge_state <> 'merged' GROUP BY 1, 2",
+    "context_budget": "SELECT workflow_id, id, kept, CASE WHEN kept THEN v ELSE '<<omitted>>' END AS value FROM fold",
     "exec_time_percentiles": _percentiles("started_at", "completed_at"),
     "queue_wait_percentiles": _percentiles("created_at", "started_at"),
     "dispatch_throughput": "SELECT job_class, round(count(completed_at) / CAST(epoch(max(completed_at)) - epoch(min(created_at)) AS BIGINT), 9) AS completed_per_second, round(count(*) / CAST(epoch(max(created_at)) - epoch(min(created_at)) AS BIGINT), 9) AS dispatched_per_second FROM wf GROUP BY 1",
@@ -119,6 +121,10 @@ SELECTS = {
 
 def oracle_sql() -> dict[str, str]:
     walk = f", walk AS (SELECT id, CAST(created_at - INTERVAL '400' DAY AS DATE) AS tick, CAST(0 AS BIGINT) AS n FROM wf UNION ALL SELECT id, CAST(tick + INTERVAL '1' MONTH AS DATE), n + 1 FROM walk WHERE tick < DATE '2024-01-31')"
-    out = {name: f"{ALL}{walk if name == 'tick_grid_calendar' else ''} {select}" for name, select in SELECTS.items()}
+    values = ", vals AS (SELECT workflow_id, id, v, strlen(v) AS size, row_number() OVER (PARTITION BY workflow_id ORDER BY id) AS n FROM (SELECT workflow_id, id, coalesce(metadata, error_class) AS v FROM el) WHERE v IS NOT NULL)"
+    fold = ", fold AS (SELECT workflow_id, id, v, n, size <= 60 AS kept, CASE WHEN size <= 60 THEN 60 - size ELSE 60 END AS room FROM vals WHERE n = 1 UNION ALL SELECT s.workflow_id, s.id, s.v, s.n, s.size <= f.room, CASE WHEN s.size <= f.room THEN f.room - s.size ELSE f.room END FROM fold f JOIN vals s ON s.workflow_id = f.workflow_id AND s.n = f.n + 1)"
+    recursive = {"tick_grid_calendar": walk, "context_budget": values + fold}
+    out = {name: f"{ALL}{recursive.get(name, '')} {select}" for name, select in SELECTS.items()}
+    out["stream_first_events"] = "SELECT user_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM (SELECT DISTINCT user_id, event_type, ts FROM events)"
     out["stream_daily_errors"] = "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS errors FROM events WHERE event_type = 'error' GROUP BY 1"
     return out

@@ -13,7 +13,7 @@ from runlens.operators import branches as br
 from runlens.operators import fleet as fl
 from runlens.operators import steps as st
 from runlens.sources.history import NOW, History, derive
-from runlens.streaming.jobs import stream_daily_errors
+from runlens.streaming.jobs import stream_daily_errors, stream_first_events
 
 #: Retention in days of completed and failed workflows.
 RETENTION = (20, 30)
@@ -81,6 +81,8 @@ OVER_HISTORY: dict[str, Callable[[History], DataFrame]] = {
     "tick_grid_calendar": lambda h: br.calendar_grid(h.workflows, now_at(NOW)),
     "retry_backoff_bounds": lambda h: br.backoff_bounds(h.errors),
     "retry_routing": lambda h: br.retry_routing(h.errors),
+    "complete_without_merge": lambda h: br.complete_without_merge(h.workflows, h.logs),
+    "context_budget": lambda h: st.context_budget(h.logs),
     "exec_time_percentiles": lambda h: br.percentiles(h.workflows, "started_at", "completed_at"),
     "queue_wait_percentiles": lambda h: br.percentiles(h.workflows, "created_at", "started_at"),
     "dispatch_throughput": lambda h: br.throughput(h.workflows),
@@ -89,4 +91,4 @@ OVER_HISTORY: dict[str, Callable[[History], DataFrame]] = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     over = lambda f: lambda spark, folder: f(derive(spark, folder))
-    return {name: over(f) for name, f in OVER_HISTORY.items()} | {"stream_daily_errors": stream_daily_errors}
+    return {name: over(f) for name, f in OVER_HISTORY.items()} | {"stream_daily_errors": stream_daily_errors, "stream_first_events": stream_first_events}

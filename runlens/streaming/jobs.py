@@ -2,23 +2,51 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _events(spark: SparkSession, folder: str) -> DataFrame:
+    """The events as a stream, with their time in ``at`` and a watermark of a day."""
+    schema = spark.read.parquet(f"{folder}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/events.parquet*")
+    return events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "1 day")
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that driver and executors share; where none is set (on one machine), a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-runlens-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _appended(rows: DataFrame, name: str) -> DataFrame:
+    """All rows that a stream which reads what is there and stops has written, as Parquet."""
+    spark, folder = rows.sparkSession, _folder(rows.sparkSession, name)
+    sink = rows.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/progress")
+    sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{folder}/rows")
+
+
+def stream_first_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Exactly-once steps: of repeated deliveries of a user's step at one time a single one comes through.
+
+    Time is part of the key, so that the watermark clears the state of keys that can't come again.
+    """
+    once = _events(spark, folder).select("user_id", "event_type", "at").dropDuplicates(["user_id", "event_type", "at"])
+    return _appended(once, "first-events").select("user_id", "event_type", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
 def stream_daily_errors(spark: SparkSession, folder: str) -> DataFrame:
     """Errors per tumbling day over the stream of events, as the complete final state.
 
-    The stream reads what is there and stops; its state table is named anew for
-    every call.
+    The state has a row a day, so that it may stand in memory; its table is named
+    anew for every call.
     """
-    schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/events.parquet*")
-    errors = events.where("event_type = 'error'").withColumn("at", F.col("ts").cast("timestamp"))
-    daily = errors.withWatermark("at", "1 day").groupBy(F.window("at", "1 day")).agg(F.count("*").alias("errors"))
+    errors = _events(spark, folder).where("event_type = 'error'")
+    daily = errors.groupBy(F.window("at", "1 day")).agg(F.count("*").alias("errors"))
     name = f"daily_errors_{uuid.uuid4().hex}"
-    query = daily.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    query.awaitTermination()
+    daily.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     return spark.table(name).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "errors")
