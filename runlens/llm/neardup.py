@@ -14,11 +14,19 @@ the fingerprints at most one bit away within the two other segments, and
 members that meet at such a midpoint are linked as a star.  Two members of the
 bucket meet at a midpoint exactly when at most two bits differ, and at most 65
 fingerprints can meet at one, so that way is exact and linear in the bucket.
+
+Two bits are met by texts that are all but equal.  Texts whose five-word shingles
+have a Jaccard similarity of 0.8 differ in about ten bits, a radius at which
+every segment's neighbourhood is a constant share of all pairs.  ``keep_one``
+therefore links such texts as well: MinHash bands give candidates, the pigeonring
+with ``WIDE`` bits prunes them, and the exact similarity verifies the rest.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import accumulate
+from operator import add, and_, or_
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, saved
+from .common import ascii_lower, components, saved
 
 RADIUS = 2
 #: (first bit, bits) of the ring's segments.
@@ -34,6 +42,36 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Most fingerprints of one segment value that are compared pair by pair.
 BUCKET = 64
 SEED = 42
+#: Near copies: words of a shingle, least similarity, bits that may differ, segments of 16 bits.
+WORDS, SIMILARITY, WIDE, QUARTERS = 5, 0.8, 20, 4
+#: MinHash bands and rows; a pair at the least similarity misses all bands once in 1,900.
+BANDS, ROWS = 32, 7
+#: Most texts of a band's value that are compared pair by pair; parts that a crowded value is dealt to.
+CROWD, SALT = 32, 32
+_MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _hashes(words: list[bytes], joined: bytes, shingle: int):
+    """XXH64 of all runs of ``shingle`` words (fewer words: of the whole), in arrays of bounded size."""
+    width = min(shingle, len(words))
+    ends = [e - 1 for e in accumulate(len(w) + 1 for w in words)]
+    starts = [0, *(e + 1 for e in ends)]
+    digest, spans = xxhash.xxh64_intdigest, list(zip(starts, ends[width - 1 :]))
+    for k in range(0, len(spans), 1 << 12):
+        yield np.fromiter((digest(joined[s:e], SEED) for s, e in spans[k : k + (1 << 12)]), np.uint64)
+
+
+def minhash_bands(text: bytes | None) -> tuple[int, list[int]]:
+    """Hash of the words of one text, and the value of each band over its shingles; zero and none for a text without words."""
+    words = (text or b"").lower().split()
+    if not words:
+        return 0, []
+    joined = b" ".join(words)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for h in _hashes(words, joined, WORDS):
+        np.minimum(least, (h[:, None] * _MULTIPLIERS).min(axis=0), out=least)
+    values = [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))]
+    return xxhash.xxh64_intdigest(joined, SEED), values
 
 
 def simhash(text: bytes | None, shingle: int = 3) -> int:
@@ -41,13 +79,8 @@ def simhash(text: bytes | None, shingle: int = 3) -> int:
     words = (text or b"").lower().split()
     if not words:
         return 0
-    joined, width = b" ".join(words), min(shingle, len(words))
-    ends = [e - 1 for e in accumulate(len(w) + 1 for w in words)]
-    starts = [0, *(e + 1 for e in ends)]
-    digest, total, n = xxhash.xxh64_intdigest, np.zeros(64, np.int64), len(words) - width + 1
-    spans = list(zip(starts, ends[width - 1 :]))
-    for k in range(0, n, 1 << 16):
-        h = np.fromiter((digest(joined[s:e], SEED) for s, e in spans[k : k + (1 << 16)]), np.uint64)
+    total, n = np.zeros(64, np.int64), max(1, len(words) - shingle + 1)
+    for h in _hashes(words, b" ".join(words), shingle):
         total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
@@ -59,6 +92,16 @@ def _fingerprint_batches(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp)], [*batch.schema.names[:-1], "fp"])
 
 
+def _sketch_batches(batches):
+    for batch in batches:
+        texts = batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()
+        fp = np.fromiter(map(simhash, texts), np.uint64, len(texts)).view(np.int64)
+        found = [minhash_bands(x) for x in texts]
+        content = np.array([c for c, _ in found], np.uint64).view(np.int64)
+        bands = pa.array([np.array(v, np.uint64).view(np.int64) for _, v in found], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp), pa.array(content), bands], [*batch.schema.names[:-1], "fp", "content", "bands"])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``fp`` (the 64 bits as a bigint) for every row of ``docs``; null text counts as empty."""
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprint_batches, "id long, fp long")
@@ -93,10 +136,75 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return pairs.unionByName(stars)
 
 
-def _grouped(marked: DataFrame, order: Column, bucket: int) -> DataFrame:
-    """``marked`` (saved rows with ``fp``) and ``first``: the least ``order`` among the rows of a row's group."""
+def _within(a: Column, b: Column) -> Column:
+    """Whether at most ``WIDE`` bits differ, by way of the pigeonring: some chain of segments stays within its budget at every length."""
+    parts = [F.bit_count(F.shiftrightunsigned(a.bitwiseXOR(b), 16 * k).bitwiseAND(F.lit(0xFFFF))) for k in range(QUARTERS)]
+    chain = lambda k: reduce(and_, (reduce(add, (parts[(k + j) % QUARTERS] for j in range(n))) * QUARTERS <= n * WIDE for n in range(1, QUARTERS + 1)))
+    return reduce(or_, map(chain, range(QUARTERS)))
+
+
+def _shingle_sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``content``, ``s`` (distinct shingle hashes) of ``nodes``; ``texts`` has their rows."""
+    found = texts.select(F.xxhash64("id", "key").alias("row"), F.col("text").alias("t")).join(nodes.select("row", "content"), "row").groupBy("content").agg(F.first("t").alias("t"))
+    hashes = F.transform(F.array_remove(F.split(ascii_lower(F.col("t")), "[\\x20\\x09-\\x0D]+"), ""), lambda x: F.xxhash64(x))
+    runs = F.transform(F.sequence(F.lit(0), F.size("h") - WORDS), lambda i: F.xxhash64(*(F.get("h", i + k) for k in range(WORDS))))
+    return found.select("content", hashes.alias("h")).select("content", F.when(F.size("h") >= WORDS, F.array_distinct(runs)).otherwise(F.array(F.xxhash64("h"))).alias("s"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, salt: int = 1) -> DataFrame:
+    """The rows of ``pairs`` (contents ``a``, ``b``) whose exact similarity reaches the threshold; ``b`` may be crowded, and is dealt to ``salt`` parts."""
+    pairs = saved(pairs, "candidates")
+    of_b = sets.join(pairs.select(F.col("b").alias("content")).distinct(), "content", "left_semi").select(F.col("content").alias("b"), F.col("s").alias("sb"), F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("part"))
+    both = pairs.join(sets.select(F.col("content").alias("a"), F.col("s").alias("sa")), "a").withColumn("part", F.pmod("a", F.lit(salt)).cast("int")).join(of_b, ["b", "part"])
+    common = F.size(F.array_intersect("sa", "sb"))
+    return saved(both.where(common >= SIMILARITY * (F.size("sa") + F.size("sb") - common)).select(*pairs.columns), "similar")
+
+
+def similar_links(marked: DataFrame, texts: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Edges ``a``, ``b`` between fingerprints of texts with similar shingles.
+
+    ``texts`` has ``id``, ``key``, ``text``; ``marked`` has ``id``, ``key``, ``fp``,
+    ``content``, ``bands`` for the same rows.  A band value of up to ``crowd``
+    texts is compared pair by pair.  Of a more crowded one the text that meets
+    most others is held against all; those that it does not link are held
+    against all members once no more than ``crowd`` are left, and before that
+    the next such text is.
+    """
+    row = F.xxhash64("id", "key")
+    nodes = saved(marked.where(F.size("bands") > 0).groupBy("content").agg(F.min_by(F.struct(row.alias("row"), "fp", "bands"), row).alias("x")).select("content", "x.*"), "contents")
+    keys = nodes.select("content", "fp", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("at"), "content", "fp")
+    keys = saved(keys.join(keys.groupBy("at").agg(F.count("*").alias("n")).where("n > 1"), "at"), "bands")
+    sets = saved(_shingle_sets(texts, nodes.join(keys.select("content").distinct(), "content", "left_semi")), "sets")
+    a = lambda rows, *more: rows.select("at", F.col("content").alias("a"), F.col("fp").alias("fa"), *more)
+    b = lambda rows, *more: rows.select("at", F.col("content").alias("b"), F.col("fp").alias("fb"), *more)
+    near = _within(F.col("fa"), F.col("fb"))
+    edges = lambda rows: rows.select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+
+    usual = keys.where(F.col("n") <= crowd)
+    pairs = a(usual).join(b(usual), "at").where((F.col("a") < F.col("b")) & near).drop("at").distinct()
+    found = edges(_verified(pairs, sets))
+
+    crowded = keys.where(F.col("n") > crowd)
+    crowded = crowded.join(crowded.groupBy("content").agg(F.sum("n").alias("met")), "content")
+    members = left = saved(crowded.withColumn("part", F.pmod("content", F.lit(SALT)).cast("int")), "crowded")
+    all_parts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("part")
+    while not left.isEmpty():
+        top = left.groupBy("at").agg(F.max(F.struct("met", "content", "fp")).alias("x"), F.count("*").alias("open"))
+        few = left.join(top.where(F.col("open") <= crowd).select("at"), "at", "left_semi").select("at", "content", "fp")
+        centres = saved(top.select("at", "x.content", "x.fp").unionByName(few).distinct(), "centres")
+        met = a(members, "part").join(b(centres, all_parts), ["at", "part"]).where((F.col("a") != F.col("b")) & near)
+        linked = _verified(met.drop("at", "part").distinct(), sets, SALT)
+        found = found.unionByName(edges(linked))
+        done = met.join(linked.select("a", "b"), ["a", "b"], "left_semi").select("at", F.col("a").alias("content")).unionByName(centres.select("at", "content"))
+        left = saved(left.join(done.distinct(), ["at", "content"], "left_anti"), "left")
+    return found
+
+
+def _grouped(marked: DataFrame, order: Column, bucket: int, more: DataFrame | None = None) -> DataFrame:
+    """``marked`` (saved rows with ``fp``) and ``first``: the least ``order`` among the rows of a row's group; ``more``: further links."""
     nodes = saved(marked.groupBy("fp").agg(F.min(order).alias("least")), "nodes")
-    found = components(links(nodes.select("fp"), bucket))
+    linked = links(nodes.select("fp"), bucket)
+    found = components(linked if more is None else linked.unionByName(more))
     roots = found.join(nodes, found.node == nodes.fp).select("fp", "root", "least")
     groups = roots.groupBy("root").agg(F.min("least").alias("group_least"))
     lifted = roots.join(groups, "root").select("fp", "group_least")
@@ -117,18 +225,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _grouped(marked, F.col("id"), bucket).select("id", "fp", F.col("first").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET, crowd: int = CROWD) -> DataFrame:
     """``docs`` with one row of every near-duplicate group: the one with the smallest id.
 
+    Groups are linked by fingerprints within ``RADIUS`` and by five-word shingles
+    with a similarity of at least ``SIMILARITY``.
+
     Rows without an id come after those with one.  Of rows that share the id one
     text stays, by its hash; of rows that repeat id and text, any one.  Rows of one
     id whose texts are in different groups stay apart.
     """
     doc_id, key = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))
     texts = docs.select(doc_id.alias("id"), key.alias("key"), F.col(text_col).cast("string").alias("text"))
-    marked = saved(texts.mapInArrow(_fingerprint_batches, "id long, key long, fp long"), "fingerprints")
+    sketched = saved(texts.mapInArrow(_sketch_batches, "id long, key long, fp long, content long, bands array<long>"), "fingerprints")
+    similar, marked = similar_links(sketched, texts, crowd), sketched.select("id", "key", "fp")
     row = F.struct(F.col("id").isNull().alias("none"), "id", "key")
-    grouped = _grouped(marked, row, bucket)
+    grouped = _grouped(marked, row, bucket, similar)
     same = lambda rows: doc_id.eqNullSafe(rows["_id"]) & (key == rows["_key"])
     gone = grouped.where(row != F.col("first")).select(F.col("id").alias("_id"), F.col("key").alias("_key")).distinct()
     left = docs.join(gone, same(gone), "left_anti")

@@ -31,6 +31,11 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def five_words(text):
+    words = (text or "").lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
 def one_of_each_group(rows):
     fp, root = {i: fingerprint(t) for i, t in rows.items()}, {i: i for i in rows}
 
@@ -39,13 +44,34 @@ def one_of_each_group(rows):
             i = root[i]
         return i
 
+    sets = {i: five_words(t) for i, t in rows.items()}
     for a, b in itertools.combinations(sorted(rows), 2):
-        if (fp[a] ^ fp[b]).bit_count() <= neardup.RADIUS:
+        if (fp[a] ^ fp[b]).bit_count() <= neardup.RADIUS or len(sets[a] & sets[b]) >= neardup.SIMILARITY * len(sets[a] | sets[b]) > 0:
             low, high = sorted((find(a), find(b)))
             root[high] = low
     return {i: t for i, t in rows.items() if find(i) == i}
 
 
+def reworded(text, seed, changes):
+    words, r = text.split(), random.Random(seed)
+    for k in r.sample(range(len(words)), changes):
+        words[k] = "".join(r.choice("bcdfg") for _ in range(6))
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("crowd", [2, 5, neardup.CROWD])
+def test_near_copies_are_linked_in_crowds_too(spark, crowd):
+    texts = [prose(1000 + k, 60) for k in range(20)]  # unlike each other
+    texts += [reworded(prose(1100, 200), k, k % 4) for k in range(60)]  # one large group of near copies
+    texts += [reworded(prose(1200 + k, 150), k, n) for k in range(10) for n in (0, 3, 9)]  # within and beyond the threshold
+    texts += [prose(1300, 60) + " " + prose(1301 + k, 60) for k in range(40)]  # a passage that many share
+    texts += ["two words", "Two  words", "", None]
+    rows = dict(enumerate(texts))
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows.items()], DOCS)
+    left = {r.doc_id for r in neardup.keep_one(docs, crowd=crowd).collect()}
+    assert left == set(one_of_each_group(rows)) and len([i for i in left if 20 <= i < 80]) == 1 and set(range(20)) <= left
+
+
 def shingled(text):
     words = [w for w in re.split(r"[^\w]+|_", (text or "").lower()) if w]
     return [tuple(words[k : k + decontam.SHINGLE]) for k in range(len(words) - decontam.SHINGLE + 1)]
