@@ -97,6 +97,13 @@ def test_near_duplicates(spark, bucket):
             if (fp[a] ^ fp[b]).bit_count() <= 2:
                 root[a] = root[b] = min(root[a], root[b])
     assert {r.id: (r.fp % (1 << 64), r.component_id) for r in rows} == {i: (fp[i], root[i]) for i in fp}
+    # keep_one also links five-word similarity of 0.8.
+    words = {i + 5: lower(t or "").encode().split() for i, t in enumerate(texts)}
+    five = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    alike = [(a, b) for a, b in itertools.combinations(fp, 2) if (fp[a] ^ fp[b]).bit_count() <= 2 or len(five[a] & five[b]) >= 0.8 * len(five[a] | five[b]) > 0]
+    for _ in fp:
+        for a, b in alike:
+            root[a] = root[b] = min(root[a], root[b])
     kept = neardup.keep_one(docs(spark, texts, 5))
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root.values())) and kept.columns == SCHEMA.replace(",", "").split()[::2]
 
