@@ -18,15 +18,18 @@ fingerprints can meet at one, so that way is exact and linear in the bucket.
 Two bits are met by texts that are all but equal.  Texts whose five-word shingles
 have a Jaccard similarity of 0.8 differ in about ten bits, a radius at which
 every segment's neighbourhood is a constant share of all pairs.  ``keep_one``
-therefore links such texts as well: MinHash bands give candidates, set sizes and the
-pigeonring with ``WIDE`` bits prune them, and the exact similarity verifies the rest.
+therefore links such texts as well: MinHash bands give candidates, set sizes and
+parity bits prune them, and the exact similarity verifies the rest.  Each distinct
+shingle flips one of ``64 * PARITIES`` bits of its text, so two texts differ in at most
+as many bits as shingles that only one of them has: the bound leaves out no pair
+that reaches the similarity.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 from itertools import accumulate
-from operator import add, and_, or_
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +45,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Most fingerprints of one segment value that are compared pair by pair.
 BUCKET = 64
 SEED = 42
-#: Near copies: words of a shingle, least similarity, bits that may differ, segments of 16 bits.
-WORDS, SIMILARITY, WIDE, QUARTERS = 5, 0.8, 16, 4
+#: Near copies: words of a shingle, least similarity, words of 64 parity bits.
+WORDS, SIMILARITY, PARITIES = 5, 0.8, 8
 #: MinHash bands and rows; a pair at the least similarity misses all bands once in 1,900.
 BANDS, ROWS = 32, 7
 #: Most texts of a band's value that are compared pair by pair; parts that a crowded value is dealt to.
@@ -63,18 +66,20 @@ def _hashes(words: list[bytes], joined: bytes, shingle: int):
         yield np.fromiter((digest(joined[s:e], SEED) for s, e in spans[k : k + (1 << 12)]), np.uint64)
 
 
-def minhash_bands(text: bytes | None) -> tuple[int, int, list[int]]:
-    """Hash of the words of one text, number of distinct shingles, and the value of each band over them; zeros and none for a text without words."""
+def minhash_bands(text: bytes | None) -> tuple[int, int, np.ndarray, list[int]]:
+    """Hash of the words of one text, number and parity bits of the distinct shingles, and the value of each band over them; zeros and none for a text without words."""
     words = (text or b"").lower().split()
     if not words:
-        return 0, 0, []
+        return 0, 0, np.zeros(PARITIES, np.uint64), []
     joined, parts = b" ".join(words), []
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for h in _hashes(words, joined, WORDS):
         parts.append(h)
         np.minimum(least, (h[:, None] * _MULTIPLIERS).min(axis=0), out=least)
     values = [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))]
-    return xxhash.xxh64_intdigest(joined, SEED), len(np.unique(np.concatenate(parts))), values
+    distinct = np.unique(np.concatenate(parts))
+    odd = np.bincount((distinct % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return xxhash.xxh64_intdigest(joined, SEED), len(distinct), np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8"), values
 
 
 def simhash(text: bytes | None, shingle: int = 3) -> int:
@@ -100,9 +105,9 @@ def _sketch_batches(batches):
         texts = batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()
         fp = np.fromiter(map(simhash, texts), np.uint64, len(texts)).view(np.int64)
         found = [minhash_bands(x) for x in texts]
-        content = np.array([c for c, _, _ in found], np.uint64).view(np.int64)
-        bands = pa.array([np.array(v, np.uint64).view(np.int64) for _, _, v in found], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp), pa.array(content), pa.array([n for _, n, _ in found], pa.int64()), bands], [*batch.schema.names[:-1], "fp", "content", "size", "bands"])
+        content = np.array([c for c, _, _, _ in found], np.uint64).view(np.int64)
+        parity, bands = (pa.array([np.array(x[k], np.uint64).view(np.int64) for x in found], pa.list_(pa.int64())) for k in (2, 3))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp), pa.array(content), pa.array([n for _, n, _, _ in found], pa.int64()), parity, bands], [*batch.schema.names[:-1], "fp", "content", "size", "parity", "bands"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,11 +144,11 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return pairs.unionByName(stars)
 
 
-def _within(a: Column, b: Column) -> Column:
-    """Whether at most ``WIDE`` bits differ, by way of the pigeonring: some chain of segments stays within its budget at every length."""
-    parts = [F.bit_count(F.shiftrightunsigned(a.bitwiseXOR(b), 16 * k).bitwiseAND(F.lit(0xFFFF))) for k in range(QUARTERS)]
-    chain = lambda k: reduce(and_, (reduce(add, (parts[(k + j) % QUARTERS] for j in range(n))) * QUARTERS <= n * WIDE for n in range(1, QUARTERS + 1)))
-    return reduce(or_, map(chain, range(QUARTERS)))
+def _may_reach(na: Column, nb: Column, pa_: Column, pb: Column) -> Column:
+    """Whether sizes and parity bits allow the least similarity; true for every pair that reaches it."""
+    differ = reduce(add, (F.bit_count(F.get(pa_, F.lit(k)).bitwiseXOR(F.get(pb, F.lit(k)))) for k in range(PARITIES)))
+    # The small margin is for rounding: n shingles in all and the least similarity leave n (1 - s) / (1 + s) to one side alone.
+    return (F.least(na, nb) >= SIMILARITY * F.greatest(na, nb)) & (differ <= (na + nb) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6)
 
 
 def _shingle_sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -167,48 +172,52 @@ def similar_links(marked: DataFrame, texts: DataFrame, crowd: int = CROWD) -> Da
     """Edges ``a``, ``b`` between fingerprints of texts with similar shingles.
 
     ``texts`` has ``id``, ``key``, ``text``; ``marked`` has ``id``, ``key``, ``fp``,
-    ``content``, ``size``, ``bands`` for the same rows.  A band value of up to ``crowd``
+    ``content``, ``size``, ``parity``, ``bands`` for the same rows.  A band value of up to ``crowd``
     texts is compared pair by pair.  Of a more crowded one the text that meets
     most others is held against all.  Members that are then not linked with most
     of the value's texts, over whatever links, are held in turn against all that
     they are not linked with yet, about ``ROUND`` at once.
     """
     row = F.xxhash64("id", "key")
-    nodes = saved(marked.where(F.size("bands") > 0).groupBy("content").agg(F.min_by(F.struct(row.alias("row"), "fp", "size", "bands"), row).alias("x")).select("content", "x.*"), "contents")
+    nodes = saved(marked.where(F.size("bands") > 0).groupBy("content").agg(F.min_by(F.struct(row.alias("row"), "fp", "size", "parity", "bands"), row).alias("x")).select("content", "x.*"), "contents")
     keys = nodes.select("content", "fp", "size", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("at"), "content", "fp", "size")
     keys = saved(keys.join(keys.groupBy("at").agg(F.count("*").alias("n")).where("n > 1"), "at"), "bands")
     sets = saved(_shingle_sets(texts, nodes.join(keys.select("content").distinct(), "content", "left_semi")), "sets")
     a = lambda rows, *more: rows.select("at", F.col("content").alias("a"), F.col("fp").alias("fa"), F.col("size").alias("na"), *more)
     b = lambda rows, *more: rows.select("at", F.col("content").alias("b"), F.col("fp").alias("fb"), F.col("size").alias("nb"), *more)
-    near = _within(F.col("fa"), F.col("fb")) & (F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb"))
+    near = _may_reach(*(F.col(x) for x in ("na", "nb", "pa", "pb")))
     edges = lambda rows: rows.select(F.col("fa").alias("a"), F.col("fb").alias("b"))
 
+    parity = keys.select("content").distinct().join(nodes.select("content", "parity"), "content")
+    of = lambda name, bits: parity.select(F.col("content").alias(name), F.col("parity").alias(bits))
     usual = keys.where(F.col("n") <= crowd)
-    pairs = a(usual).join(b(usual), "at").where((F.col("a") < F.col("b")) & near).select("a", "fa", "b", "fb").distinct()
+    sized = F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb")
+    pairs = a(usual).join(b(usual), "at").where((F.col("a") < F.col("b")) & sized).select("a", "fa", "na", "b", "fb", "nb").distinct()
+    pairs = pairs.join(of("a", "pa"), "a").join(of("b", "pb"), "b").where(near).select("a", "fa", "b", "fb")
     found = edges(_verified(pairs, sets))
 
     crowded = keys.where(F.col("n") > crowd)
-    crowded = crowded.join(crowded.groupBy("content").agg(F.sum("n").alias("met")), "content")
+    crowded = crowded.join(crowded.groupBy("content").agg(F.sum("n").alias("met")), "content").join(parity, "content")
     members = saved(crowded.withColumn("part", F.pmod("content", F.lit(SALT)).cast("int")).withColumn("root", F.col("fp")), "crowded")
     if members.isEmpty():
         return found
     all_parts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("part")
-    centres = members.groupBy("at").agg(F.max(F.struct("met", "content", "fp", "size", "root")).alias("x")).select("at", "x.content", "x.fp", "x.size", "x.root")
+    centres = members.groupBy("at").agg(F.max(F.struct("met", "content", "fp", "size", "parity", "root")).alias("x")).select("at", "x.content", "x.fp", "x.size", "x.parity", "x.root")
     left, turn = members.select("at", "content"), 0
     while True:
         centres = saved(centres, "centres")
-        met = a(members, "part", "root").join(b(centres, all_parts, F.col("root").alias("of_b")), ["at", "part"]).where((F.col("a") != F.col("b")) & ((F.col("root") != F.col("of_b")) | (turn == 0)) & near)
+        met = a(members, F.col("parity").alias("pa"), "part", "root").join(b(centres, F.col("parity").alias("pb"), all_parts, F.col("root").alias("of_b")), ["at", "part"]).where((F.col("a") != F.col("b")) & ((F.col("root") != F.col("of_b")) | (turn == 0)) & near)
         found = found.unionByName(edges(_verified(met.select("a", "fa", "b", "fb").distinct(), sets, SALT)))
         roots = saved(components(found).distinct(), "roots")
-        members = saved(members.drop("root").join(roots, members.fp == roots.node, "left").select("at", "content", "fp", "size", "met", "part", F.coalesce("root", "fp").alias("root")), "crowded")
+        members = saved(members.drop("root").join(roots, members.fp == roots.node, "left").select("at", "content", "fp", "size", "parity", "met", "part", F.coalesce("root", "fp").alias("root")), "crowded")
         main = members.groupBy("at", "root").agg(F.count("*").alias("k")).groupBy("at").agg(F.max(F.struct("k", "root")).alias("x")).select("at", F.col("x.root").alias("main"))
-        rooted = members.join(main, "at").where("root <> main").select("at", "content", "fp", "size", "root")
+        rooted = members.join(main, "at").where("root <> main").select("at", "content", "fp", "size", "parity", "root")
         left = saved(rooted.join(left.select("at", "content"), ["at", "content"], "left_semi").join(centres.select("at", "content"), ["at", "content"], "left_anti"), "left")
         if left.isEmpty():
             return found
         turn += 1
         shares = left.groupBy("at").agg(F.ceil(F.count("*") / ROUND).alias("shares"), F.min("content").alias("first"))
-        centres = left.join(shares, "at").where((F.col("content") == F.col("first")) | (F.pmod(F.xxhash64("content", F.lit(turn)), F.col("shares")) == 0)).select("at", "content", "fp", "size", "root")
+        centres = left.join(shares, "at").where((F.col("content") == F.col("first")) | (F.pmod(F.xxhash64("content", F.lit(turn)), F.col("shares")) == 0)).select("at", "content", "fp", "size", "parity", "root")
 
 
 def _grouped(marked: DataFrame, order: Column, bucket: int, more: DataFrame | None = None) -> DataFrame:
@@ -248,7 +257,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bu
     """
     doc_id, key = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))
     texts = docs.select(doc_id.alias("id"), key.alias("key"), F.col(text_col).cast("string").alias("text"))
-    sketched = saved(texts.mapInArrow(_sketch_batches, "id long, key long, fp long, content long, size long, bands array<long>"), "fingerprints")
+    sketched = saved(texts.mapInArrow(_sketch_batches, "id long, key long, fp long, content long, size long, parity array<long>, bands array<long>"), "fingerprints")
     similar, marked = similar_links(sketched, texts, crowd), sketched.select("id", "key", "fp")
     row = F.struct(F.col("id").isNull().alias("none"), "id", "key")
     grouped = _grouped(marked, row, bucket, similar)

@@ -72,6 +72,27 @@ def test_near_copies_are_linked_in_crowds_too(spark, crowd):
     assert left == set(one_of_each_group(rows)) and len([i for i in left if 20 <= i < 80]) == 1 and set(range(20)) <= left
 
 
+def test_near_copies_that_repeat_a_line_are_linked(spark):
+    rows = {}
+    for k in range(24):  # the same shingles but for the repeated line's own ends: the counts move the fingerprint
+        line, rest = prose(2000 + k, 10), prose(2100 + k, 590)
+        rows[2 * k], rows[2 * k + 1] = f"{line} {rest}", f"{' '.join([line] * 20)} {rest}"
+    far = [k for k in range(24) if (fingerprint(rows[2 * k]) ^ fingerprint(rows[2 * k + 1])).bit_count() > 16]
+    assert far
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows.items()], DOCS)
+    for crowd in (1, neardup.CROWD):
+        assert {r.doc_id for r in neardup.keep_one(docs, crowd=crowd).collect()} == set(one_of_each_group(rows)) == set(range(0, 48, 2))
+
+
+def test_parity_bits_never_exclude_a_similar_pair():
+    for k in range(300):
+        text = prose(3000 + k, 20 + 10 * k)
+        other = reworded(text, k, k % 4 * (1 + k // 60)) + (" " + prose(1, k % 30) if k % 3 else "")
+        (_, na, pa, _), (_, nb, pb, _) = (neardup.minhash_bands(x.encode()) for x in (text, other))
+        a, b = five_words(text), five_words(other)
+        assert (na, nb) == (len(a), len(b)) and sum(int(x).bit_count() for x in pa ^ pb) <= len(a ^ b)
+
+
 def shingled(text):
     words = [w for w in re.split(r"[^\w]+|_", (text or "").lower()) if w]
     return [tuple(words[k : k + decontam.SHINGLE]) for k in range(len(words) - decontam.SHINGLE + 1)]
