@@ -168,7 +168,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, salt: int = 1) -> DataFrame:
     return saved(both.where(common >= SIMILARITY * (F.size("sa") + F.size("sb") - common)).select(*pairs.columns), "similar")
 
 
-def similar_links(marked: DataFrame, texts: DataFrame, crowd: int = CROWD) -> DataFrame:
+def similar_links(marked: DataFrame, texts: DataFrame, crowd: int = CROWD, at_once: int = ROUND) -> DataFrame:
     """Edges ``a``, ``b`` between fingerprints of texts with similar shingles.
 
     ``texts`` has ``id``, ``key``, ``text``; ``marked`` has ``id``, ``key``, ``fp``,
@@ -176,7 +176,9 @@ def similar_links(marked: DataFrame, texts: DataFrame, crowd: int = CROWD) -> Da
     texts is compared pair by pair.  Of a more crowded one the text that meets
     most others is held against all.  Members that are then not linked with most
     of the value's texts, over whatever links, are held in turn against all that
-    they are not linked with yet, about ``ROUND`` at once.
+    they are not linked with yet, about ``at_once`` at once.  The value's main group
+    may change between rounds: a member counts as done only once it was held
+    against the others itself.
     """
     row = F.xxhash64("id", "key")
     nodes = saved(marked.where(F.size("bands") > 0).groupBy("content").agg(F.min_by(F.struct(row.alias("row"), "fp", "size", "parity", "bands"), row).alias("x")).select("content", "x.*"), "contents")
@@ -203,7 +205,7 @@ def similar_links(marked: DataFrame, texts: DataFrame, crowd: int = CROWD) -> Da
         return found
     all_parts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("part")
     centres = members.groupBy("at").agg(F.max(F.struct("met", "content", "fp", "size", "parity", "root")).alias("x")).select("at", "x.content", "x.fp", "x.size", "x.parity", "x.root")
-    left, turn = members.select("at", "content"), 0
+    done, turn = None, 0
     while True:
         centres = saved(centres, "centres")
         met = a(members, F.col("parity").alias("pa"), "part", "root").join(b(centres, F.col("parity").alias("pb"), all_parts, F.col("root").alias("of_b")), ["at", "part"]).where((F.col("a") != F.col("b")) & ((F.col("root") != F.col("of_b")) | (turn == 0)) & near)
@@ -212,11 +214,13 @@ def similar_links(marked: DataFrame, texts: DataFrame, crowd: int = CROWD) -> Da
         members = saved(members.drop("root").join(roots, members.fp == roots.node, "left").select("at", "content", "fp", "size", "parity", "met", "part", F.coalesce("root", "fp").alias("root")), "crowded")
         main = members.groupBy("at", "root").agg(F.count("*").alias("k")).groupBy("at").agg(F.max(F.struct("k", "root")).alias("x")).select("at", F.col("x.root").alias("main"))
         rooted = members.join(main, "at").where("root <> main").select("at", "content", "fp", "size", "parity", "root")
-        left = saved(rooted.join(left.select("at", "content"), ["at", "content"], "left_semi").join(centres.select("at", "content"), ["at", "content"], "left_anti"), "left")
+        held = centres.select("at", "content")
+        done = held if done is None else done.unionByName(held)
+        left = saved(rooted.join(done, ["at", "content"], "left_anti"), "left")
         if left.isEmpty():
             return found
         turn += 1
-        shares = left.groupBy("at").agg(F.ceil(F.count("*") / ROUND).alias("shares"), F.min("content").alias("first"))
+        shares = left.groupBy("at").agg(F.ceil(F.count("*") / at_once).alias("shares"), F.min("content").alias("first"))
         centres = left.join(shares, "at").where((F.col("content") == F.col("first")) | (F.pmod(F.xxhash64("content", F.lit(turn)), F.col("shares")) == 0)).select("at", "content", "fp", "size", "parity", "root")
 
 

@@ -84,6 +84,33 @@ def test_near_copies_that_repeat_a_line_are_linked(spark):
         assert {r.doc_id for r in neardup.keep_one(docs, crowd=crowd).collect()} == set(one_of_each_group(rows)) == set(range(0, 48, 2))
 
 
+@pytest.mark.parametrize("at_once", [2, 3])
+def test_links_of_a_crowded_value_outlast_a_change_of_its_main_group(spark, at_once):
+    old, new = prose(4000, 300).split(), prose(4001, 300).split()
+    # Texts turn from old into new; only neighbours are similar: main - bridge - B - middle - C.
+    made = [(0, 5), (24, 1), (48, 3), (72, 1), (96, 3)]
+    texts = [" ".join(new[:at] + old[at:-1] + [f"own{at}x{k}"]) for at, n in made for k in range(n)]
+    sets = [five_words(t) for t in texts]
+    linked = {(x, y) for x, y in itertools.combinations(range(len(texts)), 2) if len(sets[x] & sets[y]) >= neardup.SIMILARITY * len(sets[x] | sets[y])}
+    steps = [at for at, n in made for _ in range(n)]
+    assert linked == {(x, y) for x, y in itertools.combinations(range(len(texts)), 2) if abs(steps[x] - steps[y]) <= 24}
+    # The first centre is the largest content, of the main group; the next is the smallest outside it, the middle, which merges B and C into the new main group (no B is drawn with it).
+    content = {0: 100, 24: 50, 48: 6, 72: 1, 96: 30}
+    rows, seen = [], {}
+    for k, (text, at) in enumerate(zip(texts, steps)):
+        seen[at] = seen.get(at, -1) + 1
+        _, size, parity, _ = neardup.minhash_bands(text.encode())
+        rows.append((k, 0, k + 1, content[at] + seen[at], size, parity.view("<i8").tolist(), [7]))
+    marked = spark.createDataFrame(rows, "id long, key long, fp long, content long, size long, parity array<long>, bands array<long>")
+    told = spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)], "id long, key long, text string")
+    found = {(r.a, r.b) for r in neardup.similar_links(marked, told, crowd=2, at_once=at_once).collect()}
+    reached, more = {1}, {1}
+    while more:
+        more = {y for x in more for e in found if x in e for y in e} - reached
+        reached |= more
+    assert reached == set(range(1, len(texts) + 1))
+
+
 def test_parity_bits_never_exclude_a_similar_pair():
     for k in range(300):
         text = prose(3000 + k, 20 + 10 * k)
