@@ -1,12 +1,12 @@
 """Personal data: patterns, and terms that reveal a protected value.
 
 Patterns find e-mail addresses, IP addresses, card numbers and phone numbers.
-Every value found is a protected entity.  Words that stand near an entity are
-held against their frequency in the whole corpus: a term discloses an entity when
+Every value found is a protected entity.  Words of the texts that hold an entity,
+wherever they stand, are held against their frequency in the whole corpus: a term discloses an entity when
 their pointwise mutual information reaches ``SHARE`` of the entity's own
 information content, that is, when seeing the term all but gives the entity
 away.  Frequencies are counted in documents.  A term also needs ``CONTEXTS``
-different contexts (the word with its two neighbours) near the entity, so that
+different contexts (the word with its two neighbours) in texts that hold the entity, so that
 copies of one passage are no evidence.  In texts that hold the entity such terms are spans of the
 kind ``term``; sanitising removes them, and generalises entities to their kind.
 
@@ -28,8 +28,6 @@ KINDS = (
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
 )
 TERM = "term"
-#: Code points on either side of an entity in which terms are looked for.
-NEAR = 80
 #: Different contexts that evidence needs; share of the entity's information that a term must give.
 CONTEXTS, SHARE = 3, 0.9
 _SPAN = "struct<start:int,rank:int,kind:string,end:int,value:string>"
@@ -89,15 +87,17 @@ def detected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
 
 def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str = "text", contexts: int = CONTEXTS, share: float = SHARE) -> DataFrame:
     """``entity`` (hash), ``term`` (hash): pairs over the disclosure threshold, from spans as of ``detected`` and the whole corpus."""
-    spans = found.where(F.size("spans") > 0).select("row_key", "text", F.explode("spans").alias("s"))
-    cut = lambda side: F.regexp_replace(side, r"\S*[@0-9]\S*", " ")
-    before = F.substr("text", F.greatest(F.col("s.start") - NEAR, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(NEAR)))
-    after = F.substr("text", F.col("s.end") + 1, F.lit(NEAR))
-    around = F.concat(_terms(cut(F.regexp_replace(before, r"^\S+", ""))), _terms(cut(F.regexp_replace(after, r"\S+$", ""))))
-    near = spans.select(F.xxhash64("s.kind", "s.value").alias("entity"), "row_key", around.alias("w"))
-    holders = near.groupBy("entity").agg(F.count_distinct("row_key").alias("n_entity")).where(F.col("n_entity") >= contexts)
-    at = near.select("entity", "row_key", "w", F.posexplode_outer("w").alias("i", "term"))
-    seen = at.select("entity", "row_key", "term", F.xxhash64(F.get("w", F.col("i") - 1), "term", F.get("w", F.col("i") + 1)).alias("context"))
+    holding = found.where(F.size("spans") > 0)
+    entities = holding.select("row_key", F.explode("spans").alias("s")).select("row_key", F.xxhash64("s.kind", "s.value").alias("entity")).distinct()
+    holders = entities.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= contexts)
+    entities = entities.join(holders.select("entity"), "entity")
+    # Distinct (term, context) of a text, before it meets its entities.
+    around = lambda w: F.transform(w, lambda x, i: F.struct(x.alias("term"), F.xxhash64(F.get(w, i - 1), x, F.get(w, i + 1)).alias("context")))
+    # Begun at a token's start alone, the search stays linear in texts without blanks.
+    cut = lambda part: F.regexp_replace(part, r"(?<!\S)\S*[@0-9]\S*", " ")
+    words = F.transform(_between(F.col("text"), F.col("spans")), lambda part: _terms(cut(part)))
+    at = holding.select("row_key", words.alias("parts")).select("row_key", F.array_distinct(F.flatten(F.transform("parts", around))).alias("at"))
+    seen = entities.join(at, "row_key").select("entity", "row_key", F.inline_outer("at"))  # plain inline would compute the array once more, to test that it has elements
     joint = seen.groupBy("entity", "term").agg(F.count_distinct("context").alias("n_contexts"), F.count_distinct("row_key").alias("n_joint"))
     joint = joint.where(F.col("n_contexts") >= contexts).join(holders, "entity")
 
@@ -110,6 +110,17 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str = "text",
     return both.where((information > 0) & (mutual >= share * information)).select("entity", "term")
 
 
+def _between(text: Column, spans: Column) -> Column:
+    """The parts of ``text`` before, between and after the spans."""
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(a: Column, s: Column) -> Column:
+        kept = F.substr(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.array_append(a["out"], kept).alias("out"))
+
+    return F.aggregate(spans, empty, step, lambda a: F.array_append(a["out"], F.substr(text, a["at"] + 1, F.length(text))))
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 

@@ -171,6 +171,17 @@ def test_disclosing_terms(spark):
         assert terms == ({"zorkman"} if "jo@ex.org" in texts[r.id] else set())
 
 
+def test_disclosing_terms_far_from_the_entity(spark):
+    texts = [f"{prose(700 + k, 1)} zorkman {prose(710 + k, 60)} reach at jo@ex.org" for k in range(4)]
+    texts += [f"copied zorbert passage {prose(720 + k, 60)} at bo@ex.org" for k in range(4)]  # one context alone
+    texts += [prose(800 + k, 40) + " reach at" for k in range(60)]
+    for r in pii.scan(docs(spark, texts)).collect():
+        terms = {texts[r.id][s.start : s.end] for s in r.all_spans if s.kind == "term"}
+        assert ("zorkman" in terms) == ("jo@ex.org" in texts[r.id]) and not terms & {"zorbert", "reach"}
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs(spark, texts)).collect()}
+    assert not any("zorkman" in t for t in clean.values()) and "zorbert" in clean[4]
+
+
 def test_bpe(spark):
     tokenizers = pytest.importorskip("tokenizers")
     library = tokenizers.Tokenizer.from_file(TOKENIZER)
