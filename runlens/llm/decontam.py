@@ -116,6 +116,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_col: str = "doc_id", text_c
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    found = leaks(docs, benchmark, doc_col, text_col).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(found, docs[doc_col] == found["_leaked"], "left_anti")
+    """``docs`` without the rows that hold a benchmark item.
+
+    A row is known by its id and text, so rows without an id are dropped too, and
+    a clean row stays that shares its id with one that leaks.
+    """
+    row = F.xxhash64(F.col(doc_col).cast("long"), F.col(text_col).cast("string"))
+    found = leaks(docs.select(row.alias("_row"), text_col), benchmark, "_row", text_col).select(F.col("doc_id").alias("_leaked")).distinct()
+    return docs.join(found, row == found["_leaked"], "left_anti")

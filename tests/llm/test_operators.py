@@ -137,6 +137,14 @@ def test_leaks(spark):
     assert decontam.without_leaks(docs(spark, texts), b).count() == len(texts) - 4
 
 
+def test_rows_that_leak_go_whatever_their_ids(spark):
+    item = prose(25, 40)
+    rows = [(None, item), (None, prose(26, 60)), (7, prose(27, 60)), (7, f"{prose(28, 30)} {item}"), (8, prose(29, 60)), (None, None)]
+    left = decontam.without_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=key) == sorted((rows[k] for k in (1, 2, 4, 5)), key=key)
+
+
 KINDS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
