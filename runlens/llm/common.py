@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,12 +22,14 @@ _own_folder: list[str] = []
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is ``spark.checkpoint.dir`` where the session has one.  Only without it
-    (tests on one machine) a temporary folder stands in.
+    It is ``spark.checkpoint.dir`` where the session has one.  Only on one machine
+    (tests) a temporary folder stands in; a cluster's executors wouldn't see it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="spark-runlens-"))
     return _own_folder[0]
@@ -51,6 +55,49 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body, or a lambda in it, refers to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Elements that a running fold appends to before it begins another chunk; code points of a piece.
+_CHUNK, PIECE = 256, 4096
+
+
+def running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Running results (inclusive) of an associative ``step`` over an array of int whose neutral element is 0.
+
+    Appending copies what is there, so one fold over all would take quadratic time:
+    results run within chunks, and the chunks' ends over these.
+    """
+    none = F.array().cast("array<int>")
+
+    def fold(xs: Column) -> Column:
+        return F.aggregate(xs, none, lambda out, x: F.array_append(out, step(F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(0)), x)))
+
+    def chunked(xs: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(xs), F.lit(_CHUNK))
+        return let(F.transform(starts, lambda at: fold(F.slice(xs, at, F.lit(_CHUNK)))), lifted)
+
+    def lifted(parts: Column) -> Column:
+        ends = fold(F.transform(parts, lambda p: F.try_element_at(p, F.lit(-1))))
+        return let(ends, lambda before: F.flatten(F.transform(parts, lambda p, k: let(F.coalesce(F.get(before, k - 1), F.lit(0)), lambda b: F.transform(p, lambda x: step(b, x))))))
+
+    return let(values, lambda xs: F.when(F.size(xs) > 0, chunked(xs)).otherwise(none))
+
+
+def pieces(text: Column) -> Column:
+    """``text`` in pieces of ``PIECE`` code points, for ``cut``."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def cut(parts: Column, start: Column, end: Column) -> Column:
+    """Code points ``start`` to ``end`` (exclusive) of a text in ``pieces``: time grows with the length, not with the start."""
+    first = F.floor(start / PIECE).cast("int")
+    some = F.slice(parts, first + 1, F.floor(F.greatest(end - 1, start) / PIECE).cast("int") - first + 1)
+    return F.when(end > start, F.substr(F.array_join(some, ""), start - first * PIECE + 1, end - start)).otherwise(F.lit(""))
+
+
 def id_remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id as text, modulo ``divisor`` (null id: null)."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(divisor))

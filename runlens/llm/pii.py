@@ -18,12 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import cut, let, pieces, running, saved
 
-#: (kind, pattern, what a text needs at least): leftmost, non-overlapping matches.  Possessive groups match the same and can't overflow the stack.
+#: (kind, pattern, what a text needs at least): leftmost, non-overlapping matches.  Runs are tried from their start alone (or from where
+#: the last match ended) and never given back, which matches the same and takes linear time: what fails from a run's start fails within it.
 KINDS = (
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++", r"@[A-Za-z0-9-]+\."),
-    ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"),
+    ("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", r"@[A-Za-z0-9-]++\."),
+    ("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"),
     ("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9](?:[\x20-]?[0-9]){13}"),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
 )
@@ -47,19 +48,16 @@ def _valid(kind: str, value: Column) -> Column:
 
 def matches(text: Column, kind: str, rank: int, pattern: str, needs: str) -> Column:
     """All matches of a pattern with their offsets, as an array of spans."""
-    between = F.split(text, pattern)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(_EMPTY).alias("spans"))
+    lengths = lambda xs: F.transform(xs, lambda x: F.length(x))
 
-    def step(all_: Column, x: Column) -> Column:
-        start = all_["at"] + F.length(x["between"])
-        end = start + F.length(x["found"])
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"), x["found"].alias("value"))
-        return F.struct(end.alias("at"), F.array_append(all_["spans"], span).alias("spans"))
+    def spans(between: Column, found: Column) -> Column:
+        # Between, match, between, match: running sums of the lengths are the starts and the ends.
+        both = F.flatten(F.transform(F.arrays_zip(lengths(F.slice(between, F.lit(1), F.size(found))).alias("b"), lengths(found).alias("f")), lambda x: F.array(x["b"], x["f"])))
+        at = running(both, lambda x, y: x + y)
+        return let(at, lambda at: F.transform(found, lambda v, k: F.struct(F.get(at, 2 * k).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), F.get(at, 2 * k + 1).alias("end"), v.alias("value"))))
 
-    pairs = F.slice(F.arrays_zip(between.alias("between"), found.alias("found")), F.lit(1), F.size(found))
-    spans = F.aggregate(pairs, empty, step, lambda a: a["spans"])
-    return F.when(text.rlike(needs), spans).otherwise(F.array().cast(_EMPTY))
+    every = let(F.split(text, pattern), lambda between: let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: spans(between, found)))
+    return F.when(text.rlike(needs), every).otherwise(F.array().cast(_EMPTY))
 
 
 def base_spans(text: Column) -> Column:
@@ -86,20 +84,24 @@ def detected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
 
 
 def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str = "text", contexts: int = CONTEXTS, share: float = SHARE) -> DataFrame:
-    """``entity`` (hash), ``term`` (hash): pairs over the disclosure threshold, from spans as of ``detected`` and the whole corpus."""
+    """``row_key``, ``term`` (hash): terms over the disclosure threshold of some entity of the row, from spans as of ``detected`` and the whole corpus."""
     holding = found.where(F.size("spans") > 0)
     entities = holding.select("row_key", F.explode("spans").alias("s")).select("row_key", F.xxhash64("s.kind", "s.value").alias("entity")).distinct()
-    holders = entities.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= contexts)
-    entities = entities.join(holders.select("entity"), "entity")
+    # Entities that the same texts hold have the same evidence: they count as one, so that a text with many costs no product of entities and terms.
+    held = F.struct(F.count("*").alias("n"), *(F.bit_xor(F.xxhash64("row_key", F.lit(k))).alias(f"s{k}") for k in (1, 2)))
+    holders = entities.groupBy("entity").agg(held.alias("x")).where(F.col("x.n") >= contexts).select("entity", F.xxhash64("x").alias("group"), F.col("x.n").alias("n_entity"))
+    holders = saved(holders, "holders")
+    groups = holders.select(F.col("group").alias("entity_group"), "n_entity").distinct()
+    entities = entities.join(holders, "entity").select("row_key", F.col("group").alias("entity_group")).distinct()
     # Distinct (term, context) of a text, before it meets its entities.
     around = lambda w: F.transform(w, lambda x, i: F.struct(x.alias("term"), F.xxhash64(F.get(w, i - 1), x, F.get(w, i + 1)).alias("context")))
     # Begun at a token's start alone, the search stays linear in texts without blanks.
-    cut = lambda part: F.regexp_replace(part, r"(?<!\S)\S*[@0-9]\S*", " ")
-    words = F.transform(_between(F.col("text"), F.col("spans")), lambda part: _terms(cut(part)))
+    bare = lambda part: F.regexp_replace(part, r"(?<!\S)\S*[@0-9]\S*", " ")
+    words = F.transform(_between(F.col("text"), F.col("spans")), lambda part: _terms(bare(part)))
     at = holding.select("row_key", words.alias("parts")).select("row_key", F.array_distinct(F.flatten(F.transform("parts", around))).alias("at"))
-    seen = entities.join(at, "row_key").select("entity", "row_key", F.inline_outer("at"))  # plain inline would compute the array once more, to test that it has elements
-    joint = seen.groupBy("entity", "term").agg(F.count_distinct("context").alias("n_contexts"), F.count_distinct("row_key").alias("n_joint"))
-    joint = joint.where(F.col("n_contexts") >= contexts).join(holders, "entity")
+    seen = entities.join(at, "row_key").select("entity_group", "row_key", F.inline_outer("at"))  # plain inline would compute the array once more, to test that it has elements
+    joint = seen.groupBy("entity_group", "term").agg(F.count_distinct("context").alias("n_contexts"), F.count_distinct("row_key").alias("n_joint"))
+    joint = joint.where(F.col("n_contexts") >= contexts).join(groups, "entity_group")
 
     corpus = docs.select(F.array_distinct(_terms(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("w"))
     everywhere = corpus.select(F.explode_outer("w").alias("term")).groupBy("term").agg(F.count("*").alias("n_docs"))
@@ -107,18 +109,26 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str = "text",
     both = joint.join(everywhere, "term")
     information = F.log(total / F.col("n_entity"))
     mutual = F.log(total * F.col("n_joint") / (F.col("n_entity") * F.greatest("n_docs", "n_joint")))
-    return both.where((information > 0) & (mutual >= share * information)).select("entity", "term")
+    revealing = both.where((information > 0) & (mutual >= share * information))
+    return entities.join(revealing.select("entity_group", "term"), "entity_group").select("row_key", "term").distinct()
+
+
+def _ends(spans: Column) -> Column:
+    """For every span, how far it and those before it reach."""
+    return running(F.transform(spans, lambda s: s["end"]), lambda x, y: F.greatest(x, y))
 
 
 def _between(text: Column, spans: Column) -> Column:
     """The parts of ``text`` before, between and after the spans."""
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    inner = lambda parts, ends: F.transform(spans, lambda s, k: cut(parts, F.coalesce(F.get(ends, k - 1), F.lit(0)), s["start"]))
+    last = lambda parts, ends: cut(parts, F.coalesce(F.try_element_at(ends, F.lit(-1)), F.lit(0)), F.length(text))
+    return let(pieces(text), lambda parts: let(_ends(spans), lambda ends: F.concat(inner(parts, ends), F.array(last(parts, ends)))))
 
-    def step(a: Column, s: Column) -> Column:
-        kept = F.substr(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.array_append(a["out"], kept).alias("out"))
 
-    return F.aggregate(spans, empty, step, lambda a: F.array_append(a["out"], F.substr(text, a["at"] + 1, F.length(text))))
+def _free_terms(spans: Column) -> Column:
+    """Sorted ``spans`` without the terms that overlap another span: what comes before reaches into them, or the next one starts within them."""
+    fits = lambda all_, ends: lambda x, k: (x["kind"] != TERM) | ((F.coalesce(F.get(ends, k - 1), F.lit(0)) <= x["start"]) & (F.coalesce(F.get(all_, k + 1)["start"], x["end"]) >= x["end"]))
+    return let(spans, lambda all_: let(_ends(F.transform(all_, lambda s: F.struct(F.when(s["kind"] == TERM, 0).otherwise(s["end"]).alias("end")))), lambda ends: F.filter(all_, fits(all_, ends))))
 
 
 def _joined(spans: Column) -> Column:
@@ -129,12 +139,11 @@ def with_terms(found: DataFrame, docs: DataFrame, text_col: str = "text") -> Dat
     """``found`` (saved rows of ``detected``) with ``all_spans``: its spans and those of disclosing terms, sorted."""
     terms = disclosing_terms(found, docs, text_col)
     holding, plain = found.where(F.size("spans") > 0), found.where(F.size("spans") == 0)
-    holds = holding.select("row_key", F.explode("spans").alias("s")).select("row_key", F.xxhash64("s.kind", "s.value").alias("entity")).distinct()
-    by_row = holds.join(terms, "entity").groupBy("row_key").agg(F.collect_set("term").alias("terms"))
+    by_row = terms.groupBy("row_key").agg(F.collect_set("term").alias("terms"))
     joined = holding.join(by_row, "row_key", "left")
     words = matches(F.col("text"), TERM, len(KINDS), r"\p{L}+", r"\p{L}")
-    more = F.filter(words, lambda x: F.array_contains("terms", F.xxhash64(F.lower(x["value"]))) & ~F.exists("spans", lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])))
-    joined = joined.withColumn("all_spans", F.when(F.col("terms").isNotNull(), F.sort_array(F.concat("spans", more))).otherwise(F.col("spans"))).drop("terms")
+    more = F.filter(words, lambda x: F.array_contains("terms", F.xxhash64(F.lower(x["value"]))))
+    joined = joined.withColumn("all_spans", F.when(F.col("terms").isNotNull(), _free_terms(F.sort_array(F.concat("spans", more)))).otherwise(F.col("spans"))).drop("terms")
     # Rows without spans have no key and take no part in the join, where they would all meet in one task.
     return joined.unionByName(plain.withColumn("all_spans", F.col("spans")))
 
@@ -151,16 +160,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def sanitised_text(text: Column, spans: Column) -> Column:
     """``text`` with every span replaced by its kind in brackets, terms removed; where spans overlap the first counts, and the rest of a longer one goes."""
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(a: Column, s: Column) -> Column:
-        fresh = s["start"] >= a["at"]
-        kept = F.when(fresh, F.substr(text, a["at"] + 1, s["start"] - a["at"])).otherwise(F.lit(""))
-        mark = F.when(~fresh | (s["kind"] == TERM), F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], F.array(kept, mark)).alias("out"))
+    def written(parts: Column, ends: Column) -> Column:
+        before = lambda k: F.coalesce(F.get(ends, k - 1), F.lit(0))
+        mark = lambda s, k: F.when((s["start"] < before(k)) | (s["kind"] == TERM), F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        kept = F.transform(spans, lambda s, k: F.concat(cut(parts, before(k), s["start"]), mark(s, k)))
+        return F.concat(F.array_join(kept, ""), cut(parts, F.coalesce(F.try_element_at(ends, F.lit(-1)), F.lit(0)), F.length(text)))
 
-    rest = lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, a["at"] + 1, F.length(text)))
-    return F.aggregate(spans, empty, step, rest)
+    return let(pieces(text), lambda parts: let(_ends(spans), lambda ends: written(parts, ends)))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
