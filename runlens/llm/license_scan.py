@@ -1,15 +1,17 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
-A block is a line with the two lines after it.  A block matches a template when
-it holds at least ``THRESHOLD`` of the template's distinct words.  Words are put
+A block is a run of ``BLOCK_WORDS`` consecutive words that begins at a word of some
+template, wherever lines break.  A block matches a template when it holds at least
+nine tenths of the template's distinct words.  Words are put
 in one global order, rarest in the corpus first.  A block that reaches the
 threshold must share a word of the template's prefix (its rarest words but the
 last ``needed - 1``); prefixes are joined on words, pairs are dropped where the
 block is too short or where the words left after the shared positions can't reach
 the threshold, and the rest are verified by their exact overlap.
 
-Words that are in no template can't count, so blocks keep template words only,
-and only documents whose words could cover a template are cut into blocks.
+Words that are in no template can't count, so a block is the set of its template words,
+and only documents whose words could cover a template are cut into blocks.  A run
+that begins elsewhere holds no more template words than the one at its first of them.
 """
 
 from __future__ import annotations
@@ -17,24 +19,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, saved
+from .common import ascii_lower, let, saved
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Share of a template's distinct words that a block must hold, in tenths; lines of a block.
-THRESHOLD_TENTHS, LINES = 9, 3
+#: Share of a template's distinct words that a block must hold, in tenths; words of a block.
+THRESHOLD_TENTHS, BLOCK_WORDS = 9, 40
 #: Phrases and labels found word by word (fixed values).
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Templates: well-known sentences of licenses, by label (fixed values).
 TEMPLATES = {
     "apache-2.0": "licensed under the apache license version 2 0",
+    "boost": "distributed under the boost software license version 1 0",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "cc-by-4.0": "licensed under a creative commons attribution 4 0 international license",
     "cc-by-nc-4.0": "licensed under cc by nc 4 0",
     "cc-by-sa-4.0": "licensed under cc by sa 4 0",
+    "cc0-1.0": "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of their rights to the work worldwide under copyright law",
+    "epl-2.0": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0",
     "gpl-3.0": "this work is licensed under the gnu general public license version 3",
+    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "unlicense": "this is free and unencumbered software released into the public domain",
+    "zlib": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software",
 }
 
 
@@ -55,8 +62,8 @@ def needed(size: int, tenths: int = THRESHOLD_TENTHS) -> int:
     return -(-size * tenths // 10)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, tenths: int = THRESHOLD_TENTHS) -> DataFrame:
-    """One row per row of ``docs``: ``id``, ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``, ``labels``, ``score``, ``n_blocks``.
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, tenths: int = THRESHOLD_TENTHS, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """One row per row of ``docs``: ``id``, ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``, ``labels``, ``score``, ``n_blocks`` (different blocks that match a template).
 
     Null text counts as empty.  ``score`` is 1 where a phrase stands, else the
     largest share of a template that a matching block holds, else 0.  Rows that
@@ -66,7 +73,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     templates = {k: sorted(set(t.split())) for k, t in (TEMPLATES if templates is None else templates).items()}
     vocabulary = sorted({w for t in templates.values() for w in t} | {w for p in PHRASES for w in p.split()})
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("row_key"), text.alias("text"), words(text).alias("words"))
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("row_key"), words(text).alias("words"))
     d = d.withColumn("known", F.array_intersect("words", _literal(vocabulary)))
 
     marks = []
@@ -78,8 +85,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     covered = F.lit(False)
     for t in templates.values():
         covered = covered | (F.size(F.array_intersect("known", _literal(t))) >= needed(len(t), tenths))
-    lines = F.split("text", "\n")
-    blocks = F.transform(lines, lambda _, i: F.array_intersect(_literal(vocabulary), words(F.array_join(F.slice(lines, i + 1, LINES), "\n"))))
+    least = min((needed(len(t), tenths) for t in templates.values()), default=1)
+    known_at = F.filter(F.transform("words", lambda w, k: F.struct(k.alias("k"), w.alias("w"))), lambda x: F.array_contains(_literal(vocabulary), x["w"]))
+    block = lambda at: lambda x, k: F.array_sort(F.array_distinct(F.transform(F.filter(F.slice(at, k + 1, F.lit(block_words)), lambda y: y["k"] < x["k"] + block_words), lambda y: y["w"])))
+    blocks = let(known_at, lambda at: F.array_distinct(F.filter(F.transform(at, block(at)), lambda b: F.size(b) >= least)))
     d = d.select("id", "row_key", F.size("words").cast("long").alias("n_words"), "known", *(at.alias(f"at_{k}") for k, (_, at) in enumerate(marks)), F.when(covered, blocks).alias("blocks"))
     all_at = F.flatten(F.array(*(F.col(f"at_{k}") for k in range(len(marks)))))
     found = F.array_sort(F.array_compact(F.array(*(F.when(F.size(f"at_{k}") > 0, F.lit(label)) for k, (label, _) in enumerate(marks)))))
