@@ -15,7 +15,6 @@ walking the trie for all its positions at once in numpy.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,10 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ORDER = 3
-#: Training rows per language, at most (in expectation): rows are drawn by a hash of id and text.
+#: Training rows per language, at most (in expectation): rows are drawn by a hash of the id.
 SAMPLE = 1000
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -74,7 +72,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and the probability of it under equal priors; ties go to the first by name."""
-        if not text or not self.languages or not _LETTER.search(text):
+        if not text or not self.languages or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0
         bits = self.lengths(text.lower().encode("utf-8", "replace"))
         best = int(bits.argmin())
@@ -142,7 +140,8 @@ def train(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
 
     At most ``sample`` rows of a language are expected to count: where it has
     more, a row counts if the hash of its id falls below the share that is wanted.
-    Whole texts count.  The counts that reach the driver are bounded by the sample.
+    Whole texts count.  What reaches the driver is a row per language and the summed
+    counts of the sample's runs of up to four bytes, in the worst case as many as the sample has bytes.
     """
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id")).where("lang is not null and text is not null")
     shares = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
@@ -156,11 +155,16 @@ def train(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``lang_pred``, ``score`` for every row; ``und`` and 0 if the text is null or has no letter."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """``id``, ``lang_pred``, ``score`` for every row; ``und`` and 0 if the text is null or has no letter.
+
+    Repeated rows are returned as often as they come, extra columns are ignored, and
+    texts of any length are coded in parts.  Without languages every row is ``und``.
+    """
+    # Plain arrays: executors need not be able to import this package.
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.child, model.cost, model.escape))
 
     def run(batches):
-        model = shared.value
+        model = Model(*shared.value)
         for batch in batches:
             found = [model.predict(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([min(1.0, max(0.0, s)) for _, s in found], pa.float64())], ["id", "lang_pred", "score"])
