@@ -7,8 +7,7 @@ digits and runs of other signs as words, every word's last symbol marked.
 Within a word the leaves of a segment tree hold the rank, then the position, of
 the pair that starts there.  The root is the leftmost pair of lowest rank; a
 merge changes three leaves and, in logarithmic time, the nodes above them, until
-no pair can be merged.  Nodes have sixteen children, so that the tree of a usual
-word is its leaves and the root.
+no pair can be merged.
 """
 
 from __future__ import annotations
@@ -23,8 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NONE = 1 << 62
-#: Children of a node of the segment tree.
-FAN_OUT = 16
 #: Entries after which a task's memory of encoded words starts anew.
 REMEMBERED = 400_000
 #: Characters that str.split() takes for white space, but the tokenizer doesn't.
@@ -40,52 +37,56 @@ def byte_symbols() -> list[str]:
     return out
 
 
-def merge_word(symbols: list[int], ranks: dict[int, int]) -> list[int]:
-    """Merge the symbols of one word; ``ranks`` has ``rank << 16 | new symbol`` by ``left << 16 | right``.
+def merge_word(symbols: list[int], ranks: dict[int, int], made: list[int], width: int) -> list[int]:
+    """Merge the symbols of one word; ``ranks`` has a pair's rank by ``left * width + right``, ``made`` the symbol by rank.
 
-    Ranks are unique, so ordering by that value orders by rank.
+    ``tree[1]`` is the root and ``tree[2 * k]``, ``tree[2 * k + 1]`` are the children of ``tree[k]``.
     """
-    n = len(symbols)
+    n, find = len(symbols), ranks.get
     if n == 1:
         return symbols
-    find, bits = ranks.get, n.bit_length()
-    mask = (1 << bits) - 1
-    leaves = [v << bits | i if (v := find(a << 16 | b)) else NONE for i, (a, b) in enumerate(zip(symbols, symbols[1:]))]
-    levels = [leaves]
-    while len(levels[-1]) > 1 or len(levels) == 1:
-        below = levels[-1]
-        levels.append([min(below[k : k + FAN_OUT]) for k in range(0, len(below), FAN_OUT)])
-    top = levels[-1]
-    best = top[0]
-    if best == NONE:
+    bits = n.bit_length()
+    mask, leaves = (1 << bits) - 1, 1 << (n - 2).bit_length()
+    tree = [NONE] * (2 * leaves)
+    for i in range(n - 1):
+        rank = find(symbols[i] * width + symbols[i + 1])
+        if rank is not None:
+            tree[leaves + i] = rank << bits | i
+    for k in range(leaves - 1, 0, -1):
+        a, b = tree[2 * k], tree[2 * k + 1]
+        tree[k] = a if a < b else b
+    if tree[1] == NONE:
         return symbols
+
+    def put(i: int, value: int) -> None:
+        k = leaves + i
+        while tree[k] != value:  # what stands above an unchanged node stays
+            tree[k] = value
+            if k == 1:
+                return
+            other = tree[k ^ 1]
+            if other < value:
+                value = other
+            k >>= 1
+
     after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-    while best != NONE:
+    while (best := tree[1]) != NONE:
         i = best & mask
-        new = symbols[i] = best >> bits & 0xFFFF
+        new = symbols[i] = made[best >> bits]
         j = after[i]
         k = after[i] = after[j]
         symbols[j] = -1
-        h = before[i]
         if k >= 0:
             before[k] = i
-            leaves[j] = NONE
-            leaves[i] = v << bits | i if (v := find(new << 16 | symbols[k])) else NONE
+            rank = find(new * width + symbols[k])
+            put(j, NONE)
+            put(i, NONE if rank is None else rank << bits | i)
         else:
-            leaves[i] = NONE
-            if j < n - 1:
-                leaves[j] = NONE
+            put(i, NONE)
+        h = before[i]
         if h >= 0:
-            leaves[h] = v << bits | h if (v := find(symbols[h] << 16 | new)) else NONE
-        if len(levels) == 2:
-            best = top[0] = min(leaves)
-        else:
-            touched = {max(h, 0), i, min(j, n - 2)}
-            for below, level in zip(levels, levels[1:]):
-                touched = {t // FAN_OUT for t in touched}
-                for t in touched:
-                    level[t] = min(below[t * FAN_OUT : (t + 1) * FAN_OUT])
-            best = top[0]
+            rank = find(symbols[h] * width + new)
+            put(h, NONE if rank is None else rank << bits | h)
     return [x for x in symbols if x >= 0]
 
 
@@ -100,7 +101,9 @@ class Tokenizer:
         model = spec["model"]
         ids, end = model["vocab"], model["end_of_word_suffix"]
         pairs = [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
-        self.ranks = {ids[a] << 16 | ids[b]: rank << 16 | ids[a + b] for rank, (a, b) in reversed(list(enumerate(pairs)))}
+        self.width = max(ids.values()) + 1
+        self.made = [ids[a + b] for a, b in pairs]
+        self.ranks = {ids[a] * self.width + ids[b]: rank for rank, (a, b) in reversed(list(enumerate(pairs)))}
         signs = byte_symbols()
         self.inner, self.last = [ids[s] for s in signs], [ids[s + end] for s in signs]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
@@ -113,7 +116,7 @@ class Tokenizer:
         raw = word.encode("utf-8", "surrogatepass")
         symbols = [self.inner[b] for b in raw]
         symbols[-1] = self.last[raw[-1]]
-        return merge_word(symbols, self.ranks)
+        return merge_word(symbols, self.ranks, self.made, self.width)
 
     def chunk(self, chunk: str) -> bytes:
         """Ids of a text without white space, as little-endian 32-bit integers."""
