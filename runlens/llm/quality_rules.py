@@ -1,10 +1,13 @@
 """Host-level quality rules with shrunken failure rates.
 
-Rules are evaluated per document.  Failures are summed by host; a host's rate is
-shrunk towards the corpus with a beta prior whose two parameters come from the
-hosts' own rates (method of moments).  A host whose shrunken rate of failing
-documents is at or above ``HOST_LIMIT`` is rejected, and the verdict is joined
-back to its documents.
+Rules are evaluated per document.  Failures are summed by host, per rule and for
+any rule.  Every such rate is shrunk towards the corpus with a beta prior of its
+own, whose parameters come from the hosts: its mean is the corpus's rate, its
+weight follows from how much more the hosts' rates spread than chance alone would
+make them (method of moments with the binomial variance taken out).  A host is
+rejected whose shrunken rate of failing documents reaches ``HOST_LIMIT``, or whose
+rate for a single rule reaches ``RULE_LIMIT``, and the verdict is joined back to
+its documents.  Documents without a host are judged by their own rules alone.
 """
 
 from __future__ import annotations
@@ -18,8 +21,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 #: A document fails: more symbols per 100 words, more repeated lines per 100 lines, other mean lengths of words than these.
 MOST_SYMBOLS, MOST_DUP_LINES, WORD_LENGTHS = 30, 30, (2.0, 20.0)
-HOST_LIMIT = 0.5
-#: Bounds of the prior's weight in documents: the moments give none where the hosts' rates hardly vary, or too little where few hosts do.
+HOST_LIMIT, RULE_LIMIT = 0.5, 0.3
+#: Bounds of a prior's weight in documents: the moments give none where the hosts' rates vary no more than by chance, or too little where few hosts do.
 PRIOR_WEIGHT = (10.0, 1000.0)
 RULES = ("too_short", "repetitive", "symbols", "dup_lines", "word_length")
 
@@ -39,7 +42,7 @@ def repeated_words(hashes: Column, repeats: Column) -> Column:
 def document_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """Counts and rule failures of every row: ``id``, ``host``, ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``, a boolean per rule, ``base_failed``, ``failed``.
 
-    Null text has no words; null hosts are one host of their own.
+    Null text has no words.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(host_col).cast("string").alias("host"), _measures(text).alias("m"))
@@ -68,25 +71,46 @@ def document_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return d.withColumn("base_failed", F.col("too_short") | F.col("repetitive")).withColumn("failed", any_rule)
 
 
-def host_verdicts(rules: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
-    """``host``, ``n_docs``, failures per rule, ``host_rate`` (shrunken), ``host_rejected``."""
-    sums = saved(rules.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed"), *(F.sum(F.col(r).cast("long")).alias(f"n_{r}") for r in RULES)), "hosts")
-    rate = F.col("n_failed") / F.col("n_docs")
-    mean, spread = sums.agg((F.sum("n_failed") / F.sum("n_docs")).alias("mean"), F.var_pop(rate).alias("spread")).first()
-    mean = mean or 0.0
-    weight = mean * (1 - mean) / spread - 1 if spread else PRIOR_WEIGHT[1]
-    weight = min(max(weight, PRIOR_WEIGHT[0]), PRIOR_WEIGHT[1])
-    shrunk = (F.col("n_failed") + weight * mean) / (F.col("n_docs") + weight)
-    return sums.withColumn("host_rate", shrunk).withColumn("host_rejected", shrunk >= limit)
+def prior(sums: DataFrame, failures: str) -> tuple[float, float]:
+    """Mean and weight (both parameters' sum) of the beta prior of a rate, from ``n_docs`` and ``failures`` by host.
 
-
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
+    The spread of the hosts' rates, weighted by documents, is expected to be
+    ``mean (1 - mean) ((k - 1) + r (n - sum(n_i ** 2) / n - (k - 1)))`` over ``k`` hosts with ``n`` documents,
+    where ``r`` is the prior's share of the variance, 1 / (weight + 1).
+    """
+    n, x = F.col("n_docs").cast("double"), F.col(failures).cast("double")
+    k, total, squares, failed, raw = sums.agg(F.count("*"), F.sum(n), F.sum(n * n), F.sum(x), F.sum(x * x / n)).first()
+    mean = failed / total if total else 0.0
+    if k < 2 or not 0 < mean < 1:
+        return mean, PRIOR_WEIGHT[1]
+    spread, room = raw - failed * mean, total - squares / total - (k - 1)
+    share = (spread / (mean * (1 - mean)) - (k - 1)) / room if room > 0 else 0.0
+    weight = 1 / share - 1 if share > 0 else PRIOR_WEIGHT[1]
+    return mean, min(max(weight, PRIOR_WEIGHT[0]), PRIOR_WEIGHT[1])
+
+
+def host_verdicts(rules: DataFrame, limit: float = HOST_LIMIT, rule_limit: float = RULE_LIMIT) -> DataFrame:
+    """``host``, ``n_docs``, failures and a shrunken rate per rule, ``host_rate`` (any rule), ``host_rejected``; null hosts have none."""
+    failures = {"any": "failed", **{r: r for r in RULES}}
+    counts = (F.sum(F.col(c).cast("long")).alias(f"n_{name}") for name, c in failures.items())
+    sums = saved(rules.where("host is not null").groupBy("host").agg(F.count("*").alias("n_docs"), *counts), "hosts")
+    out, rejected = sums, F.lit(False)
+    for name in failures:
+        mean, weight = prior(sums, f"n_{name}")
+        rate = (F.col(f"n_{name}") + weight * mean) / (F.col("n_docs") + weight)
+        out = out.withColumn("host_rate" if name == "any" else f"rate_{name}", rate)
+        rejected = rejected | (rate >= (limit if name == "any" else rule_limit))
+    return out.withColumn("host_rejected", rejected)
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: float = HOST_LIMIT, rule_limit: float = RULE_LIMIT) -> DataFrame:
     """The rules of every row with ``host_rate``, ``host_rejected`` and ``kept``.
 
-    A row is kept unless it fails a base rule or its host is rejected.  Rows are
-    returned as often as they come; extra columns are ignored.
+    A row is kept unless it fails a base rule or its host is rejected; a row without
+    a host has no rate and isn't rejected for one.  Rows are returned as often as
+    they come; extra columns are ignored.
     """
     rules = saved(document_rules(docs, id_col, text_col, host_col), "rules")
-    verdicts = host_verdicts(rules, limit).select(F.col("host").alias("_host"), "host_rate", "host_rejected")
-    joined = rules.join(verdicts, F.col("host").eqNullSafe(F.col("_host")), "left").drop("_host")
+    verdicts = host_verdicts(rules, limit, rule_limit).select(F.col("host").alias("_host"), "host_rate", "host_rejected")
+    joined = rules.join(verdicts, F.col("host") == F.col("_host"), "left").drop("_host").withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
