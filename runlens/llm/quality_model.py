@@ -2,8 +2,9 @@
 
 Statistics of a whole text go through cosines of random projections, which
 approximate a Gaussian kernel.  Every partition sums its share of the normal
-equations; the sums have a fixed size, whatever the corpus.  The ridge score is
-calibrated by pooled adjacent violators over a fixed grid of score bins.
+equations; the sums have a fixed size, whatever the corpus.  They are kept by fold,
+so that the rows of a fold get scores from weights that never saw them; these scores
+calibrate the ridge score by pooled adjacent violators over a fixed grid of bins.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 FEATURES, PENALTY, SEED, WIDTH, BINS = 160, 1e-5, 17, 3.0, 400
 #: Score range that the calibration's bins cover.
 LOW, HIGH = -0.5, 1.5
+#: Folds of the rows, by a hash of their id, for the scores that the calibration sees.
+FOLDS = 5
 #: Tasks that add up the partitions' sums before the driver adds these.
 SUM_TASKS = 8
 
@@ -100,12 +103,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _summed(rows: DataFrame, function, size: int) -> np.ndarray:
-    """Sum of ``function(stats, labels)``, an array of ``size`` doubles, over all rows: by partition, by task, then here."""
+    """Sum of ``function(stats, labels, folds)``, an array of ``size`` doubles, over all rows: by partition, by task, then here."""
 
     def partial(batches):
         total = np.zeros(size)
         for b in batches:
-            total += function(_matrix(b.column(0)), b.column(1).to_numpy(zero_copy_only=False))
+            total += function(_matrix(b.column(0)), *(b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2)))
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
 
     def add(batches):
@@ -132,13 +135,13 @@ def pooled(weight: np.ndarray, mean: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: DataFrame) -> Model:
-    """Fit to ``rows``: ``stats``, ``label`` (0 to 1; null: left out).
+    """Fit to ``rows``: ``id``, ``stats``, ``label`` (0 to 1; null: left out).
 
     All rows count; none are sampled.  Without rows every score is 0.5, and with
     one label alone every score is that label.
     """
-    rows = rows.where("label is not null").select("stats", F.col("label").cast("double").alias("label"))
-    moments = _summed(rows, lambda x, y: np.concatenate([[len(x), y.sum()], x.sum(0), (x * x).sum(0)]), 2 + 2 * N_STATS)
+    rows = rows.where("label is not null").select("stats", F.col("label").cast("double").alias("label"), F.pmod(F.xxhash64("id"), F.lit(FOLDS)).cast("int").alias("fold"))
+    moments = _summed(rows, lambda x, y, _: np.concatenate([[len(x), y.sum()], x.sum(0), (x * x).sum(0)]), 2 + 2 * N_STATS)
     n, positive = moments[:2]
     none = np.zeros(0)
     if n == 0 or positive in (0, n):
@@ -149,15 +152,19 @@ def fit(rows: DataFrame) -> Model:
     model = Model(mean, np.where(spread > 1e-6, spread, 1.0), rng.normal(size=(N_STATS, FEATURES)) / (WIDTH * np.sqrt(2)), rng.uniform(0, 2 * np.pi, FEATURES), none, none, none)
     size = FEATURES + N_STATS + 1
 
-    def normal(x, y):
+    def normal(x, y, folds):
         z = model.features(x)
-        return np.concatenate([(z.T @ z).ravel(), z.T @ y])
+        parts = ((z[folds == k], y[folds == k]) for k in range(FOLDS))
+        return np.concatenate([s for z, y in parts for s in ((z.T @ z).ravel(), z.T @ y)])
 
-    sums = _summed(rows, normal, size * size + size)
-    model.weights = np.linalg.solve(sums[: size * size].reshape(size, size) + PENALTY * n * np.eye(size), sums[size * size :])
+    sums = _summed(rows, normal, FOLDS * (size * size + size)).reshape(FOLDS, -1)
+    solved = lambda part: np.linalg.solve(part[: size * size].reshape(size, size) + PENALTY * n * np.eye(size), part[size * size :])
+    model.weights = solved(sums.sum(axis=0))
+    unseen = np.stack([solved(sums.sum(axis=0) - sums[k]) for k in range(FOLDS)])
 
-    def bins(x, y):
-        at = np.clip(((model.raw(x) - LOW) / (HIGH - LOW) * BINS).astype(int), 0, BINS - 1)
+    def bins(x, y, folds):
+        raw = (model.features(x) * unseen[folds]).sum(axis=1)
+        at = np.clip(((raw - LOW) / (HIGH - LOW) * BINS).astype(int), 0, BINS - 1)
         return np.concatenate([np.bincount(at, minlength=BINS), np.bincount(at, y, BINS)])
 
     counts, ones = np.split(_summed(rows, bins, 2 * BINS), 2)
@@ -194,6 +201,9 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", score
 
 
 def train(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> Model:
-    """Fit to the statistics that have a label; an id that is labelled more than once counts once, by its mean label."""
+    """Fit to the statistics that have a label; an id that is labelled more than once counts once, by its mean label.
+
+    Rows without an id have no label; rows that repeat an id count each.
+    """
     marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.avg(F.col(label_col).cast("double")).alias("label"))
     return fit(stats.join(marks, "id"))
