@@ -6,6 +6,7 @@ import sys
 from collections.abc import Callable
 from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from . import bpe, chat, decontam, langid, license_scan, neardup, pii, quality_m
 from .common import id_remainder, read_table, saved
 
 #: Place of the tokenizer file; a parameter of the query's builder.
-TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Remainders of crc32 of the id that are held out: (divisor, remainder).
 LANG_FOLD, QUALITY_FOLD = (4, 2), (5, 0)
 THRESHOLD = 0.3
@@ -52,8 +53,9 @@ def op6_simhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
-    archives, blocks = warc.archive_and_index(spark, read_table(spark, folder, "pages"))
-    return warc.read_pages(blocks, archives)
+    pages = read_table(spark, folder, "pages")
+    archives, index = warc.archive_and_index(spark, pages)
+    return warc.read_pages(pages, index, archives)
 
 
 def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
