@@ -22,12 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import let, saved
 
 SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 19
 #: Bits of the blocks of a fingerprint.
 BLOCKS = (13, 13, 13, 13, 12)
-#: Most item shingles that are broadcast at once; a larger benchmark is searched in parts.
+#: Most item shingles that are broadcast; those of a larger benchmark are joined by shuffling the corpus's shingles.
 BROADCAST_SHINGLES = 400_000
 
 
@@ -65,24 +65,30 @@ def benchmark_items(items: DataFrame, item_col: str = "item_id", text_col: str =
 
 
 def windows(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text", broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
-    """``doc_id``, ``start`` (word), ``n``, ``window`` (shingle hashes): item-sized windows of documents that share a shingle with an item."""
+    """``doc_id``, ``start`` (word), ``n``, ``window`` (shingle hashes): item-sized windows of documents that share a shingle with an item.
+
+    The corpus is read once, whatever the items' widths.  Where the items' shingles are
+    too many to broadcast, both sides are shuffled by shingle, without the documents'
+    other shingles, and the windows are cut from the documents that have hits.
+    """
     sizes = items.groupBy("width").agg(F.sum("n").alias("n")).orderBy("width").collect()  # five rows at most
-    out = None
-    for row in sizes:
-        hashes = F.transform(words(F.col(text_col).cast("string")), lambda x: F.xxhash64(x))
-        cut = docs.select(F.col(doc_col).cast("long").alias("doc_id"), hashes.alias("h")).select("doc_id", shingles(F.col("h"), row.width).alias("s"))
+    known = items.select("n", F.posexplode("shingles").alias("q", "shingle"), F.col("shingles").alias("all"))
+    known = known.select("n", "q", "shingle", F.get("all", F.col("q") - 1).alias("previous")).distinct()
+    text = F.col(text_col).cast("string")
+    row, hashes = F.xxhash64(F.col(doc_col).cast("long"), text), F.transform(words(text), lambda x: F.xxhash64(x))
+    by_width = let(hashes, lambda h: F.array(*(F.struct(F.lit(r.width).alias("width"), shingles(h, r.width).alias("s")) for r in sizes))) if sizes else F.array().cast("array<struct<width:int,s:array<bigint>>>")
+    cut = docs.select(F.col(doc_col).cast("long").alias("doc_id"), row.alias("row"), F.explode_outer(by_width).alias("x")).select("doc_id", "row", "x.width", "x.s")
+    # Only the first shingle of a run that fits the item puts a window; the others would put the same one.
+    first = (F.col("p") == 0) | F.col("previous").isNull() | (F.col("before") != F.col("previous"))
+    start = F.greatest(F.col("p") - F.col("q"), F.lit(0))
+    if sum(r.n for r in sizes) <= broadcast_shingles:
         each = cut.select("doc_id", "s", F.posexplode_outer("s").alias("p", "shingle"))  # plain posexplode would compute s once more, to test that it has elements
-        known = items.where(F.col("width") == row.width).select("n", F.posexplode("shingles").alias("q", "shingle"), F.col("shingles").alias("all"))
-        known = known.select("n", "q", "shingle", F.get("all", F.col("q") - 1).alias("previous")).distinct()
-        parts = -(-row.n // broadcast_shingles)
-        for k in range(parts):
-            share = known.where(F.pmod("shingle", F.lit(parts)) == k) if parts > 1 else known
-            # Only the first shingle of a run that fits the item puts a window; the others would put the same one.
-            hits = each.join(F.broadcast(share), "shingle").where((F.col("p") == 0) | F.col("previous").isNull() | (F.get("s", F.col("p") - 1) != F.col("previous")))
-            start = F.greatest(F.col("p") - F.col("q"), F.lit(0))
-            found = hits.select("doc_id", start.alias("start"), "n", F.slice("s", start + 1, F.col("n")).alias("window"))
-            out = found if out is None else out.unionByName(found)
-    return out
+        hits = each.join(F.broadcast(known), "shingle").withColumn("before", F.get("s", F.col("p") - 1)).where(first)
+        return hits.select("doc_id", start.alias("start"), "n", F.slice("s", start + 1, F.col("n")).alias("window"))
+    each = cut.select("row", "width", F.inline_outer(F.transform("s", lambda x, p: F.struct(p.alias("p"), x.alias("shingle"), F.get("s", p - 1).alias("before")))))
+    hits = saved(each.join(known, "shingle").where(first).select("row", "width", start.alias("start"), "n").distinct(), "hits")
+    holding = cut.join(hits.select("row", "width").distinct(), ["row", "width"])
+    return holding.join(hits, ["row", "width"]).select("doc_id", "start", "n", F.slice("s", F.col("start") + 1, F.col("n")).alias("window"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
@@ -92,11 +98,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_col: str = "doc_id", text_c
     match nothing.  Rows that repeat an id count together.  Extra columns are
     ignored.
     """
-    spark = docs.sparkSession
     items = saved(benchmark_items(benchmark, item_col, item_text_col), "items")
     laid = windows(docs, items, doc_col, text_col, broadcast_shingles)
-    if laid is None:
-        return spark.createDataFrame([], "doc_id long, item_id long, similarity double, start_word int, n_shingles int")
     laid = saved(laid.withColumn("content", F.xxhash64("n", "window")), "windows")
     contents = saved(laid.groupBy("content", "n").agg(F.first("window").alias("window")).withColumn("fp", simhash(F.col("window"))), "contents")
 
