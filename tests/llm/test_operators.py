@@ -6,6 +6,7 @@ import itertools
 import random
 import re
 import struct
+import time
 from collections import Counter
 
 import pytest
@@ -59,7 +60,7 @@ def test_bad_host_is_rejected(spark):
 
 def test_license_scan(spark):
     mit = license_scan.TEMPLATES["mit"]
-    texts = [*AWKWARD, "CC BY cc-by\nAll Rights\nReserved!", "GNU General Public License", prose(6, 50) + "\n" + mit.upper().replace(" free ", " ") + "\n" + prose(7, 9), "mit license permission granted"]
+    texts = [*AWKWARD, "CC BY cc-by\nAll Rights\nReserved!", "GNU General Public License", prose(6, 50) + "\n" + mit.upper().replace(" free ", " ") + "\n" + prose(7, 9), "mit license permission granted", mit.replace(" ", "\n * "), "\n\n".join(" ".join(mit.split()[k : k + 5]) for k in range(0, 25, 5)), " ".join(f"{w} {prose(k, 2)}" for k, w in enumerate(mit.split()))]
     got = {r.id: r for r in license_scan.scan(docs(spark, texts)).collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
@@ -67,16 +68,25 @@ def test_license_scan(spark):
         at = [(k, label) for p, label in license_scan.PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
         r = got[i]
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(w), len(at), min((k for k, _ in at), default=None), max((k for k, _ in at), default=None), ",".join(sorted({x for _, x in at})))
-        lines = (t or "").split("\n")
-        want = {x for _, x in at}
+        want, score = {x for _, x in at}, float(bool(at))
         for label, words in license_scan.TEMPLATES.items():
             template = set(words.split())
-            for k in range(len(lines)):
-                block = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower("\n".join(lines[k : k + license_scan.LINES]))))
-                if 10 * len(template & block) >= license_scan.THRESHOLD_TENTHS * len(template):
+            for k in range(len(w)):
+                held = len(template & set(w[k : k + license_scan.BLOCK_WORDS]))
+                if 10 * held >= license_scan.THRESHOLD_TENTHS * len(template):
                     want.add(label)
-        assert r.labels == ",".join(sorted(want)) and 0 <= r.score <= 1
-    assert "mit" in got[len(AWKWARD) + 2].labels
+                    score = max(score, held / len(template))
+        assert r.labels == ",".join(sorted(want)) and abs(r.score - score) < 1e-12
+    for k in (2, 4, 5):
+        assert "mit" in got[len(AWKWARD) + k].labels
+    assert not got[len(AWKWARD) + 6].labels
+
+
+def test_license_scan_of_many_lines(spark):
+    text = "licensed under the apache license version 2 0\n" + "the license\nof it\n" * 50_000
+    began = time.time()
+    row = license_scan.scan(docs(spark, [text])).first()
+    assert row.labels == "apache-2.0" and row.n_words == 200_008 and time.time() - began < 60
 
 
 @pytest.mark.parametrize("bucket", [64, 1])
@@ -220,8 +230,10 @@ def test_chats(spark):
 
 def test_archives(spark):
     pages = [(1, "https://a.example.com:8080/x?y#z", "<p>ä\r\n\r\nb</p>"), (2, "http://EXAMPLE.com", None), (3, None, ""), (4, "http://example.com/", "<p>ä\r\n\r\nb</p>"), (None, "http://n.org/", "none"), (6, "http://[bad", "q" * 200_000)]
-    folder, blocks = warc.archive_and_index(spark, spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, sha int"))
-    got = {r.page_id: r for r in warc.read_pages(blocks, folder).collect()}
+    table = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, sha int")
+    folder, index = warc.archive_and_index(spark, table)
+    got = {r.page_id: r for r in warc.read_pages(table, index, folder).collect()}
+    assert len(got) == len(pages)
     best = {}
     for i, _, h in pages:
         best[h or ""] = max(best.get(h or "", -1), i or -1)
@@ -230,19 +242,34 @@ def test_archives(spark):
         revisit = i is not None and keeper != i
         r = got[i]
         assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if revisit else "response", keeper if revisit else None)
-    found = warc.lookup(blocks, folder, ["http://example.com/", "http://n.org/", "http://no.where/"])
+    found = warc.lookup(index, folder, ["http://example.com/", "http://n.org/", "http://no.where/"])
     assert sorted(x[0] for x in found["http://example.com/"]) == [2, 4] and found["http://n.org/"][0][2] == b"none" and found["http://no.where/"] == []
 
 
+@pytest.mark.parametrize("lines", [2, 7, 1000])
+def test_index_of_many_captures(spark, monkeypatch, lines):
+    monkeypatch.setattr(warc, "BLOCK_LINES", lines)
+    rows = [(k, "http://hot.org/" if k % 3 else f"http://h{k % 7}.org/{k % 11}", f"page {k // 2}") for k in range(400)]
+    rows += rows[:5] + [(None, "http://hot.org/", "x"), (None, None, None), (None, None, None)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder, index = warc.archive_and_index(spark, table)
+    got = Counter((r.page_id, r.payload_digest) for r in warc.read_pages(table, index, folder).collect())
+    assert got == Counter((i, warc.payload_digest((h or "").encode())) for i, _, h in rows)
+    found = warc.lookup(index, folder, ["http://hot.org/", "http://h3.org/3", "http://h9.org/"])
+    for u, captures in found.items():
+        assert sorted(i if i is not None else -1 for i, _, _ in captures) == sorted(-1 if i is None else i for i, x, _ in rows if x == u)
+    assert warc.read_pages(table.limit(0), warc.archive_and_index(spark, table.limit(0))[1], folder).count() == 0
+
+
 def test_language(spark):
     r = random.Random(4)
     word = lambda s: "".join(r.choice(s) for _ in range(5))
     text = lambda lang: " ".join(word("abcde" if lang == "x" else "deéfg") for _ in range(60))
     rows = [(i, text("xy"[i % 2]), "xy"[i % 2]) for i in range(120)]
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    test = [(i, text("xy"[i % 2]), None) for i in range(40)] + [(40, None, None), (41, "12 !", None), (42, "A", None)]
+    test = [(i, text("xy"[i % 2]), None) for i in range(40)] + [(40, None, None), (41, "½ ² ٣ 12 !", None), (42, "A", None), (42, "A", None), (43, "", None), (44, text("x") * 9000, None)]
     got = {p.id: p for p in langid.predict(spark.createDataFrame(test, "doc_id long, text string, lang string"), model).collect()}
-    assert all(got[i].lang_pred == "xy"[i % 2] for i in range(40)) and got[40].lang_pred == got[41].lang_pred == "und" and got[42].lang_pred in "xy"
+    assert all(got[i].lang_pred == "xy"[i % 2] for i in range(40)) and {got[k].lang_pred for k in (40, 41, 43)} == {"und"} and got[42].lang_pred in "xy" and got[44].lang_pred == "x"
     # The vectorised code length equals one computed byte by byte.
     data = test[0][1].encode()
     for k in range(2):
