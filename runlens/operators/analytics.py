@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.functions.steps import COMPLETED, FAILED, seconds_between
+from runlens.functions.steps import COMPLETED, FAILED, seconds_between, trend_arrow, trend_points
 
 #: Days by window name; an unknown name is a week.
 WINDOWS = {"24h": 1, "7d": 7, "30d": 30}
@@ -52,7 +52,7 @@ def window_trend(wf: DataFrame, now: Column, window: str = "7d") -> DataFrame:
     halves = days.withColumn("newer", place > F.floor(n / 2)).withColumn("n", n)
     rate = lambda cond: F.sum(F.when(cond, F.col("completed"))) / F.nullif(F.sum(F.when(cond, F.col("completed") + F.col("failed"))), F.lit(0))
     points = F.round((rate(F.col("newer")) - rate(~F.col("newer"))) * 100, 1)
-    return halves.agg(F.when(F.max("n") >= 2, points).alias("completion_points")).withColumn("failure_points", -F.col("completion_points"))
+    return halves.agg(F.when(F.max("n") >= 2, points).alias("completion_points")).withColumn("failure_points", -F.col("completion_points")).withColumns({"arrow": trend_arrow(F.col("completion_points")), "points": trend_points(F.col("completion_points"))})
 
 
 def top_errors(errors: DataFrame, wf: DataFrame, now: Column, window: str = "7d", job_class: str | None = None, limit: int = 8) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.functions.steps import COMPLETED, FAILED, IDLE, LOG_COMPLETED, RUNNING, STALLED, now_at, seconds_after
+from runlens.functions.steps import COMPLETED, FAILED, IDLE, LOG_COMPLETED, RUNNING, STALLED
 
-LEAST_INTERVAL, MOST_INTERVAL, REKICKS, REKICK_AFTER = 5, 300, 200, 300
+REKICKS, REKICK_AFTER = 200, 300
 
 
 def _children(wf: DataFrame, logs: DataFrame) -> DataFrame:
@@ -21,7 +23,7 @@ def branch_health(wf: DataFrame, logs: DataFrame) -> DataFrame:
     s = F.col("state")
     d = _children(wf, logs).groupBy("branch_id", "parent_id", "sealed").agg(
         F.count("child_id").alias("spawned"), F.count_if(s != COMPLETED).alias("pending"), F.count_if(s.isin(FAILED, STALLED)).alias("blocked"), F.count_if((s == IDLE) & F.col("started_at").isNull()).alias("never_started"),
-        F.count_if(s == RUNNING).alias("running"), F.count_if(s == FAILED).alias("failed"),
+        F.count_if(s == RUNNING).alias("running"), F.count_if(s == FAILED).alias("failed"), F.count_if((s == RUNNING) | ((s == IDLE) & F.col("started_at").isNull())).alias("progressing"),
     )
     status = F.when(F.col("failed") > 0, "failed").when(F.col("pending") > 0, "active").when(F.col("spawned") > 0, "done").otherwise("not_reached")
     return d.withColumn("done", F.col("sealed") & (F.col("pending") == 0)).withColumn("status", status)
@@ -51,20 +53,6 @@ def drain(wf: DataFrame, now: Column, polls: int = 7, every_days: int = 7) -> Da
     return d.withColumn("drained", F.greatest(F.coalesce(before - F.col("pending"), F.lit(0)), F.lit(0))).withColumn("rate", F.col("drained") / F.lit(every_days * 86400.0))
 
 
-def merge_throughput(wf: DataFrame, now: Column) -> DataFrame:
-    """Last poll per branch: rate, pending and seconds until drained (none without a rate)."""
-    d = drain(wf, now)
-    last = d.groupBy("branch_id").agg(F.max_by("pending", "poll").alias("pending"), F.max_by("rate", "poll").alias("rate"))
-    return last.select("branch_id", "pending", "rate", F.when(F.col("rate") > 0, F.round(F.col("pending") / F.col("rate"))).cast("bigint").alias("eta_seconds"))
-
-
-def poll_cadence(wf: DataFrame, logs: DataFrame, now: Column) -> DataFrame:
-    """Seconds to the next poll: half the time to drain within limits, else the least while something runs or has yet to start, else the most."""
-    d = branch_health(wf, logs).select("branch_id", "running", "never_started").join(merge_throughput(wf, now), "branch_id")
-    half = F.least(F.greatest(F.col("pending") / F.col("rate") * 0.5, F.lit(float(LEAST_INTERVAL))), F.lit(float(MOST_INTERVAL)))
-    return d.select("branch_id", F.when(F.col("rate") > 0, half).when((F.col("running") > 0) | (F.col("never_started") > 0), float(LEAST_INTERVAL)).otherwise(float(MOST_INTERVAL)).alias("interval"))
-
-
 def rekick_candidates(wf: DataFrame, logs: DataFrame, now: Column, most: int = REKICKS) -> DataFrame:
     d = _children(wf, logs).where((F.col("state") == IDLE) & F.col("started_at").isNull() & (F.col("updated_at") < F.timestamp_add("SECOND", F.lit(-REKICK_AFTER), now)))
     return d.withColumn("place", F.row_number().over(Window.partitionBy("branch_id").orderBy("child_id"))).where(F.col("place") <= most).select("branch_id", "child_id", "place")
@@ -77,6 +65,17 @@ def expired(wf: DataFrame, now: Column, completed_days: int, failed_days: int) -
     return wf.where(((s == COMPLETED) & (F.col("completed_at") <= ago(completed_days))) | ((s == FAILED) & (F.col("updated_at") <= ago(failed_days))))
 
 
+def cleanup_counts(wf: DataFrame, logs: DataFrame, errors: DataFrame, pruned: DataFrame, now: Column, completed_days: int, failed_days: int) -> DataFrame:
+    """Rows that a cleanup deletes, by table, and children that lose their parent; ``pruned``: ids of runs that are pruned besides.
+
+    Runs of deleted workflows count as execution logs, not as pruned runs.
+    """
+    gone = expired(wf, now, completed_days, failed_days).select(F.col("id").alias("workflow_id"))
+    kept_runs = logs.join(pruned.select("id"), "id", "left_semi").join(gone, "workflow_id", "left_anti")
+    counted = {"workflows": gone, "execution_logs": logs.join(gone, "workflow_id", "left_semi"), "error_logs": errors.join(gone, "workflow_id", "left_semi"), "repetition_logs": kept_runs, "orphaned_children": orphaned_children(wf, logs, now, completed_days, failed_days)}
+    return reduce(DataFrame.unionByName, (rows.agg(F.count("*").alias("rows")).select(F.lit(name).alias("category"), "rows") for name, rows in counted.items()))
+
+
 def survivors(wf: DataFrame, now: Column, completed_days: int, failed_days: int) -> DataFrame:
     return wf.join(expired(wf, now, completed_days, failed_days).select("id"), "id", "left_anti")
 
@@ -87,58 +86,32 @@ def orphaned_children(wf: DataFrame, logs: DataFrame, now: Column, completed_day
     return survivors(wf, now, completed_days, failed_days).join(gone, "parent_execution_log_id", "left_semi").select("id")
 
 
-def fast_forward(logs: DataFrame, now: Column, timeout: int = 3600) -> DataFrame:
-    """Fixed grids: ticks of every periodic task that expired by ``now``, and the first that did not."""
-    every = (F.pmod(F.col("workflow_id"), F.lit(5)) + 1) * 3600
-    at = F.to_timestamp_ntz(F.get_json_object("metadata", "$.last_execution_at"), F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    d = logs.where((F.col("step_name") == "durably_repeat$sync_job") & F.col("metadata").isNotNull()).select("workflow_id", every.alias("every"), at.alias("last_at"))
-    late = F.timestamp_diff("SECOND", F.col("last_at"), F.timestamp_add("SECOND", F.lit(-timeout), now))
-    n = F.greatest(F.ceil(late / F.col("every")).cast("bigint") - 1, F.lit(0))
-    return d.withColumn("skipped", n).select("workflow_id", "every", "skipped", F.date_format(seconds_after(F.col("last_at"), (n + 1) * F.col("every")), "yyyy-MM-dd HH:mm:ss").alias("next_at"))
-
-
-def calendar_grid(wf: DataFrame, now: Column, most: int = 40) -> DataFrame:
-    """Monthly ticks from 400 days before creation: every tick is a month after the last, and a day cut short stays short."""
-    start = F.to_date(F.timestamp_add("DAY", F.lit(-400), F.col("created_at")))
-    today = F.to_date(now)
-    step = lambda a, _: F.when(a["tick"] < today, F.struct(F.add_months(a["tick"], 1).alias("tick"), (a["n"] + 1).alias("n"))).otherwise(a)
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.struct(start.alias("tick"), F.lit(0).alias("n")), step)
-    return wf.select("id", walked.alias("w")).select("id", F.col("w.tick").cast("string").alias("next_tick"), F.col("w.n").cast("bigint").alias("ticks"))
-
-
-def backoff_bounds(errors: DataFrame, base: float = 1.0, cap: float = 30.0, most: int = 3) -> DataFrame:
-    """Least and most seconds before the next try with equal jitter, and whether there is one."""
-    delay = F.least(F.lit(cap), F.lit(base) * F.pow(F.lit(2.0), F.col("attempt") - 1))
-    return errors.select("id", "attempt", (delay / 2).alias("backoff_min"), delay.alias("backoff_max"), (F.col("attempt") < most).alias("retries"))
-
-
-#: Policies in order: (name, error classes, attempts); the last takes any class.
-POLICIES = (("flaky", ("Err0", "Err1"), 5), ("strict", ("Err2",), 1), ("any", None, 3))
-
-
-def retry_routing(errors: DataFrame) -> DataFrame:
-    """The first policy that matches an error, and the error's number within the workflow's budget for it."""
-    c, policy, budget = F.col("error_class"), None, None
-    for name, classes, attempts in POLICIES:
-        cond = F.lit(True) if classes is None else c.isin(*classes)
-        policy = F.when(cond, name) if policy is None else policy.when(cond, name)
-        budget = F.when(cond, attempts) if budget is None else budget.when(cond, attempts)
-    used = F.row_number().over(Window.partitionBy("workflow_id", "policy").orderBy("created_at", "id"))
-    return errors.select("id", "workflow_id", "created_at", policy.alias("policy"), budget.alias("budget")).withColumn("used", used).select("id", "policy", "used", (F.col("used") < F.col("budget")).alias("retries"))
-
-
 def complete_without_merge(wf: DataFrame, logs: DataFrame) -> DataFrame:
     """Completed workflows that the completion gate would have held: some branch of theirs isn't merged."""
     held = merge_states(logs).where("merge_state <> 'merged'").groupBy(F.col("workflow_id").alias("id")).agg(F.count("*").alias("open_branches"))
     return wf.where(F.col("state") == COMPLETED).select("id", "key").join(held, "id")
 
 
-def percentiles(wf: DataFrame, start: str, end: str) -> DataFrame:
-    """Mean, exact percentiles and maximum of the seconds between two columns, over completed workflows by class."""
+def percentiles(wf: DataFrame, start: str, end: str, points: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """Mean, exact percentiles and maximum of the seconds between two columns, over completed workflows by class.
+
+    Workflows are counted by class and second first.  Only these counts, as many as
+    there are different durations, are put in order to find the ranks around a
+    percentile, between which it lies in proportion.
+    """
     x = F.timestamp_diff("SECOND", F.col(start), F.col(end))
-    d = wf.where((F.col("state") == COMPLETED) & F.col(start).isNotNull()).select("job_class", x.alias("x"))
-    p = lambda q: F.round(F.percentile("x", F.lit(q)), 6)
-    return d.groupBy("job_class").agg(F.round(F.avg("x"), 6).alias("mean"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.max("x").alias("longest"))
+    counts = wf.where((F.col("state") == COMPLETED) & F.col(start).isNotNull()).select("job_class", x.alias("x")).groupBy("job_class", "x").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("job_class").orderBy("x"))
+    ranked = counts.select("*", upto.alias("upto"), F.sum("n").over(Window.partitionBy("job_class")).alias("total"))
+
+    def point(q: float) -> Column:
+        at = (F.max("total") - 1) * q
+        value = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("x")))
+        low, high = value(F.floor((F.col("total") - 1) * q)), value(F.ceil((F.col("total") - 1) * q))
+        return F.round(low + (high - low) * (at - F.floor(at)), 6)
+
+    named = [point(q).alias(f"p{round(q * 100)}") for q in points]
+    return ranked.groupBy("job_class").agg(F.round(F.sum(F.col("x") * F.col("n")) / F.sum("n"), 6).alias("mean"), *named, F.max("x").alias("longest"))
 
 
 def throughput(wf: DataFrame) -> DataFrame:

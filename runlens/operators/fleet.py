@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.functions.steps import COMPLETED, FAILED, IDLE, RUNNING, STALLED, STATES, human_duration, label, seconds_between, state_name
+from runlens.functions.steps import COMPLETED, FAILED, IDLE, RUNNING, STALLED, STATES, human_duration, label, percent, seconds_between, state_name, state_place
 
 IN_FLIGHT, BLOCKED = (IDLE, RUNNING), (FAILED, STALLED)
-CAP, MOST_ROWS, STALE_SECONDS = 5000, 200, 1800
+CAP, MOST_ROWS, STALE_SECONDS, STRANDED_SHOWN = 5000, 200, 1800, 500
 
 
 def _counts() -> list[Column]:
@@ -28,13 +28,13 @@ def fleet_totals(wf: DataFrame) -> DataFrame:
 def class_share(wf: DataFrame) -> DataFrame:
     """Percent of processed workflows by class, rounded; 0 where nothing is processed."""
     total = F.sum("processed").over(Window.partitionBy())
-    return fleet_overview(wf).select("job_class", "processed", F.when(total == 0, F.lit(0)).otherwise(F.round(F.col("processed") * 100 / total)).cast("bigint").alias("share"))
+    return fleet_overview(wf).select("job_class", "processed", F.when(total == 0, F.lit(0)).otherwise(F.round(F.col("processed") * 100 / total)).cast("bigint").alias("share"), F.col("blocked"), (F.col("blocked") / F.nullif(F.col("total"), F.lit(0))).alias("blocked_rate")).withColumn("blocked_shown", percent(F.col("blocked_rate")))
 
 
 def state_stats(wf: DataFrame, cap: int = CAP) -> DataFrame:
     """Workflows per state, every state included, counted up to ``cap``."""
     counts = wf.groupBy().agg(*(F.count_if(F.col("state") == k).alias(s) for k, s in enumerate(STATES)))
-    return counts.select(F.inline(F.array(*(F.struct(F.lit(s).alias("state"), F.least(F.col(s), F.lit(cap)).alias("capped"), F.when(F.col(s) >= cap, F.lit(f"{cap}+")).otherwise(F.col(s).cast("string")).alias("shown")) for s in STATES))))
+    return counts.select(F.inline(F.array(*(F.struct(F.lit(s).alias("state"), state_place(F.lit(s)).alias("place"), F.least(F.col(s), F.lit(cap)).alias("capped"), F.when(F.col(s) >= cap, F.lit(f"{cap}+")).otherwise(F.col(s).cast("string")).alias("shown")) for s in STATES))))
 
 
 def select_workflows(wf: DataFrame, state: str | None = None, job_class: str | None = None, key_prefix: str | None = None, created_from: Column | None = None, created_to: Column | None = None, top_level: bool = False) -> DataFrame:
@@ -65,11 +65,18 @@ def page(rows: DataFrame, per: int = 50, before: int | None = None, after: int |
 
 
 def stranded(wf: DataFrame, now: Column, stale_seconds: int = STALE_SECONDS) -> DataFrame:
-    """Running workflows whose lock is older than ``stale_seconds``."""
+    """Running workflows whose lock is older than ``stale_seconds``: all that a reaper would start again."""
     age = seconds_between(F.col("locked_at"), now)
     return wf.where((F.col("state") == RUNNING) & (F.col("locked_at") < F.timestamp_add("SECOND", F.lit(-stale_seconds), now))).select("id", "key", "locked_by", label(F.col("locked_at")).alias("locked_at"), age.cast("bigint").alias("lock_seconds"))
 
 
+def stranded_page(wf: DataFrame, now: Column, cap: int = STRANDED_SHOWN, stale_seconds: int = STALE_SECONDS) -> DataFrame:
+    """The ``cap`` stranded workflows with the oldest locks, their place, and whether there are more."""
+    oldest = stranded(wf, now, stale_seconds).orderBy("locked_at", "id").limit(cap + 1)
+    place = F.row_number().over(Window.orderBy("locked_at", "id"))
+    return oldest.select("*", place.alias("place"), (F.count("*").over(Window.partitionBy()) > cap).alias("capped")).where(F.col("place") <= cap)
+
+
 def row_durations(wf: DataFrame, now: Column) -> DataFrame:
     """Whole seconds a workflow took or has taken; none for idle ones and where the clock runs backwards."""
     s, begun = F.col("state"), F.col("started_at")

@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.functions.steps import IDLE, LOG_COMPLETED, LOG_FAILED, LOG_PENDING, label, now_at, seconds_after, seconds_between, step_kind, step_label, step_number
+from runlens.functions.steps import IDLE, LOG_COMPLETED, LOG_FAILED, LOG_PENDING, attempts_note, duration_steps, human_duration, kind_label, label, now_at, of_kinds, parsed, seconds_after, seconds_between
 
 LONG_WAIT, LATENCIES, EPOCH = 3600, 20, "1970-01-01 00:00:00"
 
 
-def parsed(logs: DataFrame) -> DataFrame:
-    step = F.col("step_name")
-    return logs.withColumns({"kind": step_kind(step), "step": step_label(step), "number": step_number(step)})
-
-
 def active_waits(wf: DataFrame, logs: DataFrame) -> DataFrame:
     """The latest pending wait of every idle workflow: later start wins, no start loses, then the larger id."""
-    pending = parsed(logs).where(F.col("kind").isin("wait", "continue") & (F.col("state") == LOG_PENDING))
+    pending = of_kinds(logs.where(F.col("state") == LOG_PENDING), "wait", "continue")
     last = F.row_number().over(Window.partitionBy("workflow_id").orderBy(F.desc_nulls_last("started_at"), F.desc("id")))
     latest = pending.withColumn("_n", last).where("_n = 1").select("workflow_id", "kind", F.col("step").alias("condition"), F.col("started_at").alias("waiting_since"), F.to_timestamp_ntz(F.get_json_object("metadata", "$.timeout_at"), F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("timeout_at"))
     return wf.where(F.col("state") == IDLE).select(F.col("id").alias("workflow_id"), "job_class").join(latest, "workflow_id")
@@ -65,26 +59,26 @@ def repetition_lateness(logs: DataFrame, step: str) -> DataFrame:
 
 def periodic_health(logs: DataFrame) -> DataFrame:
     """Per workflow and periodic step: last execution on record, next run due, ticks missed."""
-    d = parsed(logs)
-    tasks = d.where(F.col("kind") == "repeat_coordination").select("workflow_id", "step", F.get_json_object("metadata", "$.last_execution_at").alias("last_execution_at"))
+    tasks = of_kinds(logs, "repeat_coordination").select("workflow_id", "step", F.get_json_object("metadata", "$.last_execution_at").alias("last_execution_at"))
     missed = (F.col("error_class") == "TimeoutError")
-    runs = d.where(F.col("kind") == "repeat_run").groupBy("workflow_id", "step").agg(F.max(F.when(F.col("state") == LOG_PENDING, F.col("number"))).alias("next_due"), F.coalesce(F.sum(F.when(missed, _skipped())), F.lit(0)).alias("missed_ticks"))
+    runs = of_kinds(logs, "repeat_run").groupBy("workflow_id", "step").agg(F.max(F.when(F.col("state") == LOG_PENDING, F.col("number"))).alias("next_due"), F.coalesce(F.sum(F.when(missed, _skipped())), F.lit(0)).alias("missed_ticks"))
     return tasks.join(runs, ["workflow_id", "step"], "left").select("workflow_id", "step", "last_execution_at", "next_due", F.coalesce("missed_ticks", F.lit(0)).alias("missed_ticks"))
 
 
 def recent_latencies(logs: DataFrame, most: int = LATENCIES) -> DataFrame:
-    """Per workflow and periodic step: mean and last lateness of the last ``most`` completed runs."""
-    d = parsed(logs).where((F.col("kind") == "repeat_run") & (F.col("state") == LOG_COMPLETED))
-    d = d.withColumn("latency", seconds_between(seconds_after(now_at(EPOCH), F.col("number")), F.col("started_at")).cast("bigint"))
+    """Per workflow and periodic step: mean and last of the whole seconds that the last ``most`` completed runs took."""
+    took = seconds_between(F.col("started_at"), F.col("completed_at")).cast("bigint")
+    d = of_kinds(logs.where(F.col("state") == LOG_COMPLETED), "repeat_run").withColumn("latency", took).where("latency is not null")
     d = d.withColumn("_n", F.row_number().over(Window.partitionBy("workflow_id", "step").orderBy(F.desc("id")))).where(F.col("_n") <= most)
-    return d.groupBy("workflow_id", "step").agg(F.count("*").alias("runs"), F.avg("latency").alias("mean_latency"), F.max_by("latency", "id").alias("last_latency"))
+    d = d.groupBy("workflow_id", "step").agg(F.count("*").alias("runs"), F.avg("latency").alias("mean_latency"), F.max_by("latency", "id").alias("last_latency"))
+    shown = F.concat(F.lit("avg "), F.round("mean_latency").cast("bigint").cast("string"), F.lit("s · last "), F.col("last_latency").cast("string"), F.lit("s"))
+    return d.withColumn("shown", shown)
 
 
 def prunable_repetitions(logs: DataFrame, cutoff: Column) -> DataFrame:
     """Finished runs scheduled before the cutoff and before their task's frontier; without a frontier nothing is pruned."""
-    d = parsed(logs)
-    frontier = d.where(F.col("kind") == "repeat_coordination").select("workflow_id", "step", F.to_timestamp_ntz(F.get_json_object("metadata", "$.last_execution_at"), F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("frontier"))
-    runs = d.where((F.col("kind") == "repeat_run") & (F.col("state") != LOG_PENDING)).withColumn("scheduled", seconds_after(now_at(EPOCH), F.col("number"))).where(F.col("scheduled") < cutoff)
+    frontier = of_kinds(logs, "repeat_coordination").select("workflow_id", "step", F.to_timestamp_ntz(F.get_json_object("metadata", "$.last_execution_at"), F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("frontier"))
+    runs = of_kinds(logs.where(F.col("state") != LOG_PENDING), "repeat_run").withColumn("scheduled", seconds_after(now_at(EPOCH), F.col("number"))).where(F.col("scheduled") < cutoff)
     return runs.join(frontier, ["workflow_id", "step"]).where(F.col("scheduled") < F.col("frontier")).select("id")
 
 
@@ -96,34 +90,53 @@ def timeline(logs: DataFrame, errors: DataFrame) -> DataFrame:
     return d.select("id", "workflow_id", "step_name", "kind", place.alias("place")).join(counts, ["workflow_id", "step_name"], "left").select("id", "kind", "place", F.coalesce("errors", F.lit(0)).alias("errors"), "last_attempt")
 
 
-def context_budget(logs: DataFrame, budget: int = 60, omitted: str = "<<omitted>>") -> DataFrame:
-    """Recorded values of a workflow's steps, in order of id, as far as a budget of bytes goes.
+def orphan_errors(logs: DataFrame, errors: DataFrame) -> DataFrame:
+    """Errors that belong to no step of their workflow's timeline."""
+    return errors.join(logs.select("workflow_id", "step_name"), ["workflow_id", "step_name"], "left_anti").where(F.col("step_name").isNull() | ~F.col("step_name").rlike(r"^durably_repeat\$.+\$")).select("id", "error_class", "attempt")
 
-    A value is kept if it fits into what is left; one that doesn't is replaced by
-    ``omitted`` and uses nothing up, so that later, smaller values may still fit.
-    No window function folds so: what is left depends on earlier decisions.  Sorted
-    rows stream past, and a task holds one number per workflow.
-    """
 
-    def run(batches):
-        current, left = None, budget
-        for batch in batches:
-            workflows, ids, values = (c.to_pylist() for c in batch.columns)
-            kept = []
-            for w, value in zip(workflows, values):
-                if w != current:
-                    current, left = w, budget
-                size = len(value.encode())
-                kept.append(size <= left)
-                left -= size if size <= left else 0
-            shown = [v if k else omitted for v, k in zip(values, kept)]
-            yield pa.RecordBatch.from_arrays([pa.array(workflows, pa.int64()), pa.array(ids, pa.int64()), pa.array(kept), pa.array(shown, pa.string())], ["workflow_id", "id", "kept", "value"])
-
-    d = logs.select(F.col("workflow_id").cast("long").alias("workflow_id"), F.col("id").cast("long").alias("id"), F.coalesce("metadata", "error_class").alias("value")).where("value is not null")
-    ordered = d.repartition("workflow_id").sortWithinPartitions("workflow_id", "id", "value")
-    return ordered.mapInArrow(run, "workflow_id long, id long, kept boolean, value string")
+def failure_markers(logs: DataFrame, errors: DataFrame) -> DataFrame:
+    """Marks of failed workflows with the error that each names; ``missing_error_id`` where that error is gone."""
+    marks = of_kinds(logs, "lifecycle").where((F.col("step") == "failure") & F.col("number").isNotNull()).select("id", "workflow_id", "number")
+    named = errors.select("workflow_id", F.col("id").alias("number"), F.col("id").alias("error_id"), "error_class", "attempt")
+    return marks.join(named, ["workflow_id", "number"], "left").select("id", "workflow_id", "error_id", "error_class", "attempt", F.when(F.col("error_id").isNull(), F.col("number")).alias("missing_error_id"))
 
 
-def orphan_errors(logs: DataFrame, errors: DataFrame) -> DataFrame:
-    """Errors that belong to no step of their workflow's timeline."""
-    return errors.join(logs.select("workflow_id", "step_name"), ["workflow_id", "step_name"], "left_anti").where(F.col("step_name").isNull() | (step_kind(F.col("step_name")) != "repeat_run")).select("id", "error_class", "attempt")
+def timeline_errors(logs: DataFrame, errors: DataFrame) -> DataFrame:
+    """Errors as a timeline lists them: under their step, by attempt, then time, then id, with their place."""
+    steps = logs.where(~F.col("step_name").rlike(r"^durably_repeat\$.+\$")).select("workflow_id", "step_name", F.col("id").alias("step_id"))
+    place = F.row_number().over(Window.partitionBy("step_id").orderBy("attempt", "created_at", "error_id"))
+    return errors.select("workflow_id", "step_name", F.col("id").alias("error_id"), "attempt", "created_at", "error_class").join(steps, ["workflow_id", "step_name"]).select("step_id", "error_id", "attempt", "error_class", place.alias("place"))
+
+
+SLOW_STEP = 60
+
+
+def step_meters(logs: DataFrame) -> DataFrame:
+    """Finished steps of a timeline: their kind's label, a note on attempts, seconds, how long that is beside the workflow's longest step, and whether it is slow."""
+    took = F.floor(seconds_between(F.col("started_at"), F.col("completed_at"))).cast("bigint")
+    d = parsed(logs).where(F.col("kind") != "repeat_run").withColumn("seconds", took)
+    longest = F.max("seconds").over(Window.partitionBy("workflow_id"))
+    return d.select("id", "attempts", "kind", "seconds", longest.alias("longest")).where("seconds is not null").select("id", kind_label(F.col("kind")).alias("label"), attempts_note(F.col("kind"), F.col("attempts")).alias("note"), "seconds", human_duration(F.col("seconds")).alias("shown"), duration_steps(F.col("seconds"), F.col("longest")).alias("bar"), (F.col("seconds") >= SLOW_STEP).alias("slow"))
+
+
+def metadata_pairs(logs: DataFrame, hidden: tuple[str, ...]) -> DataFrame:
+    """Keys and values of steps' metadata worth listing: blank values and internal keys are left out, and underscores in keys are blanks."""
+    pairs = F.map_filter(F.from_json("metadata", "map<string,string>"), lambda k, v: v.isNotNull() & (v != "") & ~k.isin(*hidden))
+    return logs.where("metadata is not null").select("id", F.explode(pairs).alias("key", "value")).select("id", F.replace("key", F.lit("_"), F.lit(" ")).alias("key"), "value")
+
+
+WAITS_SHOWN = 500
+
+
+def oldest_idle_waits(wf: DataFrame, logs: DataFrame, now: Column, cap: int = WAITS_SHOWN) -> DataFrame:
+    """Waits of the ``cap`` idle workflows with the smallest ids: the cap comes before the waits are looked up, so fewer rows may come back.
+
+    ``capped`` tells whether there are more idle workflows than that; waits without a start sort as if they began now.
+    """
+    idle = wf.where(F.col("state") == IDLE).orderBy("id").limit(cap + 1)
+    place = F.row_number().over(Window.orderBy("id"))
+    first = idle.select("id", "job_class", "state", place.alias("_n"), (F.count("*").over(Window.partitionBy()) > cap).alias("capped")).where(F.col("_n") <= cap)
+    waits = active_waits(first, logs).join(first.select(F.col("id").alias("workflow_id"), "capped"), "workflow_id")
+    since = F.coalesce("waiting_since", now)
+    return waits.select("workflow_id", "job_class", "kind", "condition", label(F.col("waiting_since")).alias("waiting_since"), "capped", F.row_number().over(Window.orderBy(since, "workflow_id")).alias("place"))

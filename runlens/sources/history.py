@@ -25,8 +25,16 @@ class History:
     errors: DataFrame
 
 
+SCHEMAS = {
+    "workflows": "id long, key string, job_class string, state int, created_at timestamp_ntz, started_at timestamp_ntz, completed_at timestamp_ntz, updated_at timestamp_ntz, locked_at timestamp_ntz, locked_by string, parent_execution_log_id long",
+    "execution_logs": "id long, workflow_id long, step_name string, attempts int, started_at timestamp_ntz, completed_at timestamp_ntz, state int, error_class string, metadata string",
+    "error_logs": "id long, workflow_id long, step_name string, attempt int, error_class string, created_at timestamp_ntz",
+}
+
+
 def load(spark: SparkSession, folder: str) -> History:
-    return History(*(spark.read.parquet(f"{folder}/{n}.parquet") for n in ("workflows", "execution_logs", "error_logs")))
+    """History that is there as Parquet; columns that an older table lacks are null."""
+    return History(*(spark.read.schema(schema).parquet(f"{folder}/{name}.parquet") for name, schema in SCHEMAS.items()))
 
 
 def _mod(x: Column, n: int) -> Column:
@@ -78,6 +86,40 @@ def execution_logs(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     return steps.unionByName(orders.select(F.inline(rows)))
 
 
+def contexts(orders: DataFrame) -> DataFrame:
+    """``id`` and ``context``: the JSON document of every workflow, with values of several types and sizes."""
+    k = F.col("o_orderkey")
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    pairs = {"customer": F.col("o_custkey").cast("string"), "memo": quoted(F.repeat(F.lit("x"), _mod(k, 40).cast("int"))), "lines": F.concat(F.lit("["), _mod(k, 7).cast("string"), F.lit(",2]")), "status": quoted(F.col("o_orderstatus")), "done": F.when(_mod(k, 3) == 0, "null").otherwise((_mod(k, 2) == 0).cast("string")), "share": F.concat(F.lit("0."), (_mod(k, 9) + 1).cast("string"))}
+    parts = [F.concat(F.lit(f'"{name}":'), value) for name, value in pairs.items()]
+    return orders.select((k + 1).alias("id"), F.when(_mod(k, 11) != 0, F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))).otherwise("{}").alias("context"))
+
+
+def failure_marks(errors: DataFrame) -> DataFrame:
+    """A mark, as an execution log, for every second error; one in ten names an error that is gone."""
+    named = F.when(_mod(F.col("id"), 10) == 0, F.col("id") + 1_000_000_000).otherwise(F.col("id"))
+    return errors.where(_mod(F.col("id"), 2) == 0).select(F.col("id"), "workflow_id", F.concat(F.lit("$workflow_failure$"), named.cast("string")).alias("step_name"), F.lit(2).alias("state"))
+
+
+def poll_tokens(wf: DataFrame, rotated_at: int = 4) -> DataFrame:
+    """``branch_id``, ``token``, ``rotated_at`` (the number of a poll): every branch's first poller, and the one that replaced it."""
+    branches = wf.where(F.col("parent_execution_log_id").isNotNull()).select(F.col("parent_execution_log_id").alias("branch_id")).distinct()
+    return branches.select("branch_id", F.inline(F.array(*(F.struct(F.lit(t).alias("token"), F.lit(at).alias("rotated_at")) for t, at in (("first", 0), ("second", rotated_at))))))
+
+
+def poll_owners(polled: DataFrame, rotated_at: int = 4) -> DataFrame:
+    """Polls with the token of the poller that made them: the first poller of some branches goes on for a while after it was replaced."""
+    late = (F.col("poll") < rotated_at) | ((F.col("poll") < rotated_at + 2) & (_mod(F.col("branch_id"), 300) == 98))
+    return polled.withColumn("token", F.when(late, "first").otherwise("second"))
+
+
+#: Nodes of the definition that the derived workflows follow: (node, kind, step name, prefix of names known at run time).
+DEFINITION = (
+    ("n1", "branch", "branch$fulfil", None), ("n2", "merge", "merge$fulfil", None), ("n3", "repeat", "durably_repeat$sync_job", None), ("n4", "execute", "durably_execute$s1", None),
+    ("n5", "wait", "wait_until$c2", None), ("n6", "dynamic", None, "durably_execute$"), ("n7", "dynamic", None, "durably_execute$"), ("n8", "dynamic", None, "wait$"),
+)
+
+
 def error_logs(events: DataFrame) -> DataFrame:
     e = F.col("event_id")
     return events.where(F.col("event_type") == "error").select(

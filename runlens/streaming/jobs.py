@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: How late an event may come.
+DELAY = "1 day"
+#: The registered query reports waits that began before this, in UTC.
+WAITS_UPTO = "2024-01-29 00:00:00Z"
 
-def _events(spark: SparkSession, folder: str) -> DataFrame:
-    """The events as a stream, with their time in ``at`` and a watermark of a day."""
+
+def _events(spark: SparkSession, folder: str, delay: str = DELAY) -> DataFrame:
+    """The events as a stream, with their time in ``at`` and a watermark of ``delay``."""
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/events.parquet*")
-    return events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "1 day")
+    # The brackets make it a pattern, as a stream's source must be a folder or a pattern; it matches this name alone.
+    events = spark.readStream.schema(schema).parquet(f"{folder}/events.parque[t]")
+    return events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", delay)
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that driver and executors share; where none is set (on one machine), a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-runlens-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the one that driver and executors share; only on one machine a temporary one stands in."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(shared or tempfile.mkdtemp(prefix='spark-runlens-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def _appended(rows: DataFrame, name: str) -> DataFrame:
@@ -30,13 +39,61 @@ def _appended(rows: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(f"{folder}/rows")
 
 
-def stream_first_events(spark: SparkSession, folder: str) -> DataFrame:
+def _updated(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The last state of every key of a stream in update mode.
+
+    Every batch writes what changed into a folder of its number, so that a batch which
+    runs again replaces what it wrote; the largest number of a key holds.
+    """
+    spark, folder = rows.sparkSession, _folder(rows.sparkSession, name)
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+    rows.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    changes = spark.read.parquet(f"{folder}/rows")
+    rest = [c for c in rows.columns if c not in keys]
+    return changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("x")).select(*keys, "x.*")
+
+
+def first_events(events: DataFrame) -> DataFrame:
     """Exactly-once steps: of repeated deliveries of a user's step at one time a single one comes through.
 
-    Time is part of the key, so that the watermark clears the state of keys that can't come again.
+    Time is part of the key, so that the watermark clears the state of keys that can't
+    come again.  A delivery later than the watermark allows is dropped: with its key's
+    state gone, it can't be told from one that came through.
+    """
+    return events.select("user_id", "event_type", "at").dropDuplicates(["user_id", "event_type", "at"])
+
+
+def wait_outcomes(events: DataFrame, timeout: str = "1 hour") -> DataFrame:
+    """Waits (a user's ``signup``) with the events that end them (a ``purchase`` within the time-out), or without one once the watermark is past the time-out.
+
+    Waits whose time has not run out by the watermark are in the stream's state alone.
     """
-    once = _events(spark, folder).select("user_id", "event_type", "at").dropDuplicates(["user_id", "event_type", "at"])
-    return _appended(once, "first-events").select("user_id", "event_type", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+    waits = events.where("event_type = 'signup'").select("event_id", "user_id", F.col("at").alias("waiting_since"))
+    ends = events.where("event_type = 'purchase'").select(F.col("user_id").alias("by"), F.col("at").alias("met_at"))
+    within = (F.col("user_id") == F.col("by")) & (F.col("met_at") >= F.col("waiting_since")) & (F.col("met_at") <= F.col("waiting_since") + F.expr(f"INTERVAL {timeout}"))
+    return waits.join(ends, within, "leftOuter").select("event_id", "user_id", "waiting_since", "met_at")
+
+
+def drained(events: DataFrame) -> DataFrame:
+    """Children of every branch that were spawned (a user's ``signup``) and that are completed (a ``purchase``), so far; the state has two numbers a branch."""
+    of = lambda kind: F.count_if(F.col("event_type") == kind)
+    return events.groupBy("user_id").agg(of("signup").alias("spawned"), of("purchase").alias("completed"))
+
+
+def stream_first_events(spark: SparkSession, folder: str) -> DataFrame:
+    return _appended(first_events(_events(spark, folder)), "first-events").select("user_id", "event_type", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+def stream_wait_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every wait begun before ``WAITS_UPTO``, which the watermark is past by then, with the first event that met it or none."""
+    rows = _appended(wait_outcomes(_events(spark, folder)), "waits").where(F.col("waiting_since") < F.lit(WAITS_UPTO).cast("timestamp"))
+    first = rows.groupBy("event_id", "user_id", "waiting_since").agg(F.min("met_at").alias("met_at"))
+    return first.select("event_id", "user_id", F.date_format("met_at", "yyyy-MM-dd HH:mm:ss").alias("met_at"), F.when(F.col("met_at").isNull(), "timed_out").otherwise("met").alias("outcome"))
+
+
+def stream_drain(spark: SparkSession, folder: str) -> DataFrame:
+    """Pending children of every branch after the stream has read what is there."""
+    return _updated(drained(_events(spark, folder)), ["user_id"], "drain").select("user_id", "spawned", "completed", F.greatest(F.col("spawned") - F.col("completed"), F.lit(0)).alias("pending"))
 
 
 def stream_daily_errors(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from runlens.functions.steps import human_duration, now_at, step_kind, step_label, step_number
+from runlens.functions.steps import human_duration, now_at, parsed
 from runlens.operators import analytics, branches, fleet
 from runlens.plans import oracle, queries
 from runlens.sources.history import NOW
@@ -23,7 +23,7 @@ def plain(x):
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("orders", "lineitem", "events"):
+    for t in ("orders", "lineitem", "events", "customer", "part"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{FOLDER}/{t}.parquet')")
     return con
 
@@ -46,7 +46,7 @@ def test_every_query_has_sql():
 def test_step_grammar(spark):
     cases = [("durably_execute$a", "execute", "a", None), ("wait$a", "sleep", "a", None), ("wait_until$c", "wait", "c", None), ("durably_repeat$n", "repeat_coordination", "n", None), ("durably_repeat$n$12", "repeat_run", "n", 12), ("durably_repeat$n$x", "repeat_run", "n", None), ("merge$a,b", "merge", "a,b", None), ("$workflow_failure$7", "lifecycle", "failure", 7), ("$workflow_completion$", "lifecycle", "completion", None), ("odd", "unknown", "odd", None)]
     df = spark.createDataFrame([(c[0],) for c in cases], "s string")
-    rows = df.select("s", step_kind(df.s), step_label(df.s), step_number(df.s)).collect()
+    rows = parsed(df, "s").select("s", "kind", "step", "number").collect()
     assert [tuple(r) for r in rows] == cases
 
 
