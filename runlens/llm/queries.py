@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, chat, decontam, langid, license_scan, neardup, pii, quality_model, quality_rules, warc
 from .common import id_remainder, read_table, saved
+from .oracle import oracle_sql  # noqa: F401  the entry takes queries and SQL from here
 
 #: Place of the tokenizer file; a parameter of the query's builder.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -30,7 +31,7 @@ def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     found = quality_rules.judge(read_table(spark, folder, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
+    return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("host_rate", 9).alias("host_rate"))
 
 
 def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
@@ -99,7 +100,3 @@ def _pipeline():
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_decontamination, op2_license_scan, op3_quality_rules, op4_language_id, op5_chat_format, op6_simhash_neardup, op7_warc, op8_pii, op9_bpe, op10_quality_classifier]
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}

@@ -52,6 +52,27 @@ def test_quality_rules(spark):
         assert not (r.kept and r.base_failed)
 
 
+def test_prior_takes_chance_out(spark):
+    def sums(rates, n, seed):
+        r = random.Random(seed)
+        return spark.createDataFrame([(f"h{k}", n, sum(r.random() < p for _ in range(n))) for k, p in enumerate(rates)], "host string, n_docs long, n_any long")
+
+    # Small hosts of one true rate: their raw rates spread widely by chance alone, so the prior holds them together.
+    mean, weight = quality_rules.prior(sums([0.3] * 800, 4, 1), "n_any")
+    assert abs(mean - 0.3) < 0.03 and weight > 30
+    r = random.Random(2)
+    mean, weight = quality_rules.prior(sums([r.betavariate(6, 14) for _ in range(800)], 30, 3), "n_any")
+    assert abs(mean - 0.3) < 0.02 and 14 < weight < 28  # 20 is true
+    assert quality_rules.prior(sums([], 1, 4), "n_any") == (0.0, 1000.0) and quality_rules.prior(sums([0.5], 10, 5), "n_any")[1] == 1000.0
+
+
+def test_one_rule_alone_rejects_a_host(spark):
+    rows = [(i, prose(i, 40) + (" ###$$$%%%&&&***|||" * 4 if i < 60 and i % 5 < 2 else ""), "bad" if i < 64 else f"h{i % 4}" if i % 9 else None) for i in range(400)]
+    got = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.kept for r in got if r.host == "bad"} == {False} and {r.kept for r in got if r.host != "bad"} == {True}
+    assert {r.host_rate for r in got if r.host is None} == {None}
+
+
 def test_bad_host_is_rejected(spark):
     rows = [(i, prose(i, 40) + (" ###$$$%%%&&&***|||" * 4 if i < 60 else ""), "bad" if i < 64 else f"h{i % 4}") for i in range(200)]
     got = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
@@ -147,6 +168,37 @@ def test_leaks(spark):
     assert decontam.without_leaks(docs(spark, texts), b).count() == len(texts) - 4
 
 
+def test_leaks_by_weighted_similarity(spark):
+    r = random.Random(77)
+    items = {k: prose(2000 + k, 30 + 9 * k) for k in range(8)}
+    items[8] = " ".join([prose(2100, 6)] * 6)  # repeats weigh
+    texts = []
+    for k, item in items.items():
+        for changes in range(8):
+            w = item.split()
+            for at in r.sample(range(len(w)), min(len(w), changes)):
+                w[at] = "changed"
+            texts.append(f"{prose(3000 + len(texts), 12)} {' '.join(w)} {prose(4000 + len(texts), 7)}")
+    cut = lambda t: [x for x in re.split(r"[\W_]+", t.lower()) if x]
+    want = {}
+    for d, t in enumerate(texts):
+        w = cut(t)
+        all_ = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+        for i, item in items.items():
+            v = cut(item)
+            own = [tuple(v[k : k + 5]) for k in range(len(v) - 4)]
+            for start in range(len(all_)):
+                window = all_[start : start + len(own)]
+                common = sum((Counter(window) & Counter(own)).values())
+                similarity = common / (len(window) + len(own) - common)
+                if similarity >= decontam.THRESHOLD and similarity > want.get((d, i), (0,))[0]:
+                    want[d, i] = (similarity, start)
+    table = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    for limit in (400_000, 10):
+        got = {(x.doc_id, x.item_id): (x.similarity, x.start_word) for x in decontam.leaks(docs(spark, texts), table, broadcast_shingles=limit).collect()}
+        assert got == want and sum(s < 0.9 for s, _ in want.values()) >= 5
+
+
 def test_rows_that_leak_go_whatever_their_ids(spark):
     item = prose(25, 40)
     rows = [(None, item), (None, prose(26, 60)), (7, prose(27, 60)), (7, f"{prose(28, 30)} {item}"), (8, prose(29, 60)), (None, None)]
@@ -200,6 +252,53 @@ def test_disclosing_terms_far_from_the_entity(spark):
     assert not any("zorkman" in t for t in clean.values()) and "zorbert" in clean[4]
 
 
+@pytest.mark.parametrize("text", ["a" * 300_000 + " x@y.zz", " ".join(f"u{k}@ex.org zorkman" for k in range(20_000)), "7" * 200_000 + " 1.2.3.4", "@a" * 50_000 + " x@y.zz"], ids=["run", "emails", "digits", "signs"])
+def test_personal_data_of_long_texts(spark, text):
+    began = time.time()
+    table = docs(spark, [text] * 3)
+    row = pii.scan(table).first()
+    found = [text[s.start : s.end] for s in row.spans]
+    assert found == [w for w in text.split(" ") if len(w) < 20 and ("@" in w or "." in w)]
+    if len(found) == 1:
+        assert pii.sanitise(table).first().text == text.removesuffix(found[0]) + ("[EMAIL]" if "@" in found[0] else "[IP]")
+    else:
+        assert pii.sanitise(table).first().text.count("[EMAIL]") == len(found) == 20_000
+    assert time.time() - began < 60
+
+
+def test_terms_keep_clear_of_other_spans(spark):
+    texts = [f"{prose(50 + k, 3)} zorkman zorkman@ex.org zorkmané {v} zorkman" for k, v in enumerate(["alpha", "beta", "gamma", "delta"])]
+    texts += [prose(200 + k, 40) for k in range(60)]
+    for r in pii.scan(docs(spark, texts)).where("id < 4").collect():
+        terms = [(s.start, s.end) for s in r.all_spans if s.kind == "term" and texts[r.id][s.start : s.end] == "zorkman"]
+        mail = texts[r.id].index("zorkman@")
+        assert terms == [(m.start(), m.end()) for m in re.finditer(r"zorkman(?!@|é)", texts[r.id])] and (mail, mail + 7) not in terms
+
+
+def test_bpe_of_any_vocabulary_and_long_words(spark):
+    width = 1 << 20
+    ranks, made = {5 * width + 6: 0, 70_000 * width + 6: 2, 6 * width + 5: 1}, [70_000, 9, 100_000]
+    assert bpe.merge_word([5, 6, 6, 5, 6, 5], ranks, made, width) == [100_000, 70_000, 5]
+    r = random.Random(3)
+    for _ in range(300):
+        ranks, made = {}, []
+        for a in range(6):
+            for b in range(6):
+                ranks[a * 50 + b] = 0
+        order = list(ranks)
+        r.shuffle(order)
+        ranks = {pair: k for k, pair in enumerate(order) if k % 3}
+        made = [r.randint(0, 49) for _ in order]
+        word = [r.randint(0, 5) for _ in range(r.randint(1, 40))]
+        want = list(word)
+        while True:
+            best = min(((ranks[a * 50 + b], k) for k, (a, b) in enumerate(zip(want, want[1:])) if a * 50 + b in ranks), default=None)
+            if best is None:
+                break
+            want[best[1] : best[1] + 2] = [made[best[0]]]
+        assert bpe.merge_word(list(word), ranks, made, 50) == want
+
+
 def test_bpe(spark):
     tokenizers = pytest.importorskip("tokenizers")
     library = tokenizers.Tokenizer.from_file(TOKENIZER)
