@@ -29,8 +29,8 @@ HEAD, MIDDLE, TAIL = b"<|im_start|>", b"\n", b"<|im_end|>\n"
 CONTROLS = ("<|im_start|>", "<|im_end|>", "<|system|>", "<|user|>", "<|assistant|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 #: Role whose texts are under the loss mask.
 LEARNED = "assistant"
-#: Turns assembled at once.
-TURNS = 2048
+#: Turns assembled at once; bytes of a text that is copied as a slice; bytes that are copied by index at once.
+TURNS, LONG, SCATTERED = 2048, 1 << 14, 1 << 20
 _TURN = re.compile(rb"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
 _ESCAPED = re.compile(r"\\(\\?)")
 _ESCAPED_ROLE = re.compile(r"\\([\\n]?)")
@@ -60,11 +60,17 @@ def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scatter(out: np.ndarray, at: np.ndarray, column: pa.Array) -> None:
+    """Copy the values of ``column`` to where ``at`` says: long ones as slices, short ones by index, so many bytes at once that the indices stay small."""
     data, offsets = _buffers(column)
-    lengths = np.diff(offsets)
-    total = int(lengths.sum())
-    within = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    out[np.repeat(at, lengths) + within] = data[np.repeat(offsets[:-1], lengths) + within]
+    lengths, begins = np.diff(offsets), offsets[:-1]
+    for k in np.flatnonzero(lengths > LONG):
+        out[at[k] : at[k] + lengths[k]] = data[begins[k] : begins[k] + lengths[k]]
+    short = np.flatnonzero((lengths > 0) & (lengths <= LONG))
+    groups = np.cumsum(lengths[short]) // SCATTERED
+    for rows in np.split(short, np.flatnonzero(np.diff(groups)) + 1):
+        n = lengths[rows]
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(at[rows], n) + within] = data[np.repeat(begins[rows], n) + within]
 
 
 def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
