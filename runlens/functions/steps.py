@@ -35,6 +35,16 @@ def seconds_between(start: Column, end: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", start, end) / F.lit(1e6)
 
 
+def iso(ts: Column) -> Column:
+    """ISO 8601 to the second, as metadata has it."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def metadata_time(key: str) -> Column:
+    """A time in a step's metadata; none where it is missing or no time."""
+    return F.get_json_object("metadata", f"$.{key}").try_cast("timestamp_ntz")
+
+
 def label(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.functions.steps import LOG_FAILED, LOG_PENDING, label, now_at, of_kinds, seconds_after
+from runlens.functions.steps import LOG_FAILED, LOG_PENDING, label, metadata_time, now_at, of_kinds, seconds_after
 
 EPOCH, TIMEOUT = "1970-01-01 00:00:00", 3600
 CONTINUE, FAIL_WORKFLOW = "continue", "fail_workflow"
@@ -21,7 +21,7 @@ def at_unix(seconds: Column) -> Column:
 
 def tasks(logs: DataFrame, every: Column) -> DataFrame:
     """``workflow_id``, ``step``, ``every`` (seconds), ``first_tick`` (unix): the tick after the last execution on record, else after the task's begin."""
-    last = F.to_timestamp_ntz(F.get_json_object("metadata", "$.last_execution_at"), F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    last = metadata_time("last_execution_at")
     d = of_kinds(logs, "repeat_coordination").select("workflow_id", "step", every.cast("bigint").alias("every"), last.alias("last_at"), "started_at")
     return d.withColumn("first_tick", unix(F.coalesce("last_at", "started_at")) + F.col("every"))
 

@@ -10,6 +10,8 @@ from runlens.functions.steps import IDLE, LOG_COMPLETED, RUNNING, label, of_kind
 LEAST_INTERVAL, MOST_INTERVAL, REKICKS, REKICK_AFTER = 5, 300, 200, 300
 #: Seconds past due after which a branch's poller counts as lost, and most children that a branch's row counts.
 OVERDUE_GRACE, CAP = 120, 5000
+#: Decimal places that a recorded rate keeps, so that a slow drain still shows.
+RATE_PLACES = 3
 
 
 def snapshots(wf: DataFrame, now: Column, polls: int = 7, every_days: int = 7) -> DataFrame:
@@ -41,6 +43,7 @@ def history(seen: DataFrame, rekicks: int = REKICKS) -> DataFrame:
 
     The rate counts children completed per second since the poll before.  A poll
     rekicks stale children unless the number never started fell since the last one.
+    The rate as recorded is rounded, the ETA comes from the exact one.
     Totals run over the branch's polls; the number spawned is the first one recorded.
     """
     order = Window.partitionBy("branch_id").orderBy("poll")
@@ -59,7 +62,7 @@ def history(seen: DataFrame, rekicks: int = REKICKS) -> DataFrame:
     started = runs.withColumn("base", F.last("fixed", ignorenulls=True).over(so_far)).withColumn("nth", F.row_number().over(Window.partitionBy("branch_id", "run").orderBy("poll")))
     doubled = F.when(F.col("base").isNull(), LEAST_INTERVAL * F.pow(F.lit(2.0), F.col("nth") - 1)).otherwise(F.col("base") * F.pow(F.lit(2.0), F.col("nth") - 1))
     d = started.withColumn("interval", F.coalesce("fixed", F.least(doubled, F.lit(float(MOST_INTERVAL))))).drop("run", "fixed", "base", "nth")
-    return d.withColumn("next_poll_at", seconds_after(F.col("polled_at"), F.round("interval").cast("bigint")))
+    return d.withColumn("recorded_rate", F.round("rate", RATE_PLACES)).withColumn("next_poll_at", seconds_after(F.col("polled_at"), F.round("interval").cast("bigint")))
 
 
 def fenced(polls: DataFrame, tokens: DataFrame) -> DataFrame:

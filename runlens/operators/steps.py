@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.functions.steps import IDLE, LOG_COMPLETED, LOG_FAILED, LOG_PENDING, attempts_note, duration_steps, human_duration, kind_label, label, now_at, of_kinds, parsed, seconds_after, seconds_between
+from runlens.functions.steps import IDLE, LOG_COMPLETED, LOG_FAILED, LOG_PENDING, attempts_note, duration_steps, human_duration, kind_label, label, metadata_time, now_at, of_kinds, parsed, seconds_after, seconds_between
 
 LONG_WAIT, LATENCIES, EPOCH = 3600, 20, "1970-01-01 00:00:00"
 
@@ -14,7 +14,7 @@ def active_waits(wf: DataFrame, logs: DataFrame) -> DataFrame:
     """The latest pending wait of every idle workflow: later start wins, no start loses, then the larger id."""
     pending = of_kinds(logs.where(F.col("state") == LOG_PENDING), "wait", "continue")
     last = F.row_number().over(Window.partitionBy("workflow_id").orderBy(F.desc_nulls_last("started_at"), F.desc("id")))
-    latest = pending.withColumn("_n", last).where("_n = 1").select("workflow_id", "kind", F.col("step").alias("condition"), F.col("started_at").alias("waiting_since"), F.to_timestamp_ntz(F.get_json_object("metadata", "$.timeout_at"), F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("timeout_at"))
+    latest = pending.withColumn("_n", last).where("_n = 1").select("workflow_id", "kind", F.col("step").alias("condition"), F.col("started_at").alias("waiting_since"), metadata_time("timeout_at").alias("timeout_at"))
     return wf.where(F.col("state") == IDLE).select(F.col("id").alias("workflow_id"), "job_class").join(latest, "workflow_id")
 
 
@@ -38,6 +38,36 @@ def current_position(logs: DataFrame) -> DataFrame:
     return kept.groupBy("workflow_id").agg(found.alias("position"))
 
 
+def sleeps(logs: DataFrame, now: Column) -> DataFrame:
+    """Pending sleeps: done once ``now`` has reached the time fixed when they began, the time itself included; seconds left of the others."""
+    until = F.col("until")
+    d = of_kinds(logs.where(F.col("state") == LOG_PENDING), "sleep").select("id", "workflow_id", metadata_time("wait_until").alias("until"))
+    return d.select("id", "workflow_id", label(until).alias("until"), F.coalesce(until <= now, F.lit(False)).alias("done"), F.when(until > now, seconds_between(now, until).cast("bigint")).alias("left"))
+
+
+def evaluated_waits(logs: DataFrame, now: Column, met: Column) -> DataFrame:
+    """What a look at every pending wait comes to, ``met`` being its condition.
+
+    The condition is looked at first, so that one that holds after the time-out still
+    counts; then a ``wait`` is timed out once ``now`` is past its time-out, not at it,
+    which stalls its workflow.  A ``continue`` has no time-out and goes on waiting.
+    """
+    d = of_kinds(logs.where(F.col("state") == LOG_PENDING), "wait", "continue")
+    late = (F.col("kind") == "wait") & (metadata_time("timeout_at") < now)
+    outcome = F.when(met, "met").when(F.coalesce(late, F.lit(False)), "timed_out").otherwise("waiting")
+    return d.select("id", "kind", outcome.alias("outcome")).withColumn("stalls", F.col("outcome") == "timed_out")
+
+
+def repetition_meters(page: DataFrame) -> DataFrame:
+    """Lateness and duration of the runs of a page, each beside the page's largest (one second, if there is none)."""
+    number = F.get(F.split("step_name", r"\$", 3), 2).try_cast("bigint")
+    late = seconds_between(seconds_after(now_at(EPOCH), number), F.col("started_at")).cast("bigint")
+    d = page.select("id", late.alias("late"), seconds_between(F.col("started_at"), F.col("completed_at")).cast("bigint").alias("took"))
+    most = lambda c, cond: F.coalesce(F.max(F.when(cond, F.col(c))).over(Window.partitionBy()), F.lit(1))  # noqa: E731  a page has 200 rows at most
+    d = d.select("*", most("late", F.col("late") > 0).alias("most_late"), most("took", F.col("took").isNotNull()).alias("most_took"))
+    return d.select("id", F.when(F.col("late") <= 0, "on time").otherwise(human_duration(F.col("late"))).alias("late"), duration_steps(F.col("late"), F.col("most_late")).alias("late_bar"), human_duration(F.col("took")).alias("took"), duration_steps(F.col("took"), F.col("most_took")).alias("took_bar"))
+
+
 def runs_of(logs: DataFrame, step: str) -> DataFrame:
     return logs.where(F.col("step_name").startswith(f"durably_repeat${step}$"))
 
@@ -77,7 +107,7 @@ def recent_latencies(logs: DataFrame, most: int = LATENCIES) -> DataFrame:
 
 def prunable_repetitions(logs: DataFrame, cutoff: Column) -> DataFrame:
     """Finished runs scheduled before the cutoff and before their task's frontier; without a frontier nothing is pruned."""
-    frontier = of_kinds(logs, "repeat_coordination").select("workflow_id", "step", F.to_timestamp_ntz(F.get_json_object("metadata", "$.last_execution_at"), F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("frontier"))
+    frontier = of_kinds(logs, "repeat_coordination").select("workflow_id", "step", metadata_time("last_execution_at").alias("frontier"))
     runs = of_kinds(logs.where(F.col("state") != LOG_PENDING), "repeat_run").withColumn("scheduled", seconds_after(now_at(EPOCH), F.col("number"))).where(F.col("scheduled") < cutoff)
     return runs.join(frontier, ["workflow_id", "step"]).where(F.col("scheduled") < F.col("frontier")).select("id")
 

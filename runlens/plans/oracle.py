@@ -20,7 +20,7 @@ co AS (SELECT o_orderkey AS k, {NOW} - ((o_orderkey * 7919) % 3456000) * INTERVA
 el AS MATERIALIZED (SELECT k * 100 + rn AS id, k + 1 AS workflow_id, CASE m WHEN 0 THEN 'wait_until$c' || rn WHEN 1 THEN 'continue_if$e' || rn WHEN 2 THEN 'durably_repeat$sync_job$' || mark WHEN 3 THEN 'durably_repeat$syncXjob$' || mark WHEN 4 THEN 'wait$w' || rn ELSE 'durably_execute$s' || rn END AS step_name,
   CAST(1 + rn % 3 AS INTEGER) AS attempts, started_at, CASE WHEN state = 1 THEN started_at + ((rn * 37) % 400) * INTERVAL '1' SECOND END AS completed_at, state,
   CASE WHEN state = 2 THEN CASE WHEN m IN (2, 3) THEN 'TimeoutError' ELSE 'Err' || (rn % 5) END END AS error_class,
-  CASE WHEN m = 0 THEN '{{"timeout_at":"' || strftime(started_at + ((rn % 5) * 86400) * INTERVAL '1' SECOND, '%Y-%m-%dT%H:%M:%SZ') || '"}}' WHEN state = 2 AND m IN (2, 3) AND (k + rn) % 12 = 2 THEN '{{"fast_forwarded":' || (rn * 2) || '}}' END AS metadata FROM lg
+  CASE WHEN m = 0 THEN '{{"timeout_at":"' || strftime(started_at + ((rn % 5) * 86400) * INTERVAL '1' SECOND, '%Y-%m-%dT%H:%M:%SZ') || '"}}' WHEN m = 4 THEN '{{"wait_until":"' || strftime(started_at + ((rn % 4) * 21600) * INTERVAL '1' SECOND, '%Y-%m-%dT%H:%M:%SZ') || '"}}' WHEN state = 2 AND m IN (2, 3) AND (k + rn) % 12 = 2 THEN '{{"fast_forwarded":' || (rn * 2) || '}}' END AS metadata FROM lg
  UNION ALL SELECT k * 100 + 99, k + 1, 'durably_repeat$sync_job', 1, started_at, NULL, 0, NULL, CASE WHEN k % 9 <> 0 THEN '{{"last_execution_at":"2024-01-01T05:00:00Z"}}' END FROM co WHERE k % 3 = 0
  UNION ALL SELECT k * 100 + 98, k + 1, 'branch$fulfil', 1, started_at, started_at, 1, NULL, NULL FROM co WHERE k % 10 = 0
  UNION ALL SELECT k * 100 + 97, k + 1, 'merge$fulfil', 1, started_at, CASE WHEN k % 20 = 0 THEN started_at END, CASE WHEN k % 20 = 0 THEN 1 ELSE 0 END, NULL, NULL FROM co WHERE k % 10 = 0),
@@ -150,8 +150,8 @@ SELECTS = {
     "timeline_errors": "SELECT l.id AS step_id, e.id AS error_id, e.attempt, e.error_class, CAST(row_number() OVER (PARTITION BY l.id ORDER BY e.attempt, e.created_at, e.id) AS INTEGER) AS place FROM er e JOIN pa l ON l.workflow_id = e.workflow_id AND l.step_name = e.step_name WHERE l.kind <> 'repeat_run'",
     "failure_markers": "SELECT id, workflow_id, CASE WHEN id % 10 <> 0 THEN id END AS error_id, CASE WHEN id % 10 <> 0 THEN error_class END AS error_class, CASE WHEN id % 10 <> 0 THEN attempt END AS attempt, CASE WHEN id % 10 = 0 THEN id + 1000000000 END AS missing_error_id FROM er WHERE id % 2 = 0",
     "step_meters": f"SELECT id, CASE kind WHEN 'sleep' THEN 'wait' WHEN 'wait' THEN 'wait until' WHEN 'continue' THEN 'continue if' WHEN 'repeat_coordination' THEN 'repeat' ELSE kind END AS label, CASE WHEN attempts <= 1 OR kind = 'repeat_coordination' THEN NULL WHEN kind IN ('wait', 'continue', 'sleep') THEN 'checked ' || attempts || '×' ELSE attempts || ' attempts' END AS note, s AS seconds, {_human('s')} AS shown, CASE WHEN s <= 0 OR longest <= 0 THEN 0 ELSE least(CAST(round(sqrt(s / longest) * 20) AS INTEGER) * 5, 100) END AS bar, s >= 60 AS slow FROM (SELECT *, max(s) OVER (PARTITION BY workflow_id) AS longest FROM (SELECT *, CAST(floor(epoch(completed_at) - epoch(started_at)) AS BIGINT) AS s FROM pa WHERE kind <> 'repeat_run')) WHERE s IS NOT NULL",
-    "metadata_pairs": " UNION ALL ".join(f"SELECT id, '{k.replace('_', ' ')}' AS key, json_extract_string(metadata, '$.{k}') AS value FROM el WHERE json_extract_string(metadata, '$.{k}') IS NOT NULL" for k in ("timeout_at", "fast_forwarded", "last_execution_at")),
-    "poll_counters": f"SELECT branch_id, poll, polls, spawned, running, never_started, rekicked, rekick_total, {_text('last_rekick_at')} FROM po",
+    "metadata_pairs": " UNION ALL ".join(f"SELECT id, '{k.replace('_', ' ')}' AS key, json_extract_string(metadata, '$.{k}') AS value FROM el WHERE json_extract_string(metadata, '$.{k}') IS NOT NULL" for k in ("timeout_at", "wait_until", "fast_forwarded", "last_execution_at")),
+    "poll_counters": f"SELECT branch_id, poll, polls, round(rate, 3) AS recorded_rate, spawned, running, never_started, rekicked, rekick_total, {_text('last_rekick_at')} FROM po",
     "fenced_polls": "SELECT branch_id, poll, 'second' AS token FROM po WHERE NOT (poll < 4 OR (poll < 6 AND branch_id % 300 = 98))",
     "poll_overdue": f"SELECT branch_id, {_text('next_poll_at')}, po.next_poll_at < TIMESTAMP '2024-01-31 00:00:30' AS overdue FROM po WHERE poll = 6",
     "branch_counts_shown": f"SELECT h.branch_id, {', '.join(f'coalesce(p.{c}, least(h.{c}, 5000)) AS {c}' for c in ('spawned', 'pending', 'never_started'))}, least(h.blocked, 5000) AS blocked FROM {_HEALTH} h LEFT JOIN po p ON p.branch_id = h.branch_id AND p.poll = 6 AND p.branch_id % 3 <> 0",
@@ -166,6 +166,9 @@ SELECTS = {
     "bulk_insert": "SELECT 'wf-1$fulfil$mail_' || c_custkey AS key, c_mktsegment AS job_class FROM customer WHERE c_custkey >= 50 AND c_custkey % 10 <> 0",
     "upserted": f"SELECT id, CASE WHEN id % 7 = 0 THEN 4 ELSE state END AS state, strftime(CASE WHEN id % 7 = 0 THEN updated_at + INTERVAL '1' SECOND ELSE updated_at END, '%Y-%m-%d %H:%M:%S') AS updated_at FROM wf UNION ALL SELECT id + 1000000000, 0, strftime(updated_at, '%Y-%m-%d %H:%M:%S') FROM wf WHERE id % 7 = 0",
     "resumed_by_count": "SELECT p_partkey, p_size, n FROM (SELECT p_partkey, p_size, row_number() OVER (ORDER BY p_size, p_partkey) - 1 AS n FROM part) WHERE n >= 100",
+    "sleeps": f"SELECT id, workflow_id, strftime(u, '%Y-%m-%d %H:%M:%S') AS until, u <= TIMESTAMP '2024-01-20 00:00:00' AS done, CASE WHEN u > TIMESTAMP '2024-01-20 00:00:00' THEN CAST(epoch(u) - epoch(TIMESTAMP '2024-01-20 00:00:00') AS BIGINT) END AS left FROM (SELECT id, workflow_id, strptime(json_extract_string(metadata, '$.wait_until'), '%Y-%m-%dT%H:%M:%SZ') AS u FROM pa WHERE kind = 'sleep' AND state = 0)",
+    "evaluated_waits": "SELECT *, outcome = 'timed_out' AS stalls FROM (SELECT id, kind, CASE WHEN id % 3 = 0 THEN 'met' WHEN kind = 'wait' AND strptime(json_extract_string(metadata, '$.timeout_at'), '%Y-%m-%dT%H:%M:%SZ') < TIMESTAMP '2024-01-20 00:00:00' THEN 'timed_out' ELSE 'waiting' END AS outcome FROM pa WHERE kind IN ('wait', 'continue') AND state = 0)",
+    "repetition_meters": f"SELECT id, CASE WHEN late <= 0 THEN 'on time' ELSE {_human('late')} END AS late, CASE WHEN late > 0 THEN least(CAST(round(sqrt(late / coalesce(ml, 1)) * 20) AS INTEGER) * 5, 100) ELSE 0 END AS late_bar, {_human('took')} AS took, CASE WHEN took > 0 AND mt > 0 THEN least(CAST(round(sqrt(took / mt) * 20) AS INTEGER) * 5, 100) ELSE 0 END AS took_bar FROM (SELECT *, max(CASE WHEN late > 0 THEN late END) OVER () AS ml, coalesce(max(took) OVER (), 1) AS mt FROM (SELECT id, CAST(epoch(started_at) AS BIGINT) - number AS late, CAST(epoch(completed_at) - epoch(started_at) AS BIGINT) AS took, row_number() OVER (ORDER BY id DESC) AS n FROM pa WHERE starts_with(step_name, 'durably_repeat$sync_job$')) WHERE n <= 50)",
     "exec_time_percentiles": _percentiles("started_at", "completed_at"),
     "queue_wait_percentiles": _percentiles("created_at", "started_at"),
     "dispatch_throughput": "SELECT job_class, round(count(completed_at) / CAST(epoch(max(completed_at)) - epoch(min(created_at)) AS BIGINT), 9) AS completed_per_second, round(count(*) / CAST(epoch(max(created_at)) - epoch(min(created_at)) AS BIGINT), 9) AS dispatched_per_second FROM wf GROUP BY 1",

@@ -127,12 +127,15 @@ OVER_HISTORY: dict[str, Callable[[History], DataFrame]] = {
     "step_parse": lambda h: parsed(h.logs).select("id", "kind", "step", "number"),
     "step_kind_counts": lambda h: parsed(h.logs).groupBy("kind").agg(F.count("*").alias("steps"), F.count_if(F.col("state") == 2).alias("failed")),
     "active_waits": lambda h: _named(st.active_waits(h.workflows, h.logs)),
+    "sleeps": lambda h: st.sleeps(h.logs, now_at("2024-01-20 00:00:00")),
+    "evaluated_waits": lambda h: st.evaluated_waits(h.logs, now_at("2024-01-20 00:00:00"), F.pmod("id", F.lit(3)) == 0),
     "idle_waits_page": lambda h: st.oldest_idle_waits(h.workflows, h.logs, now_at(NOW), cap=200),
     "long_waits": lambda h: st.long_waits(h.workflows, h.logs, now_at(NOW)),
     "oldest_event_wait_by_class": lambda h: st.oldest_event_waits(h.workflows, h.logs),
     "current_position": lambda h: st.current_position(h.logs),
     "repetition_summary": lambda h: st.repetition_summary(h.logs, "sync_job"),
     "repetition_page": lambda h: fl.page(st.runs_of(h.logs, "sync_job").select("id", "workflow_id", "step_name")),
+    "repetition_meters": lambda h: st.repetition_meters(fl.page(st.runs_of(h.logs, "sync_job"))),
     "repetition_lateness": lambda h: st.repetition_lateness(h.logs, "sync_job"),
     "periodic_health": lambda h: st.periodic_health(h.logs),
     "recent_latencies": lambda h: st.recent_latencies(h.logs),
@@ -149,7 +152,7 @@ OVER_HISTORY: dict[str, Callable[[History], DataFrame]] = {
     "parent_breadcrumb": lambda h: br.parents(h.workflows, h.logs),
     "drain_rate": lambda h: _polled(h).select("branch_id", "poll", "pending", F.round("rate", 12).alias("rate"), "eta_seconds"),
     "poll_cadence": lambda h: _polled(h).select("branch_id", "poll", F.round("interval", 9).alias("interval"), label(F.col("next_poll_at")).alias("next_poll_at")),
-    "poll_counters": lambda h: _polled(h).select("branch_id", "poll", "polls", "spawned", "running", "never_started", "rekicked", "rekick_total", label(F.col("last_rekick_at")).alias("last_rekick_at")),
+    "poll_counters": lambda h: _polled(h).select("branch_id", "poll", "polls", "recorded_rate", "spawned", "running", "never_started", "rekicked", "rekick_total", label(F.col("last_rekick_at")).alias("last_rekick_at")),
     "fenced_polls": lambda h: pl.fenced(hi.poll_owners(_polled(h)), hi.poll_tokens(h.workflows)).select("branch_id", "poll", "token"),
     "poll_overdue": lambda h: pl.overdue_branches(_polled(h), now_at("2024-01-31 00:02:30")),
     "merge_throughput": lambda h: pl.merges(h.logs, _polled(h), now_at("2024-01-31 00:00:10")),

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from runlens.functions.steps import now_at, seconds_after
+from runlens.functions.steps import iso, now_at, seconds_after
 
 NOW = "2024-01-31 00:00:00"
 #: Start of the grid of repetitions: unix seconds and the same as a timestamp.
@@ -66,13 +66,13 @@ def execution_logs(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     created = seconds_after(now_at(NOW), -_mod(k * 7919, 3456000))
     repeats = which.isin(2, 3)
     started = F.when(repeats, seconds_after(now_at(GRID_AT), rn * 3600 + _mod(rn * 7, 300))).otherwise(seconds_after(created, rn * 60))
-    d = d.select("k", "rn", (k * 100 + rn).alias("id"), (k + 1).alias("workflow_id"), name.alias("step_name"), (1 + _mod(rn, 3)).cast("int").alias("attempts"), F.when(F.col("l_returnflag") == "R", 2).when(F.col("l_linestatus") == "F", 1).otherwise(0).alias("state"), started.alias("started_at"), repeats.alias("repeats"))
-    state, started = F.col("state"), F.col("started_at")
+    d = d.select("k", "rn", (k * 100 + rn).alias("id"), (k + 1).alias("workflow_id"), name.alias("step_name"), (1 + _mod(rn, 3)).cast("int").alias("attempts"), F.when(F.col("l_returnflag") == "R", 2).when(F.col("l_linestatus") == "F", 1).otherwise(0).alias("state"), started.alias("started_at"), repeats.alias("repeats"), which.alias("which"))
+    state, started, which = F.col("state"), F.col("started_at"), F.col("which")
     timeout = F.when(F.col("step_name").startswith("wait_until$"), seconds_after(started, _mod(rn, 5) * 86400))
     steps = d.select(
         "id", "workflow_id", "step_name", "attempts", "started_at", F.when(state == 1, seconds_after(started, _mod(rn * 37, 400))).alias("completed_at"), "state",
         F.when(state == 2, F.when(F.col("repeats"), "TimeoutError").otherwise(F.concat(F.lit("Err"), _mod(rn, 5).cast("string")))).alias("error_class"),
-        F.when(timeout.isNotNull(), F.concat(F.lit('{"timeout_at":"'), F.date_format(timeout, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit('"}'))).when((state == 2) & F.col("repeats") & (_mod(k + rn, 12) == 2), F.concat(F.lit('{"fast_forwarded":'), (rn * 2).cast("string"), F.lit("}"))).alias("metadata"),
+        F.when(timeout.isNotNull(), F.concat(F.lit('{"timeout_at":"'), iso(timeout), F.lit('"}'))).when(which == 4, F.concat(F.lit('{"wait_until":"'), iso(seconds_after(started, _mod(rn, 4) * 21600)), F.lit('"}'))).when((state == 2) & F.col("repeats") & (_mod(k + rn, 12) == 2), F.concat(F.lit('{"fast_forwarded":'), (rn * 2).cast("string"), F.lit("}"))).alias("metadata"),
     )
     k = F.col("o_orderkey")
     created = seconds_after(now_at(NOW), -_mod(k * 7919, 3456000))

@@ -105,6 +105,25 @@ def test_idle_cap_comes_before_waits(spark):
     assert values(st.oldest_idle_waits(wf, logs, now_at(NOW)).orderBy("place"), "workflow_id", "capped") == [(2, False), (3, False)]
 
 
+def test_waits_are_looked_at_before_their_timeout(spark):
+    rows = [(1, "wait_until$a", "2024-01-31T11:00:00Z"), (2, "wait_until$b", "2024-01-31T11:00:00Z"), (3, "wait_until$c", "2024-01-31T12:00:00Z"), (4, "wait_until$d", "no time"), (5, "continue_if$e", "2024-01-31T11:00:00Z"), (6, "continue_if$f", None)]
+    logs = table(spark, LOGS, [{"id": k, "workflow_id": k, "step_name": s, "state": 0, "metadata": t and f'{{"timeout_at":"{t}"}}'} for k, s, t in rows])
+    got = {r.id: (r.outcome, r.stalls) for r in st.evaluated_waits(logs, now_at(NOW), F.col("id").isin(1, 6)).collect()}
+    assert got == {1: ("met", False), 2: ("timed_out", True), 3: ("waiting", False), 4: ("waiting", False), 5: ("waiting", False), 6: ("met", False)}
+
+
+def test_sleeps_end_at_their_time(spark):
+    logs = table(spark, LOGS, [{"id": k, "workflow_id": k, "step_name": f"wait$w{k}", "state": 0, "metadata": f'{{"wait_until":"2024-01-31T{t}Z"}}'} for k, t in ((1, "12:00:00"), (2, "12:00:01"), (3, "x"))])
+    assert sorted(values(st.sleeps(logs, now_at(NOW)), "id", "done", "left")) == [(1, True, None), (2, False, 1), (3, False, None)]
+
+
+def test_repetition_meters(spark):
+    run = lambda k, at, begin, end: {"id": k, "step_name": f"durably_repeat$s${at}", "started_at": f"1970-01-01 00:{begin}", "completed_at": end and f"1970-01-01 00:{end}"}
+    page = table(spark, LOGS, [run(1, 0, "02:00", "02:04"), run(2, 60, "01:00", "01:16"), run(3, 60, "00:30", None)])
+    got = sorted(values(st.repetition_meters(page), "id", "late", "late_bar", "took", "took_bar"))
+    assert got == [(1, "2m 00s", 100, "4s", 50), (2, "on time", 0, "16s", 100), (3, "on time", 0, None, 0)]
+
+
 def test_failure_markers(spark):
     errors = spark.createDataFrame([(7, 1, "Boom", 1), (8, 2, "Other", 1)], "id long, workflow_id long, error_class string, attempt int")
     logs = table(spark, LOGS, [{"id": k, "workflow_id": 1, "step_name": s, "state": 2} for k, s in ((1, "$workflow_failure$7"), (2, "$workflow_failure$8"), (3, "$workflow_failure$x"), (4, "$workflow_retry$7"))])
