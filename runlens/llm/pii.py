@@ -93,12 +93,12 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str = "text",
     holders = saved(holders, "holders")
     groups = holders.select(F.col("group").alias("entity_group"), "n_entity").distinct()
     entities = entities.join(holders, "entity").select("row_key", F.col("group").alias("entity_group")).distinct()
-    # Distinct (term, context) of a text, before it meets its entities.
+    # (term, context) of a text; what repeats is left to the counts, as array_distinct compares structs pair by pair.
     around = lambda w: F.transform(w, lambda x, i: F.struct(x.alias("term"), F.xxhash64(F.get(w, i - 1), x, F.get(w, i + 1)).alias("context")))
     # Begun at a token's start alone, the search stays linear in texts without blanks.
     bare = lambda part: F.regexp_replace(part, r"(?<!\S)\S*[@0-9]\S*", " ")
     words = F.transform(_between(F.col("text"), F.col("spans")), lambda part: _terms(bare(part)))
-    at = holding.select("row_key", words.alias("parts")).select("row_key", F.array_distinct(F.flatten(F.transform("parts", around))).alias("at"))
+    at = holding.select("row_key", words.alias("parts")).select("row_key", F.flatten(F.transform("parts", around)).alias("at"))
     seen = entities.join(at, "row_key").select("entity_group", "row_key", F.inline_outer("at"))  # plain inline would compute the array once more, to test that it has elements
     joint = seen.groupBy("entity_group", "term").agg(F.count_distinct("context").alias("n_contexts"), F.count_distinct("row_key").alias("n_joint"))
     joint = joint.where(F.col("n_contexts") >= contexts).join(groups, "entity_group")
