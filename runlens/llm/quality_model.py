@@ -23,7 +23,7 @@ LOW, HIGH = -0.5, 1.5
 #: Folds of the rows, by a hash of their id, for the scores that the calibration sees.
 FOLDS = 5
 #: Tasks that add up the partitions' sums before the driver adds these.
-SUM_TASKS = 8
+SUM_TASKS = 4
 
 #: Classes of bytes whose shares of a text are statistics.
 CLASSES = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n", b".", b",", b"!", b"?", b"|", b"#*$%&", b"<>{}[]()=;:_/\\@+", bytes(range(0x80, 0x100)))
