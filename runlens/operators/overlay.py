@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,12 +20,27 @@ def _status(state: Column) -> Column:
     return F.get(F.array(*(F.lit(s) for s in STATUS)), state)
 
 
-def overlay(nodes: DataFrame, logs: DataFrame, branches: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Node:
+    """A node of a definition; ``step_name`` is none where it is known at run time alone, by its ``prefix``."""
+
+    node: str
+    kind: str
+    step_name: str | None = None
+    prefix: str | None = None
+
+
+def _listed(rows: list[tuple], schema: str) -> Column:
+    """Rows as an array of structs, for ``inline``: a definition has few."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    structs = (F.struct(*(F.lit(x).alias(n) for x, n in zip(r, names))) for r in rows)
+    return F.array(*structs).cast(f"array<struct<{', '.join(':'.join(c.split()) for c in schema.split(', '))}>>")
+
+
+def overlay(nodes: list[Node], logs: DataFrame, branches: DataFrame) -> DataFrame:
     """Status of every node in every workflow that has logs, and the logs that no node stands for.
 
-    ``nodes``: ``node``, ``kind``, ``step_name`` (none where it is known at run time
-    alone), ``prefix`` (of such names).  They are one definition's, a short list.
-    ``branches`` is ``branch_health``.
+    ``nodes`` are one definition's.  ``branches`` is ``branch_health``.
 
     * Named nodes go by the log of that name; branches by their children; repeats are
       done or active, with the number of their runs.
@@ -29,23 +49,29 @@ def overlay(nodes: DataFrame, logs: DataFrame, branches: DataFrame) -> DataFrame
       names, so they don't overlap.
     * Completed logs that stay without a node are ``unmapped``; the engine's own are left out.
     """
-    named = nodes.where("step_name is not null")
+    named = _listed([(x.node, x.kind, x.step_name) for x in nodes if x.step_name is not None], "node string, kind string, step_name string")
+    counts: Counter[str] = Counter()
+    numbered = []
+    for x in sorted((x for x in nodes if x.step_name is None), key=lambda x: x.node):
+        counts[x.prefix] += 1
+        numbered.append((x.node, x.prefix, counts[x.prefix]))
+    dynamic = _listed(numbered, "node string, prefix string, nth int")
     runs = logs.select("workflow_id").distinct()
     found = logs.select("workflow_id", "step_name", F.col("id").alias("log_id"), "state")
-    at = runs.join(named, how="cross").join(found, ["workflow_id", "step_name"], "left")  # a definition's nodes by its runs
+    at = runs.select("workflow_id", F.inline(named)).join(found, ["workflow_id", "step_name"], "left")
     health = branches.select(F.col("branch_id").alias("log_id"), F.col("status").alias("fanout"))
     repetitions = of_kinds(logs, "repeat_run").select("workflow_id", F.concat(F.lit("durably_repeat$"), "step").alias("step_name")).groupBy("workflow_id", "step_name").agg(F.count("*").alias("n"))
     at = at.join(health, "log_id", "left").join(repetitions, ["workflow_id", "step_name"], "left")
     status = F.when(F.col("log_id").isNull(), "not_reached").when(F.col("kind") == "branch", F.coalesce("fanout", F.lit("not_reached"))).when(F.col("kind") == "repeat", F.when(F.col("state") == LOG_COMPLETED, "done").otherwise("active")).otherwise(_status(F.col("state")))
     known = at.select("workflow_id", "node", "log_id", status.alias("status"), F.when((F.col("kind") == "repeat") & F.col("log_id").isNotNull(), F.coalesce("n", F.lit(0))).alias("repetitions"))
 
-    free = found.join(named.select("step_name").distinct(), "step_name", "left_anti").where(~framework_step(F.col("step_name")))
+    free = found.where(~F.col("step_name").isin([x.step_name for x in nodes if x.step_name is not None]) & ~framework_step(F.col("step_name")))
     free = free.withColumn("prefix", F.concat(F.substring_index("step_name", "$", 1), F.lit("$")))
-    nth = lambda by, order: F.row_number().over(Window.partitionBy(*by).orderBy(order))
-    dynamic = nodes.where("step_name is null").select("node", "prefix", nth(["prefix"], "node").alias("nth"))
-    taken = free.withColumn("nth", nth(["workflow_id", "prefix"], "log_id"))
-    bound = runs.join(dynamic, how="cross").join(taken, ["workflow_id", "prefix", "nth"], "left")
+    nth = F.row_number().over(Window.partitionBy("workflow_id", "prefix").orderBy("log_id"))
+    taken = free.withColumn("nth", nth)
+    bound = runs.select("workflow_id", F.inline(dynamic)).join(taken, ["workflow_id", "prefix", "nth"], "left")
     bound = bound.select("workflow_id", "node", "log_id", F.coalesce(_status(F.col("state")), F.lit("not_reached")).alias("status"), F.lit(None).cast("bigint").alias("repetitions"))
-    rest = taken.where(F.col("state") == LOG_COMPLETED).join(dynamic, ["prefix", "nth"], "left_anti")
+    owned = reduce(or_, ((F.col("prefix") == prefix) & (F.col("nth") <= n) for prefix, n in counts.items()), F.lit(False))
+    rest = taken.where((F.col("state") == LOG_COMPLETED) & ~owned)
     unmapped = rest.select("workflow_id", F.concat(F.lit("log-"), F.col("log_id").cast("string")).alias("node"), "log_id", F.lit("unmapped").alias("status"), F.lit(None).cast("bigint").alias("repetitions"))
     return known.unionByName(bound).unionByName(unmapped)

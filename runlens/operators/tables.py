@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runlens.sources.shared import saved
+
 
 def after_key(rows: DataFrame, key: str, cursor: int | None) -> DataFrame:
     """Rows from a primary key on, the cursor's own row included: the row after which a reader was cut off may come again.
@@ -17,15 +19,15 @@ def after_key(rows: DataFrame, key: str, cursor: int | None) -> DataFrame:
 def after_count(rows: DataFrame, order: list[str], done: int) -> DataFrame:
     """Rows without the first ``done`` in an order that is total, numbered from 0 as ``n``.
 
-    Numbers without a single sorted task: rows are range-partitioned and sorted, and
-    each partition's numbers begin where those before it end.
+    Numbers without a single sorted task: rows are range-partitioned, sorted and saved
+    with the number of their partition, and each partition's numbers begin where those
+    before it end.  Saved, as ranges drawn once more could differ.
     """
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    numbered = ordered.withColumn("_p", F.spark_partition_id())
-    counts = numbered.groupBy("_p").agg(F.count("*").alias("_c"))  # a row per partition
+    ordered = saved(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()), "ordered")
+    counts = ordered.groupBy("_p").agg(F.count("*").alias("_c"))  # a row per partition
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
     within = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    return numbered.withColumn("_w", within).join(F.broadcast(offsets), "_p").withColumn("n", F.col("_before") + F.col("_w") - 1).where(F.col("n") >= done).drop("_p", "_w", "_before")
+    return ordered.withColumn("_w", within).join(F.broadcast(offsets), "_p").withColumn("n", F.col("_before") + F.col("_w") - 1).where(F.col("n") >= done).drop("_p", "_w", "_before")
 
 
 def children(source: DataFrame, key: Column, parent_key: Column, branch: str, spawn: str) -> DataFrame:

@@ -72,8 +72,7 @@ def _context_edits(spark: SparkSession, folder: str) -> DataFrame:
 
 def _overlay(spark: SparkSession, folder: str) -> DataFrame:
     h = derive(spark, folder)
-    nodes = spark.createDataFrame(list(hi.DEFINITION), "node string, kind string, step_name string, prefix string")
-    return ov.overlay(nodes, h.logs, br.branch_health(h.workflows, h.logs))
+    return ov.overlay([ov.Node(*x) for x in hi.DEFINITION], h.logs, br.branch_health(h.workflows, h.logs))
 
 
 def _bulk_insert(spark: SparkSession, folder: str) -> DataFrame:

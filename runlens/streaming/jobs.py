@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runlens.sources.shared import new_folder
+
 #: How late an event may come.
 DELAY = "1 day"
 #: The registered query reports waits that began before this, in UTC.
@@ -23,17 +23,9 @@ def _events(spark: SparkSession, folder: str, delay: str = DELAY) -> DataFrame:
     return events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", delay)
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that driver and executors share; only on one machine a temporary one stands in."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{(shared or tempfile.mkdtemp(prefix='spark-runlens-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _appended(rows: DataFrame, name: str) -> DataFrame:
     """All rows that a stream which reads what is there and stops has written, as Parquet."""
-    spark, folder = rows.sparkSession, _folder(rows.sparkSession, name)
+    spark, folder = rows.sparkSession, new_folder(rows.sparkSession, name)
     sink = rows.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/progress")
     sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{folder}/rows")
@@ -45,7 +37,7 @@ def _updated(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     Every batch writes what changed into a folder of its number, so that a batch which
     runs again replaces what it wrote; the largest number of a key holds.
     """
-    spark, folder = rows.sparkSession, _folder(rows.sparkSession, name)
+    spark, folder = rows.sparkSession, new_folder(rows.sparkSession, name)
     write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
     rows.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
     changes = spark.read.parquet(f"{folder}/rows")

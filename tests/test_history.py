@@ -182,11 +182,13 @@ def test_policies(spark):
 
 
 def test_overlay(spark):
-    nodes = spark.createDataFrame([("a", "execute", "durably_execute$a", None), ("r", "repeat", "durably_repeat$sync_job", None), ("b", "branch", "branch$x", None), ("d1", "dynamic", None, "durably_execute$"), ("d2", "dynamic", None, "durably_execute$")], "node string, kind string, step_name string, prefix string")
+    nodes = [overlay.Node("a", "execute", "durably_execute$a"), overlay.Node("r", "repeat", "durably_repeat$sync_job"), overlay.Node("b", "branch", "branch$x"), overlay.Node("d1", "dynamic", None, "durably_execute$"), overlay.Node("d2", "dynamic", None, "durably_execute$")]
     names = [(1, "durably_execute$a", 1), (2, "durably_execute$q", 2), (3, "durably_repeat$sync_job", 0), (4, "durably_repeat$sync_job$5", 1), (5, "durably_repeat$syncXjob$5", 1), (6, "wait$w", 1), (7, "wait$v", 0), (8, "$workflow_completion$", 1), (9, "branch$x", 1)]
     logs = table(spark, LOGS, [{"id": k, "workflow_id": 1, "step_name": s, "state": state} for k, s, state in names])
     health = spark.createDataFrame([(9, "active")], "branch_id long, status string")
     got = {r.node: (r.log_id, r.status, r.repetitions) for r in overlay.overlay(nodes, logs, health).collect()}
+    bare = {r.node: r.status for r in overlay.overlay([], logs, health).collect()}
+    assert bare == {f"log-{k}": "unmapped" for k in (1, 6, 9)}
     assert got == {"a": (1, "done", None), "r": (3, "active", 1), "b": (9, "active", None), "d1": (2, "failed", None), "d2": (None, "not_reached", None), "log-6": (6, "unmapped", None)}
 
 
