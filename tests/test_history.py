@@ -248,3 +248,20 @@ def test_loading_history(spark, tmp_path):
     assert again.workflows.columns == h.workflows.columns and again.logs.exceptAll(h.logs).isEmpty() and again.errors.count() == h.errors.count()
     scan = st.active_waits(again.workflows, again.logs)._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith" in scan or "StartsWith" in scan.split("PushedFilters", 1)[-1]
+
+
+def test_waits_over_several_batches(spark, tmp_path):
+    from runlens.streaming.jobs import drained, wait_outcomes
+
+    batches = [[(1, 7, "signup", "2024-01-10 00:00:00"), (2, 8, "signup", "2024-01-10 00:00:00")], [(3, 7, "purchase", "2024-01-10 01:00:00"), (4, 8, "purchase", "2024-01-10 01:00:01")], [(5, 9, "signup", "2024-01-20 00:00:00"), (6, 9, "purchase", "2024-01-20 00:00:00")], [(7, 9, "signup", "2024-01-21 00:00:00")]]
+    seen = {}
+    for k, batch in enumerate(batches):
+        spark.createDataFrame(batch, "event_id long, user_id long, event_type string, t string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"f={k}"))
+        events = spark.readStream.schema("event_id long, user_id long, event_type string, t string, f int").parquet(str(tmp_path / "in")).withColumn("at", F.col("t").cast("timestamp")).withWatermark("at", "1 day")
+        wait_outcomes(events).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        keep = lambda rows, _: seen.update({r.user_id: (r.spawned, r.completed) for r in rows.collect()})
+        drained(events).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    got = sorted((r.event_id, str(r.met_at)) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    # An end at the time-out itself still counts; one a second later leaves the wait timed out; the last wait is open.
+    assert got == [(1, "2024-01-10 01:00:00"), (2, "None"), (5, "2024-01-20 00:00:00")]
+    assert seen == {7: (1, 1), 8: (1, 1), 9: (2, 1)}
