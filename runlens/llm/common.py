@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark import cloudpickle
@@ -12,38 +9,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import runlens.llm as _package
+from runlens.sources.shared import new_folder, saved, shared_folder  # noqa: F401
 
 # Functions that run in executors travel by value, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(_package)
 
-_own_folder: list[str] = []
+#: Most rows, of a few numbers each, that are broadcast to drop them from a corpus.
+BROADCAST_ROWS = 400_000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
+def without(docs: DataFrame, gone: DataFrame, same: Column, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``docs`` without the rows that are the ``same`` as one in ``gone`` (a saved table, so that counting it is cheap).
 
-    It is ``spark.checkpoint.dir`` where the session has one.  Only on one machine
-    (tests) a temporary folder stands in; a cluster's executors wouldn't see it.
+    Up to ``most`` rows are broadcast, and no text moves; more are joined by shuffling both sides.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="spark-runlens-"))
-    return _own_folder[0]
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    Cuts the lineage: what a lost executor had is read again, not computed again.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/runlens-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return docs.join(F.broadcast(gone) if gone.count() <= most else gone, same, "left_anti")
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, shared_folder
+from .common import new_folder, saved
 
 #: Lines of one block of the index; bytes after which a task begins another archive.
 BLOCK_LINES, ARCHIVE_BYTES = 1000, 256 << 20
@@ -315,6 +315,6 @@ def lookup(index: DataFrame, folder: str, urls: list[str]) -> dict[str, list[tup
 
 def archive_and_index(spark: SparkSession, pages: DataFrame) -> tuple[str, DataFrame]:
     """Write ``pages`` and their index below the shared folder; the folder and a row per shard of the index."""
-    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "warc")
     lines = saved(write_archives(pages, folder), "capture-lines")
     return folder, saved(build_index(lines, folder), "capture-index")
