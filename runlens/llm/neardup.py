@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, components, saved
+from .common import BROADCAST_ROWS, ascii_lower, components, saved, without
 
 RADIUS = 2
 #: (first bit, bits) of the ring's segments.
@@ -224,16 +224,15 @@ def similar_links(marked: DataFrame, texts: DataFrame, crowd: int = CROWD, at_on
         centres = left.join(shares, "at").where((F.col("content") == F.col("first")) | (F.pmod(F.xxhash64("content", F.lit(turn)), F.col("shares")) == 0)).select("at", "content", "fp", "size", "parity", "root")
 
 
-def _grouped(marked: DataFrame, order: Column, bucket: int, more: DataFrame | None = None) -> DataFrame:
-    """``marked`` (saved rows with ``fp``) and ``first``: the least ``order`` among the rows of a row's group; ``more``: further links."""
+def _groups(marked: DataFrame, order: Column, bucket: int, more: DataFrame | None = None) -> DataFrame:
+    """Every fingerprint of ``marked`` (saved rows with ``fp``) with ``first``, the least ``order`` in its group; ``more``: further links."""
     nodes = saved(marked.groupBy("fp").agg(F.min(order).alias("least")), "nodes")
     linked = links(nodes.select("fp"), bucket)
     found = components(linked if more is None else linked.unionByName(more))
     roots = found.join(nodes, found.node == nodes.fp).select("fp", "root", "least")
     groups = roots.groupBy("root").agg(F.min("least").alias("group_least"))
     lifted = roots.join(groups, "root").select("fp", "group_least")
-    named = nodes.join(lifted, "fp", "left").select("fp", F.coalesce("group_least", "least").alias("first"))
-    return marked.join(named, "fp", "left")
+    return nodes.join(lifted, "fp", "left").select("fp", F.coalesce("group_least", "least").alias("first"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
@@ -246,10 +245,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``docs`` are ignored.
     """
     marked = saved(fingerprints(docs, id_col, text_col), "fingerprints")
-    return _grouped(marked, F.col("id"), bucket).select("id", "fp", F.col("first").alias("component_id"))
+    named = _groups(marked, F.col("id"), bucket)
+    return marked.join(named, "fp", "left").select("id", "fp", F.col("first").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET, crowd: int = CROWD) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET, crowd: int = CROWD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``docs`` with one row of every near-duplicate group: the one with the smallest id.
 
     Groups are linked by fingerprints within ``RADIUS`` and by five-word shingles
@@ -264,10 +264,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bu
     sketched = saved(texts.mapInArrow(_sketch_batches, "id long, key long, fp long, content long, size long, parity array<long>, bands array<long>"), "fingerprints")
     similar, marked = similar_links(sketched, texts, crowd), sketched.select("id", "key", "fp")
     row = F.struct(F.col("id").isNull().alias("none"), "id", "key")
-    grouped = _grouped(marked, row, bucket, similar)
     same = lambda rows: doc_id.eqNullSafe(rows["_id"]) & (key == rows["_key"])
-    gone = grouped.where(row != F.col("first")).select(F.col("id").alias("_id"), F.col("key").alias("_key")).distinct()
-    left = docs.join(gone, same(gone), "left_anti")
+    # A row stays if it is its group's first: no row need meet its group, whose exact copies share one fingerprint.
+    first = _groups(marked, row, bucket, similar).select(F.col("first.id").alias("_first"), F.col("first.key").alias("_first_key")).distinct()
+    gone = marked.join(first, F.col("id").eqNullSafe(F.col("_first")) & (F.col("key") == F.col("_first_key")), "left_anti").select(F.col("id").alias("_id"), F.col("key").alias("_key")).distinct()
+    gone = saved(gone, "gone")
+    left = without(docs, gone, same(gone), broadcast_rows)
     repeated = saved(marked.groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
     if repeated.isEmpty():
         return left
