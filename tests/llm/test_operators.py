@@ -135,6 +135,7 @@ def test_near_duplicates(spark, bucket):
     for _ in fp:
         for a, b in alike:
             root[a] = root[b] = min(root[a], root[b])
+    assert sorted(r.doc_id for r in neardup.keep_one(docs(spark, texts, 5), broadcast_rows=0).collect()) == sorted(set(root.values()))
     kept = neardup.keep_one(docs(spark, texts, 5))
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root.values())) and kept.columns == SCHEMA.replace(",", "").split()[::2]
 
@@ -165,7 +166,8 @@ def test_leaks(spark):
         assert got[first, 0].similarity == 1 and got[first, 0].start_word == 100
         assert 0.8 <= got[first + 3, 5].similarity < 1
     assert decontam.leaks(docs(spark, texts), b.limit(0)).count() == 0
-    assert decontam.without_leaks(docs(spark, texts), b).count() == len(texts) - 4
+    for rows in (400_000, 0):
+        assert decontam.without_leaks(docs(spark, texts), b, broadcast_rows=rows).count() == len(texts) - 4
 
 
 def test_leaks_by_weighted_similarity(spark):

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+from collections import Counter
 
 import pytest
 import xxhash
@@ -130,8 +131,8 @@ def leaked(text, items):
     for item in map(shingled, items):
         for k in range(max(1, len(found) - len(item) + 1)):
             window = found[k : k + len(item)]
-            common = len(set(window) & set(item))
-            if item and common / len(set(window) | set(item)) >= decontam.THRESHOLD:
+            common = sum((Counter(window) & Counter(item)).values())
+            if item and common / (len(window) + len(item) - common) >= decontam.THRESHOLD:
                 return True
     return False
 
