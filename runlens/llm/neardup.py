@@ -53,6 +53,8 @@ BANDS, ROWS = 32, 7
 CROWD, SALT = 32, 32
 #: Texts of a crowded value that are held against its others in one round.
 ROUND = 256
+#: Texts that a task takes from a batch at once.
+ROWS_AT_ONCE = 256
 _MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -93,16 +95,22 @@ def simhash(text: bytes | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
+def _slices(batches):
+    """Batches of at most ``ROWS_AT_ONCE`` rows, with their last column, a text, as a list of bytes."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+            batch = whole.slice(at, ROWS_AT_ONCE)
+            yield batch, batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()
+
+
 def _fingerprint_batches(batches):
-    for batch in batches:
-        texts = batch.column(batch.num_columns - 1).cast(pa.binary())
-        fp = np.fromiter((simhash(x.as_py()) for x in texts), np.uint64, len(texts)).view(np.int64)
+    for batch, texts in _slices(batches):
+        fp = np.fromiter(map(simhash, texts), np.uint64, len(texts)).view(np.int64)
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp)], [*batch.schema.names[:-1], "fp"])
 
 
 def _sketch_batches(batches):
-    for batch in batches:
-        texts = batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()
+    for batch, texts in _slices(batches):
         fp = np.fromiter(map(simhash, texts), np.uint64, len(texts)).view(np.int64)
         found = [minhash_bands(x) for x in texts]
         content = np.array([c for c, _, _, _ in found], np.uint64).view(np.int64)
