@@ -43,50 +43,59 @@ def merge_word(symbols: list[int], ranks: dict[int, int], made: list[int], width
     ``tree[1]`` is the root and ``tree[2 * k]``, ``tree[2 * k + 1]`` are the children of ``tree[k]``.
     """
     n, find = len(symbols), ranks.get
-    if n == 1:
-        return symbols
+    if n < 3:
+        rank = find(symbols[0] * width + symbols[1]) if n == 2 else None
+        return symbols if rank is None else [made[rank]]
     bits = n.bit_length()
     mask, leaves = (1 << bits) - 1, 1 << (n - 2).bit_length()
-    tree = [NONE] * (2 * leaves)
-    for i in range(n - 1):
-        rank = find(symbols[i] * width + symbols[i + 1])
+    tree, left = [NONE] * (2 * leaves), symbols[0]
+    for i in range(1, n):
+        right = symbols[i]
+        rank = find(left * width + right)
         if rank is not None:
-            tree[leaves + i] = rank << bits | i
+            tree[leaves + i - 1] = rank << bits | i - 1
+        left = right
     for k in range(leaves - 1, 0, -1):
         a, b = tree[2 * k], tree[2 * k + 1]
         tree[k] = a if a < b else b
-    if tree[1] == NONE:
+    best = tree[1]
+    if best == NONE:
         return symbols
-
-    def put(i: int, value: int) -> None:
-        k = leaves + i
-        while tree[k] != value:  # what stands above an unchanged node stays
-            tree[k] = value
-            if k == 1:
-                return
-            other = tree[k ^ 1]
-            if other < value:
-                value = other
-            k >>= 1
-
     after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-    while (best := tree[1]) != NONE:
+    while best != NONE:
         i = best & mask
         new = symbols[i] = made[best >> bits]
         j = after[i]
         k = after[i] = after[j]
+        h = before[i]
         symbols[j] = -1
+        tree[leaves + i] = NONE
         if k >= 0:
             before[k] = i
+            tree[leaves + j] = NONE
             rank = find(new * width + symbols[k])
-            put(j, NONE)
-            put(i, NONE if rank is None else rank << bits | i)
-        else:
-            put(i, NONE)
-        h = before[i]
+            if rank is not None:
+                tree[leaves + i] = rank << bits | i
+        x = y = leaves + i >> 1
+        z = leaves + (j if k >= 0 else i) >> 1
         if h >= 0:
+            x = leaves + h >> 1
             rank = find(symbols[h] * width + new)
-            put(h, NONE if rank is None else rank << bits | h)
+            tree[leaves + h] = NONE if rank is None else rank << bits | h
+        # The three leaves' nodes, level by level; they soon are one and the same.
+        while True:
+            a, b = tree[2 * z], tree[2 * z + 1]
+            tree[z] = a if a < b else b
+            if y != z:
+                a, b = tree[2 * y], tree[2 * y + 1]
+                tree[y] = a if a < b else b
+            if x != y:
+                a, b = tree[2 * x], tree[2 * x + 1]
+                tree[x] = a if a < b else b
+            if z == 1:
+                break
+            x, y, z = x >> 1, y >> 1, z >> 1
+        best = tree[1]
     return [x for x in symbols if x >= 0]
 
 
@@ -112,20 +121,27 @@ class Tokenizer:
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
         self.known: dict[str, bytes] = {}
 
-    def word(self, word: str) -> list[int]:
+    def remember(self, text: str, ids: bytes) -> bytes:
+        if len(text) < 64:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[text] = ids
+        return ids
+
+    def word(self, word: str) -> bytes:
+        """Ids of one word, as little-endian 32-bit integers."""
         raw = word.encode("utf-8", "surrogatepass")
         symbols = [self.inner[b] for b in raw]
         symbols[-1] = self.last[raw[-1]]
-        return merge_word(symbols, self.ranks, self.made, self.width)
+        return self.remember(word, array("I", merge_word(symbols, self.ranks, self.made, self.width)).tobytes())
 
     def chunk(self, chunk: str) -> bytes:
-        """Ids of a text without white space, as little-endian 32-bit integers."""
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        found = array("I", [i for w in self.WORDS.findall(chunk) for i in self.word(w)]).tobytes()
-        if len(chunk) < 64:
-            self.known[chunk] = found
-        return found
+        """Ids of a text without white space; a chunk of one word is that word."""
+        words = self.WORDS.findall(chunk)
+        if len(words) == 1:
+            return self.word(chunk)
+        known, make = self.known.get, self.word
+        return self.remember(chunk, b"".join([known(w) or make(w) for w in words]))
 
     def plain(self, text: str) -> bytes:
         if not text.isascii():
