@@ -88,11 +88,18 @@ def repetition_lateness(logs: DataFrame, step: str) -> DataFrame:
 
 
 def periodic_health(logs: DataFrame) -> DataFrame:
-    """Per workflow and periodic step: last execution on record, next run due, ticks missed."""
-    tasks = of_kinds(logs, "repeat_coordination").select("workflow_id", "step", F.get_json_object("metadata", "$.last_execution_at").alias("last_execution_at"))
-    missed = (F.col("error_class") == "TimeoutError")
-    runs = of_kinds(logs, "repeat_run").groupBy("workflow_id", "step").agg(F.max(F.when(F.col("state") == LOG_PENDING, F.col("number"))).alias("next_due"), F.coalesce(F.sum(F.when(missed, _skipped())), F.lit(0)).alias("missed_ticks"))
-    return tasks.join(runs, ["workflow_id", "step"], "left").select("workflow_id", "step", "last_execution_at", "next_due", F.coalesce("missed_ticks", F.lit(0)).alias("missed_ticks"))
+    """Per workflow and periodic step: last execution on record, next run due, ticks missed.
+
+    Coordinations and runs are of one name, so that one grouping finds both; runs of no
+    coordination are left out.
+    """
+    coordinates = F.col("kind") == "repeat_coordination"
+    missed = ~coordinates & (F.col("error_class") == "TimeoutError")
+    d = of_kinds(logs, "repeat_coordination", "repeat_run").groupBy("workflow_id", "step").agg(
+        F.count_if(coordinates).alias("_tasks"), F.max(F.when(coordinates, F.get_json_object("metadata", "$.last_execution_at"))).alias("last_execution_at"),
+        F.max(F.when(~coordinates & (F.col("state") == LOG_PENDING), F.col("number"))).alias("next_due"), F.coalesce(F.sum(F.when(missed, _skipped())), F.lit(0)).alias("missed_ticks"),
+    )
+    return d.where("_tasks > 0").drop("_tasks")
 
 
 def recent_latencies(logs: DataFrame, most: int = LATENCIES) -> DataFrame:
