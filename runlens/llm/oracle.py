@@ -132,7 +132,7 @@ joint AS (SELECT entity, term, count(DISTINCT context) AS n_contexts, count(DIST
 everywhere AS (SELECT term, count(*) AS n_docs FROM (SELECT unnest(list_distinct({terms.format('t')})) AS term FROM docs) GROUP BY 1),
 revealing AS (SELECT entity, term FROM joint JOIN holders USING (entity) JOIN everywhere USING (term), (SELECT count(*)::DOUBLE AS total FROM docs) WHERE ln(total / n_entity) > 0 AND ln(total * n_joint / (n_entity * greatest(n_docs, n_joint))) >= {pii.SHARE} * ln(total / n_entity)),
 told AS (SELECT DISTINCT r, term FROM entities JOIN revealing USING (entity)),
-words AS (SELECT r, unnest(found) AS value, unnest(between[1:len(found)]) AS before, generate_subscripts(found, 1) AS i FROM (SELECT r, regexp_extract_all(t, '\p{{L}}+') AS found, string_split_regex(t, '\p{{L}}+') AS between FROM holding SEMI JOIN told USING (r))),
+words AS (SELECT r, unnest(found) AS value, unnest(between[1:len(found)]) AS before, generate_subscripts(found, 1) AS i FROM (SELECT r, regexp_extract_all(t, '\\p{{L}}+') AS found, string_split_regex(t, '\\p{{L}}+') AS between FROM holding SEMI JOIN told USING (r))),
 lettered AS (SELECT r, value, CAST(sum(length(before) + length(value)) OVER (PARTITION BY r ORDER BY i) AS BIGINT) AS stop FROM words),
 added AS (SELECT r, {len(pii.KINDS)} AS rank, '{pii.TERM}' AS kind, stop - length(value) AS start, stop FROM lettered l WHERE EXISTS (SELECT 1 FROM told WHERE told.r = l.r AND told.term = lower(l.value)) AND NOT EXISTS (SELECT 1 FROM spans s WHERE s.r = l.r AND s.start < l.stop AND l.stop - length(l.value) < s.stop)),
 base AS (SELECT r, {", ".join(count(k) for k, _, _ in pii.KINDS)}, {joined('AS base')} FROM spans GROUP BY r),
