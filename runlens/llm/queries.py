@@ -10,12 +10,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, license_scan, neardup, pii, quality_model, quality_rules, warc
+from . import alignment, bpe, chat, decontam, langid, license_scan, neardup, pii, quality_model, quality_rules, warc
 from .common import id_remainder, read_table, saved
 from .oracle import oracle_sql  # noqa: F401  the entry takes queries and SQL from here
 
-#: Place of the tokenizer file; a parameter of the query's builder.
+#: Places of the tokenizer files; parameters of the queries' builders.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 #: Remainders of crc32 of the id that are held out: (divisor, remainder).
 LANG_FOLD, QUALITY_FOLD = (4, 2), (5, 0)
 THRESHOLD = 0.3
@@ -84,6 +85,10 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select(F.col("id").alias("doc_id"), (id_remainder(F.col("id"), divisor) == out).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_alignment(spark: SparkSession, folder: str, bytes_file: str = BYTES, piece_model: str = PIECES) -> DataFrame:
+    return alignment.align(read_table(spark, folder, "documents"), bytes_file, piece_model)
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return _pipeline().run(spark, folder)
 
@@ -98,5 +103,5 @@ def _pipeline():
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_decontamination, op2_license_scan, op3_quality_rules, op4_language_id, op5_chat_format, op6_simhash_neardup, op7_warc, op8_pii, op9_bpe, op10_quality_classifier]
+    own = [op1_decontamination, op2_license_scan, op3_quality_rules, op4_language_id, op5_chat_format, op6_simhash_neardup, op7_warc, op8_pii, op9_bpe, op10_quality_classifier, op11_alignment]
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
