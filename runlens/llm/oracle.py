@@ -140,5 +140,15 @@ more AS (SELECT r, {joined('AS spans')} FROM (SELECT r, rank, kind, start, stop
 SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k, _, _ in pii.KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN base USING (r) LEFT JOIN more USING (r)"""
 
 
+def _hard_negatives() -> str:
+    return """WITH e AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, a.label = b.label AS alike, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s USING (anchor_id) WHERE NOT alike AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": _decontamination(), "op2_license_scan": _license_scan(), "op3_quality_rules": _quality_rules(), "op5_chat_format": _chats(), "op7_warc": _archives(), "op8_pii": _personal_data()}
+    return {"op1_decontamination": _decontamination(), "op2_license_scan": _license_scan(), "op3_quality_rules": _quality_rules(), "op5_chat_format": _chats(), "op7_warc": _archives(), "op8_pii": _personal_data(), "op12_hard_negatives": _hard_negatives()}

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, chat, decontam, langid, license_scan, neardup, pii, quality_model, quality_rules, warc
+from . import alignment, bpe, chat, decontam, langid, license_scan, neardup, negatives, pii, quality_model, quality_rules, warc
 from .common import id_remainder, read_table, saved
 from .oracle import oracle_sql  # noqa: F401  the entry takes queries and SQL from here
 
@@ -89,6 +89,12 @@ def op11_alignment(spark: SparkSession, folder: str, bytes_file: str = BYTES, pi
     return alignment.align(read_table(spark, folder, "documents"), bytes_file, piece_model)
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = read_table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.withColumn("label", moved))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return _pipeline().run(spark, folder)
 
@@ -103,5 +109,5 @@ def _pipeline():
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_decontamination, op2_license_scan, op3_quality_rules, op4_language_id, op5_chat_format, op6_simhash_neardup, op7_warc, op8_pii, op9_bpe, op10_quality_classifier, op11_alignment]
+    own = [op1_decontamination, op2_license_scan, op3_quality_rules, op4_language_id, op5_chat_format, op6_simhash_neardup, op7_warc, op8_pii, op9_bpe, op10_quality_classifier, op11_alignment, op12_hard_negatives]
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
