@@ -6,7 +6,7 @@ tests hold these against brute force.
 
 from __future__ import annotations
 
-from . import chat, decontam, license_scan, pii, quality_rules
+from . import chat, decontam, forest, license_scan, pii, quality_rules
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -150,5 +150,19 @@ n AS (SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id,
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
 
 
+def _forest() -> str:
+    """Pairs by shared shingles, each reached from the smallest ids on."""
+    n, s = forest.WORDS, forest.SIMILARITY
+    return f"""WITH RECURSIVE docs AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (SELECT doc_id, list_sort(list_distinct([array_to_string(w[k + 1:k + {n}], ' ') for k in range(greatest(len(w) - {n - 1}, 1))])) AS s FROM docs WHERE len(w) > 0),
+reps AS MATERIALIZED (SELECT min(doc_id) AS rep, s, len(s) AS n FROM sets GROUP BY s),
+each AS MATERIALIZED (SELECT rep, n, hash(unnest(s)) AS h FROM reps),
+pairs AS MATERIALIZED (SELECT a.rep AS a, b.rep AS b FROM each a JOIN each b ON a.h = b.h AND a.rep < b.rep AND 100 * least(a.n, b.n) >= {s} * greatest(a.n, b.n) GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= {s} * (a.n + b.n - count(*))),
+edges AS MATERIALIZED (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach(node, root) AS (SELECT rep, rep FROM reps UNION SELECT edges.b, root FROM reach JOIN edges ON edges.a = reach.node AND edges.b > root),
+named AS (SELECT s, min(root) AS root FROM reach JOIN reps ON rep = node GROUP BY ALL)
+SELECT d.doc_id, CAST(coalesce(len(t.s), 0) AS BIGINT) AS n_shingles, coalesce(root, d.doc_id) AS component_id, d.doc_id = coalesce(root, d.doc_id) AS kept FROM documents d LEFT JOIN sets t USING (doc_id) LEFT JOIN named ON named.s = t.s"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": _decontamination(), "op2_license_scan": _license_scan(), "op3_quality_rules": _quality_rules(), "op5_chat_format": _chats(), "op7_warc": _archives(), "op8_pii": _personal_data(), "op12_hard_negatives": _hard_negatives()}
+    return {"op1_decontamination": _decontamination(), "op2_license_scan": _license_scan(), "op3_quality_rules": _quality_rules(), "op5_chat_format": _chats(), "op7_warc": _archives(), "op8_pii": _personal_data(), "op12_hard_negatives": _hard_negatives(), "op13_minhash_neardup": _forest()}

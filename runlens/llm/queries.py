@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, chat, decontam, langid, license_scan, neardup, negatives, pii, quality_model, quality_rules, warc
+from . import alignment, bpe, chat, decontam, forest, langid, license_scan, neardup, negatives, pii, quality_model, quality_rules, warc
 from .common import id_remainder, read_table, saved
 from .oracle import oracle_sql  # noqa: F401  the entry takes queries and SQL from here
 
@@ -95,6 +95,10 @@ def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return negatives.mine(vectors.withColumn("label", moved))
 
 
+def op13_minhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    return forest.near_duplicates(read_table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return _pipeline().run(spark, folder)
 
@@ -109,5 +113,5 @@ def _pipeline():
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_decontamination, op2_license_scan, op3_quality_rules, op4_language_id, op5_chat_format, op6_simhash_neardup, op7_warc, op8_pii, op9_bpe, op10_quality_classifier, op11_alignment, op12_hard_negatives]
+    own = [op1_decontamination, op2_license_scan, op3_quality_rules, op4_language_id, op5_chat_format, op6_simhash_neardup, op7_warc, op8_pii, op9_bpe, op10_quality_classifier, op11_alignment, op12_hard_negatives, op13_minhash_neardup]
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
