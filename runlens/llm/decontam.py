@@ -2,24 +2,26 @@
 
 Texts are lower-cased and cut into runs of letters and digits; shingles are
 five words (an item with fewer words is one shingle).  A window of a document
-has as many shingles as the item it is held against.  Windows are laid where a
-shingle of the document equals a shingle of an item and puts the item's start;
-a window that shares no shingle with any item has similarity zero, so none that
-could pass is left out.
+has as many shingles as the item it is held against.
+
+A window that reaches the threshold holds nearly all shingles of its item, so it holds
+one of the item's few rarest, its prefix: only documents with such a shingle are
+candidates for the item, and a shingle that many items share makes none, but for items
+of nothing else.  For a candidate, windows are laid where any shingle of the item
+puts its start, and are held against this item alone.
 
 Windows and items are fingerprinted with a SimHash that weighs a shingle by its
 repeats.  The 64 bits are cut into ``len(BLOCKS)`` blocks; two fingerprints
 within ``RADIUS`` bits agree in some block within ``RADIUS // len(BLOCKS)`` bits.
-Items are stored under every such value of every block, so an equi-join on
-(window size, block, value) finds all fingerprints within the radius.  Pairs
-within the radius are verified by the exact weighted Jaccard similarity of their
+Windows meet the stored blocks of their item, and pass if some block agrees; none
+within the radius is missed.  Pairs within the radius are verified by the exact weighted Jaccard similarity of their
 shingles.  Of 166,000 pairs drawn at a similarity of 0.8, with 9 to 400 shingles, one
 differed in more than 23 bits (seven in 10,000 in more than 19).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, let, saved, without
@@ -64,31 +66,45 @@ def benchmark_items(items: DataFrame, item_col: str = "item_id", text_col: str =
     return found.withColumn("fp", simhash(F.col("shingles"))).withColumn("item", F.xxhash64("item_id", "shingles"))
 
 
-def windows(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text", broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
-    """``doc_id``, ``start`` (word), ``n``, ``window`` (shingle hashes): item-sized windows of documents that share a shingle with an item.
+def prefixes(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``item``, ``width``, ``shingle``: the rarest shingles of every item, of which a window that reaches the threshold holds one."""
+    each = items.select("item", "width", "n", F.explode("shingles").alias("shingle"))
+    each = each.groupBy("item", "width", "n", "shingle").agg(F.count("*").alias("times"))
+    rare = each.join(each.groupBy("shingle").agg(F.count("*").alias("items")), "shingle")
+    # A window (shorter than the item where its document is) that reaches the threshold holds that share of the item's shingles, repeats included.  The margin is for rounding.
+    needed = F.ceil(F.col("n") * threshold - 1e-9)
+    before = F.sum("times").over(Window.partitionBy("item").orderBy("items", "shingle")) - F.col("times")
+    return rare.withColumn("before", before).where(F.col("before") <= F.col("n") - needed).select("item", "width", "shingle")
+
+
+def windows(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text", broadcast_shingles: int = BROADCAST_SHINGLES, threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id``, ``item``, ``start`` (word), ``n``, ``window`` (shingle hashes): item-sized windows of documents that hold a shingle of the item's prefix.
 
-    The corpus is read once, whatever the items' widths.  Where the items' shingles are
-    too many to broadcast, both sides are shuffled by shingle, without the documents'
-    other shingles, and the windows are cut from the documents that have hits.
+    The corpus is read once for the candidates, whatever the items' widths, and once
+    more for their shingles.  Where the prefixes are too many to broadcast, both sides
+    are shuffled by shingle.
     """
     sizes = items.groupBy("width").agg(F.sum("n").alias("n")).orderBy("width").collect()  # five rows at most
-    known = items.select("n", F.posexplode("shingles").alias("q", "shingle"), F.col("shingles").alias("all"))
-    known = known.select("n", "q", "shingle", F.get("all", F.col("q") - 1).alias("previous")).distinct()
     text = F.col(text_col).cast("string")
     row, hashes = F.xxhash64(F.col(doc_col).cast("long"), text), F.transform(words(text), lambda x: F.xxhash64(x))
     by_width = let(hashes, lambda h: F.array(*(F.struct(F.lit(r.width).alias("width"), shingles(h, r.width).alias("s")) for r in sizes))) if sizes else F.array().cast("array<struct<width:int,s:array<bigint>>>")
-    cut = docs.select(F.col(doc_col).cast("long").alias("doc_id"), row.alias("row"), F.explode_outer(by_width).alias("x")).select("doc_id", "row", "x.width", "x.s")
+    of = lambda d: d.select("doc_id", "row", F.explode_outer(by_width).alias("x")).select("doc_id", "row", "x.width", "x.s")
+    marked = docs.select(F.col(doc_col).cast("long").alias("doc_id"), row.alias("row"), F.col(text_col))
+
+    known = saved(prefixes(items, threshold), "prefixes")
+    each = of(marked).select("row", "width", F.explode_outer("s").alias("shingle"))  # plain explode would compute s once more, to test that it has elements
+    rare = F.broadcast(known) if sum(r.n for r in sizes) <= broadcast_shingles else known
+    candidates = saved(each.join(rare, ["width", "shingle"]).select("row", "width", "item").distinct(), "candidates")
+
+    rows = candidates.select("row").distinct()
+    holding = of(marked.join(F.broadcast(rows) if candidates.count() <= BROADCAST_ROWS else rows, "row", "left_semi"))
+    holding = saved(holding.join(candidates.select("row", "width").distinct(), ["row", "width"], "left_semi"), "holding")
+    at = holding.select("row", "width", F.inline_outer(F.transform("s", lambda x, p: F.struct(p.alias("p"), x.alias("shingle"), F.get("s", p - 1).alias("before")))))
+    own = candidates.join(items.select("item", "n", "shingles"), "item").select("row", "width", "item", "n", F.inline(F.transform("shingles", lambda x, q: F.struct(q.alias("q"), x.alias("shingle"), F.get("shingles", q - 1).alias("previous")))))
     # Only the first shingle of a run that fits the item puts a window; the others would put the same one.
     first = (F.col("p") == 0) | F.col("previous").isNull() | (F.col("before") != F.col("previous"))
-    start = F.greatest(F.col("p") - F.col("q"), F.lit(0))
-    if sum(r.n for r in sizes) <= broadcast_shingles:
-        each = cut.select("doc_id", "s", F.posexplode_outer("s").alias("p", "shingle"))  # plain posexplode would compute s once more, to test that it has elements
-        hits = each.join(F.broadcast(known), "shingle").withColumn("before", F.get("s", F.col("p") - 1)).where(first)
-        return hits.select("doc_id", start.alias("start"), "n", F.slice("s", start + 1, F.col("n")).alias("window"))
-    each = cut.select("row", "width", F.inline_outer(F.transform("s", lambda x, p: F.struct(p.alias("p"), x.alias("shingle"), F.get("s", p - 1).alias("before")))))
-    hits = saved(each.join(known, "shingle").where(first).select("row", "width", start.alias("start"), "n").distinct(), "hits")
-    holding = cut.join(hits.select("row", "width").distinct(), ["row", "width"])
-    return holding.join(hits, ["row", "width"]).select("doc_id", "start", "n", F.slice("s", F.col("start") + 1, F.col("n")).alias("window"))
+    hits = at.join(own, ["row", "width", "shingle"]).where(first).select("row", "width", "item", "n", F.greatest(F.col("p") - F.col("q"), F.lit(0)).alias("start")).distinct()
+    return holding.join(hits, ["row", "width"]).select("doc_id", "item", "start", "n", F.slice("s", F.col("start") + 1, F.col("n")).alias("window"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
@@ -99,21 +115,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_col: str = "doc_id", text_c
     ignored.
     """
     items = saved(benchmark_items(benchmark, item_col, item_text_col), "items")
-    laid = windows(docs, items, doc_col, text_col, broadcast_shingles)
+    laid = windows(docs, items, doc_col, text_col, broadcast_shingles, threshold)
     laid = saved(laid.withColumn("content", F.xxhash64("n", "window")), "windows")
-    contents = saved(laid.groupBy("content", "n").agg(F.first("window").alias("window")).withColumn("fp", simhash(F.col("window"))), "contents")
+    contents = saved(laid.groupBy("content").agg(F.first("window").alias("window")).withColumn("fp", simhash(F.col("window"))), "contents")
 
-    near = F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << max(BLOCKS)) - 1).cast("long")), lambda x: F.bit_count(x) <= RADIUS // len(BLOCKS))
-    stored = items.select("n", F.col("fp").alias("item_fp"), "item", F.inline(_block_values(F.col("fp")))).select("n", "item_fp", "item", "block", F.explode_outer(F.transform(near, lambda x: x.bitwiseXOR(F.col("value")))).alias("value"))
-    probes = contents.select("content", "n", "fp", F.inline(_block_values(F.col("fp"))))
-    pairs = probes.join(stored, ["n", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("content", "item").distinct()
+    stored = items.select("item", F.col("fp").alias("item_fp"), F.inline(_block_values(F.col("fp")))).select("item", "item_fp", "block", F.col("value").alias("item_value"))
+    met = laid.select("item", "content").distinct().join(contents.select("content", "fp"), "content")
+    probes = met.select("item", "content", "fp", F.inline(_block_values(F.col("fp"))))
+    apart = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+    pairs = probes.join(stored, ["item", "block"]).where((apart("value", "item_value") <= RADIUS // len(BLOCKS)) & (apart("fp", "item_fp") <= RADIUS)).select("content", "item").distinct()
 
     of_items = items.select("item", F.size("shingles").alias("item_total"), F.explode("shingles").alias("shingle")).groupBy("item", "item_total", "shingle").agg(F.count("*").alias("in_item"))
     of_windows = contents.select("content", F.size("window").alias("total"), F.explode("window").alias("shingle")).groupBy("content", "total", "shingle").agg(F.count("*").alias("in_window"))
     both = pairs.join(of_windows, "content").join(of_items, ["item", "shingle"]).groupBy("content", "item", "total", "item_total").agg(F.sum(F.least("in_item", "in_window")).alias("common"))
     similar = both.select("content", "item", (F.col("common") / (F.col("total") + F.col("item_total") - F.col("common"))).alias("similarity")).where(F.col("similarity") >= threshold)
     named = similar.join(items.select("item", "item_id").distinct(), "item")
-    hits = laid.select("doc_id", "start", "n", "content").join(named, "content")
+    hits = laid.select("doc_id", "item", "start", "n", "content").join(named, ["item", "content"])
     best = F.struct("similarity", (-F.col("start")).alias("start"), "n")
     return hits.groupBy("doc_id", "item_id").agg(F.max(best).alias("best")).select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.start")).alias("start_word"), F.col("best.n").alias("n_shingles"))
 

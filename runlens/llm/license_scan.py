@@ -1,7 +1,7 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
-A block is a run of ``BLOCK_WORDS`` consecutive words that begins at a word of some
-template, wherever lines break.  A block matches a template when it holds at least
+A block is a run of ``BLOCK_WORDS`` consecutive words (more, if a template has more) that
+begins at a word of some template, wherever lines break.  A block matches a template when it holds at least
 nine tenths of the template's distinct words.  Words are put
 in one global order, rarest in the corpus first.  A block that reaches the
 threshold must share a word of the template's prefix (its rarest words but the
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, let, saved
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Share of a template's distinct words that a block must hold, in tenths; words of a block.
+#: Share of a template's distinct words that a block must hold, in tenths; least number of words in a block.
 THRESHOLD_TENTHS, BLOCK_WORDS = 9, 40
 #: Phrases and labels found word by word (fixed values).
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -62,15 +62,22 @@ def needed(size: int, tenths: int = THRESHOLD_TENTHS) -> int:
     return -(-size * tenths // 10)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, tenths: int = THRESHOLD_TENTHS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def block_length(templates: dict[str, str]) -> int:
+    """Words of a block: as many as the longest template, so that each can match whole."""
+    return max([BLOCK_WORDS, *(len(t.split()) for t in templates.values())])
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, tenths: int = THRESHOLD_TENTHS, block_words: int | None = None) -> DataFrame:
     """One row per row of ``docs``: ``id``, ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``, ``labels``, ``score``, ``n_blocks`` (different blocks that match a template).
 
     Null text counts as empty.  ``score`` is 1 where a phrase stands, else the
     largest share of a template that a matching block holds, else 0.  Rows that
     repeat id and text are returned as often as they come; extra columns are
-    ignored.
+    ignored.  Time is linear in the words of a text.
     """
-    templates = {k: sorted(set(t.split())) for k, t in (TEMPLATES if templates is None else templates).items()}
+    templates = TEMPLATES if templates is None else templates
+    block_words = block_length(templates) if block_words is None else block_words
+    templates = {k: sorted(set(t.split())) for k, t in templates.items()}
     vocabulary = sorted({w for t in templates.values() for w in t} | {w for p in PHRASES for w in p.split()})
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("row_key"), words(text).alias("words"))
@@ -86,9 +93,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     for t in templates.values():
         covered = covered | (F.size(F.array_intersect("known", _literal(t))) >= needed(len(t), tenths))
     least = min((needed(len(t), tenths) for t in templates.values()), default=1)
-    known_at = F.filter(F.transform("words", lambda w, k: F.struct(k.alias("k"), w.alias("w"))), lambda x: F.array_contains(_literal(vocabulary), x["w"]))
-    block = lambda at: lambda x, k: F.array_sort(F.array_distinct(F.transform(F.filter(F.slice(at, k + 1, F.lit(block_words)), lambda y: y["k"] < x["k"] + block_words), lambda y: y["w"])))
-    blocks = let(known_at, lambda at: F.array_distinct(F.filter(F.transform(at, block(at)), lambda b: F.size(b) >= least)))
+    known_at = F.filter(F.transform("words", lambda w, k: F.struct(k.alias("k"), w.alias("w"))), lambda x: x["w"].isin(vocabulary))
+    in_block = lambda at, x, k: F.array_distinct(F.transform(F.filter(F.slice(at, k + 1, F.lit(block_words)), lambda y: y["k"] < x["k"] + block_words), lambda y: y["w"]))
+    # A block is one text of its words in order: different ones of many texts are found by hashing, of many arrays by comparing each with each.
+    block = lambda at: lambda x, k: let(in_block(at, x, k), lambda b: F.when(F.size(b) >= least, F.array_join(F.array_sort(b), " ")))
+    blocks = let(known_at, lambda at: F.array_distinct(F.array_compact(F.transform(at, block(at)))))
     d = d.select("id", "row_key", F.size("words").cast("long").alias("n_words"), "known", *(at.alias(f"at_{k}") for k, (_, at) in enumerate(marks)), F.when(covered, blocks).alias("blocks"))
     all_at = F.flatten(F.array(*(F.col(f"at_{k}") for k in range(len(marks)))))
     found = F.array_sort(F.array_compact(F.array(*(F.when(F.size(f"at_{k}") > 0, F.lit(label)) for k, (label, _) in enumerate(marks)))))
@@ -103,7 +112,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
         ordered, need = sorted(t, key=order.index), needed(len(t), tenths)
         rows += [F.struct(F.lit(w).alias("word"), F.lit(label).alias("label"), F.lit(k).alias("t_at"), F.lit(len(t)).alias("t_size"), F.lit(need).alias("need"), _literal(ordered).alias("t_words")) for k, w in enumerate(ordered[: len(t) - need + 1])]
     prefixes = docs.sparkSession.range(1).select(F.inline(F.array(*rows)))
-    ordered = d.where("blocks is not null").select("id", "row_key", F.posexplode("blocks").alias("block", "b_words")).select("id", "row_key", "block", F.array_intersect(_literal(order), "b_words").alias("b_words")).distinct()
+    ordered = d.where("blocks is not null").select("id", "row_key", F.posexplode("blocks").alias("block", "b_words")).select("id", "row_key", "block", F.array_intersect(_literal(order), F.split("b_words", " ")).alias("b_words")).distinct()
     each = ordered.select("*", F.size("b_words").alias("b_size"), F.posexplode("b_words").alias("b_at", "word"))
     pairs = each.join(F.broadcast(prefixes), "word")
     pairs = pairs.where((F.col("b_size") >= F.col("need")) & (F.col("b_at") <= F.col("b_size") - F.col("need")))

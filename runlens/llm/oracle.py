@@ -46,7 +46,7 @@ p AS MATERIALIZED (SELECT *, lead(word, 1) OVER o AS w1, lead(word, 2) OVER o AS
 marks AS MATERIALIZED ({phrases}),
 base AS (SELECT r, count(*) AS n_base, min(k) AS first_word, max(k) AS last_word, list_sort(list_distinct(list(label))) AS found FROM marks GROUP BY r),
 known AS MATERIALIZED (SELECT r, k, word FROM p WHERE word IN ({known})),
-blocks AS MATERIALIZED (SELECT a.r, a.k, b.word FROM known a JOIN known b ON b.r = a.r AND b.k >= a.k AND b.k < a.k + {license_scan.BLOCK_WORDS} GROUP BY ALL),
+blocks AS MATERIALIZED (SELECT a.r, a.k, b.word FROM known a JOIN known b ON b.r = a.r AND b.k >= a.k AND b.k < a.k + {license_scan.block_length(license_scan.TEMPLATES)} GROUP BY ALL),
 held AS (SELECT r, k, label, size, count(*) AS common FROM blocks JOIN (VALUES {rows}) t(label, word, size, need) USING (word) GROUP BY r, k, label, size, need HAVING count(*) >= need),
 sets AS (SELECT r, k, list_sort(list(word)) AS content FROM blocks SEMI JOIN held USING (r, k) GROUP BY ALL),
 hits AS (SELECT r, list_sort(list_distinct(list(label))) AS more, max(common / size) AS share, count(DISTINCT content) AS n_blocks FROM held JOIN sets USING (r, k) GROUP BY r)
