@@ -185,7 +185,11 @@ def score_statistics(stats: DataFrame, model: Model) -> DataFrame:
 
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` with all its columns and ``score_col``, a double."""
+    """``docs`` with all its columns and ``score_col``, a double.
+
+    A column that has that name already is replaced, the text itself included; other
+    columns may have any names.  Null texts score as empty ones.
+    """
 
     def run(batches):
         for batch in batches:
@@ -195,9 +199,11 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", score
                 scores = model.score(np.stack([statistics(x.as_py() or b"") for x in texts]).astype(np.float64))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(scores)], [*part.schema.names[:-1], score_col])
 
-    carried = docs.drop(score_col)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema.fields), f"`{score_col}` double"])
-    return carried.withColumn("_scored", F.col(text_col).cast("string")).mapInArrow(run, schema)
+    kept = [f for f in docs.schema.fields if f.name.lower() != score_col.lower()]
+    names = {f.name.lower() for f in kept}
+    scored = next(name for name in (f"_scored{k}" for k in range(len(names) + 1)) if name not in names)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{score_col}` double"])
+    return docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col(text_col).cast("string").alias(scored)).mapInArrow(run, schema)
 
 
 def train(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> Model:
