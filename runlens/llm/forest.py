@@ -22,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, saved
@@ -32,8 +32,8 @@ from .neardup import PARITIES, _hashes, _may_reach, _slices
 WORDS, SIMILARITY = 4, 80
 #: Trees, and lengths of the prefixes that make regions.
 TREES, DEPTHS = 32, (5, 10, 20)
-#: Most nodes of a region that are compared pair by pair; parts that a crowded region is dealt to; nodes held against its others in one round.
-CROWD, SALT, ROUND = 32, 32, 256
+#: Most nodes of a region that are compared pair by pair; nodes, or pairs of one node, that a part of a larger one has; nodes held against a region's others in one round.
+CROWD, PART, ROUND = 32, 2048, 256
 _SHIFTS = np.random.default_rng(7).integers(0, 1 << 63, TREES * DEPTHS[0], np.uint64) * np.uint64(2) + np.uint64(1)
 _SKETCH = "id long, key long, content long, size long, parity array<long>, signature array<int>"
 
@@ -76,11 +76,18 @@ def _regions(nodes: DataFrame, trees: DataFrame, depth: int) -> DataFrame:
     return saved(found.join(found.groupBy("at").agg(F.count("*").alias("n")).where("n > 1"), "at"), "regions")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, salt: int = 1) -> DataFrame:
-    """Pairs (``a``, ``b``, different) whose full sets reach the similarity; ``b`` may be crowded, and is dealt to ``salt`` parts."""
+def _parts(n: str) -> Column:
+    """Parts that ``n`` rows of one key are dealt to: one, but for very large keys."""
+    return F.ceil(F.col(n) / PART).cast("int")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (``a``, ``b``, different) whose full sets reach the similarity; pairs of a ``b`` that has very many are dealt to parts."""
     pairs = saved(pairs, "candidates")
-    of_b = sets.join(pairs.select(F.col("b").alias("content")).distinct(), "content", "left_semi").select(F.col("content").alias("b"), F.col("s").alias("sb"), F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("part"))
-    both = pairs.join(sets.select(F.col("content").alias("a"), F.col("s").alias("sa")), "a").withColumn("part", F.pmod("a", F.lit(salt)).cast("int")).join(of_b, ["b", "part"])
+    crowds = pairs.groupBy("b").agg(F.count("*").alias("n"))
+    dealt = pairs.join(crowds, "b").select("a", "b", F.pmod("a", _parts("n")).cast("int").alias("part"))
+    of_b = sets.select(F.col("content").alias("b"), F.col("s").alias("sb")).join(crowds, "b").select("b", "sb", F.explode(F.sequence(F.lit(0), _parts("n") - 1)).alias("part"))
+    both = dealt.join(sets.select(F.col("content").alias("a"), F.col("s").alias("sa")), "a").join(of_b, ["b", "part"])
     common = F.size(F.array_intersect("sa", "sb"))
     return saved(both.where(100 * common >= SIMILARITY * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "similar")
 
@@ -115,27 +122,27 @@ def links(nodes: DataFrame, texts: DataFrame, crowd: int = CROWD, at_once: int =
 
     crowded = levels[0].where(F.col("n") > crowd).select("at", "content", "n")
     crowded = crowded.join(crowded.groupBy("content").agg(F.sum("n").alias("met")), "content").join(parity.drop("row"), "content")
-    members = saved(crowded.withColumn("part", F.pmod("content", F.lit(SALT)).cast("int")), "crowded")
+    members = saved(crowded.withColumn("part", F.pmod("content", _parts("n")).cast("int")), "crowded")
     if members.isEmpty():
         return found
-    every_part, done, turn = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("part"), None, 0
+    every_part, done, turn = F.explode(F.sequence(F.lit(0), _parts("n") - 1)).alias("part"), None, 0
     while True:
         roots = saved(components(found).distinct(), "roots")
         rooted = saved(members.join(roots, members.content == roots.node, "left").select(*members.columns, F.coalesce("root", "content").alias("root")), "rooted")
         main = rooted.groupBy("at", "root").agg(F.count("*").alias("k")).groupBy("at").agg(F.max(F.struct("k", "root")).alias("x")).select("at", F.col("x.root").alias("main"))
         placed = rooted.join(main, "at")
         if turn == 0:
-            first = F.max_by(F.struct("content", "size", "parity", "root"), F.struct("met", "content"))
+            first = F.max_by(F.struct("content", "size", "parity", "root", "n"), F.struct("met", "content"))
             centres = placed.where("root = main").groupBy("at").agg(first.alias("x")).select("at", "x.*")
         else:
             left = saved(placed.where("root <> main").join(done, ["at", "content"], "left_anti"), "left")
             if left.isEmpty():
                 return found
             shares = left.groupBy("at").agg(F.ceil(F.count("*") / at_once).alias("shares"), F.min("content").alias("least"))
-            centres = left.join(shares, "at").where((F.col("content") == F.col("least")) | (F.pmod(F.xxhash64("content", F.lit(turn)), F.col("shares")) == 0)).select("at", "content", "size", "parity", "root")
+            centres = left.join(shares, "at").where((F.col("content") == F.col("least")) | (F.pmod(F.xxhash64("content", F.lit(turn)), F.col("shares")) == 0)).select("at", "content", "size", "parity", "root", "n")
         centres = saved(centres, "centres")
         met = side(rooted, "a", "at", "part", "root").join(side(centres, "b", "at", every_part, F.col("root").alias("of_b")), ["at", "part"]).where((F.col("root") != F.col("of_b")) & near)
-        found = found.unionByName(_confirmed(met.select("a", "b").distinct(), sets, SALT))
+        found = found.unionByName(_confirmed(met.select("a", "b").distinct(), sets))
         held = centres.select("at", "content")
         done, turn = held if done is None else done.unionByName(held), turn + 1
 
