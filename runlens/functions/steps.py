@@ -40,9 +40,17 @@ def iso(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+def time_of(text: Column) -> Column:
+    """A time given as text, in UTC: an offset at its end counts, a time without one is in UTC; none where it is no time."""
+    instant = lambda t: F.timestamp_add("MICROSECOND", F.unix_micros(t.try_cast("timestamp")), now_at("1970-01-01 00:00:00"))
+    # In a lambda the text is computed once, and the code around it stays small.
+    read = lambda t: F.when(t.rlike(r":[0-9.]+ ?([+-][0-9:]+|[A-Z]+)$"), instant(t)).otherwise(t.try_cast("timestamp_ntz"))
+    return F.get(F.transform(F.array(text), read), F.lit(0))
+
+
 def metadata_time(key: str) -> Column:
     """A time in a step's metadata; none where it is missing or no time."""
-    return F.get_json_object("metadata", f"$.{key}").try_cast("timestamp_ntz")
+    return time_of(F.get_json_object("metadata", f"$.{key}"))
 
 
 def label(ts: Column) -> Column:

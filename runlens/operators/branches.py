@@ -12,19 +12,22 @@ from runlens.functions.steps import COMPLETED, FAILED, IDLE, LOG_COMPLETED, RUNN
 REKICKS, REKICK_AFTER = 200, 300
 
 
-def _children(wf: DataFrame, logs: DataFrame) -> DataFrame:
-    branch = logs.where(F.col("step_name").startswith("branch$")).select(F.col("id").alias("branch_id"), F.col("workflow_id").alias("parent_id"), F.col("step_name").alias("branch"), (F.col("state") == LOG_COMPLETED).alias("sealed"))
-    child = wf.select(F.col("id").alias("child_id"), F.col("parent_execution_log_id").alias("branch_id"), "state", "started_at", "completed_at", "updated_at")
-    return branch.join(child, "branch_id", "left")
+def _branches(logs: DataFrame) -> DataFrame:
+    return logs.where(F.col("step_name").startswith("branch$")).select(F.col("id").alias("branch_id"), F.col("workflow_id").alias("parent_id"), (F.col("state") == LOG_COMPLETED).alias("sealed"))
 
 
 def branch_health(wf: DataFrame, logs: DataFrame) -> DataFrame:
-    """Counts of children per branch; done when sealed and all children are completed."""
-    s = F.col("state")
-    d = _children(wf, logs).groupBy("branch_id", "parent_id", "sealed").agg(
-        F.count("child_id").alias("spawned"), F.count_if(s != COMPLETED).alias("pending"), F.count_if(s.isin(FAILED, STALLED)).alias("blocked"), F.count_if((s == IDLE) & F.col("started_at").isNull()).alias("never_started"),
+    """Counts of children per branch; done when sealed and all children are completed.
+
+    Children are counted by their parent's id before the join, each task its own first,
+    so that a branch of very many is no task's alone.
+    """
+    s, counts = F.col("state"), ("spawned", "pending", "blocked", "never_started", "running", "failed", "progressing")
+    d = wf.where(F.col("parent_execution_log_id").isNotNull()).groupBy(F.col("parent_execution_log_id").alias("branch_id")).agg(
+        F.count("*").alias("spawned"), F.count_if(s != COMPLETED).alias("pending"), F.count_if(s.isin(FAILED, STALLED)).alias("blocked"), F.count_if((s == IDLE) & F.col("started_at").isNull()).alias("never_started"),
         F.count_if(s == RUNNING).alias("running"), F.count_if(s == FAILED).alias("failed"), F.count_if((s == RUNNING) | ((s == IDLE) & F.col("started_at").isNull())).alias("progressing"),
     )
+    d = _branches(logs).join(d, "branch_id", "left").select("branch_id", "parent_id", "sealed", *(F.coalesce(c, F.lit(0)).alias(c) for c in counts))
     status = F.when(F.col("failed") > 0, "failed").when(F.col("pending") > 0, "active").when(F.col("spawned") > 0, "done").otherwise("not_reached")
     return d.withColumn("done", F.col("sealed") & (F.col("pending") == 0)).withColumn("status", status)
 
@@ -44,18 +47,15 @@ def parents(wf: DataFrame, logs: DataFrame) -> DataFrame:
     return wf.select("id", "parent_execution_log_id").join(up, "parent_execution_log_id", "left").join(named, "parent_id", "left").select("id", "parent_id", "parent_key", F.col("step_name").alias("branch"))
 
 
-def drain(wf: DataFrame, now: Column, polls: int = 7, every_days: int = 7) -> DataFrame:
-    """Pending children per branch at each poll of a grid that ends at ``now``, and children drained per second since the last."""
-    grid = F.transform(F.sequence(F.lit(0), F.lit(polls - 1)), lambda i: F.struct(i.alias("poll"), F.timestamp_add("DAY", (i - (polls - 1)) * every_days, now).alias("polled_at")))
-    d = wf.where(F.col("parent_execution_log_id").isNotNull()).select(F.col("parent_execution_log_id").alias("branch_id"), "completed_at", F.inline(grid))
-    d = d.groupBy("branch_id", "poll").agg(F.count_if(F.col("completed_at").isNull() | (F.col("completed_at") > F.col("polled_at"))).alias("pending"))
-    before = F.lag("pending").over(Window.partitionBy("branch_id").orderBy("poll"))
-    return d.withColumn("drained", F.greatest(F.coalesce(before - F.col("pending"), F.lit(0)), F.lit(0))).withColumn("rate", F.col("drained") / F.lit(every_days * 86400.0))
-
-
 def rekick_candidates(wf: DataFrame, logs: DataFrame, now: Column, most: int = REKICKS) -> DataFrame:
-    d = _children(wf, logs).where((F.col("state") == IDLE) & F.col("started_at").isNull() & (F.col("updated_at") < F.timestamp_add("SECOND", F.lit(-REKICK_AFTER), now)))
-    return d.withColumn("place", F.row_number().over(Window.partitionBy("branch_id").orderBy("child_id"))).where(F.col("place") <= most).select("branch_id", "child_id", "place")
+    """The first ``most`` children of every branch that were dispatched but never started and have not moved for a while.
+
+    They are ranked before the join, each task keeping no more than that of a branch before it shuffles.
+    """
+    lost = wf.where(F.col("parent_execution_log_id").isNotNull() & (F.col("state") == IDLE) & F.col("started_at").isNull() & (F.col("updated_at") < F.timestamp_add("SECOND", F.lit(-REKICK_AFTER), now)))
+    place = F.row_number().over(Window.partitionBy("branch_id").orderBy("child_id"))
+    first = lost.select(F.col("parent_execution_log_id").alias("branch_id"), F.col("id").alias("child_id")).withColumn("place", place).where(F.col("place") <= most)
+    return first.join(_branches(logs).select("branch_id"), "branch_id", "left_semi").select("branch_id", "child_id", "place")
 
 
 def expired(wf: DataFrame, now: Column, completed_days: int, failed_days: int) -> DataFrame:

@@ -29,10 +29,11 @@ def tasks(logs: DataFrame, every: Column) -> DataFrame:
 def fast_forward(due: DataFrame, now: Column, timeout: int = TIMEOUT) -> DataFrame:
     """Fixed grids: ticks of every task that expired by ``now``, and the first that did not.
 
-    A tick has expired when it lies before ``now`` less the timeout, not at it.
+    A tick has expired when it lies before ``now`` less the timeout, not at it.  A task without
+    a period has its first tick alone.
     """
     late = unix(F.timestamp_add("SECOND", F.lit(-timeout), now)) - F.col("first_tick")
-    skipped = F.greatest(F.ceil(late / F.col("every")).cast("bigint"), F.lit(0))
+    skipped = F.greatest(F.ceil(late / F.nullif(F.col("every"), F.lit(0))).cast("bigint"), F.lit(0))
     return due.withColumn("skipped", skipped).select("workflow_id", "step", "every", "skipped", label(at_unix(F.col("first_tick") + F.col("skipped") * F.col("every"))).alias("next_at"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.functions.steps import IDLE, LOG_COMPLETED, RUNNING, label, of_kinds, seconds_after, seconds_between
+from runlens.functions.steps import IDLE, LOG_COMPLETED, RUNNING, label, of_kinds, seconds_after, seconds_between, time_of
 
 LEAST_INTERVAL, MOST_INTERVAL, REKICKS, REKICK_AFTER = 5, 300, 200, 300
 #: Seconds past due after which a branch's poller counts as lost, and most children that a branch's row counts.
@@ -14,11 +14,12 @@ OVERDUE_GRACE, CAP = 120, 5000
 RATE_PLACES = 3
 
 
-def snapshots(wf: DataFrame, now: Column, polls: int = 7, every_days: int = 7) -> DataFrame:
+def snapshots(wf: DataFrame, seals: DataFrame, now: Column, polls: int = 7, every_days: int = 7) -> DataFrame:
     """What a poller sees of every branch at each time of a grid that ends at ``now``.
 
-    ``pending``: children not completed; ``spawned``: those created; of these ``running``
-    and ``never_started``, and of the last ``stale``, whose job seems lost.
+    Of the children created by then (``spawned``): those not completed (``pending``),
+    ``running`` and ``never_started``, and of the last ``stale``, whose job seems lost.
+    ``sealed``: no more come, by ``seals`` (``branch_id``, ``sealed_at``).
     """
     grid = F.transform(F.sequence(F.lit(0), F.lit(polls - 1)), lambda i: F.struct(i.alias("poll"), F.timestamp_add("DAY", (i - (polls - 1)) * every_days, now).alias("polled_at")))
     d = wf.where(F.col("parent_execution_log_id").isNotNull()).select(F.col("parent_execution_log_id").alias("branch_id"), "state", "created_at", "started_at", "completed_at", "updated_at", F.inline(grid))
@@ -26,10 +27,11 @@ def snapshots(wf: DataFrame, now: Column, polls: int = 7, every_days: int = 7) -
     there, begun = F.col("created_at") <= at, F.coalesce(F.col("started_at") <= at, F.lit(False))
     waits = there & ~begun
     lost = waits & (F.col("state") == IDLE) & F.col("started_at").isNull() & (F.col("updated_at") < F.timestamp_add("SECOND", F.lit(-REKICK_AFTER), at))
-    return d.groupBy("branch_id", "poll", "polled_at").agg(
-        F.count_if(F.col("completed_at").isNull() | (F.col("completed_at") > at)).alias("pending"), F.count_if(there).alias("spawned"),
+    seen = d.groupBy("branch_id", "poll", "polled_at").agg(
+        F.count_if(there & (F.col("completed_at").isNull() | (F.col("completed_at") > at))).alias("pending"), F.count_if(there).alias("spawned"),
         F.count_if(begun & F.coalesce(F.col("completed_at") > at, F.col("state") == RUNNING)).alias("running"), F.count_if(waits).alias("never_started"), F.count_if(lost).alias("stale"),
     )
+    return seen.join(seals, "branch_id", "left").withColumn("sealed", F.coalesce(F.col("sealed_at") <= at, F.lit(False))).drop("sealed_at")
 
 
 def reschedule(pending: Column, rate: Column, running: Column, never_started: Column, previous: Column, least: float = LEAST_INTERVAL, most: float = MOST_INTERVAL) -> Column:
@@ -44,7 +46,7 @@ def history(seen: DataFrame, rekicks: int = REKICKS) -> DataFrame:
     The rate counts children completed per second since the poll before.  A poll
     rekicks stale children unless the number never started fell since the last one.
     The rate as recorded is rounded, the ETA comes from the exact one.
-    Totals run over the branch's polls; the number spawned is the first one recorded.
+    Totals run over the branch's polls; the number spawned is fixed by the first poll after the branch was sealed, and none before.
     """
     order = Window.partitionBy("branch_id").orderBy("poll")
     before = lambda c: F.lag(c).over(order)
@@ -54,7 +56,7 @@ def history(seen: DataFrame, rekicks: int = REKICKS) -> DataFrame:
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumns({
         "polls": F.count("*").over(so_far), "rekick_total": F.sum("rekicked").over(so_far), "last_rekick_at": F.last(F.when(F.col("rekicked") > 0, F.col("polled_at")), ignorenulls=True).over(so_far),
-        "spawned": F.first("spawned").over(so_far), "eta_seconds": F.when(F.col("rate") > 0, F.round(F.col("pending") / F.col("rate"))).cast("bigint"),
+        "spawned": F.first(F.when(F.col("sealed"), F.col("spawned")), ignorenulls=True).over(so_far), "eta_seconds": F.when(F.col("rate") > 0, F.round(F.col("pending") / F.col("rate"))).cast("bigint"),
     })
     # The interval doubles only from poll to poll of the same standstill: within such a run it is the one before it, doubled so many times.
     idle = (F.col("rate") == 0) & (F.col("running") == 0) & (F.col("never_started") > 0)
@@ -71,20 +73,25 @@ def fenced(polls: DataFrame, tokens: DataFrame) -> DataFrame:
     return polls.join(latest, ["branch_id", "token"], "left_semi")
 
 
-def last_polls(polled: DataFrame) -> DataFrame:
-    """The last row of ``history`` for every branch."""
-    columns = [c for c in polled.columns if c not in ("branch_id", "poll")]
-    return polled.groupBy("branch_id").agg(F.max_by(F.struct(*columns), "poll").alias("x")).select("branch_id", "x.*")
+def recorded(branch_logs: DataFrame) -> DataFrame:
+    """What the last poll left in the metadata of every branch's log; branches that were never polled are left out.
+
+    ``spawned`` is there once the branch is sealed, ``next_poll_at`` until all is done.
+    """
+    counts = ("polls", "pending", "never_started", "spawned", "eta_seconds", "rekick_total")
+    schema = "poll struct<last_polled_at:string,next_poll_at:string,rate:double," + ",".join(f"{c}:bigint" for c in counts) + ">"
+    d = branch_logs.where(F.col("step_name").startswith("branch$")).select(F.col("id").alias("branch_id"), F.from_json("metadata", schema)["poll"].alias("p")).where("p is not null")
+    return d.select("branch_id", time_of(F.col("p.last_polled_at")).alias("polled_at"), time_of(F.col("p.next_poll_at")).alias("next_poll_at"), F.coalesce("p.rate", F.lit(0.0)).alias("rate"), *(f"p.{c}" for c in counts))
 
 
-def overdue_branches(polled: DataFrame, now: Column, grace: int = OVERDUE_GRACE) -> DataFrame:
-    """Branches whose next poll is more than ``grace`` seconds past; none for those without one."""
+def overdue_branches(polls: DataFrame, now: Column, grace: int = OVERDUE_GRACE) -> DataFrame:
+    """Branches (rows of ``recorded``) whose next poll is more than ``grace`` seconds past; none of those without one."""
     due = F.col("next_poll_at")
-    return last_polls(polled).select("branch_id", label(due).alias("next_poll_at"), F.coalesce(due < F.timestamp_add("SECOND", F.lit(-grace), now), F.lit(False)).alias("overdue"))
+    return polls.select("branch_id", label(due).alias("next_poll_at"), F.coalesce(due < F.timestamp_add("SECOND", F.lit(-grace), now), F.lit(False)).alias("overdue"))
 
 
-def merges(logs: DataFrame, polled: DataFrame, now: Column) -> DataFrame:
-    """Merges with the polls of all their branches: those under way first, then by start.
+def merges(logs: DataFrame, polls: DataFrame, now: Column) -> DataFrame:
+    """Merges with the polls (rows of ``recorded``) of all their branches: those under way first, then by start.
 
     Times and counts come from the branch polled last, and rate and pending are summed;
     without a rate there is no ETA.  A merge under way is overdue as soon as its next poll is past.
@@ -92,7 +99,7 @@ def merges(logs: DataFrame, polled: DataFrame, now: Column) -> DataFrame:
     merge = of_kinds(logs, "merge").select("id", "workflow_id", F.col("step").alias("names"), (F.col("state") == LOG_COMPLETED).alias("merged"), "started_at")
     named = merge.select("id", "workflow_id", F.explode(F.split("names", ",")).alias("branch"))
     branch = of_kinds(logs, "branch").select("workflow_id", F.col("step").alias("branch"), F.col("id").alias("branch_id"))
-    found = named.join(branch, ["workflow_id", "branch"]).join(last_polls(polled), "branch_id")
+    found = named.join(branch, ["workflow_id", "branch"]).join(polls, "branch_id")
     latest = F.max_by(F.struct("polled_at", "next_poll_at", "polls"), F.struct("polled_at", "branch_id"))
     rate = F.round(F.sum("rate"), 12)
     sums = found.groupBy("id").agg(latest.alias("x"), rate.alias("rate"), F.sum("pending").alias("pending"))
@@ -102,8 +109,27 @@ def merges(logs: DataFrame, polled: DataFrame, now: Column) -> DataFrame:
     return d.select("id", "workflow_id", "names", F.when(F.col("merged"), "merged").otherwise("merging").alias("state"), label(F.col("x.polled_at")).alias("last_polled_at"), label(F.col("x.next_poll_at")).alias("next_poll_at"), F.col("x.polls").alias("polls"), F.coalesce("rate", F.lit(0.0)).alias("rate"), eta.alias("eta_seconds"), F.coalesce(~F.col("merged") & (F.col("x.next_poll_at") < now), F.lit(False)).alias("overdue"), place.alias("place"))
 
 
-def counts_shown(health: DataFrame, polled: DataFrame, cap: int = CAP) -> DataFrame:
-    """Counts of children as a branch's row shows them: exact where the last poll recorded them, else counted up to ``cap``."""
-    exact = last_polls(polled).select("branch_id", *(F.col(c).alias(f"exact_{c}") for c in ("spawned", "pending", "never_started")))
+def counts_shown(health: DataFrame, polls: DataFrame, cap: int = CAP) -> DataFrame:
+    """Counts of children as a branch's row shows them: exact where the last poll recorded them, else counted now, up to ``cap``."""
+    exact = polls.select("branch_id", *(F.col(c).alias(f"exact_{c}") for c in ("spawned", "pending", "never_started")))
     d = health.join(exact, "branch_id", "left")
     return d.select("branch_id", *(F.coalesce(f"exact_{c}", F.least(c, F.lit(cap))).alias(c) for c in ("spawned", "pending", "never_started")), F.least("blocked", F.lit(cap)).alias("blocked"))
+
+
+def merge_drain(logs: DataFrame, polled: DataFrame) -> DataFrame:
+    """Pending children, rate and ETA of every merge at each poll of its branches (rows of ``history``).
+
+    Branches are added up first, so that one that drains makes up for one that grows.  The
+    sums are held against the poll before only where every branch that the merge names was
+    polled then; else there is no rate yet, and without a rate no ETA.
+    """
+    named = of_kinds(logs, "merge").select("id", "workflow_id", F.explode(F.array_distinct(F.split("step", ","))).alias("branch"))
+    n_named = named.groupBy("id").agg(F.count("*").alias("n_named"))
+    branch = of_kinds(logs, "branch").select("workflow_id", F.col("step").alias("branch"), F.col("id").alias("branch_id"))
+    before = lambda c: F.lag(c).over(Window.partitionBy("branch_id").orderBy("poll"))
+    seen = polled.select("branch_id", "poll", "polled_at", "pending", before("pending").alias("was"), before("polled_at").alias("was_at"))
+    sums = named.join(branch, ["workflow_id", "branch"]).join(seen, "branch_id").groupBy("id", "poll").agg(F.sum("pending").alias("pending"), F.sum("was").alias("was"), F.count("was").alias("n_was"), F.min("was_at").alias("was_at"), F.max("polled_at").alias("polled_at"))
+    took = F.nullif(seconds_between(F.col("was_at"), F.col("polled_at")), F.lit(0.0))
+    rate = F.when((F.col("n_was") == F.col("n_named")) & (F.col("pending") < F.col("was")), (F.col("was") - F.col("pending")) / took)
+    d = sums.join(n_named, "id").withColumn("rate", F.coalesce(rate, F.lit(0.0)))
+    return d.select("id", "poll", "pending", (F.col("n_was") == F.col("n_named")).alias("sampled"), "rate", F.when(F.col("rate") > 0, F.round(F.col("pending") / F.col("rate"))).cast("bigint").alias("eta_seconds"))

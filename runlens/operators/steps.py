@@ -120,16 +120,26 @@ def prunable_repetitions(logs: DataFrame, cutoff: Column) -> DataFrame:
 
 
 def timeline(logs: DataFrame, errors: DataFrame) -> DataFrame:
-    """Steps of all timelines (runs of periodic steps left out) with their errors counted."""
-    counts = errors.where(F.col("step_name").isNotNull()).groupBy("workflow_id", "step_name").agg(F.count("*").alias("errors"), F.max("attempt").alias("last_attempt"))
+    """Steps of all timelines (runs of periodic steps left out) with their errors counted: those of their name, and for a failure's mark the one that it names."""
+    named = errors.where(F.col("step_name").isNotNull()).select("workflow_id", "step_name", "id", "attempt")
+    marked = _marks(logs).join(errors.select("workflow_id", F.col("id").alias("number"), "attempt"), ["workflow_id", "number"]).select("workflow_id", "step_name", F.col("number").alias("id"), "attempt")
+    counts = named.unionByName(marked).groupBy("workflow_id", "step_name").agg(F.countDistinct("id").alias("errors"), F.max("attempt").alias("last_attempt"))
     d = parsed(logs).where(F.col("kind") != "repeat_run")
     place = F.row_number().over(Window.partitionBy("workflow_id").orderBy("started_at", "id"))
     return d.select("id", "workflow_id", "step_name", "kind", place.alias("place")).join(counts, ["workflow_id", "step_name"], "left").select("id", "kind", "place", F.coalesce("errors", F.lit(0)).alias("errors"), "last_attempt")
 
 
+def _marks(logs: DataFrame) -> DataFrame:
+    """Marks of failed workflows with the ``number`` of the error that each names; a number that marks repeat counts once."""
+    marks = of_kinds(logs, "lifecycle").where((F.col("step") == "failure") & F.col("number").isNotNull())
+    return marks.select("workflow_id", "step_name", "number").distinct()
+
+
 def orphan_errors(logs: DataFrame, errors: DataFrame) -> DataFrame:
-    """Errors that belong to no step of their workflow's timeline."""
-    return errors.join(logs.select("workflow_id", "step_name"), ["workflow_id", "step_name"], "left_anti").where(F.col("step_name").isNull() | ~F.col("step_name").rlike(r"^durably_repeat\$.+\$")).select("id", "error_class", "attempt")
+    """Errors that belong to no step of their workflow's timeline: no log has their step's name, and no mark of a failure names them."""
+    rest = errors.join(logs.select("workflow_id", "step_name"), ["workflow_id", "step_name"], "left_anti").where(F.col("step_name").isNull() | ~F.col("step_name").rlike(r"^durably_repeat\$.+\$"))
+    shown = _marks(logs).select("workflow_id", F.col("number").alias("id"))
+    return rest.join(shown, ["workflow_id", "id"], "left_anti").select("id", "error_class", "attempt")
 
 
 def failure_markers(logs: DataFrame, errors: DataFrame) -> DataFrame:

@@ -60,16 +60,20 @@ def _human(c: str) -> str:
 
 
 #: Polls of all branches: what is seen, rates and counters, then intervals, each from the one before.
-POLLS = f"""seen AS MATERIALIZED (SELECT branch_id, poll, t AS polled_at, count(*) FILTER (WHERE completed_at IS NULL OR completed_at > t) AS pending, count(*) FILTER (WHERE created_at <= t) AS spawned,
+POLLS = f"""seals AS MATERIALIZED (SELECT parent_execution_log_id AS branch_id, CASE WHEN parent_execution_log_id % 7 <> 0 THEN max(created_at) END AS sealed_at FROM wf WHERE parent_execution_log_id IS NOT NULL GROUP BY 1),
+seen AS MATERIALIZED (SELECT branch_id, poll, t AS polled_at, count(*) FILTER (WHERE created_at <= t AND (completed_at IS NULL OR completed_at > t)) AS pending, count(*) FILTER (WHERE created_at <= t) AS spawned,
   count(*) FILTER (WHERE started_at <= t AND (completed_at > t OR (completed_at IS NULL AND state = 1))) AS running, count(*) FILTER (WHERE created_at <= t AND (started_at IS NULL OR started_at > t)) AS never_started,
   count(*) FILTER (WHERE created_at <= t AND state = 0 AND started_at IS NULL AND updated_at < t - INTERVAL '5' MINUTE) AS stale
   FROM (SELECT parent_execution_log_id AS branch_id, wf.*, CAST(range AS INTEGER) AS poll, {NOW} - ((6 - range) * 7) * INTERVAL '1' DAY AS t FROM wf, range(7) WHERE parent_execution_log_id IS NOT NULL) GROUP BY 1, 2, 3),
 rated AS MATERIALIZED (SELECT *, greatest(coalesce(lag(pending) OVER b - pending, 0), 0) / 604800.0 AS rate, CASE WHEN never_started < lag(never_started) OVER b THEN 0 ELSE least(stale, 200) END AS rekicked FROM seen WINDOW b AS (PARTITION BY branch_id ORDER BY poll)),
 paced AS (SELECT branch_id, poll, CASE WHEN rate > 0 THEN least(greatest(pending / rate * 0.5, 5.0), 300.0) WHEN running > 0 OR never_started > 0 THEN 5.0 ELSE 300.0 END AS interval FROM rated WHERE poll = 0
   UNION ALL SELECT r.branch_id, r.poll, CASE WHEN rate > 0 THEN least(greatest(pending / rate * 0.5, 5.0), 300.0) WHEN running > 0 THEN 5.0 WHEN never_started > 0 THEN least(greatest(p.interval * 2, 5.0), 300.0) ELSE 300.0 END FROM paced p JOIN rated r ON r.branch_id = p.branch_id AND r.poll = p.poll + 1),
-po AS MATERIALIZED (SELECT r.* EXCLUDE (spawned), first_value(spawned) OVER b AS spawned, count(*) OVER b AS polls, CAST(sum(rekicked) OVER b AS BIGINT) AS rekick_total, max(CASE WHEN rekicked > 0 THEN polled_at END) OVER b AS last_rekick_at,
+po AS MATERIALIZED (SELECT r.* EXCLUDE (spawned), first_value(CASE WHEN polled_at >= (SELECT sealed_at FROM seals s WHERE s.branch_id = r.branch_id) THEN spawned END IGNORE NULLS) OVER b AS spawned, count(*) OVER b AS polls, CAST(sum(rekicked) OVER b AS BIGINT) AS rekick_total, max(CASE WHEN rekicked > 0 THEN polled_at END) OVER b AS last_rekick_at,
   CASE WHEN rate > 0 THEN CAST(round(pending / rate) AS BIGINT) END AS eta_seconds, p.interval, polled_at + round(p.interval) * INTERVAL '1' SECOND AS next_poll_at FROM rated r JOIN paced p ON p.branch_id = r.branch_id AND p.poll = r.poll WINDOW b AS (PARTITION BY r.branch_id ORDER BY r.poll ROWS UNBOUNDED PRECEDING))"""
 _HEALTH = f"(SELECT *, sealed AND pending = 0 AS done, CASE WHEN failed > 0 THEN 'failed' WHEN pending > 0 THEN 'active' WHEN spawned > 0 THEN 'done' ELSE 'not_reached' END AS status FROM (SELECT branch_id, parent_id, sealed, count(child_id) AS spawned, count(*) FILTER (WHERE state <> 2) AS pending, count(*) FILTER (WHERE state IN (3, 4)) AS blocked, count(*) FILTER (WHERE state = 0 AND started_at IS NULL) AS never_started, count(*) FILTER (WHERE state = 1) AS running, count(*) FILTER (WHERE state = 3) AS failed, count(*) FILTER (WHERE state = 1 OR (state = 0 AND started_at IS NULL)) AS progressing FROM {_CHILDREN} GROUP BY 1, 2, 3))"
+#: What the last poll left of two in three branches.
+RECORDED = f"""rp AS MATERIALIZED (SELECT branch_id, seen_at AS polled_at, CASE WHEN NOT whole OR pending > 0 THEN seen_at + (5 + branch_id % 296) * INTERVAL '1' SECOND END AS next_poll_at, pending, least(pending, never_started + branch_id % 2) AS never_started, CASE WHEN whole THEN spawned END AS spawned, (branch_id % 9) * 0.125::DOUBLE AS rate, 1 + branch_id % 12 AS polls
+  FROM (SELECT branch_id, spawned, never_started, branch_id % 7 <> 0 AS whole, least(spawned, pending + branch_id % 3) AS pending, {NOW} - (branch_id % 600) * INTERVAL '1' SECOND AS seen_at FROM {_HEALTH} WHERE branch_id % 3 <> 0))"""
 _LAST_AT = "strptime(json_extract_string(metadata, '$.last_execution_at'), '%Y-%m-%dT%H:%M:%SZ')"
 _DUE = f"(SELECT workflow_id, step, every, CAST(epoch(coalesce({_LAST_AT}, started_at)) AS BIGINT) + every AS first_tick FROM (SELECT *, (workflow_id % 5 + 1) * 3600 AS every FROM pa WHERE kind = 'repeat_coordination'))"
 _PRUNED = f"(SELECT r.id, r.workflow_id FROM pa r JOIN (SELECT workflow_id, step, {_LAST_AT} AS frontier FROM pa WHERE kind = 'repeat_coordination') c ON c.workflow_id = r.workflow_id AND c.step = r.step WHERE r.kind = 'repeat_run' AND r.state <> 0 AND {EPOCH} + r.number * INTERVAL '1' SECOND < TIMESTAMP '2024-01-10 00:00:00' AND {EPOCH} + r.number * INTERVAL '1' SECOND < c.frontier)"
@@ -123,15 +127,16 @@ SELECTS = {
     "repetition_lateness": "SELECT id, number, greatest(late, 0) AS late_seconds, late > 60 AS late FROM (SELECT id, number, CAST(epoch(started_at) AS BIGINT) - number AS late FROM pa WHERE starts_with(step_name, 'durably_repeat$sync_job$'))",
     "periodic_health": "SELECT c.workflow_id, c.step, json_extract_string(c.metadata, '$.last_execution_at') AS last_execution_at, max(CASE WHEN r.state = 0 THEN r.number END) AS next_due, CAST(coalesce(sum(CASE WHEN r.error_class = 'TimeoutError' THEN r.skip END), 0) AS BIGINT) AS missed_ticks FROM pa c LEFT JOIN pa r ON r.workflow_id = c.workflow_id AND r.step = c.step AND r.kind = 'repeat_run' WHERE c.kind = 'repeat_coordination' GROUP BY 1, 2, 3",
     "recent_latencies": "SELECT workflow_id, step, runs, mean_latency, last_latency, 'avg ' || CAST(round(mean_latency) AS BIGINT) || 's · last ' || last_latency || 's' AS shown FROM (SELECT workflow_id, step, count(*) AS runs, avg(took) AS mean_latency, arg_max(took, id) AS last_latency FROM (SELECT *, CAST(epoch(completed_at) - epoch(started_at) AS BIGINT) AS took, row_number() OVER (PARTITION BY workflow_id, step ORDER BY id DESC) AS n FROM pa WHERE kind = 'repeat_run' AND state = 1 AND started_at IS NOT NULL AND completed_at IS NOT NULL) WHERE n <= 20 GROUP BY 1, 2)",
-    "repetition_prune": f"SELECT id FROM {_PRUNED}",
-    "timeline_steps": "SELECT p.id, p.kind, row_number() OVER (PARTITION BY p.workflow_id ORDER BY p.started_at, p.id) AS place, coalesce(e.n, 0) AS errors, e.a AS last_attempt FROM pa p LEFT JOIN (SELECT workflow_id, step_name, count(*) AS n, max(attempt) AS a FROM er WHERE step_name IS NOT NULL GROUP BY 1, 2) e ON e.workflow_id = p.workflow_id AND e.step_name = p.step_name WHERE p.kind <> 'repeat_run'",
-    "orphan_errors": "SELECT id, error_class, attempt FROM er WHERE NOT EXISTS (SELECT 1 FROM el WHERE el.workflow_id = er.workflow_id AND el.step_name = er.step_name)",
+    "repetition_prune": "SELECT id FROM pruned",
+    "timeline_steps": f"SELECT p.id, p.kind, row_number() OVER (PARTITION BY p.workflow_id ORDER BY p.started_at NULLS FIRST, p.id) AS place, coalesce(p.n, e.n, 0) AS errors, coalesce(p.a, e.a) AS last_attempt FROM (SELECT id, kind, workflow_id, step_name, started_at, NULL AS n, NULL AS a FROM pa UNION ALL SELECT id, 'lifecycle', workflow_id, NULL, NULL, CASE WHEN id % 10 <> 0 THEN 1 END, CASE WHEN id % 10 <> 0 THEN attempt END FROM er WHERE id % 2 = 0) p LEFT JOIN (SELECT workflow_id, step_name, count(*) AS n, max(attempt) AS a FROM er WHERE step_name IS NOT NULL GROUP BY 1, 2) e ON e.workflow_id = p.workflow_id AND e.step_name = p.step_name WHERE p.kind <> 'repeat_run'",
+    "orphan_errors": "SELECT id, error_class, attempt FROM er WHERE NOT EXISTS (SELECT 1 FROM el WHERE el.workflow_id = er.workflow_id AND el.step_name = er.step_name) AND NOT (id % 2 = 0 AND id % 10 <> 0)",
     "branch_health": f"SELECT * FROM {_HEALTH}",
     "merge_states": f"SELECT * FROM {_MERGES}",
     "unmerged_branches": f"SELECT workflow_id, branch FROM {_MERGES} WHERE merge_state <> 'merged'",
     "parent_breadcrumb": "SELECT w.id, l.workflow_id AS parent_id, p.key AS parent_key, l.step_name AS branch FROM wf w LEFT JOIN el l ON l.id = w.parent_execution_log_id LEFT JOIN wf p ON p.id = l.workflow_id",
     "drain_rate": "SELECT branch_id, poll, pending, round(rate, 12) AS rate, eta_seconds FROM po",
-    "merge_throughput": f"SELECT id, workflow_id, names, CASE WHEN merged THEN 'merged' ELSE 'merging' END AS state, {_text('last_polled_at', 'next_poll_at')}, polls, rate, CASE WHEN rate > 0 THEN CAST(round(pending / rate) AS BIGINT) END AS eta_seconds, NOT merged AND m.next_poll_at < TIMESTAMP '2024-01-31 00:00:10' AS overdue, CAST(row_number() OVER (PARTITION BY workflow_id ORDER BY merged, started_at, id) AS INTEGER) AS place FROM (SELECT m.id, m.workflow_id, m.step AS names, m.state = 1 AS merged, m.started_at, p.polled_at AS last_polled_at, p.next_poll_at, p.polls, round(p.rate, 12) AS rate, p.pending FROM pa m JOIN pa b ON b.workflow_id = m.workflow_id AND b.kind = 'branch' AND b.step = m.step JOIN po p ON p.branch_id = b.id AND p.poll = 6 WHERE m.kind = 'merge') m",
+    "merge_throughput": f"SELECT id, workflow_id, names, CASE WHEN merged THEN 'merged' ELSE 'merging' END AS state, {_text('last_polled_at', 'next_poll_at')}, polls, coalesce(rate, 0.0) AS rate, CASE WHEN rate > 0 THEN CAST(round(pending / rate) AS BIGINT) END AS eta_seconds, coalesce(NOT merged AND m.next_poll_at < {NOW}, false) AS overdue, CAST(row_number() OVER (PARTITION BY workflow_id ORDER BY merged, started_at, id) AS INTEGER) AS place FROM (SELECT m.id, m.workflow_id, m.step AS names, m.state = 1 AS merged, m.started_at, p.polled_at AS last_polled_at, p.next_poll_at, p.polls, p.rate, p.pending FROM pa m LEFT JOIN (SELECT b.workflow_id, b.step, rp.* FROM pa b JOIN rp ON rp.branch_id = b.id WHERE b.kind = 'branch') p ON p.workflow_id = m.workflow_id AND p.step = m.step WHERE m.kind = 'merge') m",
+    "merge_drain": "SELECT m.id, po.poll, po.pending, po.poll > 0 AS sampled, round(po.rate, 12) AS rate, po.eta_seconds FROM pa m JOIN pa b ON b.workflow_id = m.workflow_id AND b.kind = 'branch' AND b.step = m.step JOIN po ON po.branch_id = b.id WHERE m.kind = 'merge'",
     "poll_cadence": f"SELECT branch_id, poll, round(interval, 9) AS interval, {_text('next_poll_at')} FROM po",
     "rekick_candidates": f"SELECT branch_id, child_id, place FROM (SELECT *, row_number() OVER (PARTITION BY branch_id ORDER BY child_id) AS place FROM {_CHILDREN} WHERE state = 0 AND started_at IS NULL AND updated_at < {NOW} - INTERVAL '5' MINUTE) WHERE place <= 200",
     "retention_deleted": f"SELECT id, state FROM {_EXPIRED}",
@@ -153,10 +158,10 @@ SELECTS = {
     "metadata_pairs": " UNION ALL ".join(f"SELECT id, '{k.replace('_', ' ')}' AS key, json_extract_string(metadata, '$.{k}') AS value FROM el WHERE json_extract_string(metadata, '$.{k}') IS NOT NULL" for k in ("timeout_at", "wait_until", "fast_forwarded", "last_execution_at")),
     "poll_counters": f"SELECT branch_id, poll, polls, round(rate, 3) AS recorded_rate, spawned, running, never_started, rekicked, rekick_total, {_text('last_rekick_at')} FROM po",
     "fenced_polls": "SELECT branch_id, poll, 'second' AS token FROM po WHERE NOT (poll < 4 OR (poll < 6 AND branch_id % 300 = 98))",
-    "poll_overdue": f"SELECT branch_id, {_text('next_poll_at')}, po.next_poll_at < TIMESTAMP '2024-01-31 00:00:30' AS overdue FROM po WHERE poll = 6",
-    "branch_counts_shown": f"SELECT h.branch_id, {', '.join(f'coalesce(p.{c}, least(h.{c}, 5000)) AS {c}' for c in ('spawned', 'pending', 'never_started'))}, least(h.blocked, 5000) AS blocked FROM {_HEALTH} h LEFT JOIN po p ON p.branch_id = h.branch_id AND p.poll = 6 AND p.branch_id % 3 <> 0",
+    "poll_overdue": f"SELECT branch_id, {_text('next_poll_at')}, coalesce(rp.next_poll_at < {NOW} - INTERVAL '2' MINUTE, false) AS overdue FROM rp",
+    "branch_counts_shown": f"SELECT h.branch_id, {', '.join(f'coalesce(p.{c}, least(h.{c}, 5000)) AS {c}' for c in ('spawned', 'pending', 'never_started'))}, least(h.blocked, 5000) AS blocked FROM {_HEALTH} h LEFT JOIN rp p ON p.branch_id = h.branch_id",
     "cleanup_counts": f"SELECT 'workflows' AS category, count(*) AS rows FROM {_EXPIRED} UNION ALL SELECT 'execution_logs', count(*) FROM el WHERE workflow_id IN (SELECT id FROM {_EXPIRED}) UNION ALL SELECT 'error_logs', count(*) FROM er WHERE workflow_id IN (SELECT id FROM {_EXPIRED}) UNION ALL SELECT 'repetition_logs', count(*) FROM {_PRUNED} WHERE workflow_id NOT IN (SELECT id FROM {_EXPIRED}) UNION ALL SELECT 'orphaned_children', count(*) FROM wf WHERE id NOT IN (SELECT id FROM {_EXPIRED}) AND parent_execution_log_id IN (SELECT id FROM el WHERE workflow_id IN (SELECT id FROM {_EXPIRED}))",
-    "tick_grid_runs": f"SELECT t.workflow_id, t.step, t.number, r.id AS run_id, CASE r.state WHEN 0 THEN 'pending' WHEN 1 THEN 'completed' WHEN 2 THEN 'failed' ELSE CASE WHEN t.number < 1704132000 - 3600 THEN 'missed' ELSE 'due' END END AS status FROM (SELECT workflow_id, step, unnest(generate_series(first_tick, 1704132000, every)) AS number FROM {_DUE}) t LEFT JOIN pa r ON r.kind = 'repeat_run' AND r.workflow_id = t.workflow_id AND r.step = t.step AND r.number = t.number",
+    "tick_grid_runs": "SELECT t.workflow_id, t.step, t.number, r.id AS run_id, CASE r.state WHEN 0 THEN 'pending' WHEN 1 THEN 'completed' WHEN 2 THEN 'failed' ELSE CASE WHEN t.number < 1704132000 - 3600 THEN 'missed' ELSE 'due' END END AS status FROM ticks t LEFT JOIN finished r ON r.workflow_id = t.workflow_id AND r.step = t.step AND r.number = t.number",
     "run_timeouts": f"SELECT id, {_UNIX('number + 3600')} AS timeout_at, CASE WHEN 1704090600 > number + 3600 THEN 'timed_out' WHEN number <= 1704090600 THEN 'due' ELSE 'scheduled' END AS outcome FROM pa WHERE kind = 'repeat_run' AND state = 0",
     "failed_runs": f"SELECT id, CASE WHEN fails THEN 'fail_workflow' ELSE 'continue' END AS follows, CASE WHEN NOT fails THEN {_UNIX('number + 3600')} END AS next_at FROM (SELECT id, number, workflow_id % 3 = 0 AND id % 2 <> 0 AS fails FROM pa WHERE kind = 'repeat_run' AND state = 2)",
     "context_nodes": f"SELECT *, type NOT IN ('string', 'object', 'array') OR bytes <= 16384 AS valid FROM {_CONTEXT}",
@@ -178,7 +183,11 @@ SELECTS = {
 def oracle_sql() -> dict[str, str]:
     walk = "walk AS (SELECT id, CAST(created_at - (400 + id % 13 * 366) * INTERVAL '1' DAY AS DATE) AS tick, CAST(0 AS BIGINT) AS n FROM wf UNION ALL SELECT id, CAST(tick + INTERVAL '1' MONTH AS DATE), n + 1 FROM walk WHERE tick < DATE '2024-01-31')"
     fold = f"vals AS (SELECT * FROM {_CONTEXT}), fold AS (SELECT id, place, key, value, bytes <= 30 AS kept, CASE WHEN bytes <= 30 THEN 30 - bytes ELSE 30 END AS room FROM vals WHERE place = 0 UNION ALL SELECT v.id, v.place, v.key, v.value, v.bytes <= f.room, CASE WHEN v.bytes <= f.room THEN f.room - v.bytes ELSE f.room END FROM fold f JOIN vals v ON v.id = f.id AND v.place = f.place + 1)"
-    more = {"tick_grid_calendar": walk, "context_budget": fold, "definition_overlay": OVERLAY} | dict.fromkeys(("drain_rate", "poll_cadence", "poll_counters", "fenced_polls", "poll_overdue", "merge_throughput", "branch_counts_shown"), POLLS)
+    # Small parts, joined by equality on whole seconds.
+    tasks = f"tasks AS MATERIALIZED (SELECT workflow_id, step, CAST(epoch({_LAST_AT}) AS BIGINT) AS frontier, CAST(epoch(started_at) AS BIGINT) AS began FROM pa WHERE kind = 'repeat_coordination'), finished AS MATERIALIZED (SELECT id, workflow_id, step, number, state FROM pa WHERE kind = 'repeat_run')"
+    pruned = f"{tasks}, pruned AS (SELECT r.id FROM finished r JOIN tasks c ON c.workflow_id = r.workflow_id AND c.step = r.step WHERE r.state <> 0 AND r.number < 1704844800 AND r.number < c.frontier)"
+    ticks = f"{tasks}, due AS MATERIALIZED (SELECT workflow_id, step, every, coalesce(frontier, began) + every AS first_tick FROM (SELECT *, (workflow_id % 5 + 1) * 3600 AS every FROM tasks)), ticks AS MATERIALIZED (SELECT workflow_id, step, unnest(range(first_tick, 1704132001, every)) AS number FROM due WHERE first_tick <= 1704132000)"
+    more = {"repetition_prune": pruned, "tick_grid_runs": ticks, "tick_grid_calendar": walk, "context_budget": fold, "definition_overlay": OVERLAY} | dict.fromkeys(("drain_rate", "poll_cadence", "poll_counters", "fenced_polls", "merge_drain"), POLLS) | dict.fromkeys(("poll_overdue", "merge_throughput", "branch_counts_shown"), RECORDED)
     out = {name: f"{ALL}{', ' + more[name] if name in more else ''} {select}" for name, select in SELECTS.items()}
     out["stream_first_events"] = "SELECT user_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM (SELECT DISTINCT user_id, event_type, ts FROM events)"
     out["stream_wait_outcomes"] = "SELECT event_id, user_id, strftime(met_at, '%Y-%m-%d %H:%M:%S') AS met_at, CASE WHEN met_at IS NULL THEN 'timed_out' ELSE 'met' END AS outcome FROM (SELECT w.event_id, w.user_id, w.ts, min(p.ts) AS met_at FROM events w LEFT JOIN events p ON p.event_type = 'purchase' AND p.user_id = w.user_id AND p.ts BETWEEN w.ts AND w.ts + INTERVAL '1' HOUR WHERE w.event_type = 'signup' AND w.ts < TIMESTAMP '2024-01-29 00:00:00' GROUP BY 1, 2, 3)"

@@ -39,7 +39,16 @@ def _named(df: DataFrame) -> DataFrame:
 
 
 def _polled(h: History) -> DataFrame:
-    return pl.history(pl.snapshots(h.workflows, now_at(NOW)))
+    return pl.history(pl.snapshots(h.workflows, hi.seals(h.workflows), now_at(NOW)))
+
+
+def _recorded(h: History) -> DataFrame:
+    return pl.recorded(hi.polled_branches(h.logs, br.branch_health(h.workflows, h.logs)))
+
+
+def _marked(h: History) -> DataFrame:
+    """The logs and marks of failures, a mark being the only log of its workflow's error without a step."""
+    return h.logs.unionByName(hi.failure_marks(h.errors), allowMissingColumns=True)
 
 
 def _due(h: History) -> DataFrame:
@@ -139,12 +148,12 @@ OVER_HISTORY: dict[str, Callable[[History], DataFrame]] = {
     "periodic_health": lambda h: st.periodic_health(h.logs),
     "recent_latencies": lambda h: st.recent_latencies(h.logs),
     "repetition_prune": _pruned,
-    "timeline_steps": lambda h: st.timeline(h.logs, h.errors),
+    "timeline_steps": lambda h: st.timeline(_marked(h), h.errors),
     "timeline_errors": lambda h: st.timeline_errors(h.logs, h.errors),
     "failure_markers": lambda h: st.failure_markers(hi.failure_marks(h.errors), h.errors),
     "step_meters": lambda h: st.step_meters(h.logs),
     "metadata_pairs": lambda h: st.metadata_pairs(h.logs, INTERNAL_KEYS),
-    "orphan_errors": lambda h: st.orphan_errors(h.logs, h.errors),
+    "orphan_errors": lambda h: st.orphan_errors(_marked(h), h.errors),
     "branch_health": lambda h: br.branch_health(h.workflows, h.logs),
     "merge_states": lambda h: br.merge_states(h.logs),
     "unmerged_branches": lambda h: br.merge_states(h.logs).where("merge_state <> 'merged'").select("workflow_id", "branch"),
@@ -153,9 +162,10 @@ OVER_HISTORY: dict[str, Callable[[History], DataFrame]] = {
     "poll_cadence": lambda h: _polled(h).select("branch_id", "poll", F.round("interval", 9).alias("interval"), label(F.col("next_poll_at")).alias("next_poll_at")),
     "poll_counters": lambda h: _polled(h).select("branch_id", "poll", "polls", "recorded_rate", "spawned", "running", "never_started", "rekicked", "rekick_total", label(F.col("last_rekick_at")).alias("last_rekick_at")),
     "fenced_polls": lambda h: pl.fenced(hi.poll_owners(_polled(h)), hi.poll_tokens(h.workflows)).select("branch_id", "poll", "token"),
-    "poll_overdue": lambda h: pl.overdue_branches(_polled(h), now_at("2024-01-31 00:02:30")),
-    "merge_throughput": lambda h: pl.merges(h.logs, _polled(h), now_at("2024-01-31 00:00:10")),
-    "branch_counts_shown": lambda h: pl.counts_shown(br.branch_health(h.workflows, h.logs), _polled(h).where("branch_id % 3 <> 0")),
+    "poll_overdue": lambda h: pl.overdue_branches(_recorded(h), now_at(NOW)),
+    "merge_throughput": lambda h: pl.merges(h.logs, _recorded(h), now_at(NOW)),
+    "merge_drain": lambda h: pl.merge_drain(h.logs, _polled(h)).withColumn("rate", F.round("rate", 12)),
+    "branch_counts_shown": lambda h: pl.counts_shown(br.branch_health(h.workflows, h.logs), _recorded(h)),
     "rekick_candidates": lambda h: br.rekick_candidates(h.workflows, h.logs, now_at(NOW)),
     "retention_deleted": lambda h: br.expired(h.workflows, now_at(NOW), *RETENTION).select("id", "state"),
     "retention_survivors": lambda h: br.survivors(h.workflows, now_at(NOW), *RETENTION).select("id", "state"),

@@ -101,6 +101,31 @@ def failure_marks(errors: DataFrame) -> DataFrame:
     return errors.where(_mod(F.col("id"), 2) == 0).select(F.col("id"), "workflow_id", F.concat(F.lit("$workflow_failure$"), named.cast("string")).alias("step_name"), F.lit(2).alias("state"))
 
 
+def seals(wf: DataFrame) -> DataFrame:
+    """``branch_id``, ``sealed_at``: when the last child of a branch was dispatched; none of every seventh, which goes on."""
+    at = F.when(_mod(F.col("branch_id"), 7) != 0, F.col("last"))
+    return wf.where(F.col("parent_execution_log_id").isNotNull()).groupBy(F.col("parent_execution_log_id").alias("branch_id")).agg(F.max("created_at").alias("last")).select("branch_id", at.alias("sealed_at"))
+
+
+def polled_branches(logs: DataFrame, health: DataFrame) -> DataFrame:
+    """The logs of two in three branches with the last poll in their metadata: it saw a little more pending than there is now (``health``).
+
+    Some times are in UTC and some have an offset; a branch that goes on has no number spawned, and one that is done no next poll.
+    """
+    k, now = F.col("branch_id"), now_at(NOW)
+    sealed, pending = _mod(k, 7) != 0, F.least("spawned", F.col("pending") + _mod(k, 3))
+    at, interval = seconds_after(now, -_mod(k, 600)), 5 + _mod(k, 296)
+    text = lambda t: F.when(_mod(F.floor(k / 1000), 2) == 0, iso(t)).otherwise(F.concat(F.date_format(seconds_after(t, F.lit(7200)), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")))
+    rate = _mod(k, 9) * 0.125
+    poll = {
+        "last_polled_at": text(at), "next_poll_at": F.when(~sealed | (pending > 0), text(seconds_after(at, interval))), "pending": pending, "never_started": F.least(pending, F.col("never_started") + _mod(k, 2)), "spawned": F.when(sealed, F.col("spawned")),
+        "sealed": sealed, "rate": rate, "eta_seconds": F.when(rate > 0, F.round(pending / rate)).cast("bigint"), "polls": 1 + _mod(k, 12), "rekick_total": _mod(k, 4),
+    }
+    metadata = F.to_json(F.struct(F.struct(*(v.alias(c) for c, v in poll.items())).alias("poll")))
+    polls = health.where(_mod(k, 3) != 0).select(k.alias("id"), metadata.alias("metadata"))
+    return logs.where(F.col("step_name").startswith("branch$")).drop("metadata").join(polls, "id")
+
+
 def poll_tokens(wf: DataFrame, rotated_at: int = 4) -> DataFrame:
     """``branch_id``, ``token``, ``rotated_at`` (the number of a poll): every branch's first poller, and the one that replaced it."""
     branches = wf.where(F.col("parent_execution_log_id").isNotNull()).select(F.col("parent_execution_log_id").alias("branch_id")).distinct()
