@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,18 +41,13 @@ def overlay(nodes: list[Node], logs: DataFrame, branches: DataFrame) -> DataFram
 
     * Named nodes go by the log of that name; branches by their children; repeats are
       done or active, with the number of their runs.
-    * Dynamic nodes take the logs of their prefix that no named node has, in order: the
-      first of the prefix's nodes the first log.  Prefixes are whole first parts of
-      names, so they don't overlap.
+    * Dynamic nodes take, one after the other in the definition's order, the first log whose
+      name begins with their prefix and that neither a named node nor a dynamic one before
+      them has.  Prefixes may overlap.
     * Completed logs that stay without a node are ``unmapped``; the engine's own are left out.
     """
     named = _listed([(x.node, x.kind, x.step_name) for x in nodes if x.step_name is not None], "node string, kind string, step_name string")
-    counts: Counter[str] = Counter()
-    numbered = []
-    for x in sorted((x for x in nodes if x.step_name is None), key=lambda x: x.node):
-        counts[x.prefix] += 1
-        numbered.append((x.node, x.prefix, counts[x.prefix]))
-    dynamic = _listed(numbered, "node string, prefix string, nth int")
+    dynamic = _listed([(x.node, x.prefix) for x in nodes if x.step_name is None and x.prefix is not None], "node string, prefix string")
     runs = logs.select("workflow_id").distinct()
     found = logs.select("workflow_id", "step_name", F.col("id").alias("log_id"), "state")
     at = runs.select("workflow_id", F.inline(named)).join(found, ["workflow_id", "step_name"], "left")
@@ -66,12 +58,33 @@ def overlay(nodes: list[Node], logs: DataFrame, branches: DataFrame) -> DataFram
     known = at.select("workflow_id", "node", "log_id", status.alias("status"), F.when((F.col("kind") == "repeat") & F.col("log_id").isNotNull(), F.coalesce("n", F.lit(0))).alias("repetitions"))
 
     free = found.where(~F.col("step_name").isin([x.step_name for x in nodes if x.step_name is not None]) & ~framework_step(F.col("step_name")))
-    free = free.withColumn("prefix", F.concat(F.substring_index("step_name", "$", 1), F.lit("$")))
-    nth = F.row_number().over(Window.partitionBy("workflow_id", "prefix").orderBy("log_id"))
-    taken = free.withColumn("nth", nth)
-    bound = runs.select("workflow_id", F.inline(dynamic)).join(taken, ["workflow_id", "prefix", "nth"], "left")
-    bound = bound.select("workflow_id", "node", "log_id", F.coalesce(_status(F.col("state")), F.lit("not_reached")).alias("status"), F.lit(None).cast("bigint").alias("repetitions"))
-    owned = reduce(or_, ((F.col("prefix") == prefix) & (F.col("nth") <= n) for prefix, n in counts.items()), F.lit(False))
-    rest = taken.where((F.col("state") == LOG_COMPLETED) & ~owned)
+    bound = _bound(runs, free, dynamic, sorted({x.prefix for x in nodes if x.step_name is None and x.prefix is not None}), sum(x.step_name is None for x in nodes))
+    unseen = [x.node for x in nodes if x.step_name is None and x.prefix is None]
+    bound = bound.unionByName(runs.select("workflow_id", F.explode(F.array(*map(F.lit, unseen)).cast("array<string>")).alias("node"), F.lit(None).cast("bigint").alias("log_id"), F.lit(None).cast("int").alias("state")))
+    rest = free.where(F.col("state") == LOG_COMPLETED).join(bound.where("log_id is not null").select("workflow_id", "log_id"), ["workflow_id", "log_id"], "left_anti")
     unmapped = rest.select("workflow_id", F.concat(F.lit("log-"), F.col("log_id").cast("string")).alias("node"), "log_id", F.lit("unmapped").alias("status"), F.lit(None).cast("bigint").alias("repetitions"))
+    bound = bound.select("workflow_id", "node", "log_id", F.coalesce(_status(F.col("state")), F.lit("not_reached")).alias("status"), F.lit(None).cast("bigint").alias("repetitions"))
     return known.unionByName(bound).unionByName(unmapped)
+
+
+def _bound(runs: DataFrame, free: DataFrame, dynamic: Column, prefixes: list[str], most: int) -> DataFrame:
+    """``workflow_id``, ``node``, ``log_id``, ``state`` of the dynamic nodes in every run: a fold over the nodes that keeps what is taken.
+
+    A node finds its log among the first ``most`` of its prefix, as there are no more nodes
+    to take one before it; so a run's candidates are few, however many logs it has.
+    """
+    log = "struct<log_id:bigint,step_name:string,state:int>"
+    state = f"struct<taken:array<bigint>,out:array<struct<node:string,log:{log}>>>"
+    fits = F.filter(F.array(*map(F.lit, prefixes)).cast("array<string>"), lambda p: F.startswith(F.col("step_name"), p))
+    nth = F.row_number().over(Window.partitionBy("workflow_id", "prefix").orderBy("log_id"))
+    first = free.select("workflow_id", "log_id", "step_name", F.col("state").cast("int").alias("state"), F.explode(fits).alias("prefix")).withColumn("nth", nth).where(F.col("nth") <= most)
+    candidates = first.groupBy("workflow_id").agg(F.array_sort(F.collect_set(F.struct("log_id", "step_name", "state"))).alias("logs"))
+
+    def take(a: Column, x: Column) -> Column:
+        found = F.filter("logs", lambda y: F.startswith(y["step_name"], x["prefix"]) & ~F.array_contains(a["taken"], y["log_id"]))
+        one = F.transform(F.slice(found, 1, 1), lambda y: F.struct(F.concat(a["taken"], F.array(y["log_id"])).alias("taken"), F.array_append(a["out"], F.struct(x["node"].alias("node"), y.alias("log"))).alias("out")).cast(state))
+        return F.coalesce(F.get(one, F.lit(0)), F.struct(a["taken"].alias("taken"), F.array_append(a["out"], F.struct(x["node"].alias("node"), F.lit(None).cast(log).alias("log"))).alias("out")).cast(state))
+
+    start = F.struct(F.array().alias("taken"), F.array().alias("out")).cast(state)
+    folded = runs.join(candidates, "workflow_id", "left").withColumn("logs", F.coalesce("logs", F.array().cast(f"array<{log}>"))).select("workflow_id", F.inline(F.aggregate(dynamic, start, take, lambda a: a["out"])))
+    return folded.select("workflow_id", "node", "log.log_id", "log.state")

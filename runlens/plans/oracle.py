@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from runlens.sources.history import ERROR_CLASSES
+
 NOW, EPOCH = "TIMESTAMP '2024-01-31 00:00:00'", "TIMESTAMP '1970-01-01 00:00:00'"
 
 WF = f"""wf AS MATERIALIZED (SELECT id, key, job_class, state, created_at,
@@ -83,14 +85,20 @@ _CONTEXT = """(SELECT o_orderkey + 1 AS id, CAST(u.place AS INTEGER) AS place, u
   {place: 0, key: 'customer', value: CAST(o_custkey AS VARCHAR), type: 'integer'}, {place: 1, key: 'memo', value: '"' || repeat('x', CAST(o_orderkey % 40 AS INTEGER)) || '"', type: 'string'}, {place: 2, key: 'lines', value: '[' || (o_orderkey % 7) || ',2]', type: 'array'},
   {place: 3, key: 'status', value: '"' || o_orderstatus || '"', type: 'string'}, {place: 4, key: 'done', value: CASE WHEN o_orderkey % 3 = 0 THEN 'null' WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'false' END, type: CASE WHEN o_orderkey % 3 = 0 THEN 'null' ELSE 'boolean' END},
   {place: 5, key: 'share', value: '0.' || (o_orderkey % 9 + 1), type: 'float'}]) AS u) WHERE o_orderkey % 11 <> 0)"""
-_NODES = "(VALUES ('n1', 'branch', 'branch$fulfil', NULL), ('n2', 'merge', 'merge$fulfil', NULL), ('n3', 'repeat', 'durably_repeat$sync_job', NULL), ('n4', 'execute', 'durably_execute$s1', NULL), ('n5', 'wait', 'wait_until$c2', NULL), ('n6', 'dynamic', NULL, 'durably_execute$'), ('n7', 'dynamic', NULL, 'durably_execute$'), ('n8', 'dynamic', NULL, 'wait$')) v(node, kind, step_name, prefix)"
+_NODES = "(VALUES ('n1', 'branch', 'branch$fulfil', NULL), ('n2', 'merge', 'merge$fulfil', NULL), ('n3', 'repeat', 'durably_repeat$sync_job', NULL), ('n4', 'execute', 'durably_execute$s1', NULL), ('n5', 'wait', 'wait_until$c2', NULL), ('n6', 'dynamic', NULL, 'durably_execute$'), ('n7', 'dynamic', NULL, 'durably_execute$'), ('n8', 'dynamic', NULL, 'wait$'), ('n9', 'dynamic', NULL, 'wait$w1'), ('n10', 'dynamic', NULL, 'wait$')) v(node, kind, step_name, prefix)"
 OVERLAY = f"""nodes AS (SELECT * FROM {_NODES}), named AS (SELECT * FROM nodes WHERE step_name IS NOT NULL), runs AS (SELECT DISTINCT workflow_id FROM el), health AS (SELECT branch_id, status FROM {_HEALTH}),
 reps AS (SELECT workflow_id, count(*) AS n FROM el WHERE starts_with(step_name, 'durably_repeat$sync_job$') GROUP BY 1),
-free AS (SELECT workflow_id, id AS log_id, state, split_part(step_name, '$', 1) || '$' AS prefix, row_number() OVER (PARTITION BY workflow_id, split_part(step_name, '$', 1) ORDER BY id) AS nth FROM el WHERE step_name NOT IN (SELECT step_name FROM named) AND NOT starts_with(step_name, '$') AND length(step_name) - length(replace(step_name, '$', '')) < 2),
-dynamic AS (SELECT node, prefix, row_number() OVER (PARTITION BY prefix ORDER BY node) AS nth FROM nodes WHERE step_name IS NULL)"""
+free AS MATERIALIZED (SELECT workflow_id, id AS log_id, state, step_name FROM el WHERE step_name NOT IN (SELECT step_name FROM named) AND NOT starts_with(step_name, '$') AND length(step_name) - length(replace(step_name, '$', '')) < 2)"""
+#: Dynamic nodes in their order: each takes the first log of its prefix that those before it left.
+_DYNAMIC = (("n6", "durably_execute$"), ("n7", "durably_execute$"), ("n8", "wait$"), ("n9", "wait$w1"), ("n10", "wait$"))
+for _k, (_node, _prefix) in enumerate(_DYNAMIC):
+    _taken = "".join(f" AND NOT EXISTS (SELECT 1 FROM took{i} t WHERE t.log_id = f.log_id)" for i in range(_k))
+    OVERLAY += f", took{_k} AS MATERIALIZED (SELECT '{_node}' AS node, workflow_id, min(log_id) AS log_id FROM free f WHERE starts_with(step_name, '{_prefix}'){_taken} GROUP BY workflow_id)"
+OVERLAY += ", took AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM took{k}" for k in range(len(_DYNAMIC))) + ")"
 _STATE = "['active', 'done', 'failed'][{0} + 1]"
 
 
+_SLEEPS_AT = "TIMESTAMP '2024-01-20 00:00:00'"
 _TOP = "SELECT error_class, count(*) AS errors FROM er{join} WHERE er.created_at BETWEEN {now} - INTERVAL '30' DAY AND {now} GROUP BY 1 ORDER BY 2 DESC, 1 NULLS FIRST LIMIT 8"
 
 SELECTS = {
@@ -146,6 +154,12 @@ SELECTS = {
     "tick_grid_calendar": f"SELECT id, CAST(max(tick) AS VARCHAR) AS next_tick, max(n) AS ticks FROM walk GROUP BY 1",
     "retry_backoff_bounds": "SELECT id, policy, attempt, d / 2 AS backoff_min, d AS backoff_max, retries FROM (SELECT id, p.policy, attempt, least(p.cap, CAST(power(2.0, attempt - 1) AS DOUBLE)) AS d, p.policy <> 'wait' AND attempt < p.most AS retries FROM er, (VALUES ('step', 3, 30.0::DOUBLE), ('workflow', 10, 600.0::DOUBLE), ('wait', 0, 30.0::DOUBLE)) p(policy, most, cap))",
     "retry_routing": "SELECT id, policy, budget_key, CAST(used AS INTEGER) AS used, used < most AS retries, CASE WHEN used < most THEN least(30.0, CAST(power(2.0, used - 1) AS DOUBLE)) / 2 END AS backoff_min, CASE WHEN used < most THEN least(30.0, CAST(power(2.0, used - 1) AS DOUBLE)) END AS backoff_max FROM (SELECT *, CASE policy WHEN 'flaky' THEN 5 WHEN 'strict' THEN 1 ELSE 3 END AS most, CASE policy WHEN 'flaky' THEN 'Err0,Err1' WHEN 'strict' THEN 'Err2' ELSE '*' END AS budget_key, row_number() OVER (PARTITION BY workflow_id, policy ORDER BY created_at, id) AS used FROM (SELECT *, CASE WHEN error_class IN ('Err0', 'Err1') THEN 'flaky' WHEN error_class = 'Err2' THEN 'strict' ELSE 'any' END AS policy FROM er))",
+    "retry_routing_by_class": "SELECT id, policy, budget_key, CASE WHEN policy IS NOT NULL THEN CAST(used AS INTEGER) END AS used, coalesce(used < most, false) AS retries, CASE WHEN used < most THEN least(30.0, base * CAST(power(2.0, used - 1) AS DOUBLE)) / 2 END AS backoff_min, CASE WHEN used < most THEN least(30.0, base * CAST(power(2.0, used - 1) AS DOUBLE)) END AS backoff_max FROM (SELECT er.id, f.*, row_number() OVER (PARTITION BY er.workflow_id, f.budget_key ORDER BY er.created_at, er.id) AS used FROM er LEFT JOIN firsts f ON f.class = er.error_class)",
+    "retry_budget_bound": "SELECT job_class AS composite, CASE WHEN count(*) > count(a) THEN NULL ELSE max(a) END AS attempts FROM (SELECT job_class, CASE WHEN id % 5 <> ascii(job_class) % 5 THEN id % 9 + 1 END AS a FROM wf WHERE id % 2 = 1) GROUP BY 1",
+    "policy_resolution": "SELECT l.id, CASE WHEN l.id % 4 = 0 THEN 'strict' WHEN kind IN ('wait', 'continue') THEN 'wait' WHEN job_class = '1-URGENT' THEN 'workflow' WHEN job_class = '2-HIGH' THEN 'gentle' ELSE 'step' END AS policy, CASE WHEN l.id % 4 = 0 THEN 1 WHEN kind IN ('wait', 'continue') OR job_class = '2-HIGH' THEN NULL WHEN job_class = '1-URGENT' THEN 10 ELSE 3 END AS attempts, CASE WHEN l.id % 4 <> 0 AND kind NOT IN ('wait', 'continue') AND job_class = '2-HIGH' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS base, CASE WHEN l.id % 4 = 0 OR kind IN ('wait', 'continue') THEN 30.0::DOUBLE WHEN job_class = '1-URGENT' THEN 600.0::DOUBLE WHEN job_class = '2-HIGH' THEN 60.0::DOUBLE ELSE 30.0::DOUBLE END AS cap FROM pa l JOIN wf w ON w.id = l.workflow_id",
+    "stream_sleeps": f"SELECT id, {_text('due')}, CASE WHEN ended <= due THEN 'ended' ELSE 'reached' END AS outcome FROM (SELECT id, started_at, CASE WHEN state = 1 THEN completed_at END AS ended, strptime(json_extract_string(metadata, '$.wait_until'), '%Y-%m-%dT%H:%M:%SZ') AS due FROM pa WHERE kind = 'sleep') WHERE started_at <= {_SLEEPS_AT} AND (ended <= least(due, {_SLEEPS_AT}) OR due <= {_SLEEPS_AT})",
+    "stream_stale_runs": f"SELECT id, strftime(begun + INTERVAL '30' MINUTE, '%Y-%m-%d %H:%M:%S') AS due, CASE WHEN ended <= begun + INTERVAL '30' MINUTE THEN 'ended' ELSE 'reached' END AS outcome FROM (SELECT id, coalesce(locked_at, CASE WHEN state = 2 THEN started_at END) AS begun, completed_at AS ended FROM wf) WHERE begun <= {_SLEEPS_AT} AND (ended <= least(begun + INTERVAL '30' MINUTE, {_SLEEPS_AT}) OR begun + INTERVAL '30' MINUTE < {_SLEEPS_AT})",
+    "stream_barriers": "SELECT parent_execution_log_id AS branch_id, count(*) AS children FROM wf WHERE parent_execution_log_id % 7 <> 0 GROUP BY 1 HAVING count(*) = count(completed_at)",
     "complete_without_merge": f"SELECT wf.id, wf.key, count(*) AS open_branches FROM wf JOIN {_MERGES} m ON m.workflow_id = wf.id WHERE wf.state = 2 AND merge_state <> 'merged' GROUP BY 1, 2",
     "context_budget": "SELECT id, place, key, kept, CASE WHEN kept THEN value ELSE '<<omitted>>' END AS value FROM fold",
     "stranded_page": f"SELECT id, key, locked_by, {_text('locked_at')}, CAST(epoch({NOW}) - epoch(locked_at) AS BIGINT) AS lock_seconds, CAST(n AS INTEGER) AS place, c > 100 AS capped FROM (SELECT *, row_number() OVER (ORDER BY strftime(locked_at, '%Y-%m-%d %H:%M:%S'), id) AS n, count(*) OVER () AS c FROM wf WHERE state = 1 AND locked_at < {NOW} - INTERVAL '30' MINUTE) WHERE n <= 100",
@@ -167,7 +181,7 @@ SELECTS = {
     "context_nodes": f"SELECT *, type NOT IN ('string', 'object', 'array') OR bytes <= 16384 AS valid FROM {_CONTEXT}",
     "context_sizes": f"SELECT o_orderkey + 1 AS id, CASE WHEN c.id IS NULL THEN 0 ELSE 6 END AS keys, coalesce(c.bytes, 2) AS bytes FROM orders LEFT JOIN (SELECT id, CAST(sum(strlen(key) + 3 + bytes) + 6 - 1 + 2 AS INTEGER) AS bytes FROM {_CONTEXT} GROUP BY 1) c ON c.id = o_orderkey + 1",
     "context_edits": "SELECT o_orderkey + 1 AS id, CASE WHEN f THEN CAST(o_custkey AS VARCHAR) ELSE 'none' END AS customer, 'm' AS memo, 'Z' AS merged, CASE WHEN f THEN o_orderstatus ELSE 'Z' END AS merged_once, CASE WHEN f THEN 7 ELSE 2 END AS keys FROM (SELECT *, o_orderkey % 11 <> 0 AS f FROM orders)",
-    "definition_overlay": f"SELECT r.workflow_id, n.node, l.id AS log_id, CASE WHEN l.id IS NULL THEN 'not_reached' WHEN n.kind = 'branch' THEN coalesce(h.status, 'not_reached') WHEN n.kind = 'repeat' THEN CASE WHEN l.state = 1 THEN 'done' ELSE 'active' END ELSE {_STATE.format('l.state')} END AS status, CASE WHEN n.kind = 'repeat' AND l.id IS NOT NULL THEN coalesce(p.n, 0) END AS repetitions FROM runs r CROSS JOIN named n LEFT JOIN el l ON l.workflow_id = r.workflow_id AND l.step_name = n.step_name LEFT JOIN health h ON h.branch_id = l.id LEFT JOIN reps p ON p.workflow_id = r.workflow_id UNION ALL SELECT r.workflow_id, d.node, f.log_id, coalesce({_STATE.format('f.state')}, 'not_reached'), NULL FROM runs r CROSS JOIN dynamic d LEFT JOIN free f ON f.workflow_id = r.workflow_id AND f.prefix = d.prefix AND f.nth = d.nth UNION ALL SELECT workflow_id, 'log-' || log_id, log_id, 'unmapped', NULL FROM free f WHERE state = 1 AND NOT EXISTS (SELECT 1 FROM dynamic d WHERE d.prefix = f.prefix AND d.nth = f.nth)",
+    "definition_overlay": f"SELECT r.workflow_id, n.node, l.id AS log_id, CASE WHEN l.id IS NULL THEN 'not_reached' WHEN n.kind = 'branch' THEN coalesce(h.status, 'not_reached') WHEN n.kind = 'repeat' THEN CASE WHEN l.state = 1 THEN 'done' ELSE 'active' END ELSE {_STATE.format('l.state')} END AS status, CASE WHEN n.kind = 'repeat' AND l.id IS NOT NULL THEN coalesce(p.n, 0) END AS repetitions FROM runs r CROSS JOIN named n LEFT JOIN el l ON l.workflow_id = r.workflow_id AND l.step_name = n.step_name LEFT JOIN health h ON h.branch_id = l.id LEFT JOIN reps p ON p.workflow_id = r.workflow_id UNION ALL SELECT r.workflow_id, d.node, f.log_id, coalesce({_STATE.format('f.state')}, 'not_reached'), NULL FROM runs r CROSS JOIN (SELECT node FROM nodes WHERE step_name IS NULL) d LEFT JOIN took t ON t.workflow_id = r.workflow_id AND t.node = d.node LEFT JOIN free f ON f.log_id = t.log_id UNION ALL SELECT workflow_id, 'log-' || log_id, log_id, 'unmapped', NULL FROM free f WHERE state = 1 AND NOT EXISTS (SELECT 1 FROM took t WHERE t.log_id = f.log_id)",
     "bulk_insert": "SELECT 'wf-1$fulfil$mail_' || c_custkey AS key, c_mktsegment AS job_class FROM customer WHERE c_custkey >= 50 AND c_custkey % 10 <> 0",
     "upserted": f"SELECT id, CASE WHEN id % 7 = 0 THEN 4 ELSE state END AS state, strftime(CASE WHEN id % 7 = 0 THEN updated_at + INTERVAL '1' SECOND ELSE updated_at END, '%Y-%m-%d %H:%M:%S') AS updated_at FROM wf UNION ALL SELECT id + 1000000000, 0, strftime(updated_at, '%Y-%m-%d %H:%M:%S') FROM wf WHERE id % 7 = 0",
     "resumed_by_count": "SELECT p_partkey, p_size, n FROM (SELECT p_partkey, p_size, row_number() OVER (ORDER BY p_size, p_partkey) - 1 AS n FROM part) WHERE n >= 100",
@@ -183,14 +197,18 @@ SELECTS = {
 def oracle_sql() -> dict[str, str]:
     walk = "walk AS (SELECT id, CAST(created_at - (400 + id % 13 * 366) * INTERVAL '1' DAY AS DATE) AS tick, CAST(0 AS BIGINT) AS n FROM wf UNION ALL SELECT id, CAST(tick + INTERVAL '1' MONTH AS DATE), n + 1 FROM walk WHERE tick < DATE '2024-01-31')"
     fold = f"vals AS (SELECT * FROM {_CONTEXT}), fold AS (SELECT id, place, key, value, bytes <= 30 AS kept, CASE WHEN bytes <= 30 THEN 30 - bytes ELSE 30 END AS room FROM vals WHERE place = 0 UNION ALL SELECT v.id, v.place, v.key, v.value, v.bytes <= f.room, CASE WHEN v.bytes <= f.room THEN f.room - v.bytes ELSE f.room END FROM fold f JOIN vals v ON v.id = f.id AND v.place = f.place + 1)"
+    tree = f"tree(class, parent) AS (VALUES {', '.join(str(x) for x in ERROR_CLASSES)}), above(class, is_a) AS (SELECT class, class FROM tree UNION SELECT above.class, tree.parent FROM above JOIN tree ON tree.class = above.is_a)"
+    firsts = f"{tree}, rules(place, policy, budget_key, cls, most, base) AS (VALUES (0, 'network', 'IOError', 'IOError', 5, 1.0), (1, 'strict', 'StrictError', 'StrictError', 1, 1.0), (2, 'even', 'Even', 'Even', 2, 2.0), (3, 'any', '*', 'StandardError', 3, 1.0)), firsts AS MATERIALIZED (SELECT * FROM (SELECT a.class, r.*, row_number() OVER (PARTITION BY a.class ORDER BY place) AS n FROM above a JOIN rules r ON r.cls = a.is_a) WHERE n = 1)"
     # Small parts, joined by equality on whole seconds.
     tasks = f"tasks AS MATERIALIZED (SELECT workflow_id, step, CAST(epoch({_LAST_AT}) AS BIGINT) AS frontier, CAST(epoch(started_at) AS BIGINT) AS began FROM pa WHERE kind = 'repeat_coordination'), finished AS MATERIALIZED (SELECT id, workflow_id, step, number, state FROM pa WHERE kind = 'repeat_run')"
     pruned = f"{tasks}, pruned AS (SELECT r.id FROM finished r JOIN tasks c ON c.workflow_id = r.workflow_id AND c.step = r.step WHERE r.state <> 0 AND r.number < 1704844800 AND r.number < c.frontier)"
     ticks = f"{tasks}, due AS MATERIALIZED (SELECT workflow_id, step, every, coalesce(frontier, began) + every AS first_tick FROM (SELECT *, (workflow_id % 5 + 1) * 3600 AS every FROM tasks)), ticks AS MATERIALIZED (SELECT workflow_id, step, unnest(range(first_tick, 1704132001, every)) AS number FROM due WHERE first_tick <= 1704132000)"
-    more = {"repetition_prune": pruned, "tick_grid_runs": ticks, "tick_grid_calendar": walk, "context_budget": fold, "definition_overlay": OVERLAY} | dict.fromkeys(("drain_rate", "poll_cadence", "poll_counters", "fenced_polls", "merge_drain"), POLLS) | dict.fromkeys(("poll_overdue", "merge_throughput", "branch_counts_shown"), RECORDED)
+    more = {"retry_routing_by_class": firsts, "repetition_prune": pruned, "tick_grid_runs": ticks, "tick_grid_calendar": walk, "context_budget": fold, "definition_overlay": OVERLAY} | dict.fromkeys(("drain_rate", "poll_cadence", "poll_counters", "fenced_polls", "merge_drain"), POLLS) | dict.fromkeys(("poll_overdue", "merge_throughput", "branch_counts_shown"), RECORDED)
     out = {name: f"{ALL}{', ' + more[name] if name in more else ''} {select}" for name, select in SELECTS.items()}
     out["stream_first_events"] = "SELECT user_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM (SELECT DISTINCT user_id, event_type, ts FROM events)"
-    out["stream_wait_outcomes"] = "SELECT event_id, user_id, strftime(met_at, '%Y-%m-%d %H:%M:%S') AS met_at, CASE WHEN met_at IS NULL THEN 'timed_out' ELSE 'met' END AS outcome FROM (SELECT w.event_id, w.user_id, w.ts, min(p.ts) AS met_at FROM events w LEFT JOIN events p ON p.event_type = 'purchase' AND p.user_id = w.user_id AND p.ts BETWEEN w.ts AND w.ts + INTERVAL '1' HOUR WHERE w.event_type = 'signup' AND w.ts < TIMESTAMP '2024-01-29 00:00:00' GROUP BY 1, 2, 3)"
+    out["stream_wait_outcomes"] = "SELECT event_id, user_id, strftime(met_at, '%Y-%m-%d %H:%M:%S') AS met_at, CASE WHEN met_at IS NULL THEN 'timed_out' ELSE 'met' END AS outcome FROM (SELECT w.event_id, w.user_id, w.ts, min(p.ts) AS met_at FROM events w LEFT JOIN events p ON p.event_type = 'purchase' AND p.user_id = w.user_id AND p.ts BETWEEN w.ts AND w.ts + INTERVAL '1' HOUR WHERE w.event_type = 'signup' GROUP BY 1, 2, 3) WHERE met_at IS NOT NULL OR ts < (SELECT least(max(ts) FILTER (WHERE event_type = 'signup'), max(ts) FILTER (WHERE event_type = 'purchase')) FROM events) - INTERVAL '25' HOUR"
+    out["stream_bulk_insert"] = "SELECT event_type, user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id % 3, ts, event_id) AS n FROM events) WHERE n = 1"
+    out["stream_late_events"] = "SELECT event_id, event_id % 3 AS batch, coalesce(ts < upto - INTERVAL '1' DAY, false) AS late FROM events LEFT JOIN (SELECT 1 AS k, max(ts) AS upto FROM events WHERE event_id % 3 = 0 UNION ALL SELECT 2, max(ts) FROM events WHERE event_id % 3 < 2) m ON m.k = event_id % 3"
     out["stream_drain"] = "SELECT user_id, s AS spawned, c AS completed, greatest(s - c, 0) AS pending FROM (SELECT user_id, count(*) FILTER (WHERE event_type = 'signup') AS s, count(*) FILTER (WHERE event_type = 'purchase') AS c FROM events GROUP BY 1)"
     out["stream_daily_errors"] = "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS errors FROM events WHERE event_type = 'error' GROUP BY 1"
     return out

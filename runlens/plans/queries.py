@@ -20,8 +20,10 @@ from runlens.operators import steps as st
 from runlens.operators import tables as tb
 from runlens.sources import history as hi
 from runlens.sources.history import NOW, History, derive
-from runlens.streaming import jobs
+from runlens.streaming import jobs, stateful
 
+#: Policies whose classes stand for all below them.
+CLASS_POLICIES = (po.Policy("network", 5, 1, 30, ("IOError",)), po.Policy("strict", 1, 1, 30, ("StrictError",)), po.Policy("even", 2, 2, 30, ("Even",)), po.Policy("any", 3, 1, 30))
 #: Retention in days of completed and failed workflows.
 RETENTION = (20, 30)
 URGENT = "1-URGENT"
@@ -178,6 +180,9 @@ OVER_HISTORY: dict[str, Callable[[History], DataFrame]] = {
     "failed_runs": lambda h: pe.failed_runs(h.logs.withColumn("error_class", F.when(F.pmod("id", F.lit(2)) == 0, F.col("error_class")).otherwise("Err1")), F.lit(3600), F.when(F.pmod("workflow_id", F.lit(3)) == 0, pe.FAIL_WORKFLOW).otherwise(pe.CONTINUE)),
     "retry_backoff_bounds": lambda h: po.backoff_bounds(h.errors).unionByName(po.backoff_bounds(h.errors, po.WORKFLOW)).unionByName(po.backoff_bounds(h.errors, po.WAIT)),
     "retry_routing": lambda h: po.routed(h.errors),
+    "retry_routing_by_class": lambda h: po.routed_by_class(h.errors, hi.error_classes(h.errors.sparkSession), CLASS_POLICIES),
+    "retry_budget_bound": lambda h: po.loosest(h.workflows.select(F.col("job_class").alias("composite"), F.when(F.pmod("id", F.lit(5)) != F.pmod(F.ascii("job_class"), F.lit(5)), F.pmod("id", F.lit(9)) + 1).alias("attempts")).where("id % 2 = 1")),
+    "policy_resolution": lambda h: po.resolved(parsed(h.logs).join(h.workflows.select(F.col("id").alias("workflow_id"), "job_class"), "workflow_id").withColumn("call", F.when(F.pmod("id", F.lit(4)) == 0, "strict")), {"1-URGENT": po.WORKFLOW, "2-HIGH": po.Policy("gentle", None, 2, 60)}, po.POLICIES),
     "complete_without_merge": lambda h: br.complete_without_merge(h.workflows, h.logs),
     "exec_time_percentiles": lambda h: br.percentiles(h.workflows, "started_at", "completed_at"),
     "queue_wait_percentiles": lambda h: br.percentiles(h.workflows, "created_at", "started_at"),
@@ -198,6 +203,11 @@ OVER_TABLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_first_events": jobs.stream_first_events,
     "stream_wait_outcomes": jobs.stream_wait_outcomes,
     "stream_drain": jobs.stream_drain,
+    "stream_sleeps": stateful.stream_sleeps,
+    "stream_stale_runs": stateful.stream_stale_runs,
+    "stream_barriers": stateful.stream_barriers,
+    "stream_bulk_insert": stateful.stream_bulk_insert,
+    "stream_late_events": stateful.stream_late_events,
 }
 
 

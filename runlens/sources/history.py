@@ -142,9 +142,21 @@ def poll_owners(polled: DataFrame, rotated_at: int = 4) -> DataFrame:
 DEFINITION = (
     ("n1", "branch", "branch$fulfil", None), ("n2", "merge", "merge$fulfil", None), ("n3", "repeat", "durably_repeat$sync_job", None), ("n4", "execute", "durably_execute$s1", None),
     ("n5", "wait", "wait_until$c2", None), ("n6", "dynamic", None, "durably_execute$"), ("n7", "dynamic", None, "durably_execute$"), ("n8", "dynamic", None, "wait$"),
+    ("n9", "dynamic", None, "wait$w1"), ("n10", "dynamic", None, "wait$"),
 )
 
 
+#: Classes of errors and their parents: one has two, two are each other's, and one stands below no standard error.
+ERROR_CLASSES = (
+    ("Err0", "NetworkError"), ("NetworkError", "IOError"), ("IOError", "StandardError"), ("Err1", "NetworkTimeout"), ("NetworkTimeout", "NetworkError"), ("NetworkTimeout", "TimeoutError"), ("TimeoutError", "StandardError"),
+    ("Err2", "StrictError"), ("StrictError", "StandardError"), ("Err3", "Odd"), ("Odd", "Even"), ("Even", "Odd"), ("StandardError", "Exception"), ("Err4", "SystemFailure"), ("SystemFailure", "Exception"),
+)
+
+
+def error_classes(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(ERROR_CLASSES, "class string, parent string")
+
+
 def error_logs(events: DataFrame) -> DataFrame:
     e = F.col("event_id")
     return events.where(F.col("event_type") == "error").select(

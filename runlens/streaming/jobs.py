@@ -11,8 +11,6 @@ from runlens.sources.shared import new_folder
 
 #: How late an event may come.
 DELAY = "1 day"
-#: The registered query reports waits that began before this, in UTC.
-WAITS_UPTO = "2024-01-29 00:00:00Z"
 
 
 def _events(spark: SparkSession, folder: str, delay: str = DELAY) -> DataFrame:
@@ -23,7 +21,7 @@ def _events(spark: SparkSession, folder: str, delay: str = DELAY) -> DataFrame:
     return events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", delay)
 
 
-def _appended(rows: DataFrame, name: str) -> DataFrame:
+def appended(rows: DataFrame, name: str) -> DataFrame:
     """All rows that a stream which reads what is there and stops has written, as Parquet."""
     spark, folder = rows.sparkSession, new_folder(rows.sparkSession, name)
     sink = rows.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/progress")
@@ -58,7 +56,8 @@ def first_events(events: DataFrame) -> DataFrame:
 def wait_outcomes(events: DataFrame, timeout: str = "1 hour") -> DataFrame:
     """Waits (a user's ``signup``) with the events that end them (a ``purchase`` within the time-out), or without one once the watermark is past the time-out.
 
-    Waits whose time has not run out by the watermark are in the stream's state alone.
+    Waits whose time has not run out by the watermark are in the stream's state alone; the
+    watermark follows whichever of both kinds of event is behind.
     """
     waits = events.where("event_type = 'signup'").select("event_id", "user_id", F.col("at").alias("waiting_since"))
     ends = events.where("event_type = 'purchase'").select(F.col("user_id").alias("by"), F.col("at").alias("met_at"))
@@ -73,12 +72,12 @@ def drained(events: DataFrame) -> DataFrame:
 
 
 def stream_first_events(spark: SparkSession, folder: str) -> DataFrame:
-    return _appended(first_events(_events(spark, folder)), "first-events").select("user_id", "event_type", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+    return appended(first_events(_events(spark, folder)), "first-events").select("user_id", "event_type", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
 def stream_wait_outcomes(spark: SparkSession, folder: str) -> DataFrame:
-    """Every wait begun before ``WAITS_UPTO``, which the watermark is past by then, with the first event that met it or none."""
-    rows = _appended(wait_outcomes(_events(spark, folder)), "waits").where(F.col("waiting_since") < F.lit(WAITS_UPTO).cast("timestamp"))
+    """Every wait that was met, with the first event that met it, and every one whose time-out the watermark is past."""
+    rows = appended(wait_outcomes(_events(spark, folder)), "waits")
     first = rows.groupBy("event_id", "user_id", "waiting_since").agg(F.min("met_at").alias("met_at"))
     return first.select("event_id", "user_id", F.date_format("met_at", "yyyy-MM-dd HH:mm:ss").alias("met_at"), F.when(F.col("met_at").isNull(), "timed_out").otherwise("met").alias("outcome"))
 
