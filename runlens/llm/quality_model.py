@@ -107,8 +107,10 @@ def _summed(rows: DataFrame, function, size: int) -> np.ndarray:
 
     def partial(batches):
         total = np.zeros(size)
-        for b in batches:
-            total += function(_matrix(b.column(0)), *(b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2)))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                total += function(_matrix(b.column(0)), *(b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2)))
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
 
     def add(batches):
