@@ -56,11 +56,12 @@ def first_events(events: DataFrame) -> DataFrame:
 def wait_outcomes(events: DataFrame, timeout: str = "1 hour") -> DataFrame:
     """Waits (a user's ``signup``) with the events that end them (a ``purchase`` within the time-out), or without one once the watermark is past the time-out.
 
-    Waits whose time has not run out by the watermark are in the stream's state alone; the
-    watermark follows whichever of both kinds of event is behind.
+    Waits whose time has not run out by the watermark are in the stream's state alone.
     """
-    waits = events.where("event_type = 'signup'").select("event_id", "user_id", F.col("at").alias("waiting_since"))
-    ends = events.where("event_type = 'purchase'").select(F.col("user_id").alias("by"), F.col("at").alias("met_at"))
+    # Conditions on time as well stay above the watermark, which so follows events of all kinds.
+    of = lambda kind: F.when(F.col("at").isNotNull(), F.col("event_type")) == kind
+    waits = events.where(of("signup")).select("event_id", "user_id", F.col("at").alias("waiting_since"))
+    ends = events.where(of("purchase")).select(F.col("user_id").alias("by"), F.col("at").alias("met_at"))
     within = (F.col("user_id") == F.col("by")) & (F.col("met_at") >= F.col("waiting_since")) & (F.col("met_at") <= F.col("waiting_since") + F.expr(f"INTERVAL {timeout}"))
     return waits.join(ends, within, "leftOuter").select("event_id", "user_id", "waiting_since", "met_at")
 
