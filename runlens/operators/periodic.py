@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.functions.steps import LOG_FAILED, LOG_PENDING, label, metadata_time, now_at, of_kinds, seconds_after
+from runlens.functions.steps import LOG_COMPLETED, LOG_FAILED, LOG_PENDING, label, metadata_time, now_at, of_kinds, seconds_after
 
 EPOCH, TIMEOUT = "1970-01-01 00:00:00", 3600
 CONTINUE, FAIL_WORKFLOW = "continue", "fail_workflow"
@@ -19,11 +19,19 @@ def at_unix(seconds: Column) -> Column:
     return seconds_after(now_at(EPOCH), seconds)
 
 
-def tasks(logs: DataFrame, every: Column) -> DataFrame:
-    """``workflow_id``, ``step``, ``every`` (seconds), ``first_tick`` (unix): the tick after the last execution on record, else after the task's begin."""
+def tasks(logs: DataFrame, every: Column, start_at: Column | None = None, till: Column | None = None) -> DataFrame:
+    """``workflow_id``, ``step``, ``every`` (seconds), ``first_tick`` (unix), ``last_tick`` (unix; null: no end) of every periodic step.
+
+    The first tick is one period after the last execution on record; without one it is
+    ``start_at`` if the step has that, else a period after the task's begin.  Ticks end
+    with the time ``till``, that one included, and a step that is completed has no more after its completion.
+    """
+    none = F.lit(None).cast("timestamp_ntz")
     last = metadata_time("last_execution_at")
-    d = of_kinds(logs, "repeat_coordination").select("workflow_id", "step", every.cast("bigint").alias("every"), last.alias("last_at"), "started_at")
-    return d.withColumn("first_tick", unix(F.coalesce("last_at", "started_at")) + F.col("every"))
+    ended = F.least(none if till is None else till, F.when(F.col("state") == LOG_COMPLETED, F.col("completed_at")))
+    d = of_kinds(logs, "repeat_coordination").select("workflow_id", "step", every.cast("bigint").alias("every"), last.alias("last_at"), "started_at", (none if start_at is None else start_at).alias("start_at"), ended.alias("ended"))
+    first = F.coalesce(unix(F.col("last_at")) + F.col("every"), unix(F.col("start_at")), unix(F.col("started_at")) + F.col("every"))
+    return d.select("workflow_id", "step", "every", "last_at", "started_at", first.alias("first_tick"), unix(F.col("ended")).alias("last_tick"))
 
 
 def fast_forward(due: DataFrame, now: Column, timeout: int = TIMEOUT) -> DataFrame:
@@ -40,25 +48,47 @@ def fast_forward(due: DataFrame, now: Column, timeout: int = TIMEOUT) -> DataFra
 def calendar_grid(starts: DataFrame, now: Column) -> DataFrame:
     """Monthly ticks from ``start`` (a date) to the first that isn't before ``now``: ``id``, ``next_tick``, ``ticks``.
 
-    Every tick is a month after the last, and a day cut short stays short, so ticks are
-    walked; there are no more of them than months between, and one.
+    Every tick is a month after the last, and a day cut short stays short: n months on
+    the day is the smaller of the start's and of the shortest month passed.  That is a
+    common year's February once one was passed (of two in a row one is), else a leap
+    year's, else a month of thirty days, one of which is among any three months without a February.
     """
-    today = F.to_date(now)
-    step = lambda a, _: F.when(a["tick"] < today, F.struct(F.add_months(a["tick"], 1).alias("tick"), (a["n"] + 1).alias("n"))).otherwise(a)
-    most = F.greatest(F.ceil(F.months_between(today, F.col("start"))).cast("int"), F.lit(0)) + 1
-    walked = F.aggregate(F.sequence(F.lit(0), most), F.struct(F.col("start").alias("tick"), F.lit(0).alias("n")), step)
-    return starts.select("id", walked.alias("w")).select("id", F.col("w.tick").cast("string").alias("next_tick"), F.col("w.n").cast("bigint").alias("ticks"))
+    today, start = F.to_date(now), F.col("start")
+    index = lambda d: F.year(d) * 12 + F.month(d) - 1  # noqa: E731  months since year 0
+
+    def tick(n: Column) -> Column:
+        first, last = index(start) + 1, index(start) + n
+        february = F.ceil((first - 1) / 12).cast("int") * 12 + 1
+        year = F.floor(february / 12).cast("int")
+        leap = (F.pmod(year, F.lit(4)) == 0) & ((F.pmod(year, F.lit(100)) != 0) | (F.pmod(year, F.lit(400)) == 0))
+        thirty = F.lit(False)
+        for k in range(3):
+            thirty = thirty | ((first + k <= last) & F.pmod(first + k, F.lit(12)).isin(3, 5, 8, 10))
+        shortest = F.when(february <= last, F.when(leap & (february + 12 > last), 29).otherwise(28)).when(thirty, 30).otherwise(31)
+        return F.make_date(F.floor(last / 12).cast("int"), F.pmod(last, F.lit(12)) + 1, F.least(F.dayofmonth(start), F.when(n > 0, shortest).otherwise(31)))
+
+    d = starts.select("id", "start", F.greatest(index(today) - index(start), F.lit(0)).alias("n")).withColumn("tick", tick(F.col("n")))
+    d = d.select("id", "start", (F.col("n") + F.when(F.col("tick") < today, 1).otherwise(0)).alias("n"))
+    return d.select("id", tick(F.col("n")).cast("string").alias("next_tick"), F.col("n").cast("bigint").alias("ticks"))
+
+
+#: Ticks of a task that one row makes at a time.
+CHUNK = 1024
 
 
 def grid_runs(due: DataFrame, logs: DataFrame, now: Column, timeout: int = TIMEOUT) -> DataFrame:
-    """Every tick of every task up to ``now`` with its run, if there is one.
+    """Every tick of every task up to ``now`` and the task's end with its run, if there is one.
 
-    A tick without a run is ``missed`` once it has expired, else ``due``.
+    A tick without a run is ``missed`` once it has expired, else ``due``.  A task without
+    a period has none.  A task's ticks are dealt out in chunks, so that no row makes them all.
     """
-    upto = unix(now)
-    ticks = due.where(F.col("first_tick") <= upto).select("workflow_id", "step", F.explode(F.sequence(F.col("first_tick"), upto, F.col("every"))).alias("number"))
+    upto = F.least(unix(now), F.col("last_tick")) if "last_tick" in due.columns else unix(now)
+    d = due.where(F.col("every") > 0).withColumn("n", F.floor((upto - F.col("first_tick")) / F.col("every")) + 1).where("n > 0")
+    chunks = d.select("workflow_id", "step", "every", "first_tick", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(CHUNK).cast("bigint"))).alias("k"))
+    in_chunk = F.explode(F.sequence(F.col("k"), F.least(F.col("k") + CHUNK, F.col("n")) - 1)).alias("i")
+    ticks = chunks.select("workflow_id", "step", "every", "first_tick", in_chunk).select("workflow_id", "step", (F.col("first_tick") + F.col("i") * F.col("every")).alias("number"))
     runs = of_kinds(logs, "repeat_run").where("number is not null").select("workflow_id", "step", "number", F.col("id").alias("run_id"), "state")
-    none = F.when(F.col("number") < upto - timeout, "missed").otherwise("due")
+    none = F.when(F.col("number") < unix(now) - timeout, "missed").otherwise("due")
     status = F.coalesce(F.get(F.array(F.lit("pending"), F.lit("completed"), F.lit("failed")), F.col("state")), none)
     return ticks.join(runs, ["workflow_id", "step", "number"], "left").select("workflow_id", "step", "number", "run_id", status.alias("status"))
 

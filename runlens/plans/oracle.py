@@ -176,6 +176,12 @@ SELECTS = {
     "branch_counts_shown": f"SELECT h.branch_id, {', '.join(f'coalesce(p.{c}, least(h.{c}, 5000)) AS {c}' for c in ('spawned', 'pending', 'never_started'))}, least(h.blocked, 5000) AS blocked FROM {_HEALTH} h LEFT JOIN rp p ON p.branch_id = h.branch_id",
     "cleanup_counts": f"SELECT 'workflows' AS category, count(*) AS rows FROM {_EXPIRED} UNION ALL SELECT 'execution_logs', count(*) FROM el WHERE workflow_id IN (SELECT id FROM {_EXPIRED}) UNION ALL SELECT 'error_logs', count(*) FROM er WHERE workflow_id IN (SELECT id FROM {_EXPIRED}) UNION ALL SELECT 'repetition_logs', count(*) FROM {_PRUNED} WHERE workflow_id NOT IN (SELECT id FROM {_EXPIRED}) UNION ALL SELECT 'orphaned_children', count(*) FROM wf WHERE id NOT IN (SELECT id FROM {_EXPIRED}) AND parent_execution_log_id IN (SELECT id FROM el WHERE workflow_id IN (SELECT id FROM {_EXPIRED}))",
     "tick_grid_runs": "SELECT t.workflow_id, t.step, t.number, r.id AS run_id, CASE r.state WHEN 0 THEN 'pending' WHEN 1 THEN 'completed' WHEN 2 THEN 'failed' ELSE CASE WHEN t.number < 1704132000 - 3600 THEN 'missed' ELSE 'due' END END AS status FROM ticks t LEFT JOIN finished r ON r.workflow_id = t.workflow_id AND r.step = t.step AND r.number = t.number",
+    "tick_grid_bounded": "SELECT t.workflow_id, t.step, t.number, r.id AS run_id, CASE r.state WHEN 0 THEN 'pending' WHEN 1 THEN 'completed' WHEN 2 THEN 'failed' ELSE CASE WHEN t.number < 1704132000 - 3600 THEN 'missed' ELSE 'due' END END AS status FROM ticks t LEFT JOIN finished r ON r.workflow_id = t.workflow_id AND r.step = t.step AND r.number = t.number",
+    "state_intervals": f"SELECT workflow_id, CAST(place AS INTEGER) AS place, state, {_text('since', 'until')}, before, seconds, legal FROM spans",
+    "time_in_states": "SELECT job_class, s.state, count(*) AS workflows, CAST(sum(visits) AS BIGINT) AS visits, sum(seconds) AS seconds, max(longest) AS longest FROM (SELECT workflow_id, state, count(*) AS visits, sum(seconds) AS seconds, max(seconds) AS longest FROM spans GROUP BY 1, 2) s JOIN wf ON wf.id = s.workflow_id GROUP BY 1, 2",
+    "illegal_transitions": f"SELECT workflow_id, CAST(place AS INTEGER) AS place, before, state, {_text('since')} FROM spans WHERE NOT legal",
+    "lock_sessions": f"SELECT workflow_id, owner, {_text('since', 'until')}, touches FROM sessions",
+    "lock_overlaps": f"SELECT a.workflow_id, a.owner AS first, b.owner AS second, strftime(b.since, '%Y-%m-%d %H:%M:%S') AS since, strftime(least(a.until, b.until), '%Y-%m-%d %H:%M:%S') AS until FROM sessions a JOIN sessions b ON a.workflow_id = b.workflow_id AND a.owner <> b.owner AND b.since < a.until AND (a.since < b.since OR (a.since = b.since AND a.owner < b.owner))",
     "run_timeouts": f"SELECT id, {_UNIX('number + 3600')} AS timeout_at, CASE WHEN 1704090600 > number + 3600 THEN 'timed_out' WHEN number <= 1704090600 THEN 'due' ELSE 'scheduled' END AS outcome FROM pa WHERE kind = 'repeat_run' AND state = 0",
     "failed_runs": f"SELECT id, CASE WHEN fails THEN 'fail_workflow' ELSE 'continue' END AS follows, CASE WHEN NOT fails THEN {_UNIX('number + 3600')} END AS next_at FROM (SELECT id, number, workflow_id % 3 = 0 AND id % 2 <> 0 AS fails FROM pa WHERE kind = 'repeat_run' AND state = 2)",
     "context_nodes": f"SELECT *, type NOT IN ('string', 'object', 'array') OR bytes <= 16384 AS valid FROM {_CONTEXT}",
@@ -203,7 +209,16 @@ def oracle_sql() -> dict[str, str]:
     tasks = f"tasks AS MATERIALIZED (SELECT workflow_id, step, CAST(epoch({_LAST_AT}) AS BIGINT) AS frontier, CAST(epoch(started_at) AS BIGINT) AS began FROM pa WHERE kind = 'repeat_coordination'), finished AS MATERIALIZED (SELECT id, workflow_id, step, number, state FROM pa WHERE kind = 'repeat_run')"
     pruned = f"{tasks}, pruned AS (SELECT r.id FROM finished r JOIN tasks c ON c.workflow_id = r.workflow_id AND c.step = r.step WHERE r.state <> 0 AND r.number < 1704844800 AND r.number < c.frontier)"
     ticks = f"{tasks}, due AS MATERIALIZED (SELECT workflow_id, step, every, coalesce(frontier, began) + every AS first_tick FROM (SELECT *, (workflow_id % 5 + 1) * 3600 AS every FROM tasks)), ticks AS MATERIALIZED (SELECT workflow_id, step, unnest(range(first_tick, 1704132001, every)) AS number FROM due WHERE first_tick <= 1704132000)"
-    more = {"retry_routing_by_class": firsts, "repetition_prune": pruned, "tick_grid_runs": ticks, "tick_grid_calendar": walk, "context_budget": fold, "definition_overlay": OVERLAY} | dict.fromkeys(("drain_rate", "poll_cadence", "poll_counters", "fenced_polls", "merge_drain"), POLLS) | dict.fromkeys(("poll_overdue", "merge_throughput", "branch_counts_shown"), RECORDED)
+    bounded = f"{tasks}, due AS MATERIALIZED (SELECT workflow_id, step, every, coalesce(frontier + every, CASE WHEN workflow_id % 2 = 0 THEN 1704074400 + 60 * (workflow_id % 90) END, began + every) AS first_tick, CASE WHEN workflow_id % 3 = 0 THEN least(1704132000, 1704081600 + 3600 * (workflow_id % 12)) ELSE 1704132000 END AS last_tick FROM (SELECT *, (workflow_id % 5 + 1) * 3600 AS every FROM tasks)), ticks AS MATERIALIZED (SELECT workflow_id, step, unnest(range(first_tick, last_tick + 1, every)) AS number FROM due WHERE first_tick <= last_tick)"
+    begun = "coalesce(started_at, created_at)"
+    states = f"""changes AS MATERIALIZED (SELECT id AS workflow_id, created_at AS at_time, 'idle' AS state, 0 AS source, 0 AS rank FROM wf UNION ALL SELECT id, started_at, 'running', 0, 1 FROM wf UNION ALL SELECT id, completed_at, 'completed', id * 10 + 1, 2 FROM wf WHERE state = 2 UNION ALL SELECT id, updated_at, 'failed', id * 10 + 2, 2 FROM wf WHERE state = 3
+ UNION ALL SELECT id, {begun} + INTERVAL '20' SECOND, 'idle', id * 10 + 4, 3 FROM wf WHERE id % 4 = 0 UNION ALL SELECT id, {begun} + INTERVAL '10' SECOND, 'failed', id * 10 + 3, 2 FROM wf WHERE id % 4 = 0 UNION ALL SELECT id, {begun} - INTERVAL '5' SECOND, 'idle', id * 10 + 5, 3 FROM wf WHERE id % 13 = 0),
+ordered AS (SELECT workflow_id, row_number() OVER o AS place, state, at_time AS since, coalesce(lead(at_time) OVER o, {NOW}) AS until, lag(state) OVER o AS before FROM changes WHERE at_time <= {NOW} WINDOW o AS (PARTITION BY workflow_id ORDER BY at_time, rank, source)),
+spans AS MATERIALIZED (SELECT *, CAST(epoch(until) - epoch(since) AS DOUBLE) AS seconds, CASE WHEN before IS NULL THEN state = 'idle' ELSE (before, state) IN (('idle', 'running'), ('running', 'idle'), ('running', 'completed'), ('running', 'failed'), ('running', 'stalled'), ('failed', 'idle'), ('stalled', 'idle')) END AS legal FROM ordered)"""
+    sessions = """touched AS MATERIALIZED (SELECT workflow_id, 'worker-' || (CASE WHEN id % 5 = 0 THEN id ELSE workflow_id END % 7) AS owner, started_at AS t FROM el),
+islands AS (SELECT *, sum(CASE WHEN t < before + INTERVAL '600' SECOND THEN 0 ELSE 1 END) OVER (PARTITION BY workflow_id, owner ORDER BY t) AS n FROM (SELECT *, lag(t) OVER (PARTITION BY workflow_id, owner ORDER BY t) AS before FROM touched)),
+sessions AS MATERIALIZED (SELECT workflow_id, owner, min(t) AS since, max(t) + INTERVAL '600' SECOND AS until, count(*) AS touches FROM islands GROUP BY workflow_id, owner, n)"""
+    more = dict.fromkeys(("state_intervals", "time_in_states", "illegal_transitions"), states) | dict.fromkeys(("lock_sessions", "lock_overlaps"), sessions) | {"tick_grid_bounded": bounded, "retry_routing_by_class": firsts, "repetition_prune": pruned, "tick_grid_runs": ticks, "tick_grid_calendar": walk, "context_budget": fold, "definition_overlay": OVERLAY} | dict.fromkeys(("drain_rate", "poll_cadence", "poll_counters", "fenced_polls", "merge_drain"), POLLS) | dict.fromkeys(("poll_overdue", "merge_throughput", "branch_counts_shown"), RECORDED)
     out = {name: f"{ALL}{', ' + more[name] if name in more else ''} {select}" for name, select in SELECTS.items()}
     out["stream_first_events"] = "SELECT user_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM (SELECT DISTINCT user_id, event_type, ts FROM events)"
     out["stream_wait_outcomes"] = "SELECT event_id, user_id, strftime(met_at, '%Y-%m-%d %H:%M:%S') AS met_at, CASE WHEN met_at IS NULL THEN 'timed_out' ELSE 'met' END AS outcome FROM (SELECT w.event_id, w.user_id, w.ts, min(p.ts) AS met_at FROM events w LEFT JOIN events p ON p.event_type = 'purchase' AND p.user_id = w.user_id AND p.ts BETWEEN w.ts AND w.ts + INTERVAL '1' HOUR WHERE w.event_type = 'signup' GROUP BY 1, 2, 3) WHERE met_at IS NOT NULL OR ts < (SELECT max(ts) FROM events) - INTERVAL '25' HOUR"

@@ -12,6 +12,7 @@ from runlens.operators import analytics as an
 from runlens.operators import branches as br
 from runlens.operators import contexts as cx
 from runlens.operators import fleet as fl
+from runlens.operators import lifecycle as lc
 from runlens.operators import overlay as ov
 from runlens.operators import periodic as pe
 from runlens.operators import policies as po
@@ -58,6 +59,18 @@ def _due(h: History) -> DataFrame:
     return pe.tasks(h.logs, (F.pmod(F.col("workflow_id"), F.lit(5)) + 1) * 3600)
 
 
+def _bounded(h: History) -> DataFrame:
+    """The same, some with a start of their own and some with an end."""
+    k = F.col("workflow_id")
+    start = F.when(F.pmod(k, F.lit(2)) == 0, F.timestamp_add("MINUTE", F.pmod(k, F.lit(90)), now_at("2024-01-01 02:00:00")))
+    till = F.when(F.pmod(k, F.lit(3)) == 0, F.timestamp_add("HOUR", F.pmod(k, F.lit(12)), now_at("2024-01-01 04:00:00")))
+    return pe.tasks(h.logs, (F.pmod(k, F.lit(5)) + 1) * 3600, start, till)
+
+
+def _states(h: History) -> DataFrame:
+    return lc.intervals(lc.marks(h.workflows, hi.lifecycle_marks(h.workflows)), now_at(NOW))
+
+
 def _starts(h: History) -> DataFrame:
     """Monthly schedules that began between 400 days and some twelve years before a workflow's creation."""
     days = F.lit(400) + F.pmod(F.col("id"), F.lit(13)) * 366
@@ -176,6 +189,12 @@ OVER_HISTORY: dict[str, Callable[[History], DataFrame]] = {
     "fast_forward": lambda h: pe.fast_forward(_due(h), now_at(NOW)),
     "tick_grid_calendar": lambda h: pe.calendar_grid(_starts(h), now_at(NOW)),
     "tick_grid_runs": lambda h: pe.grid_runs(_due(h), h.logs, now_at(GRID_NOW)),
+    "tick_grid_bounded": lambda h: pe.grid_runs(_bounded(h), h.logs, now_at(GRID_NOW)),
+    "state_intervals": lambda h: _named(_states(h)).withColumn("seconds", F.round("seconds", 3)),
+    "time_in_states": lambda h: lc.time_in_states(_states(h), h.workflows),
+    "illegal_transitions": lambda h: _named(lc.illegal_transitions(_states(h))),
+    "lock_sessions": lambda h: _named(lc.lock_sessions(hi.lock_touches(h.logs))),
+    "lock_overlaps": lambda h: _named(lc.lock_overlaps(lc.lock_sessions(hi.lock_touches(h.logs)))),
     "run_timeouts": lambda h: pe.run_timeouts(h.logs, now_at("2024-01-01 06:30:00")),
     "failed_runs": lambda h: pe.failed_runs(h.logs.withColumn("error_class", F.when(F.pmod("id", F.lit(2)) == 0, F.col("error_class")).otherwise("Err1")), F.lit(3600), F.when(F.pmod("workflow_id", F.lit(3)) == 0, pe.FAIL_WORKFLOW).otherwise(pe.CONTINUE)),
     "retry_backoff_bounds": lambda h: po.backoff_bounds(h.errors).unionByName(po.backoff_bounds(h.errors, po.WORKFLOW)).unionByName(po.backoff_bounds(h.errors, po.WAIT)),

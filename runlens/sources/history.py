@@ -101,6 +101,25 @@ def failure_marks(errors: DataFrame) -> DataFrame:
     return errors.where(_mod(F.col("id"), 2) == 0).select(F.col("id"), "workflow_id", F.concat(F.lit("$workflow_failure$"), named.cast("string")).alias("step_name"), F.lit(2).alias("state"))
 
 
+def lifecycle_marks(wf: DataFrame) -> DataFrame:
+    """Marks, as execution logs, of completions and failures; every fourth workflow failed and was tried again a little after its start, and every thirteenth has a retry of nothing."""
+    k, begun = F.col("id"), F.coalesce("started_at", "created_at")
+    row = lambda number, name, at: F.struct((k * 10 + number).alias("id"), k.alias("workflow_id"), F.lit(name).alias("step_name"), at.alias("started_at"))
+    rows = F.array_compact(F.array(
+        F.when(F.col("state") == 2, row(1, "$workflow_completion$", F.col("completed_at"))), F.when(F.col("state") == 3, row(2, "$workflow_failure$7", F.col("updated_at"))),
+        F.when(_mod(k, 4) == 0, row(4, "$workflow_retry$2", seconds_after(begun, F.lit(20)))), F.when(_mod(k, 4) == 0, row(3, "$workflow_failure$5", seconds_after(begun, F.lit(10)))),
+        F.when(_mod(k, 13) == 0, row(5, "$workflow_retry$1", seconds_after(begun, F.lit(-5)))), F.when(_mod(k, 13) == 0, row(6, "$workflow_odd$1", begun)),
+    ))
+    return wf.select(F.inline(rows))
+
+
+def lock_touches(logs: DataFrame) -> DataFrame:
+    """``workflow_id``, ``owner``, ``at``: who held a workflow's lock when a step began; every fifth step was another's."""
+    k = F.col("id")
+    owner = F.concat(F.lit("worker-"), F.when(_mod(k, 5) == 0, _mod(k, 7)).otherwise(_mod(F.col("workflow_id"), 7)).cast("string"))
+    return logs.select("workflow_id", owner.alias("owner"), F.col("started_at").alias("at"))
+
+
 def seals(wf: DataFrame) -> DataFrame:
     """``branch_id``, ``sealed_at``: when the last child of a branch was dispatched; none of every seventh, which goes on."""
     at = F.when(_mod(F.col("branch_id"), 7) != 0, F.col("last"))
