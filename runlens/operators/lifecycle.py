@@ -55,7 +55,7 @@ def illegal_transitions(found: DataFrame) -> DataFrame:
 
 
 def lock_sessions(touches: DataFrame, seconds: int = LOCK_SECONDS) -> DataFrame:
-    """``workflow_id``, ``owner``, ``since``, ``until``, ``touches``: an owner's uses of a lock, as long as each comes within ``seconds`` of the last.
+    """``workflow_id``, ``owner``, ``since``, ``until``, ``touches``: an owner's uses of a lock, as long as each comes at most ``seconds`` after the last.
 
     ``until`` is when the lock was free, ``seconds`` after the last use.
     """

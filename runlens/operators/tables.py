@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from runlens.sources.shared import saved
+from runlens.sources.history import SCHEMAS
+from runlens.sources.shared import remove_folder, saved
 
 
 def after_key(rows: DataFrame, key: str, cursor: int | None) -> DataFrame:
@@ -56,3 +59,43 @@ def upsert(existing: DataFrame, changes: DataFrame, by: list[str], order: list[s
 def contended(wf: DataFrame, now: Column, most_seconds: int = 600) -> DataFrame:
     """Workflows that another runner may not take: executable, and locked within the longest time a run may hold its lock."""
     return wf.where(F.col("state").isin(0, 1) & (F.col("locked_at") > F.timestamp_add("SECOND", F.lit(-most_seconds), now)))
+
+
+def delete_expired(spark: SparkSession, folder: str, expired: Callable[[DataFrame], Column], partition: str = "month") -> dict[str, int]:
+    """Delete workflows of which ``expired`` holds from a history kept as Parquet below ``folder``, with their logs and errors.
+
+    ``workflows``, ``execution_logs`` and ``error_logs`` are tables partitioned by the text ``partition``.  Children of deleted workflows that stay lose their parent in the
+    same pass.  Only partitions with a row that goes or changes are written anew;
+    the others' files stay as they are.  New rows are saved before any partition is replaced.
+    Logs and errors go first, so that a pass which stops in between finds the same workflows
+    again.  Returns the rows deleted by table and the children cleared.
+    """
+    wf, logs, errors = (spark.read.schema(f"{schema}, {partition} string").parquet(f"{folder}/{name}") for name, schema in SCHEMAS.items())
+    gone = saved(wf.where(F.coalesce(expired(wf), F.lit(False))).select(F.col("id").alias("_gone")), "gone")
+    orphaned = saved(logs.join(gone, logs["workflow_id"] == F.col("_gone"), "left_semi").select(F.col("id").alias("_log")), "orphaned")
+    counts = {"workflows": gone.count()}
+    for name, table in (("execution_logs", logs), ("error_logs", errors)):
+        marked = table.join(gone, table["workflow_id"] == F.col("_gone"), "left").withColumn("_hit", F.col("_gone").isNotNull()).drop("_gone")
+        counts[name] = _rewritten(marked, F.lit(False), f"{folder}/{name}", partition)[0]
+    marked = wf.join(gone, wf["id"] == F.col("_gone"), "left").withColumn("_hit", F.col("_gone").isNotNull()).drop("_gone")
+    marked = marked.join(orphaned, marked["parent_execution_log_id"] == F.col("_log"), "left").withColumn("_cleared", F.col("_log").isNotNull() & ~F.col("_hit"))
+    marked = marked.withColumn("parent_execution_log_id", F.when(F.col("_log").isNull(), F.col("parent_execution_log_id"))).drop("_log")
+    counts["orphaned_children"] = _rewritten(marked, F.col("_cleared"), f"{folder}/workflows", partition)[1]
+    return counts
+
+
+def _rewritten(marked: DataFrame, changed: Column, path: str, partition: str) -> tuple[int, int]:
+    """Replace the partitions of ``marked`` that have a ``_hit`` (a row that goes) or a changed row; returns how many there were of both."""
+    spark = marked.sparkSession
+    d = marked.withColumn("_changed", changed)
+    touched = saved(d.where("_hit or _changed").groupBy(F.col(partition).alias("_part")).agg(F.count_if("_hit").alias("hits"), F.count_if("_changed").alias("changes")), "touched")
+    hits, changes = touched.agg(F.coalesce(F.sum("hits"), F.lit(0)), F.coalesce(F.sum("changes"), F.lit(0))).first()
+    if hits or changes:
+        columns = [c for c in d.columns if c not in ("_hit", "_changed", "_cleared")]
+        kept = saved(d.join(touched, F.col(partition).eqNullSafe(F.col("_part")), "left_semi").where(~F.col("_hit")).select(*columns), "kept")
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+        left = kept.select(partition).distinct()
+        empty = [r._part for r in touched.join(left, F.col("_part").eqNullSafe(F.col(partition)), "left_anti").collect()]  # one row for each partition that lost all
+        for value in empty:
+            remove_folder(spark, f"{path}/{partition}={'__HIVE_DEFAULT_PARTITION__' if value is None else value}")
+    return hits, changes

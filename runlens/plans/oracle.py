@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from runlens.sources.history import ERROR_CLASSES
+from runlens.sources.history import DEFINITION, EDGES, ERROR_CLASSES
 
 NOW, EPOCH = "TIMESTAMP '2024-01-31 00:00:00'", "TIMESTAMP '1970-01-01 00:00:00'"
 
@@ -188,6 +188,7 @@ SELECTS = {
     "context_sizes": f"SELECT o_orderkey + 1 AS id, CASE WHEN c.id IS NULL THEN 0 ELSE 6 END AS keys, coalesce(c.bytes, 2) AS bytes FROM orders LEFT JOIN (SELECT id, CAST(sum(strlen(key) + 3 + bytes) + 6 - 1 + 2 AS INTEGER) AS bytes FROM {_CONTEXT} GROUP BY 1) c ON c.id = o_orderkey + 1",
     "context_edits": "SELECT o_orderkey + 1 AS id, CASE WHEN f THEN CAST(o_custkey AS VARCHAR) ELSE 'none' END AS customer, 'm' AS memo, 'Z' AS merged, CASE WHEN f THEN o_orderstatus ELSE 'Z' END AS merged_once, CASE WHEN f THEN 7 ELSE 2 END AS keys FROM (SELECT *, o_orderkey % 11 <> 0 AS f FROM orders)",
     "definition_overlay": f"SELECT r.workflow_id, n.node, l.id AS log_id, CASE WHEN l.id IS NULL THEN 'not_reached' WHEN n.kind = 'branch' THEN coalesce(h.status, 'not_reached') WHEN n.kind = 'repeat' THEN CASE WHEN l.state = 1 THEN 'done' ELSE 'active' END ELSE {_STATE.format('l.state')} END AS status, CASE WHEN n.kind = 'repeat' AND l.id IS NOT NULL THEN coalesce(p.n, 0) END AS repetitions FROM runs r CROSS JOIN named n LEFT JOIN el l ON l.workflow_id = r.workflow_id AND l.step_name = n.step_name LEFT JOIN health h ON h.branch_id = l.id LEFT JOIN reps p ON p.workflow_id = r.workflow_id UNION ALL SELECT r.workflow_id, d.node, f.log_id, coalesce({_STATE.format('f.state')}, 'not_reached'), NULL FROM runs r CROSS JOIN (SELECT node FROM nodes WHERE step_name IS NULL) d LEFT JOIN took t ON t.workflow_id = r.workflow_id AND t.node = d.node LEFT JOIN free f ON f.log_id = t.log_id UNION ALL SELECT workflow_id, 'log-' || log_id, log_id, 'unmapped', NULL FROM free f WHERE state = 1 AND NOT EXISTS (SELECT 1 FROM took t WHERE t.log_id = f.log_id)",
+    "run_graphs": "SELECT workflow_id, '{\"nodes\":[' || string_agg(element, ',' ORDER BY place, log_id) || ',' || (SELECT ends FROM drawn) || '],\"edges\":[' || (SELECT edges FROM drawn) || ']}' AS document FROM elements GROUP BY 1",
     "bulk_insert": "SELECT 'wf-1$fulfil$mail_' || c_custkey AS key, c_mktsegment AS job_class FROM customer WHERE c_custkey >= 50 AND c_custkey % 10 <> 0",
     "upserted": f"SELECT id, CASE WHEN id % 7 = 0 THEN 4 ELSE state END AS state, strftime(CASE WHEN id % 7 = 0 THEN updated_at + INTERVAL '1' SECOND ELSE updated_at END, '%Y-%m-%d %H:%M:%S') AS updated_at FROM wf UNION ALL SELECT id + 1000000000, 0, strftime(updated_at, '%Y-%m-%d %H:%M:%S') FROM wf WHERE id % 7 = 0",
     "resumed_by_count": "SELECT p_partkey, p_size, n FROM (SELECT p_partkey, p_size, row_number() OVER (ORDER BY p_size, p_partkey) - 1 AS n FROM part) WHERE n >= 100",
@@ -216,9 +217,19 @@ def oracle_sql() -> dict[str, str]:
 ordered AS (SELECT workflow_id, row_number() OVER o AS place, state, at_time AS since, coalesce(lead(at_time) OVER o, {NOW}) AS until, lag(state) OVER o AS before FROM changes WHERE at_time <= {NOW} WINDOW o AS (PARTITION BY workflow_id ORDER BY at_time, rank, source)),
 spans AS MATERIALIZED (SELECT *, CAST(epoch(until) - epoch(since) AS DOUBLE) AS seconds, CASE WHEN before IS NULL THEN state = 'idle' ELSE (before, state) IN (('idle', 'running'), ('running', 'idle'), ('running', 'completed'), ('running', 'failed'), ('running', 'stalled'), ('failed', 'idle'), ('stalled', 'idle')) END AS legal FROM ordered)"""
     sessions = """touched AS MATERIALIZED (SELECT workflow_id, 'worker-' || (CASE WHEN id % 5 = 0 THEN id ELSE workflow_id END % 7) AS owner, started_at AS t FROM el),
-islands AS (SELECT *, sum(CASE WHEN t < before + INTERVAL '600' SECOND THEN 0 ELSE 1 END) OVER (PARTITION BY workflow_id, owner ORDER BY t) AS n FROM (SELECT *, lag(t) OVER (PARTITION BY workflow_id, owner ORDER BY t) AS before FROM touched)),
+islands AS (SELECT *, sum(CASE WHEN t <= before + INTERVAL '600' SECOND THEN 0 ELSE 1 END) OVER (PARTITION BY workflow_id, owner ORDER BY t) AS n FROM (SELECT *, lag(t) OVER (PARTITION BY workflow_id, owner ORDER BY t) AS before FROM touched)),
 sessions AS MATERIALIZED (SELECT workflow_id, owner, min(t) AS since, max(t) + INTERVAL '600' SECOND AS until, count(*) AS touches FROM islands GROUP BY workflow_id, owner, n)"""
-    more = dict.fromkeys(("state_intervals", "time_in_states", "illegal_transitions"), states) | dict.fromkeys(("lock_sessions", "lock_overlaps"), sessions) | {"tick_grid_bounded": bounded, "retry_routing_by_class": firsts, "repetition_prune": pruned, "tick_grid_runs": ticks, "tick_grid_calendar": walk, "context_budget": fold, "definition_overlay": OVERLAY} | dict.fromkeys(("drain_rate", "poll_cadence", "poll_counters", "fenced_polls", "merge_drain"), POLLS) | dict.fromkeys(("poll_overdue", "merge_throughput", "branch_counts_shown"), RECORDED)
+    quoted = lambda x: "NULL" if x is None else f"'{x}'"
+    nodes = ", ".join(f"({k}, {quoted(n)}, {quoted(step or prefix + '…')}, {quoted(kind)}, {quoted(step)})" for k, (n, kind, step, prefix) in enumerate(DEFINITION))
+    known = {n for n, *_ in DEFINITION}
+    ends = ",".join(f'{{"data":{{"id":"{x}","label":"{x}"}},"classes":"kind-endpoint"}}' for x in dict.fromkeys(x for a, b, *_ in EDGES for x in (a, b)) if x not in known)
+    lines = ",".join(f'{{"data":{{"id":"e{k}","source":"{a}","target":"{b}","label":"{guard or ""}"}},"classes":"kind-{kind}"}}' for k, (a, b, kind, guard) in enumerate(EDGES))
+    tally = " || ".join(f"""CASE WHEN count(*) FILTER (WHERE state = {k}) > 0 THEN ',"{name}":' || count(*) FILTER (WHERE state = {k}) ELSE '' END""" for k, name in enumerate(("idle", "running", "completed", "failed", "stalled")))
+    graphs = f"""{OVERLAY}, laid AS MATERIALIZED ({SELECTS['definition_overlay']}), tally AS (SELECT parent_execution_log_id AS log_id, '{{' || substr({tally}, 2) || '}}' AS counts FROM wf WHERE parent_execution_log_id IS NOT NULL GROUP BY 1),
+drawn AS (SELECT '{ends}' AS ends, '{lines}' AS edges), spec(place, node, label, kind, step_name) AS (VALUES {nodes}),
+elements AS MATERIALIZED (SELECT laid.workflow_id, coalesce(s.place, 1000) AS place, laid.log_id, '{{"data":{{"id":"' || laid.node || '","label":"' || coalesce(s.label, el.step_name) || '"' || coalesce(',"step_name":"' || coalesce(s.step_name, el.step_name) || '"', '') || coalesce(',"repetitions":' || laid.repetitions, '') || coalesce(',"counts":' || tally.counts, '') || '}},"classes":"kind-' || coalesce(s.kind, 'unmapped') || ' status-' || laid.status || '"}}' AS element
+  FROM laid LEFT JOIN spec s ON s.node = laid.node LEFT JOIN el ON el.id = laid.log_id LEFT JOIN tally ON tally.log_id = laid.log_id)"""
+    more = {"run_graphs": graphs} | dict.fromkeys(("state_intervals", "time_in_states", "illegal_transitions"), states) | dict.fromkeys(("lock_sessions", "lock_overlaps"), sessions) | {"tick_grid_bounded": bounded, "retry_routing_by_class": firsts, "repetition_prune": pruned, "tick_grid_runs": ticks, "tick_grid_calendar": walk, "context_budget": fold, "definition_overlay": OVERLAY} | dict.fromkeys(("drain_rate", "poll_cadence", "poll_counters", "fenced_polls", "merge_drain"), POLLS) | dict.fromkeys(("poll_overdue", "merge_throughput", "branch_counts_shown"), RECORDED)
     out = {name: f"{ALL}{', ' + more[name] if name in more else ''} {select}" for name, select in SELECTS.items()}
     out["stream_first_events"] = "SELECT user_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM (SELECT DISTINCT user_id, event_type, ts FROM events)"
     out["stream_wait_outcomes"] = "SELECT event_id, user_id, strftime(met_at, '%Y-%m-%d %H:%M:%S') AS met_at, CASE WHEN met_at IS NULL THEN 'timed_out' ELSE 'met' END AS outcome FROM (SELECT w.event_id, w.user_id, w.ts, min(p.ts) AS met_at FROM events w LEFT JOIN events p ON p.event_type = 'purchase' AND p.user_id = w.user_id AND p.ts BETWEEN w.ts AND w.ts + INTERVAL '1' HOUR WHERE w.event_type = 'signup' GROUP BY 1, 2, 3) WHERE met_at IS NOT NULL OR ts < (SELECT max(ts) FROM events) - INTERVAL '25' HOUR"

@@ -12,6 +12,7 @@ from runlens.operators import analytics as an
 from runlens.operators import branches as br
 from runlens.operators import contexts as cx
 from runlens.operators import fleet as fl
+from runlens.operators import graphs as gr
 from runlens.operators import lifecycle as lc
 from runlens.operators import overlay as ov
 from runlens.operators import periodic as pe
@@ -99,6 +100,14 @@ def _overlay(spark: SparkSession, folder: str) -> DataFrame:
     return ov.overlay([ov.Node(*x) for x in hi.DEFINITION], h.logs, br.branch_health(h.workflows, h.logs))
 
 
+def _run_graphs(spark: SparkSession, folder: str) -> DataFrame:
+    """A document for every run, with the steps that its nodes were bound to and its branches' children."""
+    h = derive(spark, folder)
+    found = ov.overlay([ov.Node(*x) for x in hi.DEFINITION], h.logs, br.branch_health(h.workflows, h.logs)).withColumn("definition", F.lit("fulfilment"))
+    found = found.join(h.logs.select(F.col("id").alias("log_id"), F.col("step_name").alias("log_name")), "log_id", "left").join(gr.child_counts(h.workflows), "log_id", "left")
+    return gr.documents(*hi.definition(spark), found).select("workflow_id", "document")
+
+
 def _bulk_insert(spark: SparkSession, folder: str) -> DataFrame:
     """Children that customers spawn, resumed from a key and sent twice: those that a bulk insert adds beside what is there."""
     customers = tb.after_key(spark.read.parquet(f"{folder}/customer.parquet"), "c_custkey", 50)
@@ -215,6 +224,7 @@ OVER_TABLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "context_budget": lambda spark, folder: cx.within_budget(_contexts(spark, folder), KEPT),
     "context_edits": _context_edits,
     "definition_overlay": _overlay,
+    "run_graphs": _run_graphs,
     "bulk_insert": _bulk_insert,
     "upserted": _upserted,
     "resumed_by_count": _resumed,

@@ -165,6 +165,17 @@ DEFINITION = (
 )
 
 
+#: Its edges: (from, to, kind, guard); ``start``, ``halt`` and ``done`` are no nodes.
+EDGES = (("start", "n1", "sequence", None), ("n1", "n2", "sequence", None), ("n2", "n3", "guard", "merged?"), ("n2", "halt", "guard", "failed?"), ("n3", "n4", "sequence", None), ("n4", "n5", "sequence", None), ("n5", "n6", "loop", "again"), ("n10", "done", "sequence", None))
+
+
+def definition(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the definition as tables, labelled by their steps."""
+    nodes = [("fulfilment", k, node, step or f"{prefix}…", kind, step) for k, (node, kind, step, prefix) in enumerate(DEFINITION)]
+    edges = [("fulfilment", k, *e) for k, e in enumerate(EDGES)]
+    return spark.createDataFrame(nodes, "definition string, place long, node string, label string, kind string, step_name string"), spark.createDataFrame(edges, "definition string, place long, source string, target string, kind string, guard string")
+
+
 #: Classes of errors and their parents: one has two, two are each other's, and one stands below no standard error.
 ERROR_CLASSES = (
     ("Err0", "NetworkError"), ("NetworkError", "IOError"), ("IOError", "StandardError"), ("Err1", "NetworkTimeout"), ("NetworkTimeout", "NetworkError"), ("NetworkTimeout", "TimeoutError"), ("TimeoutError", "StandardError"),

@@ -5,10 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: list[str] = []
+#: Saved tables by open scope, the outermost first; it lasts as long as the program.
+_scopes: list[list[str]] = [[]]
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,7 +40,39 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage: what a lost executor had is read again, not computed again.
+    ``released`` and ``release`` remove such tables once nothing reads them any more.
     """
     path = new_folder(df.sparkSession, name)
+    for tables in _scopes:
+        tables.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder with all in it, wherever Spark can write; nothing happens if it isn't there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        remove_folder(spark, path)
+        for tables in _scopes:
+            if path in tables:
+                tables.remove(path)
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Tables saved within are removed at the end, results that were not written by then included: write what is to stay first."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        _remove(spark, list(_scopes.pop()))
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all tables that this program has saved so far; DataFrames that read them can't be used any more."""
+    _remove(spark, list(_scopes[0]))
