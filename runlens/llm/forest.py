@@ -164,7 +164,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(links(nodes, texts.select(row.alias("row"), "text"), crowd, at_once))
     roots = found.distinct().join(nodes.select(F.col("content").alias("node"), "least"), "node")
     lifted = roots.join(roots.groupBy("root").agg(F.min("least").alias("of_root")), "root").select(F.col("node").alias("content"), "of_root")
-    named = nodes.select("content", "least").join(lifted, "content", "left").select("content", F.coalesce("of_root", "least").alias("first"))
+    # Saved, so that the join with all rows is of two plain tables, of which Spark can split a content that very many rows have.
+    named = saved(nodes.select("content", "least").join(lifted, "content", "left").select("content", F.coalesce("of_root", "least").alias("first")), "named")
     out = marked.select("id", "size", F.when(F.col("size") > 0, F.col("content")).alias("content")).join(named, "content", "left")
     out = out.select("id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("first")).otherwise(F.col("id")).alias("component_id"))
     return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
