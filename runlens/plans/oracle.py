@@ -233,6 +233,7 @@ elements AS MATERIALIZED (SELECT laid.workflow_id, coalesce(s.place, 1000) AS pl
     out = {name: f"{ALL}{', ' + more[name] if name in more else ''} {select}" for name, select in SELECTS.items()}
     out["stream_first_events"] = "SELECT user_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM (SELECT DISTINCT user_id, event_type, ts FROM events)"
     out["stream_wait_outcomes"] = "SELECT event_id, user_id, strftime(met_at, '%Y-%m-%d %H:%M:%S') AS met_at, CASE WHEN met_at IS NULL THEN 'timed_out' ELSE 'met' END AS outcome FROM (SELECT w.event_id, w.user_id, w.ts, min(p.ts) AS met_at FROM events w LEFT JOIN events p ON p.event_type = 'purchase' AND p.user_id = w.user_id AND p.ts BETWEEN w.ts AND w.ts + INTERVAL '1' HOUR WHERE w.event_type = 'signup' GROUP BY 1, 2, 3) WHERE met_at IS NOT NULL OR ts < (SELECT max(ts) FROM events) - INTERVAL '25' HOUR"
+    out["stream_by_key"] = "SELECT c_custkey, c_mktsegment FROM customer"
     out["stream_bulk_insert"] = "SELECT event_type, user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id % 3, ts, event_id) AS n FROM events) WHERE n = 1"
     out["stream_late_events"] = "SELECT event_id, event_id % 3 AS batch, coalesce(ts < upto - INTERVAL '1' DAY, false) AS late FROM events LEFT JOIN (SELECT 1 AS k, max(ts) AS upto FROM events WHERE event_id % 3 = 0 UNION ALL SELECT 2, max(ts) FROM events WHERE event_id % 3 < 2) m ON m.k = event_id % 3"
     out["stream_drain"] = "SELECT user_id, s AS spawned, c AS completed, greatest(s - c, 0) AS pending FROM (SELECT user_id, count(*) FILTER (WHERE event_type = 'signup') AS s, count(*) FILTER (WHERE event_type = 'purchase') AS c FROM events GROUP BY 1)"

@@ -235,6 +235,7 @@ OVER_TABLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_sleeps": stateful.stream_sleeps,
     "stream_stale_runs": stateful.stream_stale_runs,
     "stream_barriers": stateful.stream_barriers,
+    "stream_by_key": stateful.stream_by_key,
     "stream_bulk_insert": stateful.stream_bulk_insert,
     "stream_late_events": stateful.stream_late_events,
 }

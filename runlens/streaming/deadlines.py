@@ -6,14 +6,19 @@ batches.  Their state is a few numbers a key and is dropped once a key is done.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+# What keeps the state runs in executors and travels by value, so that they need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 

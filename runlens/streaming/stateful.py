@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from runlens.functions.steps import COMPLETED, LOG_COMPLETED, label, metadata_time, now_at, of_kinds, seconds_after
 from runlens.operators.fleet import STALE_SECONDS
 from runlens.sources import history as hi
+from runlens.sources.keyset import by_key
 from runlens.sources.shared import new_folder
 from runlens.streaming import ledger
 from runlens.streaming.deadlines import barriers, deadlines, keyed_state
@@ -97,6 +98,18 @@ def _delivered(spark: SparkSession, folder: str, write, to: str) -> str:
     return ledger.schema_of(events)
 
 
+def stream_by_key(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers from a source that remembers the last key: a first run up to a key, a second, after the rest was added, from there on."""
+    to = new_folder(spark, "by-key")
+    customers = spark.read.parquet(f"{folder}/customer.parquet").select("c_custkey", "c_mktsegment")
+    middle = customers.agg(F.floor(F.avg("c_custkey")).alias("k")).first().k
+    for part in (F.col("c_custkey") <= middle, F.col("c_custkey") > middle):
+        customers.where(part).write.mode("append").parquet(f"{to}/source")
+        rows = by_key(spark, f"{to}/source".removeprefix("file:"), "c_custkey", "c_custkey long, c_mktsegment string")
+        rows.writeStream.format("parquet").option("path", f"{to}/rows").option("checkpointLocation", f"{to}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("c_custkey long, c_mktsegment string").parquet(f"{to}/rows")
+
+
 def stream_bulk_insert(spark: SparkSession, folder: str) -> DataFrame:
     """Events inserted once by type and user: the first of the first delivery that has one."""
     to = new_folder(spark, "inserted")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from runlens.functions.steps import label, now_at
 from runlens.operators import fleet
 from runlens.operators import steps as st
+from runlens.sources.keyset import by_key
 from runlens.streaming import ledger, stateful
 from runlens.streaming.deadlines import barriers, deadlines, keyed_state
 from test_history import LOGS, WF, table
@@ -149,3 +150,25 @@ def test_labels_do_not_depend_on_the_zone(spark):
             assert d.select(F.unix_seconds("at").alias("s"), label(stateful._unzoned(F.col("at"))).alias("t")).first() == (1719837000, "2024-07-01 12:30:00")
         finally:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_a_source_by_keys_resumes(spark, tmp_path):
+    source, schema = f"{tmp_path}/in", "id long, name string"
+
+    def add(*keys):
+        spark.createDataFrame([(k, f"n{k}", 1) for k in keys], "id long, name string, other int").repartition(2).write.option("parquet.block.size", 1024).mode("append").parquet(source)
+
+    def run():
+        by_key(spark, source, "id", schema).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/progress").trigger(availableNow=True).start().awaitTermination()
+        return sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+    run_empty = by_key(spark, source, "id", schema)
+    assert run_empty.columns == ["id", "name"]
+    add(*range(0, 50, 2), None)
+    assert run() == [*range(0, 50, 2)]
+    assert run() == [*range(0, 50, 2)]
+    add(*range(49, 80), 7)  # 7 lies behind the last key
+    assert run() == [*range(0, 50, 2), *range(49, 80)]
+    add(100)
+    assert run() == [*range(0, 50, 2), *range(49, 80), 100]
+    assert spark.read.parquet(f"{tmp_path}/out").where("name <> 'n' || id").isEmpty()
