@@ -151,6 +151,7 @@ def with_terms(found: DataFrame, docs: DataFrame, text_col: str = "text") -> Dat
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``spans``, ``all_spans`` (arrays of start, rank, kind, end, value) of every row; also ``base`` and ``joined``, written as kind:start:end.
 
+    Terms are words of three letters or more; shorter ones give too little evidence and never count.
     Null text counts as empty.  Repeated rows are returned as often as they come,
     extra columns are ignored.  No spans give empty strings.
     """
@@ -171,7 +172,10 @@ def sanitised_text(text: Column, spans: Column) -> Column:
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with personal data generalised and disclosing terms removed; rows without any, null texts among them, stay as they are."""
+    """``docs`` with personal data generalised and disclosing terms removed; rows without any, null texts among them, stay as they are.
+
+    Words of one or two letters are never terms.
+    """
     others = tuple(c for c in docs.columns if c != text_col)
     found = detected(docs, id_col, text_col, others)
     hit = saved(found.where(F.size("spans") > 0), "personal")
