@@ -32,9 +32,27 @@ SCHEMAS = {
 }
 
 
-def load(spark: SparkSession, folder: str) -> History:
-    """History that is there as Parquet; columns that an older table lacks are null."""
-    return History(*(spark.read.schema(schema).parquet(f"{folder}/{name}.parquet") for name, schema in SCHEMAS.items()))
+#: Formats of kept history, with what reading them as written takes.
+FORMATS = {"parquet": {}, "orc": {}, "json": {}, "csv": {"header": "true", "escape": '"', "multiLine": "true"}}
+
+
+def load(spark: SparkSession, folder: str, source: str = "parquet") -> History:
+    """History that is there, in files or folders named by table and format (``workflows.parquet``); columns that an older table lacks are null.
+
+    Columns go by name in all formats; in CSV, which has no types, an empty text is null.
+    """
+    if source not in FORMATS:
+        raise ValueError(f"history is read from {', '.join(FORMATS)}, not from {source}")
+
+    def table(name: str, schema: str) -> DataFrame:
+        path, reader = f"{folder}/{name}.{source}", spark.read.format(source).options(**FORMATS[source])
+        if source != "csv":
+            return reader.schema(schema).load(path)
+        # A schema would go by place; so columns are read as text by their header's names.
+        rows = reader.load(path)
+        return rows.select(*((F.col(c) if c in rows.columns else F.lit(None)).cast(kind).alias(c) for c, kind in (x.split() for x in schema.split(", "))))
+
+    return History(*(table(name, schema) for name, schema in SCHEMAS.items()))
 
 
 def _mod(x: Column, n: int) -> Column:

@@ -11,7 +11,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: list[str] = []
-#: Saved tables by open scope, the outermost first; it lasts as long as the program.
+#: Folders made, by open scope, the outermost first; it lasts as long as the program.
 _scopes: list[list[str]] = [[]]
 
 
@@ -32,19 +32,22 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder of its own below the shared one."""
-    return f"{shared_folder(spark)}/runlens-{name}-{uuid.uuid4().hex}"
+    """A folder of its own below the shared one, for a table, an archive or a stream.
+
+    ``released`` and ``release`` remove it once nothing reads it any more.
+    """
+    path = f"{shared_folder(spark)}/runlens-{name}-{uuid.uuid4().hex}"
+    for folders in _scopes:
+        folders.append(path)
+    return path
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage: what a lost executor had is read again, not computed again.
-    ``released`` and ``release`` remove such tables once nothing reads them any more.
     """
     path = new_folder(df.sparkSession, name)
-    for tables in _scopes:
-        tables.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -58,14 +61,14 @@ def remove_folder(spark: SparkSession, path: str) -> None:
 def _remove(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         remove_folder(spark, path)
-        for tables in _scopes:
-            if path in tables:
-                tables.remove(path)
+        for folders in _scopes:
+            if path in folders:
+                folders.remove(path)
 
 
 @contextmanager
 def released(spark: SparkSession) -> Iterator[None]:
-    """Tables saved within are removed at the end, results that were not written by then included: write what is to stay first."""
+    """Folders made within are removed at the end, with results that were not written elsewhere by then: write what is to stay first."""
     _scopes.append([])
     try:
         yield
@@ -74,5 +77,5 @@ def released(spark: SparkSession) -> Iterator[None]:
 
 
 def release(spark: SparkSession) -> None:
-    """Remove all tables that this program has saved so far; DataFrames that read them can't be used any more."""
+    """Remove all folders that this program has made so far; DataFrames that read them can't be used any more."""
     _remove(spark, list(_scopes[0]))

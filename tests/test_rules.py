@@ -216,3 +216,19 @@ def test_saved_tables_are_removed(spark):
     assert [os.path.exists(f) for f in sorted(folders, key=lambda f: "kept" in f)].count(True) == len(kept.inputFiles())
     shared.release(spark)
     assert not any(os.path.exists(f) for f in folders)
+
+
+@pytest.mark.parametrize("source", ["parquet", "orc", "json", "csv"])
+def test_formats_of_history(spark, tmp_path, source):
+    wf = table(spark, WF, [{"id": 1, "key": 'a "quoted", key', "state": 2, "created_at": "2024-01-01 00:00:00.25", "job_class": "J"}, {"id": 2, "key": None, "state": None}])
+    logs = table(spark, LOGS, [{"id": 7, "workflow_id": 1, "step_name": "wait$a", "metadata": '{"wait_until":"2024-01-01T00:00:00Z","n":"x\\ny"}'}])
+    errors = table(spark, ERRORS, [])
+    for name, df in (("workflows", wf.drop("locked_by", "updated_at").select("state", *(c for c in wf.columns if c not in ("state", "locked_by", "updated_at")))), ("execution_logs", logs), ("error_logs", errors)):
+        writer = df.write.format(source)
+        (writer.option("header", True).option("escape", '"') if source == "csv" else writer).save(f"{tmp_path}/{name}.{source}")
+    found = hi.load(spark, str(tmp_path), source)
+    assert [str(f.dataType) for f in found.workflows.schema] == [str(f.dataType) for f in wf.schema]
+    assert found.workflows.orderBy("id").collect() == wf.withColumns({c: F.lit(None) for c in ("locked_by", "updated_at")}).orderBy("id").collect()
+    assert found.logs.collect() == logs.collect() and found.errors.count() == 0
+    with pytest.raises(ValueError, match="not from xml"):
+        hi.load(spark, str(tmp_path), "xml")
