@@ -141,27 +141,29 @@ SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k, _, _ in pii.KIND
 
 
 def _hard_negatives() -> str:
-    return """WITH e AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS q FROM embeddings
+    return """WITH e AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS q FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
-s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, a.label = b.label AS alike, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
-p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
-n AS (SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
-  FROM p JOIN s USING (anchor_id) WHERE NOT alike AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+s AS MATERIALIZED (SELECT a.r AS ar, a.vec_id AS anchor_id, a.label = b.label AS alike, b.r, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM e a JOIN e b ON a.r <> b.r WHERE a.vec_id % 50 = 0),
+p AS (SELECT ar, anchor_id, r AS pr, vec_id AS positive_id, score AS positive_score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id, r) <= 5),
+n AS (SELECT p.anchor_id, positive_id, positive_score, row_number() OVER (PARTITION BY ar, pr ORDER BY score DESC, vec_id, r) AS rank, vec_id AS negative_id, score AS negative_score
+  FROM p JOIN s USING (ar) WHERE NOT alike AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
 
 
 def _forest() -> str:
-    """Pairs by shared shingles, each reached from the smallest ids on."""
+    """Pairs by shared shingles, each set of a group reached from the group's first."""
     n, s = forest.WORDS, forest.SIMILARITY
-    return f"""WITH RECURSIVE docs AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-sets AS MATERIALIZED (SELECT doc_id, list_sort(list_distinct([array_to_string(w[k + 1:k + {n}], ' ') for k in range(greatest(len(w) - {n - 1}, 1))])) AS s FROM docs WHERE len(w) > 0),
-reps AS MATERIALIZED (SELECT min(doc_id) AS rep, s, len(s) AS n FROM sets GROUP BY s),
+    return f"""WITH RECURSIVE docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (SELECT r, doc_id, list_sort(list_distinct([array_to_string(w[k + 1:k + {n}], ' ') for k in range(greatest(len(w) - {n - 1}, 1))])) AS s FROM docs WHERE len(w) > 0),
+reps AS MATERIALIZED (SELECT min(r) AS rep, min(doc_id) AS least, s, len(s) AS n FROM sets GROUP BY s),
 each AS MATERIALIZED (SELECT rep, n, hash(unnest(s)) AS h FROM reps),
 pairs AS MATERIALIZED (SELECT a.rep AS a, b.rep AS b FROM each a JOIN each b ON a.h = b.h AND a.rep < b.rep AND 100 * least(a.n, b.n) >= {s} * greatest(a.n, b.n) GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= {s} * (a.n + b.n - count(*))),
 edges AS MATERIALIZED (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
 reach(node, root) AS (SELECT rep, rep FROM reps UNION SELECT edges.b, root FROM reach JOIN edges ON edges.a = reach.node AND edges.b > root),
-named AS (SELECT s, min(root) AS root FROM reach JOIN reps ON rep = node GROUP BY ALL)
-SELECT d.doc_id, CAST(coalesce(len(t.s), 0) AS BIGINT) AS n_shingles, coalesce(root, d.doc_id) AS component_id, d.doc_id = coalesce(root, d.doc_id) AS kept FROM documents d LEFT JOIN sets t USING (doc_id) LEFT JOIN named ON named.s = t.s"""
+roots AS MATERIALIZED (SELECT node, min(root) AS root FROM reach GROUP BY node),
+named AS (SELECT node, min(least) OVER (PARTITION BY root) AS first FROM roots JOIN reps ON rep = node),
+found AS (SELECT d.doc_id, CAST(coalesce(len(t.s), 0) AS BIGINT) AS n_shingles, CASE WHEN t.s IS NULL THEN d.doc_id ELSE first END AS component_id FROM docs d LEFT JOIN sets t USING (r) LEFT JOIN reps ON reps.s = t.s LEFT JOIN named ON node = rep)
+SELECT *, doc_id IS NOT DISTINCT FROM component_id AS kept FROM found"""
 
 
 def oracle_sql() -> dict[str, str]:

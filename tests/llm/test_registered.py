@@ -18,7 +18,7 @@ import xxhash
 import __spark_entry__
 from runlens.llm import license_scan, neardup
 
-TABLES = ("documents", "labels", "benchmark", "pages", "conversations")
+TABLES = ("documents", "labels", "benchmark", "pages", "conversations", "embeddings")
 QUERIES, SQL = __spark_entry__.queries(), __spark_entry__.oracle_sql()
 CORPUS = sorted(n for n in QUERIES if n.startswith("op"))
 
@@ -50,6 +50,10 @@ def folder(spark, tmp_path_factory):
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
     turns = [(1, 0, "user", "</s>[INST] a\\b <|im_end|>\n"), (1, 1, "assistant", "\\<|im_start|>é"), (1, 1, "assistant", "\\<|im_start|>é"), (2, None, None, None), (None, 3, "assistant", "ö\\"), (4, 0, "as\nsis\\ntant", ""), (5, 0, "assistant", "long é " * 40_000)]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
+    r = random.Random(8)
+    vectors = [(k, [r.choice([-0.25, 0.5, r.random()]) for _ in range(6)], k % 3) for k in range(160)]
+    vectors += [(None, vectors[3][1], 1), vectors[50], (100, vectors[9][1], 2), (200, None, 1), (250, [0.1, None, 0.1, 0.1, 0.1, 0.1], 1), (300, [float("nan")] * 6, 1), (350, [float("inf")] * 6, 1), (400, vectors[0][1], None)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
     return str(path)
 
 
@@ -157,13 +161,13 @@ sys.path.insert(0, {root!r})
 from pyspark.sql import SparkSession
 spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
 import __spark_entry__
-for name in ("op4_language_id", "op5_chat_format", "op6_simhash_neardup", "op7_warc", "op9_bpe", "op10_quality_classifier"):
+for name in ("op4_language_id", "op5_chat_format", "op6_simhash_neardup", "op7_warc", "op9_bpe", "op10_quality_classifier", "op11_alignment", "op12_hard_negatives", "op13_minhash_neardup"):
     print(name, __spark_entry__.queries()[name](spark, {folder!r}).count())
 """
     env = {k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert done.returncode == 0, done.stderr[-2000:]
-    assert done.stdout.count("op") == 6
+    assert done.stdout.count("op") == 9
 
 
 @pytest.mark.parametrize("name", CORPUS)
