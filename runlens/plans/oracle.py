@@ -158,6 +158,7 @@ SELECTS = {
     "retry_budget_bound": "SELECT job_class AS composite, CASE WHEN count(*) > count(a) THEN NULL ELSE max(a) END AS attempts FROM (SELECT job_class, CASE WHEN id % 5 <> ascii(job_class) % 5 THEN id % 9 + 1 END AS a FROM wf WHERE id % 2 = 1) GROUP BY 1",
     "policy_resolution": "SELECT l.id, CASE WHEN l.id % 4 = 0 THEN 'strict' WHEN kind IN ('wait', 'continue') THEN 'wait' WHEN job_class = '1-URGENT' THEN 'workflow' WHEN job_class = '2-HIGH' THEN 'gentle' ELSE 'step' END AS policy, CASE WHEN l.id % 4 = 0 THEN 1 WHEN kind IN ('wait', 'continue') OR job_class = '2-HIGH' THEN NULL WHEN job_class = '1-URGENT' THEN 10 ELSE 3 END AS attempts, CASE WHEN l.id % 4 <> 0 AND kind NOT IN ('wait', 'continue') AND job_class = '2-HIGH' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS base, CASE WHEN l.id % 4 = 0 OR kind IN ('wait', 'continue') THEN 30.0::DOUBLE WHEN job_class = '1-URGENT' THEN 600.0::DOUBLE WHEN job_class = '2-HIGH' THEN 60.0::DOUBLE ELSE 30.0::DOUBLE END AS cap FROM pa l JOIN wf w ON w.id = l.workflow_id",
     "stream_sleeps": f"SELECT id, {_text('due')}, CASE WHEN ended <= due THEN 'ended' ELSE 'reached' END AS outcome FROM (SELECT id, started_at, CASE WHEN state = 1 THEN completed_at END AS ended, strptime(json_extract_string(metadata, '$.wait_until'), '%Y-%m-%dT%H:%M:%SZ') AS due FROM pa WHERE kind = 'sleep') WHERE started_at <= {_SLEEPS_AT} AND (ended <= least(due, {_SLEEPS_AT}) OR due <= {_SLEEPS_AT})",
+    "stream_wait_timeouts": f"SELECT id, {_text('due')}, CASE WHEN ended <= due THEN 'ended' ELSE 'reached' END AS outcome FROM (SELECT id, started_at, CASE WHEN state = 1 THEN completed_at END AS ended, strptime(json_extract_string(metadata, '$.timeout_at'), '%Y-%m-%dT%H:%M:%SZ') AS due FROM pa WHERE kind = 'wait') WHERE due IS NOT NULL AND started_at <= {_SLEEPS_AT} AND (ended <= least(due, {_SLEEPS_AT}) OR due < {_SLEEPS_AT})",
     "stream_stale_runs": f"SELECT id, strftime(begun + INTERVAL '30' MINUTE, '%Y-%m-%d %H:%M:%S') AS due, CASE WHEN ended <= begun + INTERVAL '30' MINUTE THEN 'ended' ELSE 'reached' END AS outcome FROM (SELECT id, coalesce(locked_at, CASE WHEN state = 2 THEN started_at END) AS begun, completed_at AS ended FROM wf) WHERE begun <= {_SLEEPS_AT} AND (ended <= least(begun + INTERVAL '30' MINUTE, {_SLEEPS_AT}) OR begun + INTERVAL '30' MINUTE < {_SLEEPS_AT})",
     "stream_barriers": "SELECT parent_execution_log_id AS branch_id, count(*) AS children FROM wf WHERE parent_execution_log_id % 7 <> 0 GROUP BY 1 HAVING count(*) = count(completed_at)",
     "complete_without_merge": f"SELECT wf.id, wf.key, count(*) AS open_branches FROM wf JOIN {_MERGES} m ON m.workflow_id = wf.id WHERE wf.state = 2 AND merge_state <> 'merged' GROUP BY 1, 2",

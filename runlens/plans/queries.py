@@ -233,6 +233,7 @@ OVER_TABLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_wait_outcomes": jobs.stream_wait_outcomes,
     "stream_drain": jobs.stream_drain,
     "stream_sleeps": stateful.stream_sleeps,
+    "stream_wait_timeouts": stateful.stream_wait_timeouts,
     "stream_stale_runs": stateful.stream_stale_runs,
     "stream_barriers": stateful.stream_barriers,
     "stream_by_key": stateful.stream_by_key,

@@ -42,7 +42,7 @@ class _Deadlines(StatefulProcessor):
         self.span = handle.getValueState("span", "due long, ended long, told boolean")
 
     def handleInputRows(self, key, rows, timerValues):
-        due, ended, told = self.span.get() if self.span.exists() else (None, None, False)
+        due, ended, told = self.span.get() or (None, None, False)  # each look at the state is a call to the engine
         begun = due is not None
         for batch in rows:
             starts, ends = batch.due_ms[batch.what == "begin"].dropna(), batch.at_ms[batch.what == "end"]
@@ -87,7 +87,7 @@ class _Barrier(StatefulProcessor):
         self.count = handle.getValueState("count", "children long, complete long, told boolean")
 
     def handleInputRows(self, key, rows, timerValues):
-        children, complete, told = self.count.get() if self.count.exists() else (None, 0, False)
+        children, complete, told = self.count.get() or (None, 0, False)
         for batch in rows:
             seals = batch.children[batch.what == "sealed"].dropna()
             children = int(seals.iloc[0]) if children is None and len(seals) else children

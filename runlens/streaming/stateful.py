@@ -45,9 +45,21 @@ def changes(begins: DataFrame, ends: DataFrame, now: str, delay: str = DELAY) ->
     return both.unionByName(tick).select("key", _zoned(F.col("at")).alias("at"), "what", _zoned(F.col("due")).alias("due"))
 
 
+def _step_changes(logs: DataFrame, kind: str, key: str, after: int, now: str) -> DataFrame:
+    """Steps of a kind that begin with the time due in their metadata, ``after`` milliseconds on, and end when they complete."""
+    d = of_kinds(logs, kind).select(F.col("id").alias("key"), "started_at", "completed_at", "state", F.timestamp_add("MILLISECOND", F.lit(after), metadata_time(key)).alias("due")).where("due is not null")
+    ended = d.where((F.col("state") == LOG_COMPLETED) & F.col("completed_at").isNotNull())
+    return changes(d.select("key", F.col("started_at").alias("at"), "due"), ended.select("key", F.col("completed_at").alias("at")), now)
+
+
 def sleep_changes(logs: DataFrame, now: str) -> DataFrame:
-    d = of_kinds(logs, "sleep").select(F.col("id").alias("key"), "started_at", "completed_at", "state", metadata_time("wait_until").alias("due")).where("due is not null")
-    return changes(d.select("key", F.col("started_at").alias("at"), "due"), d.where((F.col("state") == LOG_COMPLETED) & F.col("completed_at").isNotNull()).select("key", F.col("completed_at").alias("at")), now)
+    """Sleeps: done once their time is reached, the time itself included."""
+    return _step_changes(logs, "sleep", "wait_until", 0, now)
+
+
+def wait_changes(logs: DataFrame, now: str) -> DataFrame:
+    """Waits for a condition: timed out once their time-out is past, not at it; those without one are left out."""
+    return _step_changes(logs, "wait", "timeout_at", 1, now)
 
 
 def run_changes(wf: DataFrame, now: str, most: int = STALE_SECONDS) -> DataFrame:
@@ -68,6 +80,11 @@ def stream_sleeps(spark: SparkSession, folder: str) -> DataFrame:
     return _told(sleep_changes(hi.derive(spark, folder).logs, SLEEPS_AT), "sleeps")
 
 
+def stream_wait_timeouts(spark: SparkSession, folder: str) -> DataFrame:
+    """Waits that timed out by the watermark, or that were met before."""
+    return _told(wait_changes(hi.derive(spark, folder).logs, SLEEPS_AT), "waits")
+
+
 def stream_stale_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Runs that went stale by the watermark, or that released their lock before."""
     return _told(run_changes(hi.derive(spark, folder).workflows, SLEEPS_AT), "runs")

@@ -51,6 +51,16 @@ def test_sleeps_equal_the_batch(spark, tmp_path, history, n):
     assert len(want) > 3 and sorted(got) == sorted(want)
 
 
+@pytest.mark.parametrize("n", [1, 2])
+def test_wait_timeouts_equal_the_batch(spark, tmp_path, history, n):
+    now = "2024-01-01 06:00:00"
+    logs = history[1].withColumns({"step_name": F.replace("step_name", F.lit("wait$"), F.lit("wait_until$")), "metadata": F.replace("metadata", F.lit("wait_until"), F.lit("timeout_at"))})
+    rows = sorted(map(tuple, stateful.wait_changes(logs, now).collect()), key=lambda r: r[1])
+    found = fed(spark, str(tmp_path), in_parts(rows, n), stateful._CHANGES, deadlines)
+    want = {r.id for r in st.evaluated_waits(logs.where(F.col("started_at") <= now_at(now)), now_at(now), F.lit(False)).where("stalls").collect()}
+    assert len(want) > 3 and sorted(r.key for r in found.where("outcome = 'reached'").collect()) == sorted(want)
+
+
 @pytest.mark.parametrize("n", [1, 3])
 def test_stale_runs_equal_the_batch(spark, tmp_path, history, n):
     now = "2024-01-01 06:00:00"
