@@ -68,7 +68,7 @@ def test_cadence(spark):
 def test_intervals_double_while_nothing_starts(spark):
     seen = [(1, 0, 9, 9), (1, 1, 9, 9), (1, 2, 9, 9), (1, 3, 5, 5), (1, 4, 5, 5), (1, 5, 5, 5), (2, 0, 3, 0), (2, 1, 3, 1), (2, 2, 3, 0)]
     rows = spark.createDataFrame([(b, p, n, 9, 0, never, 4, f"2024-01-01 00:{p:02d}:00") for b, p, n, never in seen], "branch_id long, poll int, pending long, spawned long, running long, never_started long, stale long, t string")
-    got = polls.history(rows.withColumn("polled_at", F.col("t").cast("timestamp_ntz")).drop("t")).orderBy("branch_id", "poll")
+    got = polls.history(rows.withColumns({"polled_at": F.col("t").cast("timestamp_ntz"), "sealed": F.lit(True)}).drop("t")).orderBy("branch_id", "poll")
     # 4 children drain within a minute: 5 are left at 1/15 a second.
     assert [r.interval for r in got.collect()] == [5, 10, 20, 37.5, 75, 150, 300, 300, 300]
     assert [r.rekicked for r in got.collect()] == [4, 4, 4, 0, 4, 4, 4, 4, 0]  # not where the number never started fell
