@@ -9,12 +9,14 @@ five values are a region of the tree, and one of over ``CROWD`` nodes is cut by
 values, then by twenty.  A pair at a similarity of 0.8 shares no region of any of
 the 32 trees once in 320,000.
 
-Within a region of up to ``CROWD`` nodes all pairs are candidates.  Set sizes and parity
+Of a crowded region, by five values, one node is held against all others first.  Then
+all pairs within a region of up to ``CROWD`` nodes, at any depth, are candidates, but for
+those that links have brought together by then.  Set sizes and parity
 bits prune them, exactly: no pair that reaches the similarity is left out.  The full
-sets confirm the rest.  What a crowded region still leaves apart, at whatever depth, is held
-against each other by the region's five values: first one of its main group against
-all that no link has brought into it, then those in turn against all that they aren't
-linked with yet, until each has had its turn.  So depth saves work but loses no pair.
+sets confirm the rest.  What a crowded region still leaves apart is held
+against each other by the region's five values: those outside its main group in turn
+against all that they aren't linked with yet, until each has had its turn.  So depth
+saves work but loses no pair.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, saved
+from .common import components, saved, star
 from .neardup import PARITIES, _hashes, _may_reach, _slices
 
 #: Words of a shingle; least similarity in hundredths.
@@ -92,6 +94,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return saved(both.where(100 * common >= SIMILARITY * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "similar")
 
 
+def _rooted(found: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """``node``, ``root`` over the links ``found`` and what ``roots`` has linked before."""
+    return saved(components(found if roots is None else found.unionByName(star(roots))).distinct(), "roots")
+
+
 def links(nodes: DataFrame, texts: DataFrame, crowd: int = CROWD, at_once: int = ROUND) -> DataFrame:
     """Edges ``a``, ``b`` between contents that connect exactly what the similarity links, but for pairs that no tree brings together.
 
@@ -104,47 +111,54 @@ def links(nodes: DataFrame, texts: DataFrame, crowd: int = CROWD, at_once: int =
     side = lambda d, name, *more: d.select(*more, F.col("content").alias(name), F.col("size").alias(f"n{name}"), F.col("parity").alias(f"p{name}"))
     near = _may_reach(*(F.col(x) for x in ("na", "nb", "pa", "pb")))
 
-    sizes = nodes.select("content", "size")
-    few = [level.where(F.col("n") <= crowd).select("at", "content") for level in levels]
-    pairs = None
-    for of in few:
-        of = of.join(sizes, "content")
-        a, b = (of.select("at", F.col("content").alias(x), F.col("size").alias(f"n{x}")) for x in "ab")
-        met = a.join(b, "at").where((F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb"))).select("a", "b")
-        pairs = met if pairs is None else pairs.unionByName(met)
     in_regions = levels[0].select("content").distinct()
     parity = saved(in_regions.join(nodes.select("content", "row", "size", "parity"), "content"), "shared")
-    pairs = pairs.distinct().join(side(parity, "a"), "a").join(side(parity, "b"), "b").where(near).select("a", "b")
-
     needed = texts.join(parity.select("row", "content"), "row").groupBy("content").agg(F.first("text").alias("text"))
     sets = saved(needed.mapInArrow(_sets, "content long, s array<long>"), "sets")
-    found = _confirmed(pairs, sets)
 
     crowded = levels[0].where(F.col("n") > crowd).select("at", "content", "n")
     crowded = crowded.join(crowded.groupBy("content").agg(F.sum("n").alias("met")), "content").join(parity.drop("row"), "content")
     members = saved(crowded.withColumn("part", F.pmod("content", _parts("n")).cast("int")), "crowded")
-    if members.isEmpty():
+    every_part = F.explode(F.sequence(F.lit(0), _parts("n") - 1)).alias("part")
+    none_crowded, roots = members.isEmpty(), None
+    if not none_crowded:
+        # One node of each crowded region is held against all others first: what it links need not be linked pair by pair.
+        first = F.max_by(F.struct("content", "size", "parity", "n"), F.struct("met", "content"))
+        centres = saved(members.groupBy("at").agg(first.alias("x")).select("at", "x.*"), "centres")
+        met = side(members, "a", "at", "part").join(side(centres, "b", "at", every_part), ["at", "part"]).where((F.col("a") != F.col("b")) & near)
+        roots = _rooted(_confirmed(met.select("a", "b").distinct(), sets))
+        done = centres.select("at", "content")
+
+    sizes = nodes.select("content", "size")
+    if roots is not None:
+        sizes = sizes.join(roots, sizes.content == roots.node, "left").select("content", "size", F.coalesce("root", "content").alias("root"))
+    few = [level.where(F.col("n") <= crowd).select("at", "content") for level in levels]
+    pairs = None
+    for of in few:
+        of = of.join(sizes, "content")
+        a, b = (of.select("at", F.col("content").alias(x), F.col("size").alias(f"n{x}"), F.col("root" if roots is not None else "content").alias(f"of_{x}")) for x in "ab")
+        met = a.join(b, "at").where((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & (100 * F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb"))).select("a", "b")
+        pairs = met if pairs is None else pairs.unionByName(met)
+    pairs = pairs.distinct().join(side(parity, "a"), "a").join(side(parity, "b"), "b").where(near).select("a", "b")
+    found = _confirmed(pairs, sets)
+    if none_crowded:
         return found
-    every_part, done, turn = F.explode(F.sequence(F.lit(0), _parts("n") - 1)).alias("part"), None, 0
+
+    turn = 1
     while True:
-        roots = saved(components(found).distinct(), "roots")
+        # Every node is linked with its root alone from here on, so that no round goes over the links of those before.
+        roots = _rooted(found, roots)
         rooted = saved(members.join(roots, members.content == roots.node, "left").select(*members.columns, F.coalesce("root", "content").alias("root")), "rooted")
         main = rooted.groupBy("at", "root").agg(F.count("*").alias("k")).groupBy("at").agg(F.max(F.struct("k", "root")).alias("x")).select("at", F.col("x.root").alias("main"))
-        placed = rooted.join(main, "at")
-        if turn == 0:
-            first = F.max_by(F.struct("content", "size", "parity", "root", "n"), F.struct("met", "content"))
-            centres = placed.where("root = main").groupBy("at").agg(first.alias("x")).select("at", "x.*")
-        else:
-            left = saved(placed.where("root <> main").join(done, ["at", "content"], "left_anti"), "left")
-            if left.isEmpty():
-                return found
-            shares = left.groupBy("at").agg(F.ceil(F.count("*") / at_once).alias("shares"), F.min("content").alias("least"))
-            centres = left.join(shares, "at").where((F.col("content") == F.col("least")) | (F.pmod(F.xxhash64("content", F.lit(turn)), F.col("shares")) == 0)).select("at", "content", "size", "parity", "root", "n")
+        left = saved(rooted.join(main, "at").where("root <> main").join(done, ["at", "content"], "left_anti"), "left")
+        if left.isEmpty():
+            return star(roots)
+        shares = left.groupBy("at").agg(F.ceil(F.count("*") / at_once).alias("shares"), F.min("content").alias("least"))
+        centres = left.join(shares, "at").where((F.col("content") == F.col("least")) | (F.pmod(F.xxhash64("content", F.lit(turn)), F.col("shares")) == 0)).select("at", "content", "size", "parity", "root", "n")
         centres = saved(centres, "centres")
         met = side(rooted, "a", "at", "part", "root").join(side(centres, "b", "at", every_part, F.col("root").alias("of_b")), ["at", "part"]).where((F.col("root") != F.col("of_b")) & near)
-        found = found.unionByName(_confirmed(met.select("a", "b").distinct(), sets))
-        held = centres.select("at", "content")
-        done, turn = held if done is None else done.unionByName(held), turn + 1
+        found = _confirmed(met.select("a", "b").distinct(), sets)
+        done, turn = done.unionByName(centres.select("at", "content")), turn + 1
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD, at_once: int = ROUND) -> DataFrame:

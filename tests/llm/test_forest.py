@@ -85,6 +85,19 @@ def test_a_passage_that_many_share(spark):
     assert found(spark, docs, crowd=2, at_once=3) == brute(docs)
 
 
+def test_near_copies_make_few_links(spark, monkeypatch):
+    """The links that rounds go over grow with the texts of a group, not with its pairs."""
+    rng, docs, seen = random.Random(4), [], []
+    for k in range(150):
+        own = [f"w{i}" for i in range(80)]
+        own[rng.randrange(80)] = f"x{k}"
+        docs.append((k, " ".join(own)))
+    plain = forest.components
+    monkeypatch.setattr(forest, "components", lambda edges: seen.append(edges.distinct().count()) or plain(edges))
+    assert found(spark, docs, crowd=16) == brute(docs)
+    assert sum(seen) <= 4 * len(docs)
+
+
 def test_odd_rows(spark):
     docs = [(10, None), (11, ""), (12, " \n\t"), (13, "One two"), (7, "one  TWO"), (14, "one two three four"), (15, "One two three\x0bfour"), (16, "Élan élan a b"), (17, "élan élan a b"), (None, "one two"), (None, "alone"), (18, "word " * 50_000), (19, "word " * 40_000), (13, "One two"), (20, "x y z"), (20, "p q r s t"), (21, "p q r s t"), (5, "one two three")]
     assert found(spark, docs) == brute(docs)
