@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, ascii_lower, components, saved, without
+from .common import BROADCAST_ROWS, ascii_lower, components, saved, star, without
 
 RADIUS = 2
 #: (first bit, bits) of the ring's segments.
@@ -219,6 +219,7 @@ def similar_links(marked: DataFrame, texts: DataFrame, crowd: int = CROWD, at_on
         met = a(members, F.col("parity").alias("pa"), "part", "root").join(b(centres, F.col("parity").alias("pb"), all_parts, F.col("root").alias("of_b")), ["at", "part"]).where((F.col("a") != F.col("b")) & ((F.col("root") != F.col("of_b")) | (turn == 0)) & near)
         found = found.unionByName(edges(_verified(met.select("a", "fa", "b", "fb").distinct(), sets, SALT)))
         roots = saved(components(found).distinct(), "roots")
+        found = star(roots)  # so that no round goes over all links of those before
         members = saved(members.drop("root").join(roots, members.fp == roots.node, "left").select("at", "content", "fp", "size", "parity", "met", "part", F.coalesce("root", "fp").alias("root")), "crowded")
         main = members.groupBy("at", "root").agg(F.count("*").alias("k")).groupBy("at").agg(F.max(F.struct("k", "root")).alias("x")).select("at", F.col("x.root").alias("main"))
         rooted = members.join(main, "at").where("root <> main").select("at", "content", "fp", "size", "parity", "root")

@@ -190,22 +190,26 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", score
     """``docs`` with all its columns and ``score_col``, a double.
 
     A column that has that name already is replaced, the text itself included; other
-    columns may have any names.  Null texts score as empty ones.
+    columns may have any names.  Null texts score as empty ones.  A text that stays goes to Python once.
     """
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                texts = part.column(part.num_columns - 1).cast(pa.binary())
+                texts = part.column(place).cast(pa.binary())
                 scores = model.score(np.stack([statistics(x.as_py() or b"") for x in texts]).astype(np.float64))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(scores)], [*part.schema.names[:-1], score_col])
+                yield pa.RecordBatch.from_arrays([*part.columns[:n_kept], pa.array(scores)], [*part.schema.names[:n_kept], score_col])
 
     kept = [f for f in docs.schema.fields if f.name.lower() != score_col.lower()]
     names = {f.name.lower() for f in kept}
-    scored = next(name for name in (f"_scored{k}" for k in range(len(names) + 1)) if name not in names)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{score_col}` double"])
-    return docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col(text_col).cast("string").alias(scored)).mapInArrow(run, schema)
+    columns = [F.col(f"`{f.name}`") for f in kept]
+    found = [k for k, f in enumerate(kept) if f.name == text_col and f.dataType.simpleString() == "string"]
+    if not found:
+        columns.append(F.col(text_col).cast("string").alias(next(name for name in (f"_scored{k}" for k in range(len(names) + 1)) if name not in names)))
+    place, n_kept = (found or [len(kept)])[0], len(kept)
+    return docs.select(*columns).mapInArrow(run, schema)
 
 
 def train(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> Model:

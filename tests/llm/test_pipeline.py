@@ -112,6 +112,14 @@ def test_links_of_a_crowded_value_outlast_a_change_of_its_main_group(spark, at_o
     assert reached == set(range(1, len(texts) + 1))
 
 
+def test_rounds_go_over_a_link_a_text(spark):
+    rows = [(k, 0, k + 1, k, *neardup.minhash_bands(" ".join([*prose(5000, 300).split()[:-1], f"x{k}"]).encode())[1:]) for k in range(60)]
+    texts = spark.createDataFrame([(k, 0, " ".join([*prose(5000, 300).split()[:-1], f"x{k}"])) for k in range(60)], "id long, key long, text string")
+    marked = spark.createDataFrame([(*r[:5], r[5].view("<i8").tolist(), [k // 12, 9]) for k, r in enumerate(rows)], "id long, key long, fp long, content long, size long, parity array<long>, bands array<long>")
+    found = {(r.a, r.b) for r in neardup.similar_links(marked, texts, crowd=12).collect()}
+    assert len(found) == 60 and {x for e in found for x in e} == set(range(1, 61))
+
+
 def test_parity_bits_never_exclude_a_similar_pair():
     for k in range(300):
         text = prose(3000 + k, 20 + 10 * k)

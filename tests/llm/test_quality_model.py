@@ -83,3 +83,10 @@ def test_clashing_names(spark, model):
         assert {r.doc_id: r[1] for r in got.collect()} == {r[0]: r[1] for r in rows}
     assert {r.doc_id: r.text for r in qm.score_documents(plain, model, score_col="text").collect()} == want
     assert qm.score_documents(plain.limit(0), model).count() == 0
+
+
+def test_a_text_that_stays_goes_to_python_once(spark, model, capsys):
+    plain = spark.createDataFrame([(1, "good words here", 7)], "doc_id long, text string, x int")
+    plan = lambda d: (d.explain(True), capsys.readouterr().out)[1]
+    assert "_scored0" not in plan(qm.score_documents(plain, model))
+    assert "_scored0" in plan(qm.score_documents(plain, model, score_col="text"))
