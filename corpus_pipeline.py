@@ -12,16 +12,12 @@ from pyspark.sql import functions as F
 
 from runlens.llm import bpe, decontam, neardup, pii, quality_model
 from runlens.llm.common import read_table, saved
-from runlens.llm.queries import THRESHOLD, TOKENIZER
-from runlens.llm.queries import quality as fitted
-
-_SCORE = "_quality_score"
+from runlens.llm.queries import THRESHOLD, TOKENIZER, learned
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
-    _, model = fitted(spark, docs, read_table(spark, sf_dir, "labels"))
-    return quality_model.score_documents(docs, model, score_col=_SCORE).where(F.col(_SCORE) >= THRESHOLD).drop(_SCORE)
+    return quality_model.without_rejected(docs, learned(read_table(spark, sf_dir, "labels")), THRESHOLD)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

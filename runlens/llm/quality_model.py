@@ -13,9 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import BROADCAST_ROWS, FILE_EDGES, saved, without
+
 #: Random features, ridge penalty per row, seed, kernel width in standard deviations of the statistics, bins of the calibration.
 FEATURES, PENALTY, SEED, WIDTH, BINS = 160, 1e-5, 17, 3.0, 400
 #: Score range that the calibration's bins cover.
@@ -176,14 +179,14 @@ def fit(rows: DataFrame) -> Model:
     return model
 
 
-def score_statistics(stats: DataFrame, model: Model) -> DataFrame:
-    """``stats`` (``id``, ``stats``) scored: ``id``, ``score``."""
+def score_statistics(stats: DataFrame, model: Model, keep: tuple[str, ...] = ("id",)) -> DataFrame:
+    """``stats`` (``id``, ``stats``) scored: the columns of bigint to ``keep`` and ``score``."""
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(_matrix(b.column(1))))], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model.score(_matrix(b.column(len(keep)))))], [*keep, "score"])
 
-    return stats.select("id", "stats").mapInArrow(run, "id long, score double")
+    return stats.select(*keep, "stats").mapInArrow(run, ", ".join([*(f"{c} long" for c in keep), "score double"]))
 
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -219,3 +222,22 @@ def train(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
     """
     marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.avg(F.col(label_col).cast("double")).alias("label"))
     return fit(stats.join(marks, "id"))
+
+
+def without_rejected(docs: DataFrame, labels: DataFrame, threshold: float, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``docs`` without the rows that score below ``threshold``, by a model fitted to ``labels`` (as in ``train``).
+
+    A text goes to Python once: its statistics, kept on the executors' disks until this
+    returns, serve the fit and the score.  A score follows from the text alone, so the
+    ids and hashes of the texts to go say which rows these are, nulls and repeated rows included.
+    """
+    doc_id, key = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))
+    texts = docs.select(doc_id.alias("id"), key.alias("key"), F.col(text_col).cast("string").alias("text"))
+    stats = texts.mapInArrow(_statistic_batches, "id long, key long, stats array<float>").persist(StorageLevel.DISK_ONLY)
+    try:
+        model = train(stats, labels)
+        low = score_statistics(stats, model, ("id", "key")).where(F.col("score") < threshold).select(F.col("id").alias("_id"), F.col("key").alias("_key"))
+        gone = saved(low.coalesce(max(1, -(-low.count() // FILE_EDGES))), "rejected")
+    finally:
+        stats.unpersist()
+    return without(docs, gone, doc_id.eqNullSafe(gone["_id"]) & (key == gone["_key"]), broadcast_rows)

@@ -71,16 +71,15 @@ def op9_bpe(spark: SparkSession, folder: str, tokenizer: str = TOKENIZER) -> Dat
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, quality_model.Model]:
-    """Statistics of ``docs``, and the classifier fitted to the labels that aren't held out."""
+def learned(labels: DataFrame) -> DataFrame:
+    """The labels that aren't held out."""
     divisor, out = QUALITY_FOLD
-    stats = saved(quality_model.document_statistics(docs), "statistics")
-    return stats, quality_model.train(stats, labels.where(id_remainder(F.col("doc_id"), divisor) != out))
+    return labels.where(id_remainder(F.col("doc_id"), divisor) != out)
 
 
 def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
-    stats, model = quality(spark, read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
-    scored = quality_model.score_statistics(stats, model)
+    stats = saved(quality_model.document_statistics(read_table(spark, folder, "documents")), "statistics")
+    scored = quality_model.score_statistics(stats, quality_model.train(stats, learned(read_table(spark, folder, "labels"))))
     divisor, out = QUALITY_FOLD
     return scored.select(F.col("id").alias("doc_id"), (id_remainder(F.col("id"), divisor) == out).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+from runlens.llm import common, queries
 from runlens.llm import quality_model as qm
-from runlens.llm import queries
 from runlens.llm.common import id_remainder
 
 FOLDER = "/root/testdata/sf0.001"
@@ -90,3 +91,29 @@ def test_a_text_that_stays_goes_to_python_once(spark, model, capsys):
     plan = lambda d: (d.explain(True), capsys.readouterr().out)[1]
     assert "_scored0" not in plan(qm.score_documents(plain, model))
     assert "_scored0" in plan(qm.score_documents(plain, model, score_col="text"))
+
+
+def test_rejected_rows_go_and_texts_come_to_python_once(spark, capsys, monkeypatch):
+    good, bad = "good words here ", "BAD!!! $$$ "
+    rows = [(k, (good if k % 2 else bad) * (k % 5 + 1), k % 2) for k in range(60)]
+    marks = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    odd = [(None, bad), (None, good), (None, None), (7, bad), (7, good), (7, good), (8, ""), (9, None), (9, bad), (9, bad)]
+    docs = spark.createDataFrame([*odd, *((i, t) for i, t, _ in rows if i > 9)], "doc_id long, text string").repartition(5)
+    model = qm.train(qm.document_statistics(docs), marks)
+    scored = qm.score_documents(docs, model).collect()
+    want = sorted((str(r.doc_id), str(r.text)) for r in scored if r.score >= queries.THRESHOLD)
+    assert 0 < len(want) < len(scored)
+    files = []
+    monkeypatch.setattr(qm, "saved", lambda df, name: (files.append(df.rdd.getNumPartitions()), common.saved(df, name))[1])
+    for most in (qm.BROADCAST_ROWS, 0):
+        got = qm.without_rejected(docs, marks, queries.THRESHOLD, broadcast_rows=most)
+        assert got.schema == docs.schema
+        assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == want
+        got.explain()
+        assert "MapInArrow" not in capsys.readouterr().out  # the texts that stay are read and written without Python
+    assert files == [1, 1]  # a file for the rejected rows, none for the statistics
+
+
+def test_pipeline_s_stage_writes_texts_without_python(spark, capsys):
+    corpus_pipeline.quality(spark, spark.read.parquet(f"{FOLDER}/documents.parquet"), FOLDER).explain()
+    assert "MapInArrow" not in capsys.readouterr().out
