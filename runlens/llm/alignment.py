@@ -19,22 +19,24 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from itertools import chain, islice
+from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_symbols
 from .common import saved
 
-#: Ends of either side that a piece merges; bytes of text after which a block is full; rows taken from a batch at once.
-PIECE, BLOCK_BYTES, ROWS_AT_ONCE = 1 << 16, 1 << 21, 64
-#: Bytes of encoded words after which a task's memory of them starts anew; characters of a word from which the file's own library encodes it.
-REMEMBERED, LONG = 1 << 27, 4096
+#: Ends of either side that a piece merges; bytes of text after which a block is full; rows that go to a task's Python at once, and bytes of blocks a row group has: what a task holds does not grow with its input.
+PIECE, BLOCK_BYTES, ROWS_AT_ONCE, GROUP_BYTES = 1 << 16, 1 << 20, 64, 1 << 24
+#: Bytes of encoded words after which a task forgets those that did not come again; new words that are encoded as one text; characters of a word from which the file's own library encodes it.
+REMEMBERED, AT_ONCE, LONG = 1 << 25, 1 << 15, 4096
 #: A space after a sign that is none: no token of either tokenizer crosses it (white space by Unicode; re counts four more signs).
 _CUT = re.compile("(?<=[\\S\\x1c-\\x1f]) ")
 #: How the byte-level file's library cuts a text before it merges (a fixed value of that file's kind).
@@ -85,8 +87,19 @@ class Encoders:
         self.ids_a: list[bytes] = []
         self.ids_b: list[bytes] = []
         self.odd: set[int] = set()
+        self.again: set[str] = set()
         self.size = 0
 
+    def forget_rare(self) -> None:
+        """Keep only words that came again in a later block, up to half of what is remembered."""
+        code, ids_a, ids_b, odd, again = self.code, self.ids_a, self.ids_b, self.odd, self.again
+        self.forget()
+        for word in again:
+            if self.size > REMEMBERED // 2:
+                break
+            k = code[word]
+            self._keep(word, ids_a[k], ids_b[k], k in odd)
+
     def _keep(self, word: str, a: bytes, b: bytes, odd: bool = False) -> None:
         if odd:
             self.odd.add(len(self.ids_a))
@@ -126,9 +139,14 @@ class Encoders:
     def texts(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For every text the ids of a space and the text by both tokenizers; none for texts whose bytes either doesn't give back."""
         if self.size > REMEMBERED:
-            self.forget()
+            self.forget_rare()
         cut = [_CUT.split(x) if x else [] for x in texts]
-        self.learn([w for w in dict.fromkeys(chain.from_iterable(cut)) if w not in self.code])
+        words = set(chain.from_iterable(cut))
+        seen = words & self.code.keys()
+        self.again |= seen
+        new = list(words - seen)
+        for at in range(0, len(new), AT_ONCE):
+            self.learn(new[at : at + AT_ONCE])
         code, ids_a, ids_b, out = self.code.__getitem__, self.ids_a.__getitem__, self.ids_b.__getitem__, []
         for text, words in zip(texts, cut):
             codes = list(map(code, words))
@@ -218,10 +236,8 @@ def _group_texts(encoders: Encoders, a: np.ndarray, b: np.ndarray, group_a: np.n
         inside = np.ones(len(ids), bool)
         inside[starts[:-1]] = False
         signs[at] = opening + ids + inside * (first if opening == 0 else len(encoders.width_b))
-    parts, out = map(encoders.decimals.__getitem__, signs.tolist()), []
-    for n_here in (sizes_a + sizes_b).tolist():
-        out.append(b"".join(islice(parts, n_here))[1:])
-    return out
+    parts = np.split(signs, np.cumsum(sizes_a + sizes_b)[:-1])
+    return [b"".join(map(encoders.decimals.__getitem__, x.tolist()))[1:] for x in parts]
 
 
 def _blocks(files, piece: int, block_bytes: int):
@@ -269,6 +285,18 @@ def _figures(key, block: pa.Table, counts: pa.Table) -> pa.Table:
     return pa.table({name: pa.array(of[name], pa.string() if name == "groups_sha256" else pa.int64()) for name in (c.split()[0] for c in _OUT.split(", "))})
 
 
+@contextmanager
+def _few_at_once(spark: SparkSession) -> Iterator[None]:
+    """Tables made within send few rows at once to Python: a batch of long texts is as large as they are."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(ROWS_AT_ONCE))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def align(docs: DataFrame, bytes_file: str, piece_model: str, id_col: str = "doc_id", text_col: str = "text", piece: int = PIECE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of ``docs``: its tokens by both tokenizers, their groups and links, and what the links count corpus-wide.
 
@@ -282,7 +310,9 @@ def align(docs: DataFrame, bytes_file: str, piece_model: str, id_col: str = "doc
     with open(bytes_file, encoding="utf-8") as f, open(piece_model, "rb") as g:
         files = spark.sparkContext.broadcast(f.read()), spark.sparkContext.broadcast(g.read())
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    blocks = saved(chosen.mapInArrow(_blocks(files, piece, block_bytes), _BLOCK), "blocks")
+    with _few_at_once(spark):
+        # A row is a block and a reader holds a row group of lists at once, so row groups are small.
+        blocks = saved(chosen.mapInArrow(_blocks(files, piece, block_bytes), _BLOCK), "blocks", {"parquet.block.size": GROUP_BYTES, "parquet.block.size.row.check.min": 4})
 
     counts = blocks.select(F.inline(F.arrays_zip("pair", "held"))).groupBy("pair").agg(F.sum("held").alias("n"))
     counts = saved(counts.withColumn("a", F.shiftright("pair", 32)), "counts")

@@ -42,13 +42,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
+def saved(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
+    """Write ``df`` as Parquet, with options of its writer, to the shared folder and read it back.
 
     Cuts the lineage: what a lost executor had is read again, not computed again.
     """
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -85,6 +85,29 @@ def test_words_give_what_whole_texts_give(encoders, library):
             assert (a.tolist(), b.tolist()) == whole(encoders, library, text), text
 
 
+def test_a_task_remembers_a_bounded_number_of_words(encoders, library, monkeypatch):
+    monkeypatch.setattr(alignment, "REMEMBERED", 20_000)
+    monkeypatch.setattr(alignment, "AT_ONCE", 10)
+    at_once, learn = [], encoders.learn
+    monkeypatch.setattr(encoders, "learn", lambda words: (at_once.append(len(words)), learn(words)))
+    encoders.forget()
+    for k in range(20):
+        texts = [f"the common word is {' '.join(f'w{k}x{j}' for j in range(40))}"]
+        assert [(a.tolist(), b.tolist()) for a, b in encoders.texts(texts)] == [whole(encoders, library, x) for x in texts]
+        assert k == 0 or {"the", "common", "word", "is"} <= encoders.code.keys()
+        assert encoders.size < 40_000
+    assert max(at_once) == 10 and sum(at_once) == 20 * 40 + 4
+
+
+def test_rows_go_to_python_few_at_once(spark, monkeypatch):
+    seen, key = [], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, saved = spark.conf.get(key), alignment.saved
+    monkeypatch.setattr(alignment, "saved", lambda df, name, *more: (seen.append((name, spark.conf.get(key))), saved(df, name, *more))[1])
+    docs = spark.createDataFrame([(1, "to be"), (2, "or not")], "doc_id long, text string")
+    assert alignment.align(docs, queries.BYTES, queries.PIECES).count() == 2
+    assert seen == [("blocks", str(alignment.ROWS_AT_ONCE)), ("counts", before)] and spark.conf.get(key) == before
+
+
 def test_aligned(spark, encoders, library):
     rng = random.Random(3)
     words = ["the", "tokenizer", "alignment", "naïve", "1234", "foo_bar", "…", "end.\n", "Zürich"]
