@@ -1,7 +1,10 @@
 """Stateful streams over several batches and restarts, and sinks that are replayed."""
 
+import datetime
 import random
+from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from runlens.functions.steps import label, now_at
 from runlens.operators import fleet
 from runlens.operators import steps as st
 from runlens.sources.keyset import by_key
+from runlens.streaming import deadlines as deadline_module
 from runlens.streaming import ledger, stateful
 from runlens.streaming.deadlines import barriers, deadlines, keyed_state
 from test_history import LOGS, WF, table
@@ -82,6 +86,74 @@ def test_ends_before_begins(spark, tmp_path):
     assert {r.key: (r.outcome, str(r.at)[11:16]) for r in found.collect()} == {1: ("ended", "00:05"), 3: ("ended", "00:10"), 2: ("reached", "00:10"), 4: ("reached", "00:10")}
 
 
+def test_keys_that_share_a_group(spark, tmp_path):
+    rng, minute, rows = random.Random(6), spark_time, []
+    for _ in range(400):
+        key, what, at = rng.choice([None, *range(-20, 100), -(1 << 63), (1 << 63) - 1, (1 << 53) + 1]), rng.choice(["begin", "begin", "end", "other"]), rng.randrange(200)
+        rows.append((key, minute(at), what, minute(at + rng.randrange(-5, 60)) if what != "other" and rng.random() < 0.9 else None))
+    parts, told, due, ended = in_parts(rows, 3), {}, {}, {}
+    for part in parts:
+        now = {}
+        for key, at, what, until in part:
+            if what == "begin" and until is not None:
+                now[key] = min(now.get(key, until), until)
+            if what == "end":
+                ended[key] = min(ended.get(key, at), at)
+        due = now | due
+        told |= {k: ("ended", d, ended[k]) for k, d in due.items() if k not in told and k in ended and ended[k] <= d}
+    want = {k: ("reached", d, d) for k, d in due.items()} | told
+    got = fed(spark, str(tmp_path), [*parts, [(-1 << 40, minute(90_000), "tick", None)]], stateful._CHANGES, lambda s: deadlines(s, 2), "1000 hours").collect()
+    assert len(got) == len(want) and len({o for o, *_ in want.values()}) == 2
+    assert {r.key: (r.outcome, r.due, r["at"]) for r in got} == want
+
+
+def spark_time(minutes):
+    """Minutes of a year as a time, as sessions in UTC collect it."""
+    return datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=minutes)
+
+
+def test_a_group_is_one_look_at_the_state():
+    class Engine:
+        def __init__(self):
+            self.calls, self.value, self.timers = Counter(), None, set()
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            self.calls["get"] += 1
+            return self.value
+
+        def update(self, value):
+            self.calls["update"] += 1
+            self.value = value
+
+        def clear(self):
+            self.calls["clear"] += 1
+            self.value = None
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+        def getCurrentWatermarkInMs(self):
+            return self.watermark
+
+    engine, keys = Engine(), deadline_module._Deadlines()
+    keys.init(engine)
+    rows = pd.DataFrame({"lacking": False, "key": range(1000), "due": range(1, 1001), "ended": [5 if k % 2 else deadline_module.NEVER for k in range(1000)]})
+    told = pd.concat(keys.handleInputRows((0,), iter([rows[:600], rows[600:]]), engine))
+    assert told.key.tolist() == list(range(5, 1000, 2)) and set(told.outcome) == {"ended"}
+    assert engine.calls == {"get": 1, "update": 1} and engine.timers == {1}
+    for engine.watermark, left in ((500, {501}), (1000, set())):
+        engine.timers.clear()  # the engine removes the one that goes off
+        told = pd.concat([told, *keys.handleExpiredTimer((0,), engine, None)])
+        assert engine.timers == left
+    assert sorted(told.key) == list(range(1000)) and engine.value is None and engine.calls == {"get": 3, "update": 2, "clear": 1}
+
+
 CHANGES = "branch_id long, child_id long, at timestamp, what string, children long"
 
 
