@@ -35,7 +35,12 @@ def _listed(rows: list[tuple], schema: str) -> Column:
 
 
 def overlay(nodes: list[Node], logs: DataFrame, branches: DataFrame) -> DataFrame:
-    """Status of every node in every workflow that has logs, and the logs that no node stands for.
+    """Status of every node in every workflow that has logs, and the logs that no node stands for."""
+    return named_overlay(nodes, logs, branches).drop("log_name", "counts")
+
+
+def named_overlay(nodes: list[Node], logs: DataFrame, branches: DataFrame) -> DataFrame:
+    """``overlay`` with the step names of the logs that nodes were bound to in ``log_name``, and with ``counts`` (text) of logs that have it.
 
     ``nodes`` are one definition's.  ``branches`` is ``branch_health``.
 
@@ -49,36 +54,39 @@ def overlay(nodes: list[Node], logs: DataFrame, branches: DataFrame) -> DataFram
     named = _listed([(x.node, x.kind, x.step_name) for x in nodes if x.step_name is not None], "node string, kind string, step_name string")
     dynamic = _listed([(x.node, x.prefix) for x in nodes if x.step_name is None and x.prefix is not None], "node string, prefix string")
     runs = logs.select("workflow_id").distinct()
-    found = logs.select("workflow_id", "step_name", F.col("id").alias("log_id"), "state")
-    at = runs.select("workflow_id", F.inline(named)).join(found, ["workflow_id", "step_name"], "left")
+    counts = F.col("counts") if "counts" in logs.columns else F.lit(None).cast("string").alias("counts")
+    found = logs.select("workflow_id", "step_name", F.col("id").alias("log_id"), "state", counts)
+    names = [x.step_name for x in nodes if x.step_name is not None]
     health = branches.select(F.col("branch_id").alias("log_id"), F.col("status").alias("fanout"))
     repetitions = of_kinds(logs, "repeat_run").select("workflow_id", F.concat(F.lit("durably_repeat$"), "step").alias("step_name")).groupBy("workflow_id", "step_name").agg(F.count("*").alias("n"))
-    at = at.join(health, "log_id", "left").join(repetitions, ["workflow_id", "step_name"], "left")
+    # What belongs to logs is joined with the logs of named nodes, which are fewer than such nodes of all runs.
+    reached = found.where(F.col("step_name").isin(names)).join(health, "log_id", "left").join(repetitions, ["workflow_id", "step_name"], "left")
+    at = runs.select("workflow_id", F.inline(named)).join(reached, ["workflow_id", "step_name"], "left")
     status = F.when(F.col("log_id").isNull(), "not_reached").when(F.col("kind") == "branch", F.coalesce("fanout", F.lit("not_reached"))).when(F.col("kind") == "repeat", F.when(F.col("state") == LOG_COMPLETED, "done").otherwise("active")).otherwise(_status(F.col("state")))
-    known = at.select("workflow_id", "node", "log_id", status.alias("status"), F.when((F.col("kind") == "repeat") & F.col("log_id").isNotNull(), F.coalesce("n", F.lit(0))).alias("repetitions"))
+    known = at.select("workflow_id", "node", "log_id", status.alias("status"), F.when((F.col("kind") == "repeat") & F.col("log_id").isNotNull(), F.coalesce("n", F.lit(0))).alias("repetitions"), F.when(F.col("log_id").isNotNull(), F.col("step_name")).alias("log_name"), "counts")
 
-    free = found.where(~F.col("step_name").isin([x.step_name for x in nodes if x.step_name is not None]) & ~framework_step(F.col("step_name")))
+    free = found.where(~F.col("step_name").isin(names) & ~framework_step(F.col("step_name")))
     bound = _bound(runs, free, dynamic, sorted({x.prefix for x in nodes if x.step_name is None and x.prefix is not None}), sum(x.step_name is None for x in nodes))
     unseen = [x.node for x in nodes if x.step_name is None and x.prefix is None]
-    bound = bound.unionByName(runs.select("workflow_id", F.explode(F.array(*map(F.lit, unseen)).cast("array<string>")).alias("node"), F.lit(None).cast("bigint").alias("log_id"), F.lit(None).cast("int").alias("state")))
+    bound = bound.unionByName(runs.select("workflow_id", F.explode(F.array(*map(F.lit, unseen)).cast("array<string>")).alias("node"), F.lit(None).cast("bigint").alias("log_id"), F.lit(None).cast("string").alias("log_name"), F.lit(None).cast("int").alias("state"), F.lit(None).cast("string").alias("counts")))
     rest = free.where(F.col("state") == LOG_COMPLETED).join(bound.where("log_id is not null").select("workflow_id", "log_id"), ["workflow_id", "log_id"], "left_anti")
-    unmapped = rest.select("workflow_id", F.concat(F.lit("log-"), F.col("log_id").cast("string")).alias("node"), "log_id", F.lit("unmapped").alias("status"), F.lit(None).cast("bigint").alias("repetitions"))
-    bound = bound.select("workflow_id", "node", "log_id", F.coalesce(_status(F.col("state")), F.lit("not_reached")).alias("status"), F.lit(None).cast("bigint").alias("repetitions"))
+    unmapped = rest.select("workflow_id", F.concat(F.lit("log-"), F.col("log_id").cast("string")).alias("node"), "log_id", F.lit("unmapped").alias("status"), F.lit(None).cast("bigint").alias("repetitions"), F.col("step_name").alias("log_name"), "counts")
+    bound = bound.select("workflow_id", "node", "log_id", F.coalesce(_status(F.col("state")), F.lit("not_reached")).alias("status"), F.lit(None).cast("bigint").alias("repetitions"), "log_name", "counts")
     return known.unionByName(bound).unionByName(unmapped)
 
 
 def _bound(runs: DataFrame, free: DataFrame, dynamic: Column, prefixes: list[str], most: int) -> DataFrame:
-    """``workflow_id``, ``node``, ``log_id``, ``state`` of the dynamic nodes in every run: a fold over the nodes that keeps what is taken.
+    """``workflow_id``, ``node``, ``log_id``, ``log_name``, ``state``, ``counts`` of the dynamic nodes in every run: a fold over the nodes that keeps what is taken.
 
     A node finds its log among the first ``most`` of its prefix, as there are no more nodes
     to take one before it; so a run's candidates are few, however many logs it has.
     """
-    log = "struct<log_id:bigint,step_name:string,state:int>"
+    log = "struct<log_id:bigint,step_name:string,state:int,counts:string>"
     state = f"struct<taken:array<bigint>,out:array<struct<node:string,log:{log}>>>"
     fits = F.filter(F.array(*map(F.lit, prefixes)).cast("array<string>"), lambda p: F.startswith(F.col("step_name"), p))
     nth = F.row_number().over(Window.partitionBy("workflow_id", "prefix").orderBy("log_id"))
-    first = free.select("workflow_id", "log_id", "step_name", F.col("state").cast("int").alias("state"), F.explode(fits).alias("prefix")).withColumn("nth", nth).where(F.col("nth") <= most)
-    candidates = first.groupBy("workflow_id").agg(F.array_sort(F.collect_set(F.struct("log_id", "step_name", "state"))).alias("logs"))
+    first = free.select("workflow_id", "log_id", "step_name", F.col("state").cast("int").alias("state"), "counts", F.explode(fits).alias("prefix")).withColumn("nth", nth).where(F.col("nth") <= most)
+    candidates = first.groupBy("workflow_id").agg(F.array_sort(F.collect_set(F.struct("log_id", "step_name", "state", "counts"))).alias("logs"))
 
     def take(a: Column, x: Column) -> Column:
         found = F.filter("logs", lambda y: F.startswith(y["step_name"], x["prefix"]) & ~F.array_contains(a["taken"], y["log_id"]))
@@ -87,4 +95,4 @@ def _bound(runs: DataFrame, free: DataFrame, dynamic: Column, prefixes: list[str
 
     start = F.struct(F.array().alias("taken"), F.array().alias("out")).cast(state)
     folded = runs.join(candidates, "workflow_id", "left").withColumn("logs", F.coalesce("logs", F.array().cast(f"array<{log}>"))).select("workflow_id", F.inline(F.aggregate(dynamic, start, take, lambda a: a["out"])))
-    return folded.select("workflow_id", "node", "log.log_id", "log.state")
+    return folded.select("workflow_id", "node", "log.log_id", F.col("log.step_name").alias("log_name"), "log.state", "log.counts")

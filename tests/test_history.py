@@ -7,6 +7,7 @@ from runlens.functions import steps as fs
 from runlens.functions.steps import now_at
 from runlens.operators import branches, contexts, fleet, overlay, periodic, policies, polls, tables
 from runlens.operators import steps as st
+from runlens.plans import queries
 
 NOW = "2024-01-31 12:00:00"
 LOGS = "id long, workflow_id long, step_name string, attempts int, started_at timestamp_ntz, completed_at timestamp_ntz, state int, error_class string, metadata string"
@@ -192,6 +193,21 @@ def test_overlay(spark):
     assert got == {"a": (1, "done", None), "r": (3, "active", 1), "b": (9, "active", None), "d1": (2, "failed", None), "d2": (None, "not_reached", None), "log-6": (6, "unmapped", None)}
 
 
+def test_overlay_names_its_logs(spark):
+    nodes = [overlay.Node("b", "branch", "branch$x"), overlay.Node("a", "execute", "durably_execute$a"), overlay.Node("d", "dynamic", None, "branch$"), overlay.Node("u", "dynamic")]
+    logs = [(1, 1, "branch$x", 1, "one"), (2, 1, "branch$y", 1, "two"), (3, 1, "branch$z", 1, "three"), (4, 1, "wait$w", 1, None), (5, 2, "wait$w", 0, None)]
+    logs = spark.createDataFrame(logs, "id long, workflow_id long, step_name string, state int, counts string")
+    health = spark.createDataFrame([(1, "active")], "branch_id long, status string")
+    got = {(r.workflow_id, r.node): (r.log_id, r.log_name, r.counts) for r in overlay.named_overlay(nodes, logs, health).collect()}
+    none = (None, None, None)
+    assert got == {(1, "b"): (1, "branch$x", "one"), (1, "a"): none, (1, "d"): (2, "branch$y", "two"), (1, "u"): none, (1, "log-3"): (3, "branch$z", "three"), (1, "log-4"): (4, "wait$w", None)} | {(2, n): none for n in "baud"}
+
+
+def test_run_graphs_derive_logs_once(spark):
+    plan = queries.queries()["run_graphs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "counts" in plan
+
+
 def test_contexts(spark):
     text = '{"b":"é","a":1,"c":{"x":[1,2.5]},"d":null,"e":true,"f":1.5}'
     df = spark.createDataFrame([(1, text), (2, "{}"), (3, None)], "id long, context string")
